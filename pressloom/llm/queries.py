@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pressloom.functions.text import SPACE_RE2
-from pressloom.llm import leak, split
+from pressloom.llm import leak, residue, split
 
 
 def queries() -> dict:
     return {
         "p2_found": split.found,
         "p2_pieces": split.pieces,
+        "p10_found": residue.found,
+        "p10_reasons": residue.reasons,
         "p9_found": leak.found,
         "p9_items": leak.items_leaked,
     }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pressloom.functions.text import SPACE_RE2
-from pressloom.llm import leak, neardup, residue, split
+from pressloom.llm import leak, neardup, residue, sentences, split
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "p2_pieces": split.pieces,
         "p10_found": residue.found,
         "p10_reasons": residue.reasons,
+        "p3_found": sentences.found,
+        "p3_segments": sentences.segment_units,
         "p6_found": neardup.found,
         "p6_linked": neardup.linked,
         "p9_found": leak.found,

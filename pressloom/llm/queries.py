@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pressloom.functions.text import SPACE_RE2
-from pressloom.llm import leak, neardup, residue, sentences, split
+from pressloom.llm import language, leak, neardup, residue, sentences, split
 
 
 def queries() -> dict:
@@ -16,6 +16,8 @@ def queries() -> dict:
         "p3_segments": sentences.segment_units,
         "p6_found": neardup.found,
         "p6_linked": neardup.linked,
+        "p7_found": language.found,
+        "p7_parts": language.parts,
         "p9_found": leak.found,
         "p9_items": leak.items_leaked,
     }

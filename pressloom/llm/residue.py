@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pressloom.session import cut_lineage
 from pressloom.sources.tables import table
 
 #: Longest message in words; longer documents are ordinary records unless they repeat themselves.
@@ -218,7 +219,7 @@ def residue(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             )
 
     seen = base.mapInArrow(look, f"doc_id {kind}, slot string, message string, path string")
-    return _judged(seen)
+    return _judged(cut_lineage(seen))  # read four times below
 
 
 def _judged(seen: DataFrame) -> DataFrame:

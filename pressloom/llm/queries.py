@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pressloom.functions.text import SPACE_RE2
-from pressloom.llm import language, leak, mojibake, neardup, residue, sentences, split
+from pressloom.llm import language, leak, mojibake, neardup, packing, residue, sentences, split
 
 
 def queries() -> dict:
@@ -20,6 +20,8 @@ def queries() -> dict:
         "p6_linked": neardup.linked,
         "p7_found": language.found,
         "p7_parts": language.parts,
+        "p8_packed": packing.containers,
+        "p8_loads": packing.loads,
         "p9_found": leak.found,
         "p9_items": leak.items_leaked,
     }

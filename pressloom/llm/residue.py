@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -222,22 +221,41 @@ def residue(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return _judged(cut_lineage(seen))  # read four times below
 
 
+def judge(messages: list[str]) -> list[tuple[str, str, str]]:
+    """(message, template, reason) of the messages of one leaf that are residue."""
+    found = mine(messages)
+    known: dict[str, str | None] = {}
+    for m, t in zip(messages, found):
+        if known.get(t) is None:
+            known[t] = verdict(t, m)
+    return [(m, t, known[t]) for m, t in zip(messages, found) if known[t] and (known[t] in ("filler", "value") or verdict(t, m))]
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["message", "template", "reason"])
+
+
 def _judged(seen: DataFrame) -> DataFrame:
     counts = seen.where("message is not null").groupBy("path", "message").agg(F.count("*").alias("n"))
     shards = counts.groupBy("path").agg(F.ceil(F.count("*") / F.lit(SHARD)).cast("int").alias("shards"))
     salted = counts.join(shards, "path").withColumn("salt", F.pmod(F.xxhash64("message"), F.col("shards")))
 
-    def leaf(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = mine(list(pdf.message))
-        known: dict[str, str | None] = {}
-        for m, t in zip(pdf.message, found):
-            if known.get(t) is None:
-                known[t] = verdict(t, m)
-        out = pd.DataFrame({"message": pdf.message, "template": found})
-        out["reason"] = [known[t] if known[t] in (None, "filler", "value") or verdict(t, m) else None for t, m in zip(found, pdf.message)]
-        return out[out.reason.notna()]
-
-    judged = salted.groupBy("path", "salt").applyInPandas(leaf, "message string, template string, reason string")
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, messages = None, []
+        for b in batches:
+            out: list[tuple] = []
+            for p, s, m in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if (p, s) != key:
+                    out += judge(messages)
+                    key, messages = (p, s), []
+                messages.append(m)
+            yield _rows(out)
+        yield _rows(judge(messages))
+
+    # a leaf's messages come one after another, at most about SHARD of them
+    rows = salted.select("path", "salt", "message").repartition("path", "salt").sortWithinPartitions("path", "salt", "message")
+    judged = rows.mapInArrow(leaves, "message string, template string, reason string")
     slots = seen.where("slot is not null").select("doc_id", F.lit("slot").alias("reason"), F.col("slot").alias("detail"))
     rest = seen.where("message is not null").join(judged, "message").select("doc_id", "reason", F.col("template").alias("detail"))
     return slots.unionByName(rest)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pressloom.functions.text import SPACE_RE2
-from pressloom.llm import language, leak, mojibake, neardup, packing, residue, sentences, split
+from pressloom.llm import language, leak, mojibake, neardup, packing, residue, scans, sentences, split
 
 
 def queries() -> dict:
@@ -14,6 +14,8 @@ def queries() -> dict:
         "p10_reasons": residue.reasons,
         "p3_found": sentences.found,
         "p3_segments": sentences.segment_units,
+        "p4_found": scans.found,
+        "p4_repaired": scans.report,
         "p5_found": mojibake.found,
         "p5_restored": mojibake.report,
         "p6_found": neardup.found,

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pressloom.functions.text import SPACE_RE2
-from pressloom.llm import language, leak, mojibake, neardup, packing, residue, scans, sentences, split
+from pressloom.llm import language, leak, mojibake, names, neardup, packing, residue, scans, sentences, split
 
 
 def queries() -> dict:
     return {
+        "p1_found": names.found,
+        "p1_groups": names.groups,
         "p2_found": split.found,
         "p2_pieces": split.pieces,
         "p10_found": residue.found,
@@ -36,5 +38,7 @@ def _long(kind: str, key: str, column: str, name: str) -> str:
 
 def oracle_sql() -> dict:
     return {
+        "p1_found": names.found,
+        "p1_groups": names.groups,
         "p2_found": f"SELECT DISTINCT * FROM ({_long('segment', 'segment_id', 'text_original', 'segments')} UNION ALL {_long('chunk', 'chunk_id', 'text', 'chunks')})",
     }

@@ -154,7 +154,9 @@ class Classifier:
 
 
 def _fitted(df: DataFrame, sample: int) -> dict[tuple[str, str], bytes]:
-    rows = df.select("text").where("length(text) > 0").orderBy(F.xxhash64("text")).limit(sample).collect()  # bounded by ``sample``
+    texts = df.select("text").where("length(text) > 0")
+    one_in = max(1, texts.count() // sample)
+    rows = texts.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).limit(sample).collect()  # bounded by ``sample``
     return fit([r.text for r in rows])
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressloom.session import cut_lineage
+from pressloom.session import cut_lineage, partitions
 from pressloom.sources.tables import table
 
 CAPACITY = 4096
@@ -125,7 +125,7 @@ def packed(docs: DataFrame, doc_id: str, text: str, capacity: int = CAPACITY, pa
     windows = max(1, -(-(total.t or 0) // (capacity * WINDOW_CONTAINERS)), -(-total.n // WINDOW_ITEMS))
     rows = cut.withColumn("window", F.when(F.col("size") == capacity, F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id", "piece", "size"), F.lit(windows))).cast("bigint"))
     whole = rows.where("window = -1").select("doc_id", "piece", "start", F.col("size").alias("n_tokens"), F.concat_ws("-", F.lit("f"), F.col("doc_id").cast("string"), F.col("piece").cast("string")).alias("container_id"))
-    rest = rows.where("window >= 0").select("doc_id", "piece", "start", "size", "window").repartition("window").sortWithinPartitions("window", F.desc("size"), "doc_id", "piece")
+    rest = rows.where("window >= 0").select("doc_id", "piece", "start", "size", "window").repartition(min(windows, partitions(docs.sparkSession)), "window").sortWithinPartitions("window", F.desc("size"), "doc_id", "piece")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

@@ -6,6 +6,7 @@ import re
 import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -201,8 +202,6 @@ def normalise(name: Column) -> Column:
 
 
 def _normalise_udf():
-    import pandas as pd
-
     @F.pandas_udf("string")
     def fold(s: pd.Series) -> pd.Series:
         return s.map(normalise_name)

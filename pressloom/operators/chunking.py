@@ -168,8 +168,9 @@ def halves(text: Column, least: int = 800, reach: int = 200) -> Column:
 
 
 def ngrams(text: Column, most: int = 5) -> Column:
-    """Spans (start, end, text) of up to ``most`` words of a normalised text, longest first."""
-    ws = F.filter(F.split(S.normalise(text), " "), lambda w: w != "")
+    """Spans (start, end, text) of up to ``most`` words of a normalised text, longest first.
+    The text is a column of its own, as no Python function may stand inside a lambda."""
+    ws = F.filter(F.split(text, " "), lambda w: w != "")
     sizes = F.sequence(F.lit(most), F.lit(1), F.lit(-1))
     spans = F.transform(
         sizes,

@@ -29,7 +29,7 @@ def name_index(nodes: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
 def link_entities(questions: DataFrame, nodes: DataFrame, index: DataFrame, limit: int = LINK_LIMIT) -> DataFrame:
     """(qid, entity_id, matched, name, type, mention_count): the nodes a question names. A
     span inside a longer match is passed over; longest match first, then most mentioned."""
-    spans = questions.select("qid", F.explode(ngrams(F.col("q"))).alias("s")).select("qid", "s.start", "s.end", F.col("s.text").alias("surface"))
+    spans = questions.select("qid", S.normalise(F.col("q")).alias("_n")).select("qid", F.explode(ngrams(F.col("_n"))).alias("s")).select("qid", "s.start", "s.end", F.col("s.text").alias("surface"))
     spans = spans.where(~F.col("surface").isin(*S.TOPIC_STOPWORDS))
     named = index.join(nodes.select("entity_id", "name", "type", "mention_count"), "entity_id")
     usable = named.where(~F.col("type").isin(*STRUCTURAL_TYPES) | (F.length("surface") >= MIN_STRUCTURAL_CHARS))
@@ -65,15 +65,16 @@ def scope(edges: DataFrame, filters: Filters = Filters(), cap: int = EVIDENCE_LI
     )
 
 
-def topic_terms(text: Column) -> Column:
+def topic_terms(normalised: Column) -> Column:
+    """Distinct words of a normalised text that may decide a match."""
     stop = F.array(*map(F.lit, S.TOPIC_STOPWORDS))
-    return F.array_distinct(F.filter(F.split(S.normalise(text), " "), lambda t: (t != "") & ~F.array_contains(stop, t)))
+    return F.array_distinct(F.filter(F.split(normalised, " "), lambda t: (t != "") & ~F.array_contains(stop, t)))
 
 
-def relevance(terms: Column, fact_text: Column, in_meet: Column, structural: Column) -> Column:
+def relevance(terms: Column, fact_terms: Column, in_meet: Column, structural: Column) -> Column:
     """Share of the question's terms in a fact, more where its meet was retrieved and where
     it is content; 0 without terms."""
-    hits = F.size(F.array_intersect(terms, topic_terms(fact_text)))
+    hits = F.size(F.array_intersect(terms, fact_terms))
     return F.when(F.size(terms) == 0, 0.0).otherwise(hits / F.size(terms) + F.when(in_meet, 0.5).otherwise(0.0) + F.when(structural, 0.0).otherwise(0.25))
 
 
@@ -99,7 +100,8 @@ def gather(questions: DataFrame, linked: DataFrame, edges: DataFrame, nodes: Dat
     hit = ends.join(touch.withColumnRenamed("entity_id", "source_id"), "source_id").unionByName(ends.join(touch.withColumnRenamed("entity_id", "target_id"), "target_id"))
     once = hit.groupBy("qid", "source_id", "relation", "target_id").agg(F.min_by(F.struct(*[c for c in hit.columns if c not in ("qid", "source_id", "relation", "target_id")]), "entity_rank").alias("f")).select("qid", "source_id", "relation", "target_id", "f.*")
     matched = linked.groupBy("qid").agg(F.array_distinct(F.flatten(F.collect_list(F.split("matched", " ")))).alias("named"))
-    terms = questions.select("qid", topic_terms(F.col("q")).alias("t")).join(matched, "qid", "left").select("qid", F.array_except("t", F.coalesce("named", F.array().cast("array<string>"))).alias("terms"))
+    asked = questions.select("qid", S.normalise(F.col("q")).alias("_n"))
+    terms = asked.select("qid", topic_terms(F.col("_n")).alias("t")).join(matched, "qid", "left").select("qid", F.array_except("t", F.coalesce("named", F.array().cast("array<string>"))).alias("terms"))
     joined = once.join(terms, "qid").withColumn("hop", F.lit(1))
     if passages is not None:
         meets = passages.groupBy("qid").agg(F.collect_set("press_meet_id").alias("meets"))
@@ -107,10 +109,11 @@ def gather(questions: DataFrame, linked: DataFrame, edges: DataFrame, nodes: Dat
     else:
         joined = joined.withColumn("in_meet", F.lit(False))
     body = F.concat_ws(" ", F.coalesce("source", "source_id"), "relation", F.coalesce("target", "target_id"), F.array_join(F.transform("evidence", lambda e: F.coalesce(e["quote"], F.lit(""))), " "))
-    scored = joined.withColumn("relevance", relevance(F.col("terms"), body, F.col("in_meet"), F.col("structural")))
+    spoken = joined.withColumn("_body", S.normalise(body)).withColumn("_body", topic_terms(F.col("_body")))
+    scored = spoken.withColumn("relevance", relevance(F.col("terms"), F.col("_body"), F.col("in_meet"), F.col("structural")))
     q = Window.partitionBy("qid")
     on = scored.withColumn("on_topic", (F.col("relevance") > 0.3) & (F.size("terms") > 0)).withColumn("n_on", F.sum(F.col("on_topic").cast("int")).over(q))
     kept = on.where((F.size("terms") == 0) | (F.col("n_on") < 3) | F.col("on_topic"))
     n = F.row_number().over(q.orderBy(*fact_order()))
     room = F.when((F.size("terms") > 0) & (F.col("n_on") < 3), F.least(F.lit(6), F.lit(most))).otherwise(F.lit(most))
-    return kept.withColumn("n", n).where(F.col("n") <= room).drop("terms", "meets", "named")
+    return kept.withColumn("n", n).where(F.col("n") <= room).drop("terms", "meets", "named", "_body")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pressloom.functions.text import squeeze
+from pressloom.functions.text import squeeze, strip
 
 #: Fixed: file extensions of each kind of source.
 SOURCE_TYPES = {
@@ -178,7 +178,7 @@ def clean_ocr(text: Column) -> Column:
     plain = F.regexp_replace(text, "[‌­]", "")
     lines = F.transform(F.split(plain, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " ")))
     kept = F.filter(lines, lambda x: ~x.rlike(r"^[-=_*~|. ]+$") & ~x.rlike(r"^[^\p{L}\p{N}]$"))
-    return F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
 
 
 _PUNCT = re.compile(r"[.·,;:!?'\"()\[\]{}<>/\\|_*`~‘’“”-]+")

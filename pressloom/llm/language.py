@@ -76,7 +76,7 @@ def fit(texts: list[str], size: int = DICTIONARY) -> dict[tuple[str, str], bytes
         for a, b in sentences(text):
             s = text[a:b]
             kind = script(s)
-            if kind is None or len(s) < 20:
+            if kind is None or len(s) < (20 if kind == "latn" else 4):
                 continue
             lang = _HOME.get(kind) or _seeded(s)
             if lang is None or room[lang, kind] <= 0:
@@ -125,7 +125,8 @@ class Classifier:
                 groups[kind].append(body)
         if not units:
             return []
-        whole = {kind: self.smallest(" ".join(bodies), None) for kind, bodies in groups.items()}
+        # a script without a dictionary goes to the one language that is written in it
+        whole = {kind: self.smallest(" ".join(bodies), None) if self.encoders[kind] else (_HOME.get(kind), 0.0) for kind, bodies in groups.items()}
         for u in units:
             lang, margin = whole[u[2]]
             if len(groups[u[2]]) > 1 and len(self.encoders[u[2]]) > 1 and len(u[3]) >= 8:

@@ -116,16 +116,17 @@ def packed(docs: DataFrame, doc_id: str, text: str, capacity: int = CAPACITY, pa
     is one piece. Null and empty texts have no row. Repeated rows are items of their own. A
     null id is an item too. An empty table gives no rows. Other columns are not read.
     """
-    items = cut_lineage(sized(docs, doc_id, text, path))
+    # the row number tells repeated rows apart
+    items = cut_lineage(sized(docs, doc_id, text, path).withColumn("row", F.monotonically_increasing_id()))
     kind = items.schema["doc_id"].dataType
-    cut = items.select("doc_id", "n_tokens", F.posexplode(F.sequence(F.lit(0), ((F.col("n_tokens") - 1) / capacity).cast("bigint"))).alias("piece", "k")).select(
-        "doc_id", "piece", (F.col("k") * capacity).alias("start"), F.least(F.lit(capacity).cast("bigint"), F.col("n_tokens") - F.col("k") * capacity).alias("size")
+    cut = items.select("doc_id", "row", "n_tokens", F.posexplode(F.sequence(F.lit(0), ((F.col("n_tokens") - 1) / capacity).cast("bigint"))).alias("piece", "k")).select(
+        "doc_id", "row", "piece", (F.col("k") * capacity).alias("start"), F.least(F.lit(capacity).cast("bigint"), F.col("n_tokens") - F.col("k") * capacity).alias("size")
     )
     total = items.agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).first()
     windows = max(1, -(-(total.t or 0) // (capacity * WINDOW_CONTAINERS)), -(-total.n // WINDOW_ITEMS))
-    rows = cut.withColumn("window", F.when(F.col("size") == capacity, F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id", "piece", "size"), F.lit(windows))).cast("bigint"))
-    whole = rows.where("window = -1").select("doc_id", "piece", "start", F.col("size").alias("n_tokens"), F.concat_ws("-", F.lit("f"), F.col("doc_id").cast("string"), F.col("piece").cast("string")).alias("container_id"))
-    rest = rows.where("window >= 0").select("doc_id", "piece", "start", "size", "window").repartition(min(windows, partitions(docs.sparkSession)), "window").sortWithinPartitions("window", F.desc("size"), "doc_id", "piece")
+    rows = cut.withColumn("window", F.when(F.col("size") == capacity, F.lit(-1)).otherwise(F.pmod(F.xxhash64("row", "piece"), F.lit(windows))).cast("bigint"))
+    whole = rows.where("window = -1").select("doc_id", "piece", "start", F.col("size").alias("n_tokens"), F.concat_ws("-", F.lit("f"), F.col("row").cast("string"), F.col("piece").cast("string")).alias("container_id"))
+    rest = rows.where("window >= 0").select("doc_id", "piece", "start", "size", "window", "row").repartition(min(windows, partitions(docs.sparkSession)), "window").sortWithinPartitions("window", F.desc("size"), "row", "piece")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

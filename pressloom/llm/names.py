@@ -34,7 +34,7 @@ FIELDS = "power minerals dairy fisheries housing irrigation textile transport de
 #: Fixed translations and short forms of such words.
 WORDS = {
     "ltd": "limited", "corp": "corporation", "corpn": "corporation", "co": "company", "bd": "board", "brd": "board", "agy": "agency", "auth": "authority", "fedn": "federation", "fed": "federation", "soc": "society", "tr": "trust", "trst": "trust", "dept": "department", "assn": "association", "pwr": "power", "min": "minerals", "hsg": "housing", "tex": "textile", "irrig": "irrigation", "irr": "irrigation", "fish": "fisheries", "dev": "development", "devp": "development", "devt": "development", "socy": "society", "tpt": "transport", "edn": "education", "edu": "education", "educ": "education", "trans": "transport", "transp": "transport", "dy": "dairy", "agri": "agriculture", "fndn": "foundation", "inst": "institute",
-    "బోర్డు": "board", "ట్రస్టు": "trust", "ట్రస్ట్": "trust", "లిమిటెడ్": "limited", "కార్పొరేషన్": "corporation", "సొసైటీ": "society", "ఏజెన్సీ": "agency", "అథారిటీ": "authority", "ఫెడరేషన్": "federation", "సమాఖ్య": "federation", "విద్యుత్": "power", "ఖనిజ": "minerals", "డెయిరీ": "dairy", "పాడి": "dairy", "పాల": "dairy", "మత్స్య": "fisheries", "మత్స్యకార": "fisheries", "గృహ": "housing", "నీటిపారుదల": "irrigation", "చేనేత": "textile", "జౌళి": "textile", "వస్త్ర": "textile", "రవాణా": "transport", "అభివృద్ధి": "development", "విద్య": "education", "విద్యా": "education", "నిర్మాణ": "",
+    "బోర్డు": "board", "ట్రస్టు": "trust", "ట్రస్ట్": "trust", "లిమిటెడ్": "limited", "కార్పొరేషన్": "corporation", "సొసైటీ": "society", "ఏజెన్సీ": "agency", "అథారిటీ": "authority", "ఫెడరేషన్": "federation", "సమాఖ్య": "federation", "విద్యుత్": "power", "ఖనిజ": "minerals", "డెయిరీ": "dairy", "పాడి": "dairy", "పాల": "dairy", "మత్స్య": "fisheries", "మత్స్యకార": "fisheries", "గృహ": "housing", "నీటిపారుదల": "irrigation", "చేనేత": "textile", "జౌళి": "textile", "వస్త్ర": "textile", "రవాణా": "transport", "అభివృద్ధి": "development", "విద్య": "education", "విద్యా": "education", "నిర్మాణ": "", "ప్రాధికార": "authority", "ప్రాధికారసంస్థ": "authority", "సంస్థ": "",
     "बोर्ड": "board", "ट्रस्ट": "trust", "न्यास": "trust", "लिमिटेड": "limited", "निगम": "corporation", "सोसायटी": "society", "समिति": "society", "एजेंसी": "agency", "प्राधिकरण": "authority", "महासंघ": "federation", "संघ": "federation", "विद्युत": "power", "बिजली": "power", "खनिज": "minerals", "डेयरी": "dairy", "दुग्ध": "dairy", "मत्स्य": "fisheries", "आवास": "housing", "गृह": "housing", "निर्माण": "", "सिंचाई": "irrigation", "वस्त्र": "textile", "परिवहन": "transport", "विकास": "development", "शिक्षा": "education", "the": "", "of": "", "and": "", "for": "",
 }
 
@@ -83,8 +83,13 @@ def skeleton(word: str) -> str:
 _SPLIT = re.compile(r"[\s.,()\-–/&]+")
 
 
-def person(name: str) -> tuple[str, list[str]]:
-    """(kind, tokens): kind is full, initial, single or none; tokens sorted, initials first."""
+def literal(word: str) -> str:
+    """A word as it is typed, in Latin letters; typos may look like long vowels."""
+    return re.sub(r"[^a-z]", "", latin(word.lower()).lower())
+
+
+def person(name: str, reading=skeleton) -> tuple[str, list[str]]:
+    """(kind, tokens): kind is full, initial, single or none; tokens in their order."""
     tokens = []
     for raw in _SPLIT.split(unicodedata.normalize("NFKC", name)):
         low = raw.lower()
@@ -92,7 +97,7 @@ def person(name: str) -> tuple[str, list[str]]:
             continue
         if len(raw) == 1 and raw.isascii():
             tokens.append(low)
-        elif s := skeleton(raw):
+        elif s := reading(raw):
             tokens.append(s)
     long_ = [t for t in tokens if len(t) > 1]
     if not tokens:
@@ -221,7 +226,7 @@ def person_keys(tokens: list[str]) -> set[str]:
     return keys
 
 
-_FORM = "entity_id string, type string, own boolean, form string, kind string, tokens array<string>"
+_FORM = "entity_id string, type string, own boolean, form string, kind string, tokens array<string>, typed array<string>"
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,18 +239,19 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kind, tokens = (person if t == PERSON else organization)(spelling)
                 if tokens and tokens[0]:
                     shown = " ".join(sorted(tokens)) if t == PERSON else " ".join(tokens[:3])
-                    rows.append((e, t, k == 0, f"{t[0]}|{kind}|{shown}", kind, tokens))
-        cols = list(zip(*rows)) or [()] * 6
-        types = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["entity_id", "type", "own", "form", "kind", "tokens"])
+                    typed = person(spelling, literal)[1] if t == PERSON else tokens
+                    rows.append((e, t, k == 0, f"{t[0]}|{kind}|{shown}", kind, tokens, typed))
+        cols = list(zip(*rows)) or [()] * 7
+        types = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["entity_id", "type", "own", "form", "kind", "tokens", "typed"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for form, t, tokens in zip(*(b.column(i).to_pylist() for i in range(3))):
+        for form, t, tokens, typed in zip(*(b.column(i).to_pylist() for i in range(4))):
             if t == PERSON:
-                keys = person_keys(tokens)
+                keys = person_keys(tokens) | {f"t{k}" for k in person_keys(typed)}
             else:
                 place, field, kind = tokens[:3]
                 keys = {f"o {x} {field} {kind}" for x in _deletes(place)}
@@ -257,10 +263,10 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: tuple[list, list] = ([], [])
-        for x, y, tx, ty in zip(*(b.column(i).to_pylist() for i in range(4))):
+        for x, y, tx, ty, lx, ly in zip(*(b.column(i).to_pylist() for i in range(6))):
             if x[0] == "P":
                 joined = any(re.sub(r"(.)\1+", r"\1", "".join(p)) == re.sub(r"(.)\1+", r"\1", "".join(q)) for p in (tx, tx[::-1], tx[1:] + tx[:1], tx[-1:] + tx[:-1]) for q in (ty,))
-                ok = same(tx, ty) or joined
+                ok = same(tx, ty) or same(lx, ly) or joined
             else:
                 ok = tx[1:3] == ty[1:3] and distance(tx[0], ty[0], 2) <= (2 if min(len(tx[0]), len(ty[0])) >= 10 else 1)
             if ok:
@@ -290,7 +296,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         for letters in {"".join(firsts), *(x for x in firsts)}:
                             rows += [(comp, f"i{0 if v == a else 1} {v} {letters}", False, 0) for v in _deletes(a)]
                         for x in rest:
-                            if len(x) > 3:
+                            if len(x) > 2:
                                 rows += [(comp, f"n {a} {x[:k]}", False, 0) for k in range(3, len(x))]
                                 rows.append((comp, f"d {a} {x[:2]}", False, 0))
                 for x in long_:  # a nickname looks for the name it is short for
@@ -346,13 +352,12 @@ def resolved(entities: DataFrame, entity_id: str, kind: str, name: str, aliases:
         F.col("type").isin(PERSON, ORGANIZATION) & F.col("entity_id").isNotNull()
     )
     forms = cut_lineage(rows.mapInArrow(_forms, _FORM).distinct())
-    full = forms.where("kind = 'full' or (type = 'Person' and kind = 'single' and length(tokens[0]) >= 9)").select("form", "type", "tokens").distinct()
-    one = full.groupBy("form", "type").agg(F.min("tokens").alias("tokens"))
-    keys = one.select("form", "type", "tokens").mapInArrow(_keys, "key string, form string").distinct()
+    full = forms.where("kind = 'full' or (type = 'Person' and kind = 'single' and length(tokens[0]) >= 9)").select("form", "type", "tokens", "typed").distinct()
+    keys = full.select("form", "type", "tokens", "typed").mapInArrow(_keys, "key string, form string").distinct()
     near = keys.select("key", F.col("form").alias("x")).join(keys.select("key", F.col("form").alias("y")), "key").where("x < y").select("x", "y").distinct()
-    tokens = one.select("form", "tokens")
-    pairs = near.join(tokens.select(F.col("form").alias("x"), F.col("tokens").alias("tx")), "x").join(tokens.select(F.col("form").alias("y"), F.col("tokens").alias("ty")), "y")
-    alike = pairs.select("x", "y", "tx", "ty").mapInArrow(_verify, "x string, y string")
+    spelled = lambda c: full.select(F.col("form").alias(c), F.col("tokens").alias(f"t{c}"), F.col("typed").alias(f"l{c}"))
+    pairs = near.join(spelled("x"), "x").join(spelled("y"), "y")
+    alike = pairs.select("x", "y", "tx", "ty", "lx", "ly").mapInArrow(_verify, "x string, y string").distinct()
     # forms of initials and acronyms bring together only the rows that are written so
     held = forms.where("kind = 'full' or (own and kind in ('initial', 'acronym')) or (type = 'Person' and kind = 'single' and length(tokens[0]) >= 9)")
     edges = held.select(F.col("entity_id").alias("src"), F.col("form").alias("dst")).unionByName(alike.select(F.col("x").alias("src"), F.col("y").alias("dst")))

@@ -240,7 +240,8 @@ def repair_truncated_json(text: str | None) -> str | None:
             quoted = True
         elif c in "{[":
             stack.append("}" if c == "{" else "]")
-            safe.append((i + 1, tuple(stack)))
+            if c == "[":  # an empty list is an element, an empty object would be an invented one
+                safe.append((i + 1, tuple(stack)))
         elif c in "}]":
             if not stack or stack.pop() != c:
                 return None

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.functions import scalars as S
+from pressloom.operators import extraction as X
 from pressloom.operators import graph as G
 from pressloom.operators.components import connected_components
 from pressloom.sources.tables import table
@@ -127,7 +128,18 @@ def timeline(spark, d) -> DataFrame:
     return G.timeline(_nodes(spark, d), _edges(spark, d), table(spark, d, "press_meets"), _seeds(spark, d))
 
 
+def resolved_exactly(spark, d) -> DataFrame:
+    r = X.resolve(table(spark, d, "entities", "entity_id", "type", "name", "mention_count"))
+    return r.groupBy("display").agg(F.count("*").alias("n"))
+
+
+def extraction_pieces(spark, d) -> DataFrame:
+    p = X.pieces(table(spark, d, "chunks", "chunk_id", "text").distinct())
+    return p.select("chunk_id", "piece_id", "content_hash")
+
+
 QUERIES = {
+    "resolve_entities": resolved_exactly, "extraction_pieces": extraction_pieces,
     "entity_upsert": merged_entities, "relation_collapse": collapsed_relations, "evidence_enriched": enriched_evidence, "structural_meets": structural_meets, "structural_edges": structural_edges, "precedes_chain": precedes_chain, "ontology_valid": ontology_valid,
     "ontology_rejects": ontology_rejects, "undirected_projection": undirected_projection, "graph_describe": graph_describe, "entity_resolution_cc": graph_components, "communities": communities, "community_modularity": community_modularity, "community_brief": community_briefs,
     "find_entity": find_entity, "neighbors_1hop": neighbours_one, "neighbors_2hop": neighbours_two, "neighbors_filtered": neighbours_mentions, "shortest_paths": shortest_paths, "timeline": timeline,

@@ -36,9 +36,18 @@ def _long(kind: str, key: str, column: str, name: str) -> str:
     return f"SELECT '{kind}' AS item_kind, {key} AS item_id FROM {name} WHERE length({trimmed}) > 4000"
 
 
+_WORDS = f"list_filter(string_split_regex({{}}, '{SPACE_RE2}+'), lambda x: x <> '')"
+_LETTERS = rf"regexp_replace(lower({{}}), '[^\p{{{{L}}}}\p{{{{M}}}}\p{{{{N}}}}{SPACE_RE2[1:-1].replace('{', '{{').replace('}', '}}')}]+', '', 'g')"
+
+
+def _grams(key: str, words: str, name: str, n: int) -> str:
+    return f"SELECT DISTINCT {key}, array_to_string(w[i:i+{n - 1}], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - {n - 2})) AS i FROM (SELECT {key}, {words} AS w FROM {name}))"
+
+
 def oracle_sql() -> dict:
+    plain = lambda c: _WORDS.replace("{}", _LETTERS.format(c))
     return {
-        "p1_found": names.found,
-        "p1_groups": names.groups,
         "p2_found": f"SELECT DISTINCT * FROM ({_long('segment', 'segment_id', 'text_original', 'segments')} UNION ALL {_long('chunk', 'chunk_id', 'text', 'chunks')})",
+        "p6_found": f"WITH s AS ({_grams('chunk_id', _WORDS.replace('{}', 'lower(text)'), 'chunks', 3)}), n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1), o AS (SELECT a.chunk_id AS x, b.chunk_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2) SELECT x AS chunk_id_a, y AS chunk_id_b FROM o JOIN n p ON x = p.chunk_id JOIN n q ON y = q.chunk_id WHERE o >= 0.6 * (p.n + q.n - o)",
+        "p9_found": f"WITH d AS ({_grams('doc_id', plain('text'), 'documents', 12)}), e AS ({_grams('item_id', plain('passage'), 'eval_items', 12)}) SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)",
     }

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.llm.sentences import sentences
+from pressloom.session import spread
 from pressloom.sources.tables import table
 
 #: Records sampled to fit the dictionaries, and bytes of each dictionary.
@@ -192,7 +193,7 @@ def languages(df: DataFrame, item_id: str, text: str, label: str | None = None,
             )
 
     out = f"item_id {kind}, label string, language string, confidence double, parts array<struct<start:int,end:int,language:string,confidence:double>>"
-    return rows.mapInArrow(run, out)
+    return spread(rows).mapInArrow(run, out)
 
 
 def _chunks(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pressloom.session import cut_lineage, partitions
+from pressloom.session import cut_lineage, partitions, spread
 from pressloom.sources.tables import table
 
 GRAM, SIMILAR = 5, 0.8
@@ -80,7 +80,7 @@ def classes(df: DataFrame, item_id: str, text: str, gram: int) -> DataFrame:
 
 
 def _source(df: DataFrame, item_id: str, text: str) -> DataFrame:
-    return df.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("item_id is not null and text is not null")
+    return spread(df.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("item_id is not null and text is not null"))
 
 
 def _grams(df: DataFrame, item_id: str, text: str, gram: int) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressloom.session import cut_lineage, partitions
+from pressloom.session import cut_lineage, partitions, spread
 from pressloom.sources.tables import table
 
 CAPACITY = 4096
@@ -106,7 +106,7 @@ def sized(docs: DataFrame, doc_id: str, text: str, path: str = TOKENIZER) -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null and text <> ''")
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint").where("n_tokens > 0")
+    return spread(rows).mapInArrow(run, f"doc_id {kind}, n_tokens bigint").where("n_tokens > 0")
 
 
 def packed(docs: DataFrame, doc_id: str, text: str, capacity: int = CAPACITY, path: str = TOKENIZER) -> DataFrame:

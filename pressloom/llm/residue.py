@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressloom.session import cut_lineage
+from pressloom.session import cut_lineage, spread
 from pressloom.sources.tables import table
 
 #: Longest message in words; longer documents are ordinary records unless they repeat themselves.
@@ -217,7 +217,7 @@ def residue(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 ["doc_id", "slot", "message", "path"],
             )
 
-    seen = base.mapInArrow(look, f"doc_id {kind}, slot string, message string, path string")
+    seen = spread(base).mapInArrow(look, f"doc_id {kind}, slot string, message string, path string")
     return _judged(cut_lineage(seen))  # read four times below
 
 

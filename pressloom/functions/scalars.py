@@ -37,25 +37,25 @@ WORD_RE2 = r"[\p{L}\p{N}_\x{0C00}-\x{0C7F}\x{0900}-\x{097F}]+"
 
 def count_chars(text: Column, chars: str) -> Column:
     """How many characters of a class a text has."""
-    return F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]", ""))
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]+", ""))
 
 
 def detect_language(text: Column) -> Column:
     """te, hi or en by the script of most letters; mixed where a second script has a quarter
     of them or none has half; unknown without letters. Null stays null."""
-    te, hi, en = count_chars(text, "ఀ-౿"), count_chars(text, "ऀ-ॿ"), count_chars(text, "A-Za-z")
-    n = (te + hi + en).cast("double")
-    top = F.greatest(te, hi, en)
-    second = te + hi + en - top - F.least(te, hi, en)
-    return (
-        F.when(text.isNull(), None)
-        .when(n == 0, "unknown")
-        .when(second / n >= 0.25, "mixed")
-        .when(top / n < 0.5, "mixed")
-        .when(te == top, "te")
-        .when(hi == top, "hi")
-        .otherwise("en")
-    )
+    counts = F.struct(*[count_chars(text, c).alias(k) for k, c in (("te", "ఀ-౿"), ("hi", "ऀ-ॿ"), ("en", "A-Za-z"))])
+
+    def decide(c: Column) -> Column:
+        te, hi, en = c["te"], c["hi"], c["en"]
+        n = (te + hi + en).cast("double")
+        top = F.greatest(te, hi, en)
+        second = te + hi + en - top - F.least(te, hi, en)
+        return (
+            F.when(n == 0, "unknown").when(second / n >= 0.25, "mixed").when(top / n < 0.5, "mixed").when(te == top, "te").when(hi == top, "hi").otherwise("en")
+        )
+
+    # an array of one binds the counts, so that they are taken once
+    return F.when(text.isNotNull(), F.get(F.transform(F.array(counts), decide), F.lit(0)))
 
 
 def source_type(path: Column) -> Column:

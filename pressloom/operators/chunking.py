@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pressloom.functions import scalars as S
 from pressloom.functions.text import content_hash
+from pressloom.session import spread
 
 TARGET, OVERLAP = 1000, 120
 #: Fixed: strength of a heading, a blank line and a sentence end.
@@ -63,7 +64,7 @@ def passages(df: DataFrame, item_id: str, text: str, target: int = TARGET, overl
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(order, pa.int32()), pa.array(out, pa.string())], ["item_id", "idx", "text"])
 
     rows = df.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("text is not null")
-    return rows.mapInArrow(run, f"item_id {kind}, idx int, text string")
+    return spread(rows).mapInArrow(run, f"item_id {kind}, idx int, text string")
 
 
 def segment_passages(segments: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:

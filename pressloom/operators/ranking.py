@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressloom.functions import scalars as S
+from pressloom.session import cut_lineage, partitions
 
 RRF_K, OVERFETCH, PER_FILE = 60, 4, 2
 K1, B = 1.2, 0.75
@@ -34,15 +35,18 @@ def ranked(df: DataFrame, k: int, *order: Column, by: str = "qid") -> DataFrame:
 
 def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
     """(term, chunk_id, tf, dl): the inverted index of a table with chunk_id, once per id."""
-    once = chunks.groupBy("chunk_id").agg(F.min(text).alias("text")).where("text is not null")
+    # a fixed number of partitions, as few bytes of text are much work
+    rows = chunks.select("chunk_id", F.col(text).alias("text")).repartition(partitions(chunks.sparkSession), "chunk_id")
+    once = rows.groupBy("chunk_id").agg(F.min("text").alias("text")).where("text is not null")
     terms = once.select("chunk_id", S.words(F.col("text")).alias("ws")).withColumn("dl", F.size("ws")).where("dl > 0")
     return terms.select("chunk_id", "dl", F.explode("ws").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
 
 
 def bm25(index: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """(qid, chunk_id, score, rank): the k best chunks of each question (qid, q) by BM25 over
-    its distinct terms. Only postings of asked terms are scored; the asked terms decide by
-    their measured size whether they are broadcast."""
+    its distinct terms. The index is written once and serves the statistics, the document
+    frequencies and the scores; only postings of asked terms are scored."""
+    index = cut_lineage(index)
     stats = index.groupBy("chunk_id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     asked = questions.select("qid", F.explode(S.query_terms(F.col("q"))).alias("term"))
     wanted = index.join(asked.select("term").distinct(), "term", "left_semi")

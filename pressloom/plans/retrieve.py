@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pressloom.operators import ranking as R
 from pressloom.operators.filters import Filters
+from pressloom.session import partitions
 
 FIELDS = ("chunk_id", "text", "citation", "source_type", "source_file", "content_hash", "press_meet_id", "date", "language")
 
@@ -20,7 +21,7 @@ def passages(
     collapsed later. Without vectors the lexical leg ranks alone. Repeated chunk rows count
     once; chunks without text are found by no leg.
     """
-    once = filters.apply(chunks).select(*FIELDS).dropDuplicates(["chunk_id"])
+    once = filters.apply(chunks).select(*FIELDS).repartition(partitions(chunks.sparkSession), "chunk_id").dropDuplicates(["chunk_id"])
     reach = k * R.OVERFETCH
     legs = {"keyword": (R.bm25(R.postings(once), questions, reach), weights[1])}
     if vectors is not None and question_vectors is not None:

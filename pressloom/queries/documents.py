@@ -9,6 +9,7 @@ from pressloom.functions import scalars as S
 from pressloom.functions.text import SPACE_RE2, content_hash
 from pressloom.operators import chunking as D
 from pressloom.operators.filters import Filters, glob
+from pressloom.session import spread
 from pressloom.sources import files as A
 from pressloom.sources.tables import table
 
@@ -18,7 +19,7 @@ def source_types(spark, d) -> DataFrame:
 
 
 def detect_language(spark, d) -> DataFrame:
-    c = table(spark, d, "chunks", "text", "language")
+    c = spread(table(spark, d, "chunks", "text", "language"))
     return c.groupBy(S.detect_language(F.col("text")).alias("detected"), "language").agg(F.count("*").alias("n"))
 
 

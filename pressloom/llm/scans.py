@@ -10,7 +10,8 @@ occurs as no more often than misreading explains does not count as evidence for
 
 Corpus statistics are counted over all texts, pre-aggregated in each partition. Only words
 and pairs above a fixed share of the corpus are sent to the executors, so their number has
-a bound that does not depend on the data.
+a bound that does not depend on the data. Every counted word is looked up once for what it
+may be a misreading of; those for which there is something are sent as well.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 from math import log
 
 import pyarrow as pa
@@ -30,10 +32,10 @@ from pressloom.sources.tables import table
 
 #: Words and pairs rarer than one in so many are not in the language model.
 SHARE = 200_000
-#: Words rarer than one in so many are not what a misreading is corrected to.
-CLEAN = 50_000
 #: How much more frequent a word must be than its misreading.
 RATIO = 12
+#: Confusions undone in a word.
+MOST = 3
 #: Probability of an error in a word, of any one unknown word, and weight of word pairs.
 ERROR, UNKNOWN, PAIRS = 0.01, 2e-5, 0.7
 
@@ -74,38 +76,64 @@ _SANE = re.compile(r"[A-Za-z0-9†|'’ﬀ-ﬄ-]+$|[ఀ-౿0-9|'‌‍-]+$|[ऀ-
 
 class Model:
     """Word and pair frequencies, the confusions with their probabilities, and an index from
-    every misread form with one or two confusions to the clean words it may stand for. Clean
-    words have a share of the corpus of at least one in CLEAN, which bounds the index."""
+    misread forms to the frequent words they may stand for. Forms that are not in the index
+    are searched for by learn."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], total: int, confusions: dict[tuple[str, str], float]) -> None:
+    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], total: int, confusions: dict[tuple[str, str], float], index: dict[str, list[tuple[str, float]]] | None = None) -> None:
         self.words, self.pairs, self.total = words, pairs, max(total, 1)
         self.confusions = confusions
-        forms: dict[str, list[tuple[str, float]]] = defaultdict(list)
-        for (a, b), p in confusions.items():
-            forms[b].append((a, log(p)))
-        self.index: dict[str, list[tuple[str, float]]] = {}
-        least = max(RATIO, self.total / CLEAN)
-        for v, n in words.items():
-            if n >= least and len(v) >= 2 and _SANE.match(v):
-                for w, s in self._misread(v, forms).items():
-                    if len(w) >= 3 and n >= RATIO * max(1, words.get(w, 0)):
-                        self.index.setdefault(w, []).append((v, s))
-
-    @staticmethod
-    def _misread(v: str, forms: dict[str, list[tuple[str, float]]]) -> dict[str, float]:
-        """Forms of a word with one or two confusions, and their log probability."""
-        spots = [(i, len(b), a, p) for b, options in forms.items() for i in _places(v, b) for a, p in options]
-        out: dict[str, float] = {}
-        for k, (i, n, a, p) in enumerate(spots):
-            w = v[:i] + a + v[i + n :]
-            out[w] = max(out.get(w, -99.0), p)
-            for j, m, c, q in spots[:k]:
-                if j + m <= i or i + n <= j:
-                    (x, xn, xa), (y, yn, ya) = sorted([(i, n, a), (j, m, c)])
-                    w2 = v[:x] + xa + v[x + xn : y] + ya + v[y + yn :]
-                    out[w2] = max(out.get(w2, -99.0), p + q)
-        out.pop(v, None)
-        return out
+        self.index = index if index is not None else {}
+        self.asked: set[str] = set()
+        self.rules: dict[str, list[tuple[str, str, int, float]]] = defaultdict(list)  # by first character
+        for (a, b, k), p in _chains(confusions).items():
+            self.rules[a[0]].append((a, b, k, p))
+
+    @cached_property
+    def clean(self) -> dict[str, int]:
+        """Words a misreading may stand for, with their counts."""
+        return {v: n for v, n in self.words.items() if n >= RATIO and len(v) >= 2 and _SANE.match(v)}
+
+    @cached_property
+    def most(self) -> int:
+        return max(self.clean.values(), default=0)
+
+    @cached_property
+    def starts(self) -> set[str]:
+        return {v[:i] for v in self.clean for i in range(len(v) + 1)}
+
+    def search(self, w: str) -> list[tuple[str, float]]:
+        """(word, log channel) of all clean words from which up to MOST confusions lead to w."""
+        if len(w) < 3:
+            return []
+        spots = [(i, i + len(a), b, k, p) for i, c in enumerate(w) if c in self.rules for a, b, k, p in self.rules[c] if w.startswith(a, i)]
+        found: dict[str, float] = {}
+        need = RATIO * max(1, self.words.get(w, 0))
+        todo = [("", 0, 0, 0, 0.0)] if spots and need <= self.most else []
+        while todo:
+            head, at, first, used, s = todo.pop()
+            v = head + w[at:]
+            if used and v != w and self.clean.get(v, 0) >= need:
+                found[v] = max(found.get(v, -99.0), s)
+            for j in range(first, len(spots) if used < MOST else 0):
+                i, end, b, k, p = spots[j]
+                if i < at or used + k > MOST:
+                    continue
+                own = head + w[at:i]
+                if own not in self.starts:
+                    break
+                if own + b in self.starts:
+                    todo.append((own + b, end, j + 1, used + k, s + p))
+        return sorted(found.items())
+
+    def learn(self, tokens: list[str]) -> None:
+        """Words that were not counted as they are, such as joined ones, come into the index."""
+        if len(self.asked) > 200_000:
+            self.asked.clear()
+        for w in tokens:
+            if w not in self.asked and w not in self.index:
+                self.asked.add(w)
+                if options := self.search(w):
+                    self.index[w] = options
 
     def candidates(self, w: str) -> list[tuple[str, float]]:
         """(word, log channel) of the words w may be a misreading of."""
@@ -149,6 +177,28 @@ class Model:
         return out[::-1]
 
 
+def _chains(confusions: dict[tuple[str, str], float]) -> dict[tuple[str, str, int], float]:
+    """(misread form, what stood there, confusions) -> log probability: the confusions, and up
+    to MOST of them on one another's characters, as c1 for cl for d."""
+    layer = {(a, b): log(p) for (a, b), p in confusions.items()}
+    out = {(a, b, 1): p for (a, b), p in layer.items()}
+    for k in range(2, MOST + 1):
+        longer: dict[tuple[str, str], float] = {}
+        for (x, y), s in layer.items():
+            for (a, b), p in confusions.items():
+                for i in range(1 - len(a), len(y)):  # a is laid over y from i on
+                    end = i + len(a)
+                    if a[max(0, -i) : len(y) - i] != y[max(0, i) : max(0, end)]:
+                        continue
+                    left, right = a[: max(0, -i)], a[len(y) - i :]
+                    key = (left + x + right, y[: max(0, i)] + b + y[end:])
+                    if key[0] != key[1]:
+                        longer[key] = max(longer.get(key, -99.0), s + log(p))
+        layer = longer
+        out |= {(a, b, k): p for (a, b), p in layer.items()}
+    return out
+
+
 def _places(text: str, part: str) -> Iterator[int]:
     i = text.find(part)
     while i >= 0:
@@ -176,6 +226,7 @@ def repair(text: str | None, model: Model) -> tuple[str | None, list[str]]:
                 lines.append(x.rstrip())
     # broken words
     out: list[str] = []
+    joined: set[int] = set()
     i = 0
     while i < len(lines):
         line = lines[i]
@@ -198,15 +249,18 @@ def repair(text: str | None, model: Model) -> tuple[str | None, list[str]]:
                 kinds.add("hyphen")
                 line = line[: m.end(1)] + lines[nxt].lstrip()
             i = nxt
+            joined.add(len(out))
         out.append(line)
         i += 1
     # misread characters
     fixed = []
-    for line in out:
+    for at_line, line in enumerate(out):
         if not line.strip():
             fixed.append("")
             continue
         tokens = _TOKEN.findall(line)
+        if at_line in joined:
+            model.learn(tokens)
         best = model.decode(tokens) if any(t in model.index for t in tokens) else tokens
         if best != tokens:
             kinds.add("glyph")
@@ -295,7 +349,20 @@ def fit(texts: DataFrame) -> Model:
 
     seen = words.mapInArrow(confuse, "a string, b string, v string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"), F.countDistinct("v").alias("k"))
     learned = {(r.a, r.b): (r.n, r.k) for r in seen.where("k >= 3").collect()}  # pairs of characters
-    return Model(frequent, pair_counts, total, channel(frequent, learned))
+    confusions = channel(frequent, learned)
+    rules = sc.broadcast(confusions)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(shipped.value, {}, total, rules.value)
+        for b in batches:
+            rows = [(w, v, s) for w in b.column(0).to_pylist() for v, s in own.search(w)]
+            ws, vs, ss = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), pa.array(vs, pa.string()), pa.array(ss, pa.float64())], ["w", "v", "s"])
+
+    index: dict[str, list[tuple[str, float]]] = {}
+    for r in words.mapInArrow(look_up, "w string, v string, s double").collect():  # misread forms only
+        index.setdefault(r.w, []).append((r.v, r.s))
+    return Model(frequent, pair_counts, total, confusions, index)
 
 
 def channel(frequent: dict[str, int], learned: dict[tuple[str, str], tuple[int, int]]) -> dict[tuple[str, str], float]:
@@ -325,7 +392,7 @@ def repaired(df: DataFrame, item_id: str, text: str) -> DataFrame:
     kind = df.schema[item_id].dataType.simpleString()
     rows = df.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
     model = fit(rows.where("text is not null").select("text"))
-    shipped = df.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.total, model.confusions))
+    shipped = df.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.total, model.confusions, model.index))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shipped.value)

@@ -305,6 +305,32 @@ def test_scans(spark):
     assert scans.repaired(docs(spark, ODD).limit(0), "id", "body").count() == 0
 
 
+def test_scans_targets_and_confusions():
+    total = 4_000_000  # words of 1/200,000 of the corpus are targets, from RATIO times the form on
+    words = {"the": 300_000, "corridors": 25, "millenium": 30, "dome": 5000, "come": 400, "harbour": 24, "harbonr": 2, "tender": 23, "tendcr": 2}
+    model = scans.Model(words, {}, total, {(a, b): 0.2 for a, b in scans.CONFUSIONS.items()} | {("n", "u"): 0.1})
+    near = lambda w: [v for v, _ in model.search(w)]
+    assert near("corri0lors") == [] and near("corriclors") == ["corridors"] and near("corriclor5") == ["corridors"]
+    assert near("rniiieniurn") == [] and near("rnil1eniurn") == ["millenium"] and near("c0rric1ors") == ["corridors"]  # three confusions, and c1 for cl for d
+    assert near("harbonr") == ["harbour"] and near("tendcr") == [] and near("domc") == ["dome"]
+    # against trying all confusions thrice over
+    for w in ("corriclor5", "rnil1eniurn", "c0rric1or5", "c1omc", "clorne", "h0rb0nr", "corne", "c0rnc", "thc", "tcndcr"):
+        layer, want = {w}, set()
+        for _ in range(3):
+            layer = {x[:i] + b + x[i + len(a) :] for x in layer for a, b in model.confusions for i in scans._places(x, a)}
+            want |= {v for v in layer if v != w and words.get(v, 0) >= scans.RATIO * max(1, words.get(w, 0))}
+        assert set(near(w)) == want, w
+    # words that come about by joining are searched as well
+    text, noise = scans.repair("dome corric-\nlors", scans.Model(words, {("dome", "corridors"): 4000}, total, model.confusions))
+    assert (text, noise) == ("dome corridors", ["glyph", "hyphen"])
+
+
+def test_scans_rare_target(spark):
+    rows = [(i, "the water dues were shown " * 10) for i in range(14_000)] + [(20_000 + i, "the sluice gates") for i in range(13)] + [(30_000, "the slu1cc gates"), (30_001, "the sluicc gates")]
+    model = scans.fit(docs(spark, rows).select("body"))
+    assert model.words["sluice"] == 13 < model.total / 50_000 and [v for v, _ in model.candidates("sluicc")] == ["sluice"]
+
+
 # 1: names
 
 NAMES = [

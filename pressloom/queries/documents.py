@@ -76,10 +76,15 @@ def term_overlap(spark, d) -> DataFrame:
 
 
 def normalised_names(spark, d) -> DataFrame:
+    """ASCII names, which the SQL can normalise."""
     e = table(spark, d, "entities", "entity_id", "name").where(F.col("name").rlike(r"^[\x00-\x7f]*$"))
     return e.select("entity_id", S.normalise(F.col("name")).alias("name"))
 
 
+def normalised_names_all(spark, d) -> DataFrame:
+    return table(spark, d, "entities", "entity_id", "name").select("entity_id", S.normalise(F.col("name")).alias("name"))
+
+
 def split_pages(spark, d) -> DataFrame:
     s = table(spark, d, "segments", "segment_id", "text_original").where("text_original is not null").distinct()
     return s.select("segment_id", F.posexplode(A.split_pages(F.col("text_original"))).alias("page", "text")).select("segment_id", "page", F.length("text").alias("n"))
@@ -120,7 +125,15 @@ def halved(spark, d) -> DataFrame:
 
 
 def question_ngrams(spark, d) -> DataFrame:
-    q = table(spark, d, "eval_items", "item_id", "q").where(F.col("q").rlike(r"^[\x00-\x7f]*$"))
+    """N-grams of ASCII questions, which the SQL can normalise."""
+    return _ngrams(table(spark, d, "eval_items", "item_id", "q").where(F.col("q").rlike(r"^[\x00-\x7f]*$")))
+
+
+def question_ngrams_all(spark, d) -> DataFrame:
+    return _ngrams(table(spark, d, "eval_items", "item_id", "q"))
+
+
+def _ngrams(q: DataFrame) -> DataFrame:
     n = q.select("item_id", S.normalise(F.col("q")).alias("n"))
     return n.select("item_id", F.explode(D.ngrams(F.col("n"))).alias("s")).groupBy("item_id").agg(F.count("*").alias("n"), F.max(F.length("s.text")).alias("longest"))
 
@@ -132,9 +145,9 @@ def dates_checked(spark, d) -> DataFrame:
 
 QUERIES = {
     "source_types": source_types, "detect_language": detect_language, "content_hash_copies": content_hashes, "filter_passages": filter_passages, "filter_glob": filter_glob, "meet_of_path": iso_dates, "citation_labels": citations,
-    "tag_density": tag_densities, "token_estimate": token_estimates, "query_terms": query_terms, "latin_texts": latin_texts, "clip_texts": clipped, "jaccard_terms": term_overlap, "normalise_names": normalised_names, "split_pages": split_pages,
+    "tag_density": tag_densities, "token_estimate": token_estimates, "query_terms": query_terms, "latin_texts": latin_texts, "clip_texts": clipped, "jaccard_terms": term_overlap, "normalise_names": normalised_names, "normalise_names_all": normalised_names_all, "split_pages": split_pages,
     "repaired_pages": repaired_pages, "clean_ocr": cleaned_ocr, "chunk_by_chars": passages_by_chars, "segment_passages": segment_passages, "merge_spans": merged_spans, "select_chunks": select_plain, "select_chunks_capped": select_capped,
-    "halve_texts": halved, "question_ngrams": question_ngrams, "dates_checked": dates_checked,
+    "halve_texts": halved, "question_ngrams": question_ngrams, "question_ngrams_all": question_ngrams_all, "dates_checked": dates_checked,
 }
 
 _count = lambda c, k: f"(length({c}) - length(regexp_replace({c}, '[{k}]', '', 'g')))"

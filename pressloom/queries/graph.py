@@ -33,8 +33,17 @@ def _nodes(spark, d) -> DataFrame:
 
 
 def merged_entities(spark, d) -> DataFrame:
-    """Rows whose types and normalised ASCII names agree become one node."""
-    e = table(spark, d, "entities").where(F.col("name").rlike(r"^[\x00-\x7f]*$")).withColumn("seq", F.col("entity_id"))
+    """Rows whose types and normalised ASCII names agree become one node: what the SQL can normalise."""
+    return _merged(table(spark, d, "entities").where(F.col("name").rlike(r"^[\x00-\x7f]*$")))
+
+
+def merged_entities_all(spark, d) -> DataFrame:
+    """Rows whose types and normalised names agree become one node, whatever their script."""
+    return _merged(table(spark, d, "entities"))
+
+
+def _merged(entities: DataFrame) -> DataFrame:
+    e = entities.withColumn("seq", F.col("entity_id"))
     named = e.withColumn("entity_id", F.concat_ws(":", "type", S.normalise(F.col("name"))))
     m = G.merge_entities(named)
     return m.select("entity_id", "name", "type", F.size("aliases").alias("n_aliases"), "mention_count", F.size("press_meet_ids").alias("n_meets"), "first_date", "last_date", "structural")
@@ -140,7 +149,7 @@ def extraction_pieces(spark, d) -> DataFrame:
 
 QUERIES = {
     "resolve_entities": resolved_exactly, "extraction_pieces": extraction_pieces,
-    "entity_upsert": merged_entities, "relation_collapse": collapsed_relations, "evidence_enriched": enriched_evidence, "structural_meets": structural_meets, "structural_edges": structural_edges, "precedes_chain": precedes_chain, "ontology_valid": ontology_valid,
+    "entity_upsert": merged_entities, "entity_upsert_all": merged_entities_all, "relation_collapse": collapsed_relations, "evidence_enriched": enriched_evidence, "structural_meets": structural_meets, "structural_edges": structural_edges, "precedes_chain": precedes_chain, "ontology_valid": ontology_valid,
     "ontology_rejects": ontology_rejects, "undirected_projection": undirected_projection, "graph_describe": graph_describe, "entity_resolution_cc": graph_components, "communities": communities, "community_modularity": community_modularity, "community_brief": community_briefs,
     "find_entity": find_entity, "neighbors_1hop": neighbours_one, "neighbors_2hop": neighbours_two, "neighbors_filtered": neighbours_mentions, "shortest_paths": shortest_paths, "timeline": timeline,
 }

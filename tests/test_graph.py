@@ -8,7 +8,10 @@ from pressloom.operators import chunking as D
 from pressloom.operators import facts as J
 from pressloom.operators import graph as G
 from pressloom.operators.components import connected_components
+from pressloom.functions.scalars import normalise_name
 from pressloom.operators.filters import Filters
+from pressloom.queries import documents as documents_q
+from pressloom.queries import graph as graph_q
 
 EV = "struct<chunk_id:string,quote:string,source_file:string,citation:string,press_meet_id:string,date:string,source_type:string,publication:string,language:string,page:int,slide:int,video_start:double,video_end:double>"
 EDGE = f"source_id string, relation string, target_id string, weight int, structural boolean, press_meet_ids array<string>, first_date string, last_date string, evidence array<{EV}>"
@@ -53,6 +56,33 @@ def test_merge_entities_keeps_first_name(spark):
     assert (r.name, r.aliases, r.mention_count, r.press_meet_ids, r.first_date, r.last_date, r.structural) == ("A", ["x"], 5, ["1", "2"], "2024-01-01", "2024-05-01", True)
 
 
+def test_names_of_every_script_are_merged(spark, tmp_path):
+    rows = [("e1", "Sri Rama Rao", "Person", ["RR"], 2, ["1"], "2024-01-02", "2024-01-05", False), ("e2", "rama  rao.", "Person", ["Rao"], 3, ["2"], "2024-01-01", "2024-01-03", True)]
+    rows += [("e3", "శ్రీ రామారావు", "Person", ["రామా"], 1, ["1"], None, None, False), ("e4", "రామారావు,", "Person", None, 4, ["3"], "2024-02-01", "2024-02-01", False), ("e5", "श्री राम", "Person", [], 1, None, None, None, False), ("e6", "ＳＥＣＩ", "Organization", [], 1, [], None, None, False), ("e7", "seci", "Organization", [], 1, [], None, None, False), ("e8", "రామారావు", "Place", [], 1, [], None, None, False)]
+    spark.createDataFrame(rows, "entity_id string, name string, type string, aliases array<string>, mention_count int, press_meet_ids array<string>, first_date string, last_date string, structural boolean").write.parquet(f"{tmp_path}/entities.parquet")
+    want: dict = {}
+    for e, name, kind, aliases, n, meets, a, z, structural in rows:
+        r = want.setdefault(f"{kind}:{normalise_name(name)}", [name, kind, set(), 0, set(), [], [], False])
+        r[2].update(aliases or []), r[4].update(meets or []), r[5].append(a), r[6].append(z)
+        r[3], r[7] = r[3] + n, r[7] or structural
+    got = {r.entity_id: tuple(r)[1:] for r in graph_q.merged_entities_all(spark, str(tmp_path)).collect()}
+    least = lambda f, x: f([d for d in x if d], default=None)
+    assert got == {k: (r[0], r[1], len(r[2]), r[3], len(r[4]), least(min, r[5]), least(max, r[6]), r[7]) for k, r in want.items()}
+    assert len([k for k in got if not k.isascii()]) == 3 and len(got) == 5
+    assert {r.entity_id: r.name for r in documents_q.normalised_names_all(spark, str(tmp_path)).collect()} == {r[0]: normalise_name(r[1]) for r in rows}
+
+
+def test_ngrams_of_questions_in_every_script(spark, tmp_path):
+    rows = [("q1", "Who met SECI?"), ("q2", "రామారావు ఎవరిని కలిశారు ?"), ("q3", "बिजली किसने खरीदी")]
+    spark.createDataFrame(rows, "item_id string, q string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    want = {}
+    for i, q in rows:
+        w = normalise_name(q).split()
+        grams = [" ".join(w[j : j + k]) for k in range(1, 6) for j in range(len(w) - k + 1)]
+        want[i] = (len(grams), max(map(len, grams)))
+    assert {r.item_id: (r.n, r.longest) for r in documents_q.question_ngrams_all(spark, str(tmp_path)).collect()} == want
+
+
 def test_collapse_caps_distinct_chunks_and_drops_loose_ends(spark):
     e = edges(spark, ("a", "R", "b", 1, [ev("c1"), ev("c1"), ev("c2"), ev("c3", meet="2")]), ("a", "R", "zz", 1, [ev("c1")]))
     nodes = spark.createDataFrame([("a",), ("b",)], "entity_id string")

@@ -168,7 +168,7 @@ def neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 1, relations: lis
 def shortest_paths(edges: DataFrame, pairs: DataFrame, cutoff: int = 4, limit: int = 5) -> DataFrame:
     """(a, b, hops, path): the first ``limit`` simple paths of at most cutoff hops between each
     pair, shortest first. Walks that cannot reach the goal in the hops left are dropped by a
-    reverse search first, so hubs are not enumerated."""
+    reverse search first, so hubs are not enumerated; pairs that have ``limit`` paths go no further."""
     links = undirected(edges).select("u", "v")
     step = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     goal = pairs.select("b").distinct().select(F.col("b"), F.col("b").alias("node"), F.lit(0).alias("left"))
@@ -186,7 +186,8 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, cutoff: int = 4, limit: i
         near = cut_lineage(near)
         hit = near.where("node = b").select("a", "b", F.lit(d).alias("hops"), "path")
         done = hit if done is None else done.unionByName(hit)
-        walks = near.where("node <> b")
+        full = done.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= limit)
+        walks = near.where("node <> b").join(full, ["a", "b"], "left_anti")
     w = Window.partitionBy("a", "b").orderBy("hops", "path")
     return done.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit)
 

@@ -133,6 +133,13 @@ def shortest_paths(spark, d) -> DataFrame:
     return G.shortest_paths(_edges(spark, d), pairs, cutoff=2, limit=1).select("a", "b", "hops")
 
 
+def shortest_paths_all(spark, d) -> DataFrame:
+    """Paths between all pairs of press meets, with the operator's own cutoff and limit."""
+    meets = table(spark, d, "press_meets", "entity_id").distinct()
+    pairs = meets.select(F.col("entity_id").alias("a")).join(meets.select(F.col("entity_id").alias("b")), F.col("a") < F.col("b"))
+    return G.shortest_paths(_edges(spark, d), pairs).select("a", "b", "n", "hops", "path")
+
+
 def timeline(spark, d) -> DataFrame:
     return G.timeline(_nodes(spark, d), _edges(spark, d), table(spark, d, "press_meets"), _seeds(spark, d))
 
@@ -151,7 +158,7 @@ QUERIES = {
     "resolve_entities": resolved_exactly, "extraction_pieces": extraction_pieces,
     "entity_upsert": merged_entities, "entity_upsert_all": merged_entities_all, "relation_collapse": collapsed_relations, "evidence_enriched": enriched_evidence, "structural_meets": structural_meets, "structural_edges": structural_edges, "precedes_chain": precedes_chain, "ontology_valid": ontology_valid,
     "ontology_rejects": ontology_rejects, "undirected_projection": undirected_projection, "graph_describe": graph_describe, "entity_resolution_cc": graph_components, "communities": communities, "community_modularity": community_modularity, "community_brief": community_briefs,
-    "find_entity": find_entity, "neighbors_1hop": neighbours_one, "neighbors_2hop": neighbours_two, "neighbors_filtered": neighbours_mentions, "shortest_paths": shortest_paths, "timeline": timeline,
+    "find_entity": find_entity, "neighbors_1hop": neighbours_one, "neighbors_2hop": neighbours_two, "neighbors_filtered": neighbours_mentions, "shortest_paths": shortest_paths, "shortest_paths_all": shortest_paths_all, "timeline": timeline,
 }
 
 _NORM = r"""regexp_replace(trim(regexp_replace(lower(name), '[\s.,;:!?''"()\[\]{}<>/\\|_*`~-]+', ' ', 'g')), '^(?:(?:sri|shri|smt|mr|mrs|ms|dr|shree|sree)(?: |$))+', '')"""

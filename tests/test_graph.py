@@ -109,6 +109,32 @@ def test_neighbours_and_paths(spark):
     assert paths == [(2, ["a", "b", "c"]), (2, ["a", "d", "c"])]
 
 
+def test_paths_of_all_meets(spark, tmp_path):
+    r = random.Random(7)
+    meets = [f"PressMeet:{i}" for i in range(8)]
+    links = {(r.choice(meets[:6]), f"Person:{r.randrange(9)}") for _ in range(26)} | {("PressMeet:5", "Place:1"), ("Place:1", "Place:2"), ("Place:2", "Place:3"), ("PressMeet:6", "Place:3"), ("PressMeet:0", "PressMeet:1")}
+    edges(spark, *[(a, "R", b, 1, []) for a, b in sorted(links)]).write.parquet(f"{tmp_path}/edges.parquet")
+    spark.createDataFrame([(m,) for m in meets], "entity_id string").write.parquet(f"{tmp_path}/press_meets.parquet")
+    near: dict = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+
+    def walks(path, b):
+        if path[-1] == b:
+            yield path
+        elif len(path) <= 4:
+            for x in near.get(path[-1], set()) - set(path):
+                yield from walks([*path, x], b)
+
+    want = {(a, b): sorted(walks([a], b), key=lambda p: (len(p), p))[:5] for a in meets for b in meets if a < b}
+    got: dict = {}
+    for x in graph_q.shortest_paths_all(spark, str(tmp_path)).orderBy("a", "b", "n").collect():
+        assert x.hops == len(x.path) - 1
+        got.setdefault((x.a, x.b), []).append(x.path)
+    assert got == {k: v for k, v in want.items() if v}
+    assert len(got["PressMeet:5", "PressMeet:6"][0]) == 5 and ("PressMeet:0", "PressMeet:7") not in got and max(map(len, got.values())) == 5
+
+
 def test_communities_find_two_cliques(spark):
     rows = [(f"{s}{i}", f"{s}{j}", 5) for s in "ab" for i in range(5) for j in range(i + 1, 5)] + [("a0", "b0", 1)]
     links = spark.createDataFrame(rows, "u string, v string, weight int")

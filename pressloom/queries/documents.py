@@ -115,8 +115,15 @@ def select_plain(spark, d) -> DataFrame:
     return D.select_chunks(table(spark, d, "chunks", "chunk_id", "text", "content_hash", "source_file", "source_type"), cap=0)
 
 
+_WANTED = ["press_release", "news_clip", "video", "slide", "source_doc"]
+
+
 def select_capped(spark, d) -> DataFrame:
-    return D.select_chunks(table(spark, d, "chunks", "chunk_id", "text", "content_hash", "source_file", "source_type"), cap=3, wanted=["press_release", "news_clip", "video", "slide", "source_doc"])
+    return D.select_chunks(table(spark, d, "chunks", "chunk_id", "text", "content_hash", "source_file", "source_type"), cap=3, wanted=_WANTED)
+
+
+def select_capped_all(spark, d) -> DataFrame:
+    return D.select_chunks(table(spark, d, "chunks", "chunk_id", "text", "content_hash", "source_file", "source_type"), cap=D.FILE_CAP, wanted=_WANTED)
 
 
 def halved(spark, d) -> DataFrame:
@@ -146,7 +153,7 @@ def dates_checked(spark, d) -> DataFrame:
 QUERIES = {
     "source_types": source_types, "detect_language": detect_language, "content_hash_copies": content_hashes, "filter_passages": filter_passages, "filter_glob": filter_glob, "meet_of_path": iso_dates, "citation_labels": citations,
     "tag_density": tag_densities, "token_estimate": token_estimates, "query_terms": query_terms, "latin_texts": latin_texts, "clip_texts": clipped, "jaccard_terms": term_overlap, "normalise_names": normalised_names, "normalise_names_all": normalised_names_all, "split_pages": split_pages,
-    "repaired_pages": repaired_pages, "clean_ocr": cleaned_ocr, "chunk_by_chars": passages_by_chars, "segment_passages": segment_passages, "merge_spans": merged_spans, "select_chunks": select_plain, "select_chunks_capped": select_capped,
+    "repaired_pages": repaired_pages, "clean_ocr": cleaned_ocr, "chunk_by_chars": passages_by_chars, "segment_passages": segment_passages, "merge_spans": merged_spans, "select_chunks": select_plain, "select_chunks_capped": select_capped, "select_chunks_capped_all": select_capped_all,
     "halve_texts": halved, "question_ngrams": question_ngrams, "question_ngrams_all": question_ngrams_all, "dates_checked": dates_checked,
 }
 

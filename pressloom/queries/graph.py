@@ -50,8 +50,17 @@ def _merged(entities: DataFrame) -> DataFrame:
 
 
 def collapsed_relations(spark, d) -> DataFrame:
+    """With a cap low enough to be met in the tables, as in the SQL."""
+    return _collapsed(spark, d, cap=3)
+
+
+def collapsed_relations_all(spark, d) -> DataFrame:
+    return _collapsed(spark, d, cap=G.EVIDENCE_CAP)
+
+
+def _collapsed(spark, d, cap: int) -> DataFrame:
     a = G.assertions_of(_edges(spark, d))
-    c = G.collapse_relations(a, _nodes(spark, d), cap=3)
+    c = G.collapse_relations(a, _nodes(spark, d), cap=cap)
     return c.select(*G.KEY, "weight", F.array_join("press_meet_ids", ",").alias("meets"), "first_date", "last_date", F.coalesce(F.size("evidence"), F.lit(0)).alias("n_evidence"), F.get("evidence", F.lit(0))["chunk_id"].alias("first_chunk"))
 
 
@@ -156,7 +165,7 @@ def extraction_pieces(spark, d) -> DataFrame:
 
 QUERIES = {
     "resolve_entities": resolved_exactly, "extraction_pieces": extraction_pieces,
-    "entity_upsert": merged_entities, "entity_upsert_all": merged_entities_all, "relation_collapse": collapsed_relations, "evidence_enriched": enriched_evidence, "structural_meets": structural_meets, "structural_edges": structural_edges, "precedes_chain": precedes_chain, "ontology_valid": ontology_valid,
+    "entity_upsert": merged_entities, "entity_upsert_all": merged_entities_all, "relation_collapse": collapsed_relations, "relation_collapse_all": collapsed_relations_all, "evidence_enriched": enriched_evidence, "structural_meets": structural_meets, "structural_edges": structural_edges, "precedes_chain": precedes_chain, "ontology_valid": ontology_valid,
     "ontology_rejects": ontology_rejects, "undirected_projection": undirected_projection, "graph_describe": graph_describe, "entity_resolution_cc": graph_components, "communities": communities, "community_modularity": community_modularity, "community_brief": community_briefs,
     "find_entity": find_entity, "neighbors_1hop": neighbours_one, "neighbors_2hop": neighbours_two, "neighbors_filtered": neighbours_mentions, "shortest_paths": shortest_paths, "shortest_paths_all": shortest_paths_all, "timeline": timeline,
 }

@@ -135,6 +135,18 @@ def test_paths_of_all_meets(spark, tmp_path):
     assert len(got["PressMeet:5", "PressMeet:6"][0]) == 5 and ("PressMeet:0", "PressMeet:7") not in got and max(map(len, got.values())) == 5
 
 
+def test_production_caps(spark, tmp_path):
+    edges(spark, ("Person:a", "R", "Person:b", 1, [ev(f"c{i:02}") for i in range(70)]), ("Person:b", "R", "Person:a", 1, [ev(f"c{i}") for i in range(4)])).write.parquet(f"{tmp_path}/edges.parquet")
+    node = [(n, n, "Person", [], 1, []) for n in ("Person:a", "Person:b")]
+    spark.createDataFrame(node, "entity_id string, name string, type string, aliases array<string>, mention_count int, press_meet_ids array<string>").write.parquet(f"{tmp_path}/entities.parquet")
+    spark.createDataFrame([], "entity_id string, press_meet_title string, press_meet_id string").write.parquet(f"{tmp_path}/press_meets.parquet")
+    assert {r.source_id: r.n_evidence for r in graph_q.collapsed_relations_all(spark, str(tmp_path)).collect()} == {"Person:a": 64, "Person:b": 4}
+    rows = [(f"c{i:02}", "a long enough text " * 20 + str(i), str(i), "big.pdf", "source_doc") for i in range(65)]
+    spark.createDataFrame(rows, "chunk_id string, text string, content_hash string, source_file string, source_type string").write.parquet(f"{tmp_path}/chunks.parquet")
+    kept = documents_q.select_capped_all(spark, str(tmp_path)).where("skip is null").count()
+    assert kept == 60
+
+
 def test_communities_find_two_cliques(spark):
     rows = [(f"{s}{i}", f"{s}{j}", 5) for s in "ab" for i in range(5) for j in range(i + 1, 5)] + [("a0", "b0", 1)]
     links = spark.createDataFrame(rows, "u string, v string, weight int")

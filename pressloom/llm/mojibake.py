@@ -1,12 +1,18 @@
 """Problem 5: text that was read with the wrong character encoding.
 
-Adjacent characters are scored by the mutual information their classes have in the whole
-corpus (a class is a script with a kind of character, so the table has a fixed size). Runs
-whose pairs are improbable are isolated as maximum-scoring segments, and only inside them
-the inverse mappings are tried: the run is put back into bytes by the wrong encoding and
-read as UTF-8, again where it was done twice. A run that no mapping explains is still a
-case where it shows replacement characters, or consists of the accented letters and symbols
-that 8-bit Indic fonts and codes turn into. Accented or foreign words are neither.
+Every pair of adjacent characters is scored by its mutual information in the corpus. What a
+wrong reading leaves behind always stands together, so its pairs must not vouch for each
+other: the characters are counted over all text, the pairs only over text that no wrong
+reading explains (no sequence in it is valid UTF-8 under a wrong encoding). Pairs too rare
+to judge are judged by their classes. Runs whose pairs are improbable are isolated as
+maximum-scoring segments, and only inside them the inverse mappings are tried, again where
+it was done twice; the mapping whose result the corpus finds least improbable is taken, if
+it takes most of the improbability away. A run that no mapping explains is still a case
+where it shows replacement characters, or consists of the accented letters and symbols that
+8-bit Indic fonts and codes turn into. Accented or foreign words are neither.
+
+The counts are tables of fixed size: characters by code unit, pairs in two hashed rows of
+which the smaller count holds, so what is sent to the executors does not grow with the data.
 """
 
 from __future__ import annotations
@@ -14,7 +20,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +29,19 @@ from pyspark.sql import functions as F
 from pressloom.session import spread
 from pressloom.sources.tables import table
 
-#: Encodings that UTF-8 bytes are commonly read with by mistake.
+#: Encodings that UTF-8 bytes are commonly read with by mistake; those of two bytes a character apart.
 CODECS = ("cp1252", "latin-1", "cp1251", "cp437", "mac_roman", "cp850", "koi8_r", "cp1250", "cp1254", "cp866", "iso8859_15")
-#: Score of a pair without and with a foreign character, before mutual information.
-HOME_PAIR, FOREIGN_PAIR = -0.9, 1.0
-_N = 64
+WIDE = ("gb18030", "big5")
+#: Mutual information below which a pair is improbable, the most one pair counts, the least score of a run.
+IMPROBABLE, MOST, LEAST = -0.25, 3.0, 2.0
+#: A pair expected less often than this is judged by its classes.
+EXPECTED = 3.0
+#: Share of a run's improbability that may be left when a mapping is taken.
+LEFT = 0.34
+_N, _UNITS, _SLOTS = 64, 1 << 16, 1 << 20
 #: Characters that layout and scanning leave behind and that no wrong encoding explains.
-_LAYOUT = set("­¬†‡ﬀﬁﬂﬃﬄ■□●○◦▪�") - {"�"}
+_LAYOUT = set("­¬†‡ﬀﬁﬂﬃﬄ■□●○◦▪")
 _BLOCKS = [(0x00, 0x7F), (0x80, 0x9F), (0xA0, 0xBF), (0xC0, 0xFF), (0x100, 0x24F), (0x250, 0x36F), (0x370, 0x3FF), (0x400, 0x52F), (0x600, 0x77F), (0x900, 0x97F), (0xC00, 0xC7F), (0x2000, 0x206F), (0x20A0, 0x20CF), (0x2100, 0x214F), (0x2190, 0x23FF), (0x2500, 0x25FF), (0x3000, 0x303F), (0x3400, 0x9FFF), (0xE000, 0xF8FF), (0xFF00, 0xFFEF), (0xFFFD, 0xFFFD)]
-_HOME = re.compile(r"[\x09-\x7e؀-ۿऀ-ॿఀ-౿‐-―‘’“”…​-‏  ₹　-〿㐀-鿿＀-｠•·]")
-_FOREIGN = re.compile(_HOME.pattern.replace("[", "[^", 1))
 
 
 def _classes() -> np.ndarray:
@@ -58,27 +66,81 @@ def _classes() -> np.ndarray:
 _TABLE: list[np.ndarray] = []
 
 
-def class_codes(text: str) -> np.ndarray:
+def _class_table() -> np.ndarray:
     if not _TABLE:
         _TABLE.append(_classes())
-    return _TABLE[0][np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)]
-
-
-def pair_counts(texts: list[str | None]) -> np.ndarray:
-    """Counts of adjacent classes within the texts."""
-    total = np.zeros(_N * _N, np.int64)
-    for t in texts:
-        if t:
-            c = class_codes(t).astype(np.int32)
-            total += np.bincount(c[:-1] * _N + c[1:], minlength=_N * _N)
-    return total
-
-
-def mutual_information(counts: np.ndarray) -> np.ndarray:
-    """log p(ab) / p(a)p(b) of every pair of classes, smoothed, as a square."""
-    n = counts.reshape(_N, _N) + 0.01
-    total = n.sum()
-    return np.log(n * total / np.outer(n.sum(1), n.sum(0)))
+    return _TABLE[0]
+
+
+def _codes(text: str) -> np.ndarray:
+    """One 16-bit unit for every character; those beyond the first plane share one."""
+    if len(data := text.encode("utf-16-le", "surrogatepass")) != 2 * len(text):
+        data = "".join(c if c < "\U00010000" else "\uffff" for c in text).encode("utf-16-le", "surrogatepass")
+    return np.frombuffer(data, np.uint16)
+
+
+def _slots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    key = (a.astype(np.uint64) << np.uint64(16)) | b
+    with np.errstate(over="ignore"):
+        return tuple(((key * m) >> np.uint64(44)).astype(np.int32) for m in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)))
+
+
+class Information:
+    """Counts of characters, of pairs (two hashed rows) and of class pairs, and the mutual
+    information they give."""
+
+    SHAPE = (_UNITS, _SLOTS, _SLOTS, _N * _N)
+
+    def __init__(self, counts: list[np.ndarray] | None = None) -> None:
+        self.units, self.first, self.second, self.pairs = counts or [np.zeros(n, np.int64) for n in self.SHAPE]
+        self._ready = False
+
+    def add(self, text: str) -> None:
+        """Count a text: all its characters, and the pairs of what no wrong reading explains."""
+        self.units += np.bincount(_codes(text), minlength=_UNITS)
+        c = _codes(unexplained(text))
+        a, b = c[:-1], c[1:]
+        keep = (a != 10) | (b != 10)
+        a, b = a[keep], b[keep]
+        x, y = _slots(a, b)
+        self.first += np.bincount(x, minlength=_SLOTS)
+        self.second += np.bincount(y, minlength=_SLOTS)
+        k = _class_table().astype(np.int32)
+        self.pairs += np.bincount(k[a] * _N + k[b], minlength=_N * _N)
+
+    def counts(self) -> list[np.ndarray]:
+        return [self.units, self.first, self.second, self.pairs]
+
+    def _prepare(self) -> None:
+        n = self.units.astype(np.float64)
+        self.share = n / max(n.sum(), 1.0)
+        of = np.bincount(_class_table(), weights=n, minlength=_N)
+        expected = np.outer(of, of) / max(n.sum(), 1.0)
+        self.by_class = np.log((self.pairs.reshape(_N, _N) + 0.05) / (expected + 0.05)).ravel()
+        self.total, self._ready = n.sum(), True
+
+    def mutual(self, c: np.ndarray) -> np.ndarray:
+        """Mutual information of every adjacent pair of a text in codes."""
+        if not self._ready:
+            self._prepare()
+        a, b = c[:-1], c[1:]
+        expected = self.share[a] * self.share[b] * self.total
+        x, y = _slots(a, b)
+        own = np.log((np.minimum(self.first[x], self.second[y]) + 0.5) / (expected + 0.5))
+        k = _class_table().astype(np.int32)
+        return np.where(expected >= EXPECTED, own, self.by_class[k[a] * _N + k[b]])
+
+    def scores(self, text: str, left: str = "\n", right: str = "\n") -> np.ndarray:
+        """Improbability of every adjacent pair, with what stands around the text."""
+        c = _codes(left + text + right)
+        s = np.clip(IMPROBABLE - self.mutual(c), -MOST, MOST)
+        odd = (c == 0xFFFD) | (self.units[c] == 0)  # stands for no character, or was never seen
+        s[odd[:-1] | odd[1:]] = MOST
+        return s
+
+    def improbability(self, text: str, left: str = "\n", right: str = "\n") -> float:
+        s = self.scores(text, left, right)
+        return float(s[s > 0].sum())
 
 
 def _images(codec: str) -> dict[str, int]:
@@ -122,24 +184,89 @@ class _Inverse:
         return self.pattern.sub(one, text), done, lost
 
 
-_INVERSES: list[_Inverse] = []
+class _Wide:
+    """Undoes a reading in an encoding of two bytes a character: a whole run must map back."""
+
+    pattern = re.compile(r"[㐀-鿿-＀-￯、-〿ŀ-῿†-⿿¡-ÿ]{2,}")
+
+    def __init__(self, codec: str) -> None:
+        self.codec = codec
+
+    def _one(self, s: str) -> tuple[str, bool] | None:
+        try:
+            data = s.encode(self.codec)
+        except UnicodeEncodeError:
+            return None
+        for cut in (0, 1, 2):  # the last character may have lost its end
+            try:
+                return data[: len(data) - cut].decode() + "�" * (cut > 0), cut == 0
+            except UnicodeDecodeError:
+                continue
+        return None
+
+    def undo(self, text: str) -> tuple[str, int, int]:
+        done = lost = 0
+
+        def one(m: re.Match) -> str:
+            nonlocal done, lost
+            back = self._one(m.group()) if len(m.group()) >= 3 else None
+            if back is None:
+                return m.group()
+            done, lost = done + len(back[0]), lost + (not back[1])
+            return back[0]
+
+        return self.pattern.sub(one, text), done, lost
+
+
+_INVERSES: list = []
 
 
-def _inverses() -> list[_Inverse]:
+def _inverses() -> list:
     if not _INVERSES:
         _INVERSES.extend(_Inverse(c) for c in CODECS)
+        _INVERSES.extend(_Wide(c) for c in WIDE)
     return _INVERSES
 
 
-def segments(scores: np.ndarray) -> list[tuple[int, int]]:
-    """All maximal scoring segments [start, end) of a sequence, in linear time."""
+#: Three and more letters and symbols of the upper half of 8-bit sets in a row, as 8-bit fonts leave them.
+_UPPER = r"\x80-ſŒœŠšŽžŸƒˆ˜–—‘’‚“”„†‡•…‰‹›€™"
+_EXPLAINED: list[re.Pattern] = []
+
+
+def _explained() -> re.Pattern:
+    """What some wrong reading of UTF-8, a replacement or an 8-bit font can leave behind."""
+    if not _EXPLAINED:
+        parts = [i.pattern.pattern for i in _inverses() if isinstance(i, _Inverse)]
+        _EXPLAINED.append(re.compile("|".join([*dict.fromkeys(parts), "�", f"[{_UPPER}]{{3,}}"])))
+    return _EXPLAINED[0]
+
+
+def _wide(text: str) -> bool:
+    """Whether a run of the text maps back as a whole from an encoding of two bytes."""
+    return any(m.end() - m.start() >= 3 and any(i._one(m.group()) for i in _inverses() if isinstance(i, _Wide)) for m in _Wide.pattern.finditer(text))
+
+
+def unexplained(text: str) -> str:
+    """The text with line breaks for everything that a wrong reading explains."""
+    text = _explained().sub("\n", text)
+    return _Wide.pattern.sub(lambda m: "\n" if _wide(m.group()) else m.group(), text)
+
+
+def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (start, end, score) of a sequence, in linear time. Numbers
+    of one sign that stand together are added up first, as no segment ends among them."""
+    if not len(scores):
+        return []
+    turns = np.flatnonzero(np.diff(scores > 0)) + 1
+    starts = np.concatenate([[0], turns])
+    ends = np.concatenate([turns, [len(scores)]])
     found: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
     total = 0.0
-    for i, s in enumerate(scores.tolist()):
+    for a, b, s in zip(starts.tolist(), ends.tolist(), np.add.reduceat(scores, starts).tolist()):
         if s <= 0:
             total += s
             continue
-        start, left, total = i, total, total + s
+        start, left, total = a, total, total + s
         right = total
         while found:
             k = next((k for k in range(len(found) - 1, -1, -1) if found[k][2] < left), -1)
@@ -147,27 +274,17 @@ def segments(scores: np.ndarray) -> list[tuple[int, int]]:
                 break
             start, left = found[k][0], found[k][2]
             del found[k:]
-        found.append((start, i + 1, left, right))
-    return [(a, b) for a, b, _, _ in found]
+        found.append((start, b, left, right))
+    return [(a, b, right - left) for a, b, left, right in found]
 
 
-def runs(text: str, mi: np.ndarray) -> list[tuple[int, int]]:
+def runs(text: str, info: Information) -> list[tuple[int, int]]:
     """Improbable runs of a text, as offsets widened to the words they lie in."""
-    wide = text if len(text) == len(text.encode("utf-16-le", "surrogatepass")) // 2 else "".join(c if ord(c) < 0x10000 else "一" for c in text)
-    marks = np.zeros(len(wide) + 1, bool)
-    for m in _FOREIGN.finditer(wide):
-        if m.group() not in _LAYOUT:
-            marks[m.start()] = True
-    if not marks.any():
-        return []
-    c = class_codes(wide)
-    foreign = marks[:-1][:-1] | marks[1:-1] if len(wide) > 1 else marks[:1]
-    if len(wide) == 1:
-        return [(0, 1)]
-    score = np.where(foreign, FOREIGN_PAIR - np.clip(mi[c[:-1], c[1:]], -2, 0.5), HOME_PAIR)
     out: list[tuple[int, int]] = []
-    for a, b in segments(score):
-        b += 1  # pairs to characters
+    for a, b, s in segments(info.scores(text)):
+        if s < LEAST:
+            continue
+        a, b = max(a - 1, 0), min(b, len(text))  # pairs to characters; a break stands before the first
         while a and not text[a - 1].isspace():
             a -= 1
         while b < len(text) and not text[b].isspace():
@@ -179,34 +296,30 @@ def runs(text: str, mi: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _foreign(text: str) -> int:
-    return sum(1 for c in _FOREIGN.findall(text) if c not in _LAYOUT)
-
-
-def _plain(c: str) -> bool:
-    """Characters a right reading may yield: the archive's own, Latin letters and quotes."""
-    return not _FOREIGN.match(c) or (c.isalpha() and c < "ɐ") or c in "«»‹›€£°§©®½¼¾ºª¿¡"
-
-
-def restore(run: str) -> tuple[str, str | None, bool]:
-    """(run restored as far as possible, what was wrong or None, whether nothing is lost)."""
+def restore(run: str, info: Information, left: str = "\n", right: str = "\n") -> tuple[str, str | None, bool]:
+    """(run restored as far as possible, what was wrong or None, whether nothing is lost); left
+    and right are the characters around it."""
     best: tuple | None = None
-    total = _foreign(run)
+    scores = np.maximum(info.scores(run, left, right), 0.0)
+    before = float(scores.sum())
     for inv in _inverses():
-        text, done, lost, rest = run, 0, 0, total
-        for turn in range(3):
+        text, done, lost = run, 0, 0
+        for _ in range(3):
             nxt, n, gone = inv.undo(text)
-            if not n and not gone:
+            if (not n and not gone) or nxt == text:
                 break
-            if not turn:
-                rest = _foreign(inv.pattern.sub("", run))
             text, done, lost = nxt, done + n, lost + gone
         if done + lost:
-            odd = sum(1 for c in text if not _plain(c)) - lost
-            rank = (rest + odd, lost, -done)
+            touched = np.zeros(len(scores), bool)
+            for m in inv.pattern.finditer(run):
+                touched[m.start() : m.end() + 1] = True  # pair k joins characters k - 1 and k
+            # what is lost in part is no fault of the mapping
+            after = info.improbability(text.replace("�", "") if lost else text, left, right)
+            rank = (after, lost, -done)
             if best is None or rank < best[0]:
-                best = (rank, text, inv.codec, lost, done)
-    if best and best[0][0] <= 0.34 * (best[4] + best[3]):
+                own = float(scores[touched].sum())
+                best = (rank, text, inv.codec, lost, after - (before - own) <= LEFT * own)
+    if best and best[4]:
         return best[1], best[2], not best[3] and "�" not in best[1]
     if "�" in run:
         return run, "replaced", False
@@ -241,43 +354,64 @@ def _coded(run: str) -> bool:
     return wild >= 2
 
 
-def repair(text: str | None, mi: np.ndarray) -> tuple[str | None, list[str], bool]:
+def damageable(text: str) -> bool:
+    """Whether anything in a text could be damage of a known kind; exact, and cheap."""
+    return _explained().search(text) is not None or _swapped(text) or _wide(text)
+
+
+def repair(text: str | None, info: Information) -> tuple[str | None, list[str], bool]:
     """(text with its runs restored, kinds of damage, whether all of it could be restored)."""
-    if not text or not _FOREIGN.search(text):
+    if not text or not damageable(text):
         return text, [], True
     kinds: list[str] = []
     whole = True
     out, at = [], 0
-    for a, b in runs(text, mi):
-        fixed, kind, full = restore(text[a:b])
+    found = runs(text, info)
+    for a, b in found:
+        fixed, kind, full = restore(text[a:b], info, text[a - 1 : a] or "\n", text[b : b + 1] or "\n")
         if kind:
             kinds.append(kind)
             whole = whole and full
             out += [text[at:a], fixed]
             at = b
-    if not kinds and _swapped(text):
+    if not kinds and _swapped(" ".join(text[a:b] for a, b in found)):
         return text, ["font"], False
     return ("".join(out) + text[at:] if kinds else text), sorted(set(kinds)), whole
 
 
-def corpus_information(texts: DataFrame) -> np.ndarray:
-    """Mutual information of class pairs over a one-column table of texts."""
+def corpus_information(texts: DataFrame) -> Information:
+    """The counts over a one-column table of texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_N * _N, np.int64)
+        own = Information()
         for b in batches:
-            total += pair_counts(b.column(0).to_pylist())
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["pair", "n"])
-
-    rows = texts.mapInArrow(count, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # _N squared rows at most
-    counts = np.zeros(_N * _N, np.int64)
-    for r in rows:
-        counts[r.pair] = r.n
-    return mutual_information(counts)
-
-
-def repaired(df: DataFrame, item_id: str, text: str, information: np.ndarray | None = None) -> DataFrame:
+            part: list[str] = []
+            size = 0
+            for t in b.column(0).to_pylist():
+                if t:
+                    part.append(t)
+                    size += len(t)
+                if size > 4_000_000:
+                    own.add("\n" + "\n".join(part) + "\n")
+                    part, size = [], 0
+            if part:
+                own.add("\n" + "\n".join(part) + "\n")
+        base = 0
+        at, n = [], []
+        for counts in own.counts():
+            k = np.flatnonzero(counts)
+            at.append(k + base)
+            n.append(counts[k])
+            base += len(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(n))], ["at", "n"])
+
+    rows = texts.mapInArrow(count, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most the tables' fixed size
+    flat = np.zeros(sum(Information.SHAPE), np.int64)
+    flat[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
+    return Information([x.copy() for x in np.split(flat, np.cumsum(Information.SHAPE)[:-1])])
+
+
+def repaired(df: DataFrame, item_id: str, text: str, information: Information | None = None) -> DataFrame:
     """Rows (item_id, kinds, restored, text) of the records with text from a wrong encoding.
 
     kinds names the encodings, ``replaced`` for replacement characters and ``font`` for
@@ -287,10 +421,11 @@ def repaired(df: DataFrame, item_id: str, text: str, information: np.ndarray | N
     """
     kind = df.schema[item_id].dataType.simpleString()
     rows = df.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("text is not null")
-    mi = df.sparkSession.sparkContext.broadcast(corpus_information(rows.select("text")) if information is None else information)
+    info = corpus_information(rows.select("text")) if information is None else information
+    counts = df.sparkSession.sparkContext.broadcast(info.counts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = mi.value
+        own = Information(counts.value)
         for b in batches:
             at, kinds, full, texts = [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,8 +100,13 @@ def test_units_cover_any_text(seed):
 # 5: wrong encodings
 
 
-def information():
-    return mojibake.mutual_information(mojibake.pair_counts(["plain words here", "తెలుగు మాట", "हिंदी शब्द", "présenté côté"]))
+CORPUS = ["It began here and it ended.", "plain words stand here, and others there", "నమస్కారం అందరికీ తెలుగు మాట", "यह हिंदी है शब्द", "présenté côté Überprüfung für Öl", "It said “quoted” – ₹50 yes", "审计处清晨公布文件", "中文新闻发布会"]
+
+
+def information(*texts):
+    info = mojibake.Information()
+    info.add("\n" + "\n".join([*CORPUS * 20, *texts]) + "\n")
+    return info
 
 
 @pytest.mark.parametrize("codec", ["cp1252", "latin-1", "cp1251", "cp437", "mac_roman"])
@@ -108,22 +114,44 @@ def information():
 def test_encodings_round_trip(codec, text):
     wrong = "".join(bytes([b]).decode(codec) if b < 0x80 or mojibake._images(codec).get(chr(b)) != b else chr(b) for b in text.encode())
     broken = f"It began here. {wrong} and it ended."
-    fixed, kinds, whole = mojibake.repair(broken, information())
+    fixed, kinds, whole = mojibake.repair(broken, information(broken))
     assert kinds
     if whole:
         assert fixed == f"It began here. {text} and it ended."
 
 
+def test_east_asian_reading():
+    wrong = "中文新闻".encode().decode("gb18030")
+    fixed, kinds, whole = mojibake.repair(f"It began {wrong} here", information(*[f"{wrong} {k}" for k in range(300)]))
+    assert kinds == ["gb18030"] and whole and "中文新闻" in fixed
+
+
 def test_double_encoding():
-    text = "It said “yes” today"
-    twice = text.encode().decode("cp1252", "replace").encode().decode("cp1252", "replace") if False else "It said Ã¢â‚¬Å“yes and more"
-    fixed, kinds, _ = mojibake.repair(twice, information())
+    twice = "It said Ã¢â‚¬Å“yes and more"
+    fixed, kinds, _ = mojibake.repair(twice, information(twice))
     assert kinds and "“yes" in fixed
 
 
+def test_without_mutual_information_no_encoding_is_found():
+    class Blank(mojibake.Information):
+        def mutual(self, c):
+            return np.zeros(len(c) - 1)
+
+    broken = "It said â€œquoted and it ended."
+    info = information(broken)
+    assert mojibake.repair(broken, info)[1] == ["cp1252"]
+    assert mojibake.repair(broken, Blank(info.counts()))[1] == []
+
+
+def test_wrong_readings_do_not_vouch_for_each_other():
+    wrong = "నమస్కారం".encode().decode("latin-1")
+    info = information(*[f"{wrong} {k}" for k in range(500)])  # a third of the corpus and more
+    assert mojibake.repair(f"here {wrong} and", info)[0] == "here నమస్కారం and"
+
+
 @pytest.mark.parametrize("text", ["Le café de Ravi a été cédé à Rao, malgré l’été.", "São Rao e Ângela já não têm 63 ações à vista.", "Überprüfung für größtenteils Öl", "plain", "సాధారణం", "recei¬\nved wor†h ﬁle", "«façade» 20°C", "", None, "я живу здесь"])
 def test_clean_texts_are_no_case(text):
-    assert mojibake.repair(text, information())[1] == []
+    assert mojibake.repair(text, information(text or ""))[1] == []
 
 
 def test_mojibake_table(spark):

@@ -187,7 +187,7 @@ class _Inverse:
 class _Wide:
     """Undoes a reading in an encoding of two bytes a character: a whole run must map back."""
 
-    pattern = re.compile(r"[㐀-鿿-＀-￯、-〿ŀ-῿†-⿿¡-ÿ]{2,}")
+    pattern = re.compile(r"[\ue000-\uf8ff㐀-鿿-＀-￯、-〿ŀ-῿†-⿿¡-ÿ]{2,}")
 
     def __init__(self, codec: str) -> None:
         self.codec = codec

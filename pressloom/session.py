@@ -42,12 +42,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder every executor can reach. The session's own setting wins; a
-    local folder is set only where there is none, as in tests."""
+    """The checkpoint folder every executor can reach: the session's own setting. Only where
+    driver and executors are one machine's, as in tests, a local folder stands in for it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
     named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named is None and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pressloom-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -63,6 +65,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sized_partitions(df: DataFrame, each: int = 4 << 20) -> int:
+    """Partitions for a shuffle that grows with df: one for every ``each`` bytes the optimizer
+    expects of it, and no fewer than the session's number."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(partitions(df.sparkSession), min(-(-size // each), 200_000))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores where they come in few splits, as from one small file; a table in
     at least half as many splits as there are cores is left as it is."""

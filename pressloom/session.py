@@ -68,8 +68,9 @@ def partitions(spark: SparkSession) -> int:
 def sized_partitions(df: DataFrame, each: int = 4 << 20) -> int:
     """Partitions for a shuffle that grows with df: one for every ``each`` bytes the optimizer
     expects of it, and no fewer than the session's number."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return max(partitions(df.sparkSession), min(-(-size // each), 200_000))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 60  # the optimizer's word for not knowing is larger
+    return max(partitions(df.sparkSession), min(-(-size // each), 100_000) if known else 0)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -162,7 +162,10 @@ class _Inverse:
         chars = {b: re.escape(c) for c, b in self.back.items()}
         lead = lambda a, b: "[" + "".join(chars[x] for x in range(a, b + 1) if x in chars) + "]"
         tail = "[" + "".join(chars[x] for x in range(0x80, 0xC0) if x in chars) + "�]"
-        self.pattern = re.compile(f"{lead(0xC2, 0xDF)}{tail}|{lead(0xE0, 0xEF)}{tail}{{2}}|{lead(0xF0, 0xF4)}{tail}{{3}}")
+        self.leads = lead(0xC2, 0xF4)[1:-1]
+        #: The same behind a first character that some encoding may lead with.
+        self.behind = "|".join(f"(?<={lead(a, b)}){tail}{{{n}}}" for a, b, n in ((0xC2, 0xDF, 1), (0xE0, 0xEF, 2), (0xF0, 0xF4, 3)))
+        self.pattern = re.compile(f"[{self.leads}](?:{self.behind})")
 
     def undo(self, text: str) -> tuple[str, int, int]:
         """(text restored, sequences restored, sequences that are lost in part)."""
@@ -187,13 +190,16 @@ class _Inverse:
 class _Wide:
     """Undoes a reading in an encoding of two bytes a character: a whole run must map back."""
 
-    pattern = re.compile(r"[\ue000-\uf8ff㐀-鿿-＀-￯、-〿ŀ-῿†-⿿¡-ÿ]{2,}")
+    pattern = re.compile(r"[㐀-鿿\ue000-\uf8ff][\ue000-\uf8ff㐀-鿿＀-￯、-〿ŀ-῿†-⿿¡-ÿ]{2,}")
 
     def __init__(self, codec: str) -> None:
         self.codec = codec
 
     def _one(self, s: str) -> tuple[str, bool] | None:
         try:
+            head = s[:2].encode(self.codec)
+            if not (0xE0 <= head[0] <= 0xF4 and 0x80 <= head[1] < 0xC0 and 0x80 <= head[2] < 0xC0):  # no beginning of UTF-8
+                return None
             data = s.encode(self.codec)
         except UnicodeEncodeError:
             return None
@@ -209,7 +215,7 @@ class _Wide:
 
         def one(m: re.Match) -> str:
             nonlocal done, lost
-            back = self._one(m.group()) if len(m.group()) >= 3 else None
+            back = self._one(m.group())
             if back is None:
                 return m.group()
             done, lost = done + len(back[0]), lost + (not back[1])
@@ -236,14 +242,16 @@ _EXPLAINED: list[re.Pattern] = []
 def _explained() -> re.Pattern:
     """What some wrong reading of UTF-8, a replacement or an 8-bit font can leave behind."""
     if not _EXPLAINED:
-        parts = [i.pattern.pattern for i in _inverses() if isinstance(i, _Inverse)]
-        _EXPLAINED.append(re.compile("|".join([*dict.fromkeys(parts), "�", f"[{_UPPER}]{{3,}}"])))
+        plain = [i for i in _inverses() if isinstance(i, _Inverse)]
+        # one set of first characters, so that the search passes over all others at once
+        behind = "|".join([*dict.fromkeys(i.behind for i in plain), "(?<=�)", f"(?<=[{_UPPER}])[{_UPPER}]{{2,}}"])
+        _EXPLAINED.append(re.compile(f"[{''.join(i.leads for i in plain)}�{_UPPER}](?:{behind})"))
     return _EXPLAINED[0]
 
 
 def _wide(text: str) -> bool:
     """Whether a run of the text maps back as a whole from an encoding of two bytes."""
-    return any(m.end() - m.start() >= 3 and any(i._one(m.group()) for i in _inverses() if isinstance(i, _Wide)) for m in _Wide.pattern.finditer(text))
+    return any(any(i._one(m.group()) for i in _inverses() if isinstance(i, _Wide)) for m in _Wide.pattern.finditer(text))
 
 
 def unexplained(text: str) -> str:
@@ -302,7 +310,7 @@ def restore(run: str, info: Information, left: str = "\n", right: str = "\n") ->
     best: tuple | None = None
     scores = np.maximum(info.scores(run, left, right), 0.0)
     before = float(scores.sum())
-    for inv in _inverses():
+    for inv in _inverses() if _explained().search(run) or _wide(run) else ():
         text, done, lost = run, 0, 0
         for _ in range(3):
             nxt, n, gone = inv.undo(text)
@@ -332,12 +340,15 @@ _IN_WORD = re.compile(r"[A-Za-zÀ-ÿ](?![’·°ºª'])[¡-¿×÷ƒˆ˜†‡•
 _BEFORE = re.compile(r"(?<!\S)[\x80-\x9f¡-ÿ](?<![«„])(?=[A-Z][a-z]+|[A-Z][a-z]?\.|the\b|\d)")
 _BEHIND = re.compile(r"[A-Za-z][.!?,][\x80-\x9f¡-ÿ](?<!»)(?!\S)")
 
+_ODD = re.compile(r"[\x80-ÿƒˆ˜†‡•…‰‹›€™]")
 _AROUND = [(_BEFORE, _BEHIND), (re.compile(r"(?<![^\s'\"(])[\x80-\x9f¡-Þ](?<![«„¿¡°º])(?=[a-z]{3})"), re.compile(r"[a-z]{2}[\x80-\x9f¡-Þ](?<![»°ºª])(?![^\s'\"),.])"))]
 
 
 def _swapped(text: str) -> bool:
     """Whether single characters stand for others all through a text: symbols and capitals
     inside words, or letters and symbols in the places of quotes."""
+    if not _ODD.search(text):
+        return False
     if sum(1 for m in _IN_WORD.finditer(text) if not _LAYOUT.intersection(m.group())):
         return True
     return any(before.search(text) and behind.search(text) for before, behind in _AROUND)

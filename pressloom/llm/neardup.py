@@ -4,15 +4,19 @@ A prefix-tree join on sets of word n-grams, exact for its threshold. Texts with
 n-grams are one class, so copies are never compared. Over the classes the n-grams get one
 global order, rarest first. An n-gram that only one class holds can join nothing, so only
 the shared ones are kept after a single shuffle; how many were left out is all that is
-needed to place the rest. Two classes above the threshold share an n-gram among the first
-of each; pairs that meet there and pass the length and positional bounds are candidates.
-The candidates of one class are stored as a trie of ordered n-grams, and the trie is walked
-once, common beginnings sharing their partial overlap, leaving every subtree whose
-remaining length cannot reach the overlap that is needed.
+needed to place the rest.
+
+The ordered sets are stored in tries, each set in one of them. Sets whose beginnings share
+n-grams get one label and so one trie; the trie of a label with too many sets is split by
+salt. A set visits the tries that hold one of the n-grams of its own beginning: it enters
+each at the nodes where the first common n-gram stands, sets with a common beginning
+sharing their partial overlap from there on, and leaves every subtree whose remaining
+length cannot reach the overlap that is needed. No pairs are made before the walk.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from math import ceil
 
@@ -23,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pressloom.session import cut_lineage, partitions, spread
+from pressloom.session import cut_lineage, sized_partitions, spread
 from pressloom.sources.tables import table
 
 GRAM, SIMILAR = 5, 0.8
+#: n-grams stored in one trie, about.
+TRIE = 300_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _EPS = 1e-9
 
@@ -41,9 +47,24 @@ class _Hashes(dict):
         return h
 
 
-def gram_set(text: str | None, gram: int, hashes: dict) -> np.ndarray:
-    """Sorted hashes of the distinct runs of ``gram`` words, empty for shorter texts."""
-    ws = text.lower().split() if text else []
+#: Scripts that write no spaces; each of their characters is a word of its own.
+_SPACELESS = r"぀-ヿ㐀-䶿一-鿿豈-﫿฀-๿\U00020000-\U0003ffff"
+_ANY = re.compile(f"[{_SPACELESS}]")
+_PIECES = re.compile(rf"[{_SPACELESS}]|[^\s{_SPACELESS}]+")
+
+
+def tokens(text: str) -> list[str]:
+    """Lower-cased words; characters where the script has no spaces."""
+    low = text.lower()
+    return _PIECES.findall(low) if _ANY.search(low) else low.split()
+
+
+def gram_set(text: str | None, gram: int, hashes: dict, spaceless: bool = False) -> np.ndarray:
+    """Sorted hashes of the distinct runs of ``gram`` words. Shorter texts have none, but with
+    ``spaceless`` all their words make one run."""
+    ws = (tokens(text) if spaceless else text.lower().split()) if text else []
+    if spaceless and 0 < len(ws) < gram:
+        gram = len(ws)
     m = len(ws) - gram + 1
     if m < 1:
         return np.empty(0, np.uint64)
@@ -60,7 +81,7 @@ def _class_id(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
 
-def classes(df: DataFrame, item_id: str, text: str, gram: int) -> DataFrame:
+def classes(df: DataFrame, item_id: str, text: str, gram: int, spaceless: bool = False) -> DataFrame:
     """(item_id, class_id, n): every item with at least one n-gram, its class, and how many."""
     kind = df.schema[item_id].dataType.simpleString()
 
@@ -69,7 +90,7 @@ def classes(df: DataFrame, item_id: str, text: str, gram: int) -> DataFrame:
         for b in batches:
             at, ids, ns = [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
-                g = gram_set(t, gram, hashes)
+                g = gram_set(t, gram, hashes, spaceless)
                 if g.size:
                     at.append(i)
                     ids.append(_class_id(g))
@@ -83,7 +104,7 @@ def _source(df: DataFrame, item_id: str, text: str) -> DataFrame:
     return spread(df.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("item_id is not null and text is not null"))
 
 
-def _grams(df: DataFrame, item_id: str, text: str, gram: int) -> DataFrame:
+def _grams(df: DataFrame, item_id: str, text: str, gram: int, spaceless: bool = False) -> DataFrame:
     """(gram, class_id, n), each class once for every partition that holds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +112,7 @@ def _grams(df: DataFrame, item_id: str, text: str, gram: int) -> DataFrame:
         for b in batches:
             grams, ids, sizes = [np.empty(0, np.uint64)], [], []
             for t in b.column(0).to_pylist():
-                g = gram_set(t, gram, hashes)
+                g = gram_set(t, gram, hashes, spaceless)
                 if g.size and (c := _class_id(g)) not in seen:
                     seen.add(c)
                     if len(seen) > 1_000_000:
@@ -107,12 +128,12 @@ def _grams(df: DataFrame, item_id: str, text: str, gram: int) -> DataFrame:
     return _source(df, item_id, text).select("text").mapInArrow(run, T.StructType([T.StructField("gram", T.LongType(), False), T.StructField("class_id", T.LongType(), False), T.StructField("n", T.IntegerType(), False)]))
 
 
-def _ordered(grams: DataFrame, similar: float) -> DataFrame:
+def _ordered(grams: DataFrame, similar: float, parts: int) -> DataFrame:
     """(class_id, n, grams, reach): the shared n-grams of a class in the global order, and how
     many of them lie in its prefix. Classes whose prefix holds only n-grams of their own are
     left out, as nothing can join them."""
     # One exchange serves the counts and the join, as both sides read all its columns.
-    grams = grams.repartition(partitions(grams.sparkSession), "gram")
+    grams = grams.repartition(parts, "gram")
     by_gram = grams.groupBy("gram").agg(F.count("*").alias("df"), F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.max("n").alias("most"))
     shared = by_gram.where("lo < hi and most > 0").select("gram", "df")
     kept = grams.join(shared.hint("shuffle_hash"), "gram")
@@ -125,117 +146,131 @@ def _ordered(grams: DataFrame, similar: float) -> DataFrame:
     )
 
 
-def _candidates(ordered: DataFrame, similar: float) -> DataFrame:
-    """Distinct (a, b) of classes that share an n-gram of their prefixes and whose lengths and
-    positions leave the needed overlap possible; a is the shorter."""
-    rows = ordered.select("class_id", "n", "skipped", F.posexplode(F.slice("grams", 1, F.col("reach"))).alias("k", "gram")).select(
-        "gram", "class_id", "n", (F.col("k") + F.col("skipped")).alias("pos")
-    )
-    a, b = rows.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("class_id", "n", "pos")]), rows.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("class_id", "n", "pos")])
-    share = similar / (1 + similar)
-    index_prefix = F.col("n_a") - F.ceil(F.col("n_a") * F.lit(2 * share) - F.lit(_EPS)) + 1
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * F.lit(share) - F.lit(_EPS))
-    room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    return (
-        a.where(F.col("pos_a") < index_prefix)
-        .join(b, "gram")
-        .where((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("class_id_a") < F.col("class_id_b"))))
-        .where((F.col("n_a") >= F.col("n_b") * F.lit(similar) - F.lit(_EPS)) & (room >= need))
-        .select(F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b"))
-        .distinct()
-    )
-
-
 class Trie:
-    """Ordered sets, common beginnings stored once. A node is [children, most, ends]: the
-    greatest length left below it, and the sets that end there."""
+    """Ordered sets, common beginnings stored once. For every node its n-gram, its parent, its
+    children, the greatest length left below it and the sets that end there; and for every
+    n-gram of a beginning the nodes where it stands."""
 
     def __init__(self) -> None:
-        self.root: list = [{}, 0, []]
-
-    def add(self, key, grams, total: int) -> None:
-        node, left = self.root, len(grams)
-        for g in grams:
-            node[1] = max(node[1], left)
-            node = node[0].setdefault(g, [{}, 0, []])
-            left -= 1
-        node[2].append((key, total))
-
-    def join(self, place: dict, size: int, total: int, similar: float) -> Iterator[tuple]:
-        """(key, overlap, similarity) of every stored set that is similar enough to the probe,
-        given as gram -> position among its ``size`` shared grams; total counts all its grams."""
+        self.gram: list = [None]
+        self.parent: list[int] = [0]
+        self.most: list[int] = [0]
+        self.kids: list[dict] = [{}]
+        self.ends: list[list | None] = [None]
+        self.entries: dict = {}
+
+    def add(self, key, grams: list, total: int, zone: int) -> None:
+        """Store a set under its key; the first ``zone`` n-grams are its beginning, and total
+        counts all its n-grams."""
+        node, left = 0, len(grams)
+        for k, g in enumerate(grams):
+            self.most[node] = max(self.most[node], left)
+            nxt = self.kids[node].get(g)
+            if nxt is None:
+                nxt = self.kids[node][g] = len(self.gram)
+                self.gram.append(g)
+                self.parent.append(node)
+                self.most.append(0)
+                self.kids.append({})
+                self.ends.append(None)
+            if k < zone:
+                self.entries.setdefault(g, {})[nxt] = True
+            node, left = nxt, left - 1
+        if self.ends[node] is None:
+            self.ends[node] = []
+        self.ends[node].append((key, total))
+
+    def join(self, key, grams: list, total: int, reach: int, similar: float) -> Iterator[tuple]:
+        """(key, similarity) of every stored set that is similar enough and that is shorter
+        than the visitor, or as long with a smaller key."""
         least = ceil(total * similar - _EPS)
-        stack = [(self.root, 0, 0)]
-        while stack:
-            node, overlap, after = stack.pop()
-            for key, n in node[2]:
-                union = total + n - overlap
-                if overlap >= similar * union - _EPS:
-                    yield key, overlap, overlap / union
-            for g, child in node[0].items():
-                at = place.get(g)
-                o, p = (overlap, after) if at is None else (overlap + 1, at + 1)
-                # what this branch and the rest of the probe can still add
-                if o + min(child[1], size - p) >= least:
-                    stack.append((child, o, p))
-
-
-def _verify(pairs: DataFrame, ordered: DataFrame, similar: float) -> DataFrame:
-    """(a, b, similarity) of the candidate pairs above the threshold."""
-    sets = ordered.select("class_id", "n", "grams", "reach")
-    left = sets.select(F.col("class_id").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("grams_a"))
-    # the rows of one class come together: its own set first, then those of its candidates
-    stored = pairs.join(left, "a").select("b", "a", F.col("n_a").alias("n"), F.col("grams_a").alias("grams"))
-    probes = sets.join(pairs.select(F.col("b").alias("class_id")).distinct(), "class_id", "left_semi").select(F.col("class_id").alias("b"), F.lit(None).cast("bigint").alias("a"), "n", "grams")
-    rows = stored.unionByName(probes).repartition("b").sortWithinPartitions("b", F.col("a").asc_nulls_first())
+        place = {g: i for i, g in enumerate(grams)}
+        size = len(grams)
+        for i, g in enumerate(grams[:reach]):
+            for entry in self.entries.get(g, ()):
+                up = self.parent[entry]
+                while up and self.gram[up] not in place:
+                    up = self.parent[up]
+                if up:  # the walk that began there comes through here
+                    continue
+                stack = [(entry, 1, i + 1)] if 1 + min(self.most[entry], size - i - 1) >= least else []
+                while stack:
+                    node, overlap, after = stack.pop()
+                    for other, n in self.ends[node] or ():
+                        union = total + n - overlap
+                        if (n, other) < (total, key) and overlap >= similar * union - _EPS:
+                            yield other, overlap / union
+                    for c, child in self.kids[node].items():
+                        at = place.get(c)
+                        o, p = (overlap, after) if at is None else (overlap + 1, at + 1)
+                        # what this branch and the rest of the visitor can still add
+                        if o + min(self.most[child], size - p) >= least:
+                            stack.append((child, o, p))
+
+
+def _stored(ordered: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
+    """(tries, visits): tries (label, salt, class_id, n, grams, zone) places every set that can
+    be the shorter of a pair; visits (label, salt, class_id) are the tries each set must see."""
+    share = 2 * similar / (1 + similar)
+    zone = (F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(_EPS)) + 1 - F.col("skipped")).cast("int")
+    prefix = ordered.select("class_id", F.posexplode(F.slice("grams", 1, F.col("reach"))).alias("k", "gram"), zone.alias("zone"))
+    heads = prefix.groupBy("gram").agg(F.min("class_id").alias("head"))
+    label = prefix.join(heads, "gram").groupBy("class_id").agg(F.min("head").alias("label"))
+    placed = ordered.withColumn("zone", zone).where("zone > 0").join(label, "class_id")
+    pieces = placed.groupBy("label").agg(F.ceil(F.sum(F.size("grams")) / F.lit(TRIE)).cast("int").alias("pieces"))
+    tries = cut_lineage(placed.join(pieces, "label").select("label", F.pmod(F.xxhash64("class_id"), F.col("pieces")).cast("int").alias("salt"), "class_id", "n", "grams", "zone"))
+    doors = tries.select("label", "salt", F.explode(F.slice("grams", 1, F.col("zone"))).alias("gram")).distinct()
+    visits = prefix.select("gram", "class_id").join(doors, "gram").select("label", "salt", "class_id").distinct()
+    return tries, visits
+
+
+def _walk(ordered: DataFrame, tries: DataFrame, visits: DataFrame, similar: float, parts: int) -> DataFrame:
+    """(a, b, similarity) of the pairs of classes above the threshold."""
+    stored = tries.select("label", "salt", F.lit(0).alias("turn"), "class_id", "n", "grams", F.col("zone").alias("most"))
+    coming = visits.join(ordered.select("class_id", "n", "grams", F.col("reach").alias("most")), "class_id").select("label", "salt", F.lit(1).alias("turn"), "class_id", "n", "grams", "most")
+    # the sets of one trie come first, then its visitors
+    rows = stored.unionByName(coming).repartition(parts, "label", "salt").sortWithinPartitions("label", "salt", "turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, size, total, place, trie = None, 0, 0, {}, Trie()
-        out: list[tuple] = []
-
-        def flush() -> None:
-            out.extend((key, now, s) for key, _, s in trie.join(place, size, total, similar))
-
+        now, trie = None, Trie()
         for batch in batches:
-            bs, as_, ns, gs = (batch.column(i).to_pylist() for i in range(4))
-            for b, a, n, g in zip(bs, as_, ns, gs):
-                if a is None:
-                    if now is not None:
-                        flush()
-                    now, size, total, place, trie = b, len(g), n, {x: i for i, x in enumerate(g)}, Trie()
+            out: list[tuple] = []
+            columns = [batch.column(i) for i in range(7)]
+            heads = [c.to_pylist() for c in columns[:5]]
+            for i, (label, salt, turn, key, n) in enumerate(zip(*heads)):
+                grams, most = columns[5][i].as_py(), columns[6][i].as_py()
+                if (label, salt) != now:
+                    now, trie = (label, salt), Trie()
+                if not turn:
+                    trie.add(key, grams, n, most)
                 else:
-                    trie.add(a, g, n)
-            yield _pairs(out)
-            out = []
-        if now is not None:
-            flush()
-        yield _pairs(out)
+                    out.extend((other, key, s) for other, s in trie.join(key, grams, n, most, similar))
+            a, b, s = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "similarity"])
 
     return rows.mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
-def _pairs(rows: list[tuple]) -> pa.RecordBatch:
-    a, b, s = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "similarity"])
-
-
-def links(df: DataFrame, item_id: str, text: str, gram: int = GRAM, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """(membership, links): membership (item_id, class_id, n) holds every item with an n-gram;
+def links(df: DataFrame, item_id: str, text: str, gram: int = GRAM, similar: float = SIMILAR, spaceless: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(membership, links): membership (item_id, class_id, n) holds every item with a word;
     links (a, b, similarity) holds every pair of different classes whose sets have
     |intersection| / |union| >= similar. Items of one class are copies, of similarity 1.
 
-    Null and blank texts, those of fewer than ``gram`` words, and null ids are in no class.
-    Repeated rows give repeated membership. An empty table gives two empty results. Other
-    columns are not read. Classes are told apart by a hash of 64 bits, n-grams likewise.
+    Scripts without spaces count by characters, and a text of fewer than ``gram`` words is
+    one n-gram, so that copies of it meet; without ``spaceless`` words are split on white
+    space only and such texts are in no class. Null and blank texts and null ids are in no
+    class. Repeated rows give repeated membership. An empty table gives two empty results.
+    Other columns are not read. Classes are told apart by a hash of 64 bits, n-grams likewise.
     """
-    ordered = cut_lineage(_ordered(_grams(df, item_id, text, gram), similar))
-    pairs = cut_lineage(_candidates(ordered, similar))
-    return classes(df, item_id, text, gram), _verify(pairs, ordered, similar)
+    parts = sized_partitions(df.select(text))
+    ordered = cut_lineage(_ordered(_grams(df, item_id, text, gram, spaceless), similar, parts))
+    tries, visits = _stored(ordered, similar)
+    return classes(df, item_id, text, gram, spaceless), _walk(ordered, tries, visits, similar, parts)
 
 
-def item_pairs(df: DataFrame, item_id: str, text: str, gram: int, similar: float) -> DataFrame:
+def item_pairs(df: DataFrame, item_id: str, text: str, gram: int, similar: float, spaceless: bool = False) -> DataFrame:
     """Every pair of different items above the threshold, copies expanded."""
-    member, link = links(df, item_id, text, gram, similar)
+    member, link = links(df, item_id, text, gram, similar, spaceless)
     member = member.select("item_id", "class_id").distinct()
     crowd = member.groupBy("class_id").agg(F.count("*").alias("members")).where("members > 1")
     within = member.join(crowd, "class_id").select("item_id", F.col("class_id").alias("a"), F.col("class_id").alias("b"))

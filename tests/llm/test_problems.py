@@ -190,6 +190,30 @@ def test_neardup_equals_brute_force(spark, gram, similar):
     assert {(r.item_id_a, r.item_id_b) for r in got} == jaccard_pairs(rows, gram, similar) and len(got) == len({tuple(r) for r in got})
 
 
+def test_neardup_of_spaceless_and_short_texts(spark):
+    rows = [(1, "审计处清晨公布了全部文件名单与金额"), (2, "审计处清晨公布了全部文件名单与金额"), (3, "审计处清晨公布了全部文件名单与金额。"), (4, "two words"), (5, "TWO words"), (6, None), (7, "两个")]
+    member, link = neardup.links(docs(spark, rows), "id", "body", 5, 0.8)
+    of = {r.item_id: r.class_id for r in member.collect()}
+    assert set(of) == {1, 2, 3, 4, 5, 7} and of[1] == of[2] != of[3] and of[4] == of[5]
+    assert [{r.a, r.b} for r in link.collect()] == [{of[1], of[3]}]
+
+
+def test_trie_shares_and_prunes():
+    trie = neardup.Trie()
+    trie.add("a", [1, 2, 3, 4], 4, 4)
+    trie.add("b", [1, 2, 5, 6], 4, 4)
+    assert len(trie.gram) == 1 + 6
+    assert dict(trie.join("z", [1, 2, 3, 4], 4, 4, 0.8)) == {"a": 1.0}
+    assert {k for k, _ in trie.join("z", [1, 2, 5, 6, 9], 5, 5, 0.25)} == {"a", "b"}
+
+
+def test_neardup_splits_the_trie_of_a_hot_label(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TRIE", 40)
+    rows = [(i, "the same long beginning of a notice that all of them share number " + str(i)) for i in range(60)]
+    got = neardup.item_pairs(docs(spark, rows), "id", "body", 3, 0.6).count()
+    assert got == 60 * 59 // 2
+
+
 def test_neardup_of_nothing(spark):
     assert neardup.item_pairs(docs(spark, ODD), "id", "body", 3, 0.6).count() == 0
     assert neardup.item_pairs(docs(spark, ODD).limit(0), "id", "body", 3, 0.6).count() == 0

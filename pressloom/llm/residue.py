@@ -1,13 +1,16 @@
 """Problem 10: template residue, filler, error pages and script notices.
 
 Every document is looked at once, whole. Slots that were never filled are found in place.
-What is left of a document without headings, menu and copyright lines, when it is short or
-only repeats itself, is a message: figures and codes in it are masked and equal messages
-are counted before anything else. Messages are then mined into templates by a prefix tree
-of fixed depth (length, then the first tokens), one leaf per group of rows; a path that
-holds many messages is salted into shards, as a template's verdict does not depend on which
-shard found it. Verdicts are given once per template and reach the documents by a join on
-the message.
+What is left of any document without headings, menu and copyright lines is a message, of
+any length, with figures and codes masked. Messages are mined into templates by a prefix
+tree of fixed depth (length, then the first tokens), one leaf per group of rows; a path
+that holds many messages is salted into shards. A template is classified once, by its
+constant words alone: what stands in its slots, a name that quotes or an odd word, has no
+say. The verdict is propagated to all its messages and from them to the documents by a join.
+
+A template's constant words stand in each of its messages. A message therefore never reaches
+the tree if too few of its words stand in sentences with a word any evidence needs: no
+template of it could be residue. That keeps ordinary text out of the shuffle and is exact.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +26,8 @@ from pyspark.sql import functions as F
 from pressloom.session import cut_lineage, spread
 from pressloom.sources.tables import table
 
-#: Longest message in words; longer documents are ordinary records unless they repeat themselves.
-MESSAGE_WORDS = 60
+#: Least share of a template's words that stand in sentences with evidence.
+COVERED = 0.3
 #: Tokens below the length node of the prefix tree, and messages in one shard of a leaf.
 DEPTH, SHARD = 2, 4000
 #: Least share of equal tokens for a message to join a template of its leaf.
@@ -83,7 +87,7 @@ _EVIDENCE = {
         r"|జావాస్క్రిప్ట్|స్క్రిప్ట్(?:లు|ల)|जावास्क्रिप्ट|स्क्रिप्ट|جاوا ?اسکرپٹ|اسکرپٹ|启用(?:脚本|JS)|开启(?:脚本|JS)|脚本",
         re.I,
     ),
-    "value": re.compile(r"^(?:(?:null|undefined|nan|none|nil|n/a|#ref!|#name\?|#value!|#n/a|#div/0!|#null!|#num!|\[object object\]|<[nh]>)\s*)+$", re.I),
+    "value": re.compile(r"^(?!(?:<\*>\s*)+$)(?:(?:null|undefined|nan|none|nil|n/a|#ref!|#name\?|#value!|#n/a|#div/0!|#null!|#num!|\[object object\]|<[nh*]>)\s*)+$", re.I),
     "filler": re.compile(
         r"\blorem\b|\bipsum\b|dummy (?:text|copy|paragraph|content)|sample (?:text|copy|content|paragraph)|body copy|headline (?:one|goes|here|<n>)|(?:text|content|copy|title) (?:goes|comes) here|coming soon|place ?holder|mock-?up|copy follows|replace later|to be replaced|for layout only|this (?:page|space) (?:is )?intentionally"
         r"|नमूना पाठ|పాఠ్యం ఇక్కడ|నమూనా (?:వచనం|పాఠ్యం)|نمونہ (?:متن|عبارت)|示例(?:文本|文字)|占位",
@@ -98,51 +102,99 @@ _LATIN_FILLER = re.compile(
 _KEYS = re.compile(r"(?:asdf|qwer|zxcv|hjkl|jkl|dfgh|fghj|cvbn|vbnm|tyui|uiop|poiu|lkjh|abc|xyz|abcd|aaa+|bbb+|xxx+|zzz+|test\w?|foo|bar|baz|blah|[asdfghjkl]{4,}|[qwertyuiop]{5,}|[zxcvbnm]{4,}|\d+)$")
 
 
+#: Each evidence needs one of these, in lower case.
+_NEEDED = (
+    "not found|bad gateway|gateway time|server error|internal error|service unavailable|forbidden|access denied|permission to|could not be|connection |expired|timed out|in again|too many requests|rate limit|wait |try |went wrong|reload|moved or|been moved|been deleted|been removed"
+    "|no longer|maintenance|come back|traceback|exception|stack trace|value is none|nullpointer|page you|cannot be|out of date|unsupported browser|failed at|own risk|code |error |status |unexpected |unavailable|server is|server did|సర్వర్|కనుగొన|కనబడ|అందుబాటులో|మళ్లీ|లోపం|उपलब्ध|प्रयास|पृष्ठ|सर्वर|त्रुटि|صفحہ|دوبارہ|سرور|页面|找不到|服务器|内部错误|稍后|出错"
+    "|script|cookies|human|a robot|active content|జావాస్క్రిప్ట్|స్క్రిప్ట్|जावास्क्रिप्ट|स्क्रिप्ट|اسکرپٹ|启用|开启|脚本"
+    "|lorem|ipsum|dummy |sample |body copy|headline |goes here|comes here|coming soon|place|mock|copy follows|replace|for layout|intentionally|नमूना|పాఠ్యం|నమూనా|نمونہ|示例|占位"
+).split("|")
+_AUTOMATON: list = []
+
+
+def _needed(low: str) -> bool:
+    """Whether a text in lower case holds a word that evidence needs."""
+    if not _AUTOMATON:
+        a = ahocorasick.Automaton()
+        for w in _NEEDED:
+            a.add_word(w, True)
+        a.make_automaton()
+        _AUTOMATON.append(a)
+    return next(_AUTOMATON[0].iter(low), None) is not None
+
+
 def core(text: str) -> str:
     """The text without menu and copyright lines and the heading over it."""
     lines = [x for x in (y.strip() for y in text.split("\n")) if x]
-    kept = [x for x in lines if not (_COPYRIGHT.match(x) or _HEADING.match(x) or (_MENU.search(x) and len(x) < 80 and not _ENDS.search(x)))]
+    kept = [x for x in lines if not (_COPYRIGHT.match(x) or _HEADING.match(x) or (len(x) < 80 and _MENU.search(x) and not _ENDS.search(x)))]
     if len(kept) > 1 and len(kept[0]) < 90 and not _ENDS.search(kept[0]) and (" — " in kept[0] or " – " in kept[0] or kept[0].isupper()):
         kept = kept[1:]
     return "\n".join(kept or lines)
 
 
+def _units(text: str) -> list[str]:
+    return [x for x in (y.strip() for line in text.split("\n") for y in _SENTENCE.split(line)) if x]
+
+
 def message(text: str) -> str | None:
-    """The masked message that stands for the whole document, or None for ordinary records.
-    Each repeated sentence stands once, with the mark <rep>."""
+    """The masked message that stands for the whole document, its sentences parted by <br>, or
+    None where no template of it could be residue. Each repeated sentence stands once, with
+    the mark <rep>."""
     body = core(text)
-    tokens = body.split()
-    if not tokens:
+    units = _units(body)
+    if not units:
         return None
-    units = [x for x in (y.strip() for line in body.split("\n") for y in _SENTENCE.split(line)) if x]
-    for mask, name in _MASKS:
-        units = [mask.sub(name, x) for x in units]
-    distinct = list(dict.fromkeys(units))
-    if len(units) >= 3 and len(distinct) <= max(1, len(units) // 3):
-        distinct.append("<rep>")
-    elif len(tokens) >= 4 and len(set(tokens)) == 1:
-        distinct = [tokens[0], "<rep>"]
-    elif len(tokens) > MESSAGE_WORDS:
-        return "<latin>" if _latin(tokens) else "<keys>" if _keys(tokens) else None
-    elif _latin(tokens):
+    low = body.lower()
+    tokens = low.split()
+    distinct = set(units)
+    repeats = len(units) >= 3 and len(distinct) <= max(1, len(units) // 3)
+    if not repeats and (_mostly(tokens, _LATIN_WORDS, _LATIN_FILLER, 0.6) or _mostly(tokens, _KEY_WORDS, _KEYS, 0.8)):
         return "<latin>"
-    elif _keys(tokens):
-        return "<keys>"
-    masked = " ".join(distinct)
-    return masked if len(masked.split()) <= MESSAGE_WORDS else None
-
-
-def _share(tokens: list[str], pattern: re.Pattern) -> float:
-    ws = [w.strip(".,;:!?").lower() for w in tokens]
-    return sum(1 for w in ws if pattern.match(w)) / len(ws)
-
-
-def _latin(tokens: list[str]) -> bool:
-    return len(tokens) >= 4 and _share(tokens[:20], _LATIN_FILLER) > 0.6 and _share(tokens, _LATIN_FILLER) > 0.6
-
-
-def _keys(tokens: list[str]) -> bool:
-    return len(tokens) >= 4 and _share(tokens[:20], _KEYS) > 0.8 and _share(tokens, _KEYS) > 0.8 and any(c.isalpha() for t in tokens for c in t)
+    if not repeats and not _needed(low) and len(set(tokens)) > 1 and not (_VALUE.match(low) and _EVIDENCE["value"].match(_masked(low))):
+        return None
+    units = [_masked(x) for x in units]
+    if repeats:
+        return " <br> ".join([*dict.fromkeys(units), "<rep>"])
+    if len(tokens) >= 4 and len(set(tokens)) == 1:
+        return " <br> ".join([units[0].split()[0], "<rep>"])
+    said = " <br> ".join(units)
+    if _EVIDENCE["value"].match(said.replace(" <br> ", " ")):
+        return said
+    words = [(len(x.split()), x) for x in units]
+    most = sum(n for n, x in words if _needed(x.lower()))
+    return said if most >= COVERED * sum(n for n, _ in words) else None
+
+
+def _masked(text: str) -> str:
+    for mask, name in _MASKS:
+        text = mask.sub(name, text)
+    return text
+
+
+_VALUE = re.compile(r"null|undefined|nan|none|nil|n/a|#|\[object|\d|[a-f]+\d")
+_LATIN_WORDS: dict[str, bool] = {}
+_KEY_WORDS: dict[str, bool] = {}
+
+
+def _mostly(tokens: list[str], known: dict[str, bool], pattern: re.Pattern, share: float) -> bool:
+    """Whether more than a share of at least four tokens match, looked at until it is certain."""
+    if len(tokens) < 4:
+        return False
+    if len(known) > 200_000:
+        known.clear()
+    room = (1 - share) * len(tokens)
+    letters = False
+    for t in tokens:
+        fits = known.get(t)
+        if fits is None:
+            fits = known[t] = pattern.match(t.strip(".,;:!?")) is not None
+        if not fits:
+            room -= 1
+            if room <= 0:
+                return False
+        elif not letters:
+            letters = any(c.isalpha() for c in t)
+    return letters
 
 
 def path(message_text: str) -> str:
@@ -175,20 +227,22 @@ def mine(messages: list[str]) -> list[str]:
     return [" ".join(templates[where[i]]) for i in range(len(messages))]
 
 
-def verdict(template: str, example: str) -> str | None:
-    """Kind of residue of a template, judged by its constant words and one example."""
-    if template in ("<latin>", "<keys>"):
+def verdict(template: str) -> str | None:
+    """Kind of residue of a template, judged by its constant words: sentences with evidence of
+    one kind hold enough of its words, and nobody reports them."""
+    if template == "<latin>" or template.endswith("<rep>"):
         return "filler"
-    if _EVIDENCE["value"].match(example):
+    if _EVIDENCE["value"].match(template.replace("<br>", " ")):
         return "value"
-    if example.endswith("<rep>"):
-        return "filler"
-    if _REPORTED.search(example):
+    units = [u for part in template.split("<br>") for u in _units(part)]
+    text = "\n".join(units)
+    if _REPORTED.search(text):
+        return None
+    words = [len(u.split()) for u in units]
+    some = [n for n, u in zip(words, units) if any(_EVIDENCE[k].search(u) for k in ("script", "error", "filler"))]
+    if not some or sum(some) < COVERED * sum(words):
         return None
-    for kind in ("script", "error", "filler"):
-        if _EVIDENCE[kind].search(template) or _EVIDENCE[kind].search(example):
-            return kind
-    return None
+    return next(k for k in ("script", "error", "filler") if _EVIDENCE[k].search(text))
 
 
 def residue(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -222,13 +276,11 @@ def residue(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def judge(messages: list[str]) -> list[tuple[str, str, str]]:
-    """(message, template, reason) of the messages of one leaf that are residue."""
+    """(message, template, reason) of the messages of one leaf that are residue; a template is
+    classified once and its verdict holds for all its messages."""
     found = mine(messages)
-    known: dict[str, str | None] = {}
-    for m, t in zip(messages, found):
-        if known.get(t) is None:
-            known[t] = verdict(t, m)
-    return [(m, t, known[t]) for m, t in zip(messages, found) if known[t] and (known[t] in ("filler", "value") or verdict(t, m))]
+    known = {t: verdict(t) for t in dict.fromkeys(found)}
+    return [(m, t, known[t]) for m, t in zip(messages, found) if known[t]]
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

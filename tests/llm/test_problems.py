@@ -325,6 +325,28 @@ def test_mined_templates():
     assert a == b == "Wait <*> seconds now" and c == "Other line of words"
 
 
+def test_a_template_decides_what_its_messages_alone_would_not():
+    names = ["Rampur", "Sitapur", "“Daily Star”"]
+    messages = [f"Your session on {n} records has expired now" for n in ("Rampur", "Sitapur")] + ["Your session on “Star” records has expired now"]
+    alone = [residue.verdict(m) for m in messages]
+    assert alone == ["error", "error", None]  # the name that quotes looks like a report
+    assert {m for m, _, _ in residue.judge(messages)} == set(messages) and names
+
+
+def test_a_template_is_classified_once(monkeypatch):
+    asked = []
+    plain = residue.verdict
+    monkeypatch.setattr(residue, "verdict", lambda t: asked.append(t) or plain(t))
+    residue.judge([f"Please reload page {w} again" for w in "abcdefgh"])
+    assert len(asked) == 1
+
+
+def test_long_error_pages_and_long_records():
+    page = "Something went wrong while this page was read from the store. Please try again after some minutes or go to the home page of the site. " * 2 + " ".join(f"The server did not answer request {i} of part {i}." for i in "abcdefghij")
+    assert len(page.split()) > 100 and residue.judge([residue.message(page)])[0][2] == "error"
+    assert residue.message("The Milk Union paid the dues of Rampur before noon. " * 1 + " ".join(f"Clerk {i} read list {i} to the town." for i in range(40)) + " The old page could not be opened.") is None
+
+
 # 7: languages
 
 

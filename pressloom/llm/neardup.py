@@ -137,7 +137,8 @@ def _ordered(grams: DataFrame, similar: float, parts: int) -> DataFrame:
     by_gram = grams.groupBy("gram").agg(F.count("*").alias("df"), F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.max("n").alias("most"))
     shared = by_gram.where("lo < hi and most > 0").select("gram", "df")
     kept = grams.join(shared.hint("shuffle_hash"), "gram")
-    own = kept.groupBy("class_id", "n").agg(F.array_sort(F.collect_set(F.struct("df", "gram"))).alias("s"))
+    # plain rows travel, as there is next to nothing to aggregate before
+    own = kept.select("class_id", "n", F.col("df").cast("int").alias("df"), "gram").repartition(parts, "class_id").groupBy("class_id", "n").agg(F.array_sort(F.collect_set(F.struct("df", "gram"))).alias("s"))
     prefix = F.col("n") - F.ceil(F.col("n") * F.lit(similar) - F.lit(_EPS)) + 1
     return (
         own.select("class_id", "n", F.col("s.gram").alias("grams"), (prefix - (F.col("n") - F.size("s"))).cast("int").alias("reach"))
@@ -262,7 +263,7 @@ def links(df: DataFrame, item_id: str, text: str, gram: int = GRAM, similar: flo
     class. Repeated rows give repeated membership. An empty table gives two empty results.
     Other columns are not read. Classes are told apart by a hash of 64 bits, n-grams likewise.
     """
-    parts = sized_partitions(df.select(text))
+    parts = sized_partitions(df.select(text), 1 << 20)
     ordered = cut_lineage(_ordered(_grams(df, item_id, text, gram, spaceless), similar, parts))
     tries, visits = _stored(ordered, similar)
     return classes(df, item_id, text, gram, spaceless), _walk(ordered, tries, visits, similar, parts)

@@ -66,11 +66,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def sized_partitions(df: DataFrame, each: int = 4 << 20) -> int:
-    """Partitions for a shuffle that grows with df: one for every ``each`` bytes the optimizer
-    expects of it, and no fewer than the session's number."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    known = size < 1 << 60  # the optimizer's word for not knowing is larger
-    return max(partitions(df.sparkSession), min(-(-size // each), 100_000) if known else 0)
+    """Partitions for a shuffle that grows with df: one for every ``each`` bytes of the tables
+    it reads, and no fewer than the session's number."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)  # the optimizer's word for not knowing is larger
+    return max(partitions(df.sparkSession), min(-(-known // each), 100_000))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -8,10 +8,11 @@ needed to place the rest.
 
 The ordered sets are stored in tries, each set in one of them. Sets whose beginnings share
 n-grams get one label and so one trie; the trie of a label with too many sets is split by
-salt. A set visits the tries that hold one of the n-grams of its own beginning: it enters
-each at the nodes where the first common n-gram stands, sets with a common beginning
-sharing their partial overlap from there on, and leaves every subtree whose remaining
-length cannot reach the overlap that is needed. No pairs are made before the walk.
+salt. A set visits the tries that hold one of the n-grams of its own beginning where lengths
+and positions leave enough room: it enters each at the nodes where the first common n-gram
+stands, sets with a common beginning sharing their partial overlap from there on, and leaves
+every subtree whose remaining length cannot reach the overlap that is needed. No pairs of
+sets are made before the walk.
 """
 
 from __future__ import annotations
@@ -209,19 +210,34 @@ class Trie:
                             stack.append((child, o, p))
 
 
-def _stored(ordered: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
+def _stored(ordered: DataFrame, similar: float, parts: int) -> tuple[DataFrame, DataFrame]:
     """(tries, visits): tries (label, salt, class_id, n, grams, zone) places every set that can
-    be the shorter of a pair; visits (label, salt, class_id) are the tries each set must see."""
-    share = 2 * similar / (1 + similar)
-    zone = (F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(_EPS)) + 1 - F.col("skipped")).cast("int")
-    prefix = ordered.select("class_id", F.posexplode(F.slice("grams", 1, F.col("reach"))).alias("k", "gram"), zone.alias("zone"))
-    heads = prefix.groupBy("gram").agg(F.min("class_id").alias("head"))
-    label = prefix.join(heads, "gram").groupBy("class_id").agg(F.min("head").alias("label"))
-    placed = ordered.withColumn("zone", zone).where("zone > 0").join(label, "class_id")
-    pieces = placed.groupBy("label").agg(F.ceil(F.sum(F.size("grams")) / F.lit(TRIE)).cast("int").alias("pieces"))
-    tries = cut_lineage(placed.join(pieces, "label").select("label", F.pmod(F.xxhash64("class_id"), F.col("pieces")).cast("int").alias("salt"), "class_id", "n", "grams", "zone"))
-    doors = tries.select("label", "salt", F.explode(F.slice("grams", 1, F.col("zone"))).alias("gram")).distinct()
-    visits = prefix.select("gram", "class_id").join(doors, "gram").select("label", "salt", "class_id").distinct()
+    be the shorter of a pair and that somebody visits; visits (label, salt, class_id) are the
+    tries each set must see. A trie's doors are the n-grams of its sets' beginnings, each with
+    the lengths behind it; one too short for a set or too far in is not entered."""
+    share = similar / (1 + similar)
+    zone = (F.col("n") - F.ceil(F.col("n") * F.lit(2 * share) - F.lit(_EPS)) + 1 - F.col("skipped")).cast("int")
+    # the least hash of a beginning: alike for sets that are alike, and known without a shuffle
+    label = F.when(F.col("zone") > 0, F.array_min(F.transform(F.slice("grams", 1, F.col("zone")), lambda g: F.xxhash64(g))))
+    placed = ordered.withColumn("zone", zone).withColumn("label", label)
+    rows = placed.select("class_id", "n", "skipped", "zone", "label", F.posexplode(F.slice("grams", 1, F.col("reach"))).alias("k", "gram")).select(
+        "gram", "class_id", F.when(F.col("k") < F.col("zone"), F.col("label")).alias("label"), "n", (F.col("n") - F.col("k") - F.col("skipped")).alias("room")
+    )
+    rows = rows.repartition(parts, "gram")  # one exchange for both sides
+    doors = rows.where("label is not null").groupBy("gram", "label").agg(F.max("room").alias("far"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("sets"), F.min("class_id").alias("one"))
+    needed = F.ceil((F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * F.lit(similar) - F.lit(_EPS)))) * F.lit(share) - F.lit(_EPS))
+    seen = (
+        rows.select("gram", "class_id", "n", "room").hint("shuffle_hash").join(doors, "gram")
+        .where("(sets > 1 or one <> class_id) and least <= n")
+        .where((F.col("most") >= F.col("n") * F.lit(similar) - F.lit(_EPS)) & (F.least("far", "room") >= needed))
+        .select("label", "class_id").distinct()
+    )
+    seen = cut_lineage(seen)
+    asked = seen.select("label").distinct()
+    held = placed.where("zone > 0").join(asked, "label", "left_semi")
+    pieces = held.groupBy("label").agg(F.ceil(F.sum(F.size("grams")) / F.lit(TRIE)).cast("int").alias("pieces"))
+    tries = held.join(pieces, "label").select("label", F.pmod(F.xxhash64("class_id"), F.col("pieces")).cast("int").alias("salt"), "class_id", "n", "grams", "zone")
+    visits = seen.join(pieces, "label").select("label", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("salt"), "class_id")
     return tries, visits
 
 
@@ -263,9 +279,9 @@ def links(df: DataFrame, item_id: str, text: str, gram: int = GRAM, similar: flo
     class. Repeated rows give repeated membership. An empty table gives two empty results.
     Other columns are not read. Classes are told apart by a hash of 64 bits, n-grams likewise.
     """
-    parts = sized_partitions(df.select(text), 1 << 20)
+    parts = sized_partitions(df)
     ordered = cut_lineage(_ordered(_grams(df, item_id, text, gram, spaceless), similar, parts))
-    tries, visits = _stored(ordered, similar)
+    tries, visits = _stored(ordered, similar, parts)
     return classes(df, item_id, text, gram, spaceless), _walk(ordered, tries, visits, similar, parts)
 
 

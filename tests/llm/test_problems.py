@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -97,6 +98,29 @@ def test_units_cover_any_text(seed):
     assert all(b <= c for (_, b), (c, _) in zip(u, u[1:]))
 
 
+CHINESE = ["审计处清晨公布了名单。记者追问此事。官员没有回应。", "村民问粮食去了哪里？记者追问金额。", "官员没有回应。审计处清晨公布了金额。", "粮食去了哪里？官员没有回应。"]
+
+
+def lexicon():
+    counts = defaultdict(lambda: [0, 0, 0])
+    for t in CHINESE * 5:
+        sentences.count_runs(t, counts)
+    return sentences.Lexicon({w: tuple(n) for w, n in counts.items()})
+
+
+@pytest.mark.parametrize("text, cut", [("粮食去了哪里审计处清晨公布了名单", 6), ("官员没有回应记者追问此事", 6), ("审计处清晨公布了名单", None)])
+def test_lattice_cuts_runs_without_terminators(text, cut):
+    want = [(0, len(text))] if cut is None else [(0, cut), (cut, len(text))]
+    assert sentences.sentences(text, lexicon()) == want
+    assert sentences.sentences(text) == [(0, len(text))]  # nothing else finds them
+
+
+def test_lattice_over_a_table(spark):
+    rows = [(i, t) for i, t in enumerate(CHINESE * 5)] + [(99, "官员没有回应记者追问此事"), (100, "No Chinese. Here")]
+    got = sentences.units(docs(spark, rows), "id", "body").where("item_id >= 99").collect()
+    assert sorted((r.item_id, r.sent_start, r.sent_end) for r in got) == [(99, 0, 6), (99, 6, 12), (100, 0, 11), (100, 12, 16)]
+
+
 # 5: wrong encodings
 
 

@@ -1,17 +1,22 @@
 """Problem 4: traces of page layout and misreading in text from scanned pages.
 
-Running headers, footers and page numbers are lines of a few fixed shapes and leave first,
-as they also stand inside broken words. Words broken across lines are joined, unless the
-corpus knows them with their hyphen. Misread characters are corrected by a noisy channel:
-every word of a line has the frequent words it may be a misreading of as candidates, the
-probability of a confusion is estimated from all words of the corpus, word and word-pair
-frequencies are the language model, and Viterbi decoding picks the best line. What a word
-occurs as no more often than misreading explains does not count as evidence for it.
-
-Corpus statistics are counted over all texts, pre-aggregated in each partition. Only words
-and pairs above a fixed share of the corpus are sent to the executors, so their number has
-a bound that does not depend on the data. Every counted word is looked up once for what it
-may be a misreading of; those for which there is something are sent as well.
+Running headers, footers and page numbers leave first, as they also stand inside broken
+words. A line is one if it has the form of one and its shape recurs in the corpus, or if it
+comes back at the edges of most pages of its text, whatever its form. Words broken across
+lines are joined, unless the corpus knows them with their hyphen. Misread characters are
+corrected by a noisy channel: every word of a line has the words it may be a misreading of
+as candidates, the probability of a confusion is estimated from all words of the corpus,
+word and word-pair frequencies are the language model, and Viterbi decoding picks the best
+line. A word that no frequent word explains is spelled again: confusions are undone where
+the corpus's n-grams of kinds of characters (letters by script and case, figures, each sign)
+find the result so much likelier that it pays for them, and its n-grams of characters choose
+among the results. What a word occurs as no more often than misreading explains does not count as evidence for it.
+Nothing is taken for misread but by these probabilities.
+
+Corpus statistics are counted over all texts, pre-aggregated in each partition. Only words,
+pairs, n-grams and shapes above a fixed share of the corpus are sent to the executors, so
+their number has a bound that does not depend on the data. Every counted word is looked up
+once for what it may be a misreading of; those for which there is something are sent too.
 """
 
 from __future__ import annotations
@@ -44,6 +49,7 @@ CONFUSIONS = {
     "rn": "m", "cl": "d", "li": "h", "vv": "w", "ii": "u", "c": "e", "†": "t", "5": "s", "0": "o", "|": "i", "1": "l", "9": "g", "6": "b", "8": "B", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl",
 }
 _DASH = r"\-‐­¬"
+_SHAPE, _KIND = "\x01", "\x04"
 _N = r"[0-9౦-౯०-९۰-۹]"
 _DATE = r"\d{1,2}[./-]\d{1,2}[./-](?:19|20)\d\d"
 _FURNITURE = re.compile(
@@ -65,12 +71,6 @@ _FURNITURE = re.compile(
 _TOKEN = re.compile(r"[^\s.,;:!?()\[\]{}“”‘\"…।॥۔؟،。！？—–/]+")
 _BROKEN = re.compile(rf"([^\s\d{_DASH}]+)[{_DASH}][ \t]*$")
 _HEAD = re.compile(r"\s*([^\s.,;:!?()“”‘’\"…।॥۔؟،—–/]+)")
-#: Characters that cannot stand inside a word of these scripts as they are.
-_INSIDE = re.compile(
-    r"[A-Za-z]{2}[0-9†|](?=[a-z])|\b[A-Za-z][0-9†|](?=[a-z]{2})|[a-z][0-9†|](?=\b|$)(?<![a-z]{1}\d)|[A-Za-z]†|†[a-z]|[ﬀ-ﬄ]"
-    r"|[ఀ-౿][0-9|](?=[ఀ-౿\s.,?!]|$)|[ऀ-ॿ][0-9|](?=[ऀ-ॿ\s.,?!]|$)|[ऀ-ॿ]'(?=[ऀ-ॿ\s.,?!]|$)|[ఀ-౿]'(?=[ఀ-౿])"
-)
-_ODD = re.compile(r"[0-9†|'ﬀ-ﬄ]")
 _SANE = re.compile(r"[A-Za-z0-9†|'’ﬀ-ﬄ-]+$|[ఀ-౿0-9|'‌‍-]+$|[ऀ-ॿ0-9|'‌‍-]+$|[؀-ۿ0-9|‌-]+$")
 
 
@@ -79,7 +79,8 @@ class Model:
     misread forms to the frequent words they may stand for. Forms that are not in the index
     are searched for by learn."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], total: int, confusions: dict[tuple[str, str], float], index: dict[str, list[tuple[str, float]]] | None = None) -> None:
+    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], total: int, confusions: dict[tuple[str, str], float], index: dict[str, list[tuple[str, float]]] | None = None, grams: dict[str, int] | None = None, shapes: dict[str, int] | None = None) -> None:
+        self.grams, self.shapes = grams or {}, shapes or {}
         self.words, self.pairs, self.total = words, pairs, max(total, 1)
         self.confusions = confusions
         self.index = index if index is not None else {}
@@ -125,6 +126,53 @@ class Model:
                     todo.append((own + b, end, j + 1, used + k, s + p))
         return sorted(found.items())
 
+    @cached_property
+    def contexts(self) -> dict[str, int]:
+        """Counts of the two characters, or kinds, before a third."""
+        two: Counter = Counter()
+        for g, n in self.grams.items():
+            two[g[:-1]] += n
+        return two
+
+    def likelihood(self, w: str, kind: str = "") -> float:
+        """log probability of a word's characters, each after the two before it."""
+        t = f"\x02\x02{w}\x03"
+        two, out = self.contexts, 0.0
+        for i in range(2, len(t)):
+            out += log((self.grams.get(kind + t[i - 2 : i + 1], 0) + 0.01) / (two.get(kind + t[i - 2 : i], 0) + 1.0))
+        return out
+
+    def spell(self, w: str) -> list[tuple[str, float]]:
+        """The likeliest word that up to MOST confusions make of w, where the kinds of its
+        characters pay for them; none without a model of characters."""
+        if len(w) < 3 or not self.grams or not _SANE.match(w) or not any(c in self.rules for c in w):
+            return []
+        shown = kinds_of(w)
+        if all(k in "aAtdux" for k in shown) or shown.isdigit():  # letters for letters pay for nothing
+            return []
+        own = self.likelihood(shown, _KIND)
+        best, gain, paid = w, 0.0, 0.0
+        for _ in range(MOST):
+            step = (0.0, 0.0, best, paid)
+            for i, c in enumerate(best):
+                for a, b, k, p in self.rules.get(c, ()):
+                    if k == 1 and best.startswith(a, i):
+                        v = best[:i] + b + best[i + len(a) :]
+                        g = self.likelihood(kinds_of(v), _KIND) - own + paid + p
+                        if g > gain:
+                            step = max(step, (g + self.likelihood(v.lower()), g, v, paid + p), key=lambda x: (x[2] != best, x[0]))
+            if step[2] == best:
+                break
+            _, gain, best, paid = step
+        return [(best, gain)] if best != w and gain + log(ERROR) > 0 else []
+
+    def oddity(self, w: str, options: list[tuple[str, float]]) -> float:
+        """How much less likely the kinds of a word's characters stand together than those of
+        what it may be a misreading of, as a log, at most 0."""
+        if not options or not self.grams or all(k in "aAtdux" for k in kinds_of(w)):
+            return 0.0
+        return min(0.0, self.likelihood(kinds_of(w), _KIND) - max(self.likelihood(kinds_of(v), _KIND) for v, _ in options))
+
     def learn(self, tokens: list[str]) -> None:
         """Words that were not counted as they are, such as joined ones, come into the index."""
         if len(self.asked) > 200_000:
@@ -132,7 +180,7 @@ class Model:
         for w in tokens:
             if w not in self.asked and w not in self.index:
                 self.asked.add(w)
-                if options := self.search(w):
+                if options := self.search(w) or (self.spell(w) if w not in self.words else []):
                     self.index[w] = options
 
     def candidates(self, w: str) -> list[tuple[str, float]]:
@@ -153,7 +201,7 @@ class Model:
         for t, opts in zip(tokens, options):
             # as itself, a word that misreading explains is as good as unknown
             known = self.words.get(t, 0) / self.total if not opts else 0.0
-            states.append([(t, log(1 - ERROR) if known else 0.0), *[(v, log(ERROR) + s) for v, s in opts]])
+            states.append([(t, log(1 - ERROR) if known else self.oddity(t, opts)), *[(v, log(ERROR) + s) for v, s in opts]])
         best: list[tuple[float, list]] = []
         for k, opts in enumerate(states):
             row = []
@@ -206,9 +254,52 @@ def _places(text: str, part: str) -> Iterator[int]:
         i = text.find(part, i + 1)
 
 
-def is_furniture(line: str) -> bool:
+def kinds_of(word: str) -> str:
+    """One character for the kind of each: a script's letter, capital, figure, or the sign itself."""
+    out = []
+    for c in word:
+        if c.isascii():
+            out.append("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c)
+        elif "ఀ" <= c < "ಀ":
+            out.append("t")
+        elif "ऀ" <= c < "ঀ":
+            out.append("d")
+        elif "؀" <= c < "܀":
+            out.append("u")
+        else:
+            out.append("x" if c.isalpha() and not "ﬀ" <= c <= "ﬄ" else c)
+    return "".join(out)
+
+
+_LETTERS = re.compile(r"[A-Za-z]+")
+_FIGURES = re.compile(r"\d+")
+
+
+def shape(line: str) -> str:
+    """A line with figures as # and Latin words by their case alone."""
+    s = _LETTERS.sub(lambda m: "A" if m.group().isupper() and len(m.group()) > 1 else "Aa" if m.group()[0].isupper() else "a", _FIGURES.sub("#", line.strip()))
+    return " ".join(s.split())
+
+
+def has_form(line: str) -> bool:
+    """Whether a line has the form of a page number, header or footer."""
     s = line.strip()
-    return bool(s) and len(s) <= 70 and _FURNITURE.fullmatch(s) is not None
+    return bool(s) and _FURNITURE.fullmatch(s) is not None
+
+
+def is_furniture(line: str, model: Model) -> bool:
+    return has_form(line) and shape(line) in model.shapes
+
+
+def running(pages: list[list[str]]) -> set[str]:
+    """Lines, with figures as #, that stand at the edges of most of three and more pages."""
+    if len(pages) < 3:
+        return set()
+    seen: Counter = Counter()
+    for lines in pages:
+        full = [x for x in lines if x.strip()]
+        seen.update({_FIGURES.sub("#", x.strip()) for x in (full[:1] + full[-1:])})
+    return {x for x, n in seen.items() if n >= 3 and 2 * n > len(pages)}
 
 
 def repair(text: str | None, model: Model) -> tuple[str | None, list[str]]:
@@ -217,10 +308,12 @@ def repair(text: str | None, model: Model) -> tuple[str | None, list[str]]:
         return text, []
     kinds: set[str] = set()
     lines = []
-    for page in text.split("\f"):
+    pages = [page.split("\n") for page in text.split("\f")]
+    repeated = running(pages)
+    for page in pages:
         lines.append("")
-        for x in page.split("\n"):
-            if is_furniture(x):
+        for x in page:
+            if is_furniture(x, model) or (repeated and _FIGURES.sub("#", x.strip()) in repeated):
                 kinds.add("furniture")
             else:
                 lines.append(x.rstrip())
@@ -269,8 +362,6 @@ def repair(text: str | None, model: Model) -> tuple[str | None, list[str]]:
                 parts += [line[at : m.start()], v]
                 at = m.end()
             line = "".join(parts) + line[at:]
-        elif "glyph" not in kinds and _ODD.search(line) and any(_ODD.search(t) and _INSIDE.search(t) and _SANE.match(t) for t in tokens):
-            kinds.add("glyph")
         fixed.append(line)
     return paragraphs(fixed), sorted(kinds)
 
@@ -301,20 +392,46 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for t in b.column(0).to_pylist():
             seen.update(_TOKEN.findall(t))
+            seen.update(_SHAPE + shape(x) for x in t.replace("\f", "\n").split("\n") if has_form(x))
         if len(seen) > 1_000_000:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
             seen.clear()
     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
 
 
+def _pair_rows(seen: Counter) -> pa.RecordBatch:
+    us, vs = zip(*seen) if seen else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(us, pa.string()), pa.array(vs, pa.string()), pa.array(list(seen.values()), pa.int64())], ["u", "v", "n"])
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: Counter = Counter()
+    for b in batches:
+        for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if any(c.isalpha() for c in w):
+                for kind, t in (("", f"\x02\x02{w.lower()}\x03"), (_KIND, f"\x02\x02{kinds_of(w)}\x03")):
+                    for i in range(2, len(t)):
+                        seen[kind + t[i - 2 : i + 1]] += n
+        if len(seen) > 1_000_000:
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["g", "n"])
+            seen.clear()
+    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["g", "n"])
+
+
 def fit(texts: DataFrame) -> Model:
     """The model of a one-column table of texts: three aggregates over all of them."""
     sc = texts.sparkSession.sparkContext
-    words = cut_lineage(texts.mapInArrow(_count_words, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
+    counted = cut_lineage(texts.mapInArrow(_count_words, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
+    words = counted.where(~F.col("w").startswith(_SHAPE))
     total = words.agg(F.sum("n")).first()[0] or 0
     least = max(2, -(-total // SHARE))
     frequent = {r.w: r.n for r in words.where(F.col("n") >= least).collect()}  # at most SHARE words
     shipped = sc.broadcast(frequent)
+    forms = counted.where(F.col("w").startswith(_SHAPE) & (F.col("n") >= F.lit(max(1, total // SHARE))))
+    shapes = {r.w[1:]: r.n for r in forms.collect()}  # at most SHARE shapes
+    spelled = words.mapInArrow(_count_grams, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
+    letters = max(2, (spelled.agg(F.sum("n")).first()[0] or 0) // (8 * SHARE))
+    grams = {r.g: r.n for r in spelled.where(F.col("n") >= letters).collect()}  # at most 8 * SHARE runs of three characters or kinds
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = shipped.value, Counter()
@@ -323,8 +440,10 @@ def fit(texts: DataFrame) -> Model:
                 for line in t.split("\n"):
                     ws = _TOKEN.findall(line)
                     seen.update((u, v) for u, v in zip(ws, ws[1:]) if u in own and v in own)
-        us, vs = zip(*seen) if seen else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.string()), pa.array(vs, pa.string()), pa.array(list(seen.values()), pa.int64())], ["u", "v", "n"])
+            if len(seen) > 1_000_000:
+                yield _pair_rows(seen)
+                seen.clear()
+        yield _pair_rows(seen)
 
     pairs = texts.mapInArrow(count_pairs, "u string, v string, n bigint").groupBy("u", "v").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     pair_counts = {(r.u, r.v): r.n for r in pairs.collect()}  # at most SHARE pairs
@@ -350,19 +469,20 @@ def fit(texts: DataFrame) -> Model:
     seen = words.mapInArrow(confuse, "a string, b string, v string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"), F.countDistinct("v").alias("k"))
     learned = {(r.a, r.b): (r.n, r.k) for r in seen.where("k >= 3").collect()}  # pairs of characters
     confusions = channel(frequent, learned)
-    rules = sc.broadcast(confusions)
+    rules, spelling = sc.broadcast(confusions), sc.broadcast(grams)
+    rare = RATIO * least  # what is more frequent is no misreading, whatever it looks like
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(shipped.value, {}, total, rules.value)
+        own = Model(shipped.value, {}, total, rules.value, None, spelling.value)
         for b in batches:
-            rows = [(w, v, s) for w in b.column(0).to_pylist() for v, s in own.search(w)]
+            rows = [(w, v, s) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for v, s in own.search(w) or (own.spell(w) if n <= rare else ())]
             ws, vs, ss = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), pa.array(vs, pa.string()), pa.array(ss, pa.float64())], ["w", "v", "s"])
 
     index: dict[str, list[tuple[str, float]]] = {}
     for r in words.mapInArrow(look_up, "w string, v string, s double").collect():  # misread forms only
         index.setdefault(r.w, []).append((r.v, r.s))
-    return Model(frequent, pair_counts, total, confusions, index)
+    return Model(frequent, pair_counts, total, confusions, index, grams, shapes)
 
 
 def channel(frequent: dict[str, int], learned: dict[tuple[str, str], tuple[int, int]]) -> dict[tuple[str, str], float]:
@@ -392,7 +512,7 @@ def repaired(df: DataFrame, item_id: str, text: str) -> DataFrame:
     kind = df.schema[item_id].dataType.simpleString()
     rows = df.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
     model = fit(rows.where("text is not null").select("text"))
-    shipped = df.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.total, model.confusions, model.index))
+    shipped = df.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.total, model.confusions, model.index, model.grams, model.shapes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shipped.value)

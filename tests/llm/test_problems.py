@@ -418,11 +418,22 @@ def test_scans_targets_and_confusions():
             layer = {x[:i] + b + x[i + len(a) :] for x in layer for a, b in model.confusions for i in scans._places(x, a)}
             want |= {v for v in layer if v != w and words.get(v, 0) >= scans.RATIO * max(1, words.get(w, 0))}
         assert set(near(w)) == want, w
+    # without counts nothing is taken for misread and no line for furniture
+    blank = scans.Model({}, {}, 0, model.confusions)
+    assert scans.repair("the di5trict c0uncil\nPage 3 of 9\nwere corrected", blank)[1] == []
     # words that come about by joining are searched as well
     text, noise = scans.repair("dome corric-\nlors", scans.Model(words, {("dome", "corridors"): 4000}, total, model.confusions))
     assert (text, noise) == ("dome corridors", ["glyph", "hyphen"])
 
 
+def test_scans_respell_unknown_words_and_running_headers(spark):
+    rows = [(i, f"the quarterly reports of the council were corrected in town {i}") for i in range(60)]
+    rows += [(100, "they met in Kollip5ara and Teg|pet today"), (101, "\f".join(f"Evening Bulletin of the Coast\nthe council met on matter {k} again\nand again" for k in "abcd"))]
+    got = {r.item_id: r for r in scans.repaired(docs(spark, rows), "id", "body").collect()}
+    assert list(got[0].noise) == [] and list(got[100].noise) == ["glyph"] and "5" not in got[100].text
+    assert list(got[101].noise) == ["furniture"] and "Bulletin" not in got[101].text and got[101].text.count("council") == 4
+
+
 def test_scans_rare_target(spark):
     rows = [(i, "the water dues were shown " * 10) for i in range(14_000)] + [(20_000 + i, "the sluice gates") for i in range(13)] + [(30_000, "the slu1cc gates"), (30_001, "the sluicc gates")]
     model = scans.fit(docs(spark, rows).select("body"))

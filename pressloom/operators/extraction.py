@@ -13,45 +13,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressloom.functions import scalars as S
+from pressloom.functions.text import content_hash, strip
 from pressloom.operators.components import connected_components
 
 LIMIT, QUOTE = 2400, 400
 RECORD = "entities array<struct<name:string,type:string>>, relations array<struct<source:string,relation:string,target:string,evidence:string>>"
 
 
-def cuts(text: str, limit: int = LIMIT) -> list[tuple[int, int]]:
-    """Pieces of at most ``limit`` characters, ended at the last line break, else the last
-    space, of their second half."""
-    out, start = [], 0
-    while len(text) - start > limit:
-        end = start + limit
-        at = max(text.rfind("\n", start + limit // 2, end), -1)
-        if at < 0:
-            at = text.rfind(" ", start + limit // 2, end)
-        end = at if at > start else end
-        out.append((start, end))
-        start = end
-    out.append((start, len(text)))
-    return out
-
-
 def pieces(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(chunk_id, piece_id, text, content_hash): texts over the limit cut, each piece with an
-    id and a hash of its own."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [
-                (c, c if len(spans) == 1 else f"{c}#s{i}", p, hashlib.sha1(" ".join(p.split()).encode()).hexdigest())
-                for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-                for spans in [cuts(t, limit)]
-                for i, (x, y) in enumerate(spans)
-                if (p := t[x:y].strip())
-            ]
-            cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["chunk_id", "piece_id", "text", "content_hash"])
-
-    return chunks.select("chunk_id", "text").where("text is not null").mapInArrow(run, "chunk_id string, piece_id string, text string, content_hash string")
+    """(chunk_id, piece_id, text, content_hash): texts over the limit cut before the last line
+    break, else before the last space, of the second half of their room; each piece with an
+    id and a hash of its own. Null and blank texts give no piece."""
+    half = limit // 2
+    room = rf"(?s)\G(?:.{{1,{limit}}}\z|.{{{half},{limit - 1}}}(?=\n)|.{{{half},{limit - 1}}}(?= )|.{{{limit}}})"
+    cut = F.filter(F.transform(F.regexp_extract_all("text", F.lit(room), F.lit(0)), strip), lambda p: p != "")
+    flat = chunks.select("chunk_id", F.length("text").alias("size"), F.posexplode(cut).alias("i", "text"))
+    piece = F.when(F.col("size") > limit, F.concat("chunk_id", F.lit("#s"), F.col("i").cast("string"))).otherwise(F.col("chunk_id"))
+    return flat.select("chunk_id", piece.alias("piece_id"), "text", content_hash(F.col("text")).alias("content_hash"))
 
 
 def outstanding(wanted: DataFrame, cache: DataFrame) -> DataFrame:

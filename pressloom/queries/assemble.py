@@ -88,7 +88,16 @@ def _scope(condition: str, weight: str) -> str:
     return f"SELECT source_id, relation, target_id, len(f)::INT AS n_evidence, {weight} AS weight, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(f[1:2], lambda e: e.press_meet_id), lambda m: m <> ''))), ','), '') AS meets, list_min(ds) AS first_date, list_max(ds) AS last_date FROM (SELECT *, list_filter(list_transform(f[1:2], lambda e: e.date), lambda x: x <> '') AS ds FROM (SELECT *, list_filter(coalesce(evidence, []), lambda e: coalesce(e.chunk_id <> '' AND e.source_file <> '' AND {condition}, false)) AS f FROM edges)) WHERE len(f) > 0"
 
 
+#: Sentences of a text: short forms lose their periods before the text is cut at line breaks.
+_SENTENCES = r"list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace({}, '(?i)\b(Rs|No|Dr|Mr|Mrs|Ms|Smt|Sri|St|vs|etc|i\.e|e\.g)\.', '\1' || chr(1), 'g'), '([.!?।])\s+', '\1' || chr(10), 'g'), '\n+'), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '' AND NOT starts_with(s, '#'))"
+
 SQL = {
+    "citation_verify": "SELECT item_id AS qid, '1' AS cited, '9' AS invalid, len(list_filter("
+    + _SENTENCES.replace("{}", r"CASE WHEN regexp_matches(passage, '[.!?।]\s*$') THEN regexp_replace(passage, '([.!?।])\s*$', ' [1]\1') ELSE passage || ' [1]' END")
+    + r", lambda s: length(regexp_replace(s, '[^\p{L}\p{N}]+', '', 'g')) >= 4 AND NOT regexp_matches(s, '\[\d{1,3}(\s*,\s*\d{1,3})*\]')))::INT AS uncited, 'invalid_citations' AS verdict FROM eval_items",
+    "citation_claims": "SELECT qid, (i)::INT AS n, length(c[i])::INT AS size FROM (SELECT qid, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT item_id AS qid, list_filter("
+    + _SENTENCES.replace("{}", r"regexp_replace(passage, '\.(\s|$)', ' [1].\1', 'g')")
+    + r", lambda s: contains(s, '[1]')) AS c FROM eval_items))",
     "scope_facts": _scope("e.language = 'en'", "len(f)::INT"),
     "all_facts": f"SELECT source_id, relation, target_id, n_evidence, weight, first_date, last_date FROM ({_scope('true', 'weight')})",
     "passage_neighbours": "WITH f AS (SELECT DISTINCT chunk_id, source_file, source_type FROM chunks), p AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY chunk_id) AS i FROM (SELECT DISTINCT chunk_id, source_file FROM f)), h AS (SELECT p.* FROM p WHERE chunk_id IN (SELECT chunk_id FROM f WHERE source_type = 'table')) SELECT h.chunk_id AS hit, p.chunk_id AS chunk_id, (p.i - h.i)::INT AS \"offset\" FROM h JOIN p ON h.source_file = p.source_file AND abs(p.i - h.i) <= 2",

@@ -1,11 +1,27 @@
+import random
 from pressloom.operators import extraction as X
 from pressloom.operators.graph import legal_triples
 
 
-def test_cuts_prefer_line_breaks():
-    t = "a" * 60 + "\n" + "b" * 30 + " " + "c" * 80
-    assert [t[x:y].strip() for x, y in X.cuts(t, 100)] == ["a" * 60, "b" * 30 + " " + "c" * 68, "c" * 12]
-    assert X.cuts("x" * 250, 100) == [(0, 100), (100, 200), (200, 250)] and X.cuts("", 5) == [(0, 0)]
+def plain_pieces(text, limit):
+    """The rule itself: the last line break, else the last space, of the second half of the room."""
+    out, at = [], 0
+    while len(text) - at > limit:
+        room = text[at : at + limit]
+        found = [i for c in "\n " for i in [room.rfind(c, limit // 2)] if i > 0]
+        out.append(text[at : at + (found[0] if found else limit)])
+        at += found[0] if found else limit
+    return [p.strip() for p in [*out, text[at:]] if p.strip()]
+
+
+def test_pieces_prefer_line_breaks(spark):
+    rng = random.Random(3)
+    texts = ["a" * 60 + "\n" + "b" * 30 + " " + "c" * 80, "x" * 250, "", "   ", None, *("".join(rng.choice("ab  \nతి") for _ in range(rng.randrange(700))) for _ in range(40))]
+    got: dict = {}
+    for r in X.pieces(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "chunk_id string, text string"), 100).collect():
+        got.setdefault(int(r.chunk_id), []).append((r.piece_id, r.text))
+    for i, t in enumerate(texts):
+        assert [x for _, x in sorted(got.get(i, []), key=lambda p: int(p[0].partition("#s")[2] or 0))] == plain_pieces(t or "", 100), i
 
 
 def test_pieces_and_cache(spark):

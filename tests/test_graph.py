@@ -201,8 +201,10 @@ def test_gather_keeps_facts_on_topic(spark):
     "text, clean, cited, invalid, uncited",
     [("A fact [1]. Another [2].", "A fact [1]. Another [2].", [1, 2], [], 0), ("Wrong [9].", "Wrong .", [], [9], 1), ("Both [1, 7].", "Both [1].", [1], [7], 0), ("It cost Rs. 2 crore. [1]", "It cost Rs. 2 crore [1].", [1], [], 0), ("No source here. Yes [1].", "No source here. Yes [1].", [1], [], 1), (None, "", [], [], 0)],
 )
-def test_check_answer(text, clean, cited, invalid, uncited):
-    assert K.check_answer(text, [1, 2]) == {"clean": clean, "cited": cited, "invalid": invalid, "uncited": uncited}
+def test_verify_citations(spark, text, clean, cited, invalid, uncited):
+    a = spark.createDataFrame([(1, text, [1, 2])], "qid long, text string, sources array<int>")
+    r = K.verify_citations(a).first()
+    assert (r.clean, list(r.cited), list(r.invalid), r.uncited) == (clean, cited, invalid, uncited)
 
 
 def test_verdict_ladder(spark):

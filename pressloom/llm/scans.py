@@ -49,7 +49,8 @@ CONFUSIONS = {
     "rn": "m", "cl": "d", "li": "h", "vv": "w", "ii": "u", "c": "e", "†": "t", "5": "s", "0": "o", "|": "i", "1": "l", "9": "g", "6": "b", "8": "B", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl",
 }
 _DASH = r"\-‐­¬"
-_SHAPE, _KIND = "\x01", "\x04"
+_DASHES = frozenset("-‐\u00ad¬")
+_SHAPE = "\x01"
 _N = r"[0-9౦-౯०-९۰-۹]"
 _DATE = r"\d{1,2}[./-]\d{1,2}[./-](?:19|20)\d\d"
 _FURNITURE = re.compile(
@@ -68,6 +69,8 @@ _FURNITURE = re.compile(
         ]
     )
 )
+_LOOSE = re.compile(r"[-–—\[\]( ]*[ivx]{1,6}[-–—\]\[) ]*$|https?://|www\.")
+_ANY_FIGURE = re.compile(_N)
 _TOKEN = re.compile(r"[^\s.,;:!?()\[\]{}“”‘\"…।॥۔؟،。！？—–/]+")
 _BROKEN = re.compile(rf"([^\s\d{_DASH}]+)[{_DASH}][ \t]*$")
 _HEAD = re.compile(r"\s*([^\s.,;:!?()“”‘’\"…।॥۔؟،—–/]+)")
@@ -85,6 +88,7 @@ class Model:
         self.confusions = confusions
         self.index = index if index is not None else {}
         self.asked: set[str] = set()
+        self.odd: dict[str, float] = {}
         self.rules: dict[str, list[tuple[str, str, int, float]]] = defaultdict(list)  # by first character
         for (a, b, k), p in _chains(confusions).items():
             self.rules[a[0]].append((a, b, k, p))
@@ -127,19 +131,27 @@ class Model:
         return sorted(found.items())
 
     @cached_property
-    def contexts(self) -> dict[str, int]:
-        """Counts of the two characters, or kinds, before a third."""
-        two: Counter = Counter()
+    def letters(self) -> Counter:
+        """Runs of two and three characters of the frequent words."""
+        out: Counter = Counter()
+        for w, n in self.words.items():
+            _runs(f"\x02\x02{w.lower()}\x03", n, out)
+        return out
+
+    @cached_property
+    def kinds(self) -> Counter:
+        out: Counter = Counter()
         for g, n in self.grams.items():
-            two[g[:-1]] += n
-        return two
+            out[g] += n
+            out[g[:-1]] += n
+        return out
 
-    def likelihood(self, w: str, kind: str = "") -> float:
-        """log probability of a word's characters, each after the two before it."""
+    def likelihood(self, w: str, of: str = "kinds") -> float:
+        """log probability of a word's characters, or their kinds, each after the two before it."""
         t = f"\x02\x02{w}\x03"
-        two, out = self.contexts, 0.0
+        counts, out = self.kinds if of == "kinds" else self.letters, 0.0
         for i in range(2, len(t)):
-            out += log((self.grams.get(kind + t[i - 2 : i + 1], 0) + 0.01) / (two.get(kind + t[i - 2 : i], 0) + 1.0))
+            out += log((counts.get(t[i - 2 : i + 1], 0) + 0.01) / (counts.get(t[i - 2 : i], 0) + 1.0))
         return out
 
     def spell(self, w: str) -> list[tuple[str, float]]:
@@ -148,9 +160,9 @@ class Model:
         if len(w) < 3 or not self.grams or not _SANE.match(w) or not any(c in self.rules for c in w):
             return []
         shown = kinds_of(w)
-        if all(k in "aAtdux" for k in shown) or shown.isdigit():  # letters for letters pay for nothing
+        if not _SIGN.search(shown) or not any(k in "aAtdux" for k in shown):  # letters for letters pay for nothing
             return []
-        own = self.likelihood(shown, _KIND)
+        own = self.likelihood(shown)
         best, gain, paid = w, 0.0, 0.0
         for _ in range(MOST):
             step = (0.0, 0.0, best, paid)
@@ -158,9 +170,9 @@ class Model:
                 for a, b, k, p in self.rules.get(c, ()):
                     if k == 1 and best.startswith(a, i):
                         v = best[:i] + b + best[i + len(a) :]
-                        g = self.likelihood(kinds_of(v), _KIND) - own + paid + p
+                        g = self.likelihood(kinds_of(v)) - own + paid + p
                         if g > gain:
-                            step = max(step, (g + self.likelihood(v.lower()), g, v, paid + p), key=lambda x: (x[2] != best, x[0]))
+                            step = max(step, (g + self.likelihood(v.lower(), "letters"), g, v, paid + p), key=lambda x: (x[2] != best, x[0]))
             if step[2] == best:
                 break
             _, gain, best, paid = step
@@ -169,9 +181,15 @@ class Model:
     def oddity(self, w: str, options: list[tuple[str, float]]) -> float:
         """How much less likely the kinds of a word's characters stand together than those of
         what it may be a misreading of, as a log, at most 0."""
-        if not options or not self.grams or all(k in "aAtdux" for k in kinds_of(w)):
+        if not options or not self.grams:
             return 0.0
-        return min(0.0, self.likelihood(kinds_of(w), _KIND) - max(self.likelihood(kinds_of(v), _KIND) for v, _ in options))
+        if (known := self.odd.get(w)) is None:
+            shown = kinds_of(w)
+            known = min(0.0, self.likelihood(shown) - max(self.likelihood(kinds_of(v)) for v, _ in options)) if _SIGN.search(shown) else 0.0
+            if len(self.odd) > 200_000:
+                self.odd.clear()
+            self.odd[w] = known
+        return known
 
     def learn(self, tokens: list[str]) -> None:
         """Words that were not counted as they are, such as joined ones, come into the index."""
@@ -254,21 +272,30 @@ def _places(text: str, part: str) -> Iterator[int]:
         i = text.find(part, i + 1)
 
 
+class _Kinds(dict):
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        if code < 0x80:
+            kind = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c
+        elif 0xC00 <= code < 0xC80:
+            kind = "t"
+        elif 0x900 <= code < 0x980:
+            kind = "d"
+        elif 0x600 <= code < 0x700:
+            kind = "u"
+        else:
+            kind = "x" if c.isalpha() and not "ﬀ" <= c <= "ﬄ" else c
+        self[code] = kind
+        return kind
+
+
+_KINDS = _Kinds()
+_SIGN = re.compile(r"[^aAtdux]")
+
+
 def kinds_of(word: str) -> str:
     """One character for the kind of each: a script's letter, capital, figure, or the sign itself."""
-    out = []
-    for c in word:
-        if c.isascii():
-            out.append("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c)
-        elif "ఀ" <= c < "ಀ":
-            out.append("t")
-        elif "ऀ" <= c < "ঀ":
-            out.append("d")
-        elif "؀" <= c < "܀":
-            out.append("u")
-        else:
-            out.append("x" if c.isalpha() and not "ﬀ" <= c <= "ﬄ" else c)
-    return "".join(out)
+    return word.translate(_KINDS)
 
 
 _LETTERS = re.compile(r"[A-Za-z]+")
@@ -284,7 +311,9 @@ def shape(line: str) -> str:
 def has_form(line: str) -> bool:
     """Whether a line has the form of a page number, header or footer."""
     s = line.strip()
-    return bool(s) and _FURNITURE.fullmatch(s) is not None
+    if not s or (s[0].isalpha() and s[-1].isalpha() and s[-1] != "页" and not _LOOSE.match(s)) or not (_ANY_FIGURE.search(s) or _LOOSE.match(s)):
+        return False  # every form has a figure at one of its ends, or is one of the loose ones
+    return _FURNITURE.fullmatch(s) is not None
 
 
 def is_furniture(line: str, model: Model) -> bool:
@@ -323,7 +352,7 @@ def repair(text: str | None, model: Model) -> tuple[str | None, list[str]]:
     i = 0
     while i < len(lines):
         line = lines[i]
-        while (m := _BROKEN.search(line)) and i + 1 < len(lines):
+        while line.rstrip(" \t")[-1:] in _DASHES and (m := _BROKEN.search(line)) and i + 1 < len(lines):
             nxt = i + 1
             while nxt < len(lines) - 1 and not lines[nxt].strip() and nxt < i + 3:
                 nxt += 1
@@ -404,17 +433,29 @@ def _pair_rows(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(us, pa.string()), pa.array(vs, pa.string()), pa.array(list(seen.values()), pa.int64())], ["u", "v", "n"])
 
 
+def _runs(t: str, n: int, into: Counter) -> None:
+    for i in range(2, len(t)):
+        into[t[i - 2 : i + 1]] += n
+        into[t[i - 2 : i]] += n
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shown: Counter = Counter()
     seen: Counter = Counter()
+
+    def flush() -> None:
+        for w, n in shown.items():
+            t = f"\x02\x02{w}\x03"
+            for i in range(2, len(t)):
+                seen[t[i - 2 : i + 1]] += n
+        shown.clear()
+
     for b in batches:
         for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if any(c.isalpha() for c in w):
-                for kind, t in (("", f"\x02\x02{w.lower()}\x03"), (_KIND, f"\x02\x02{kinds_of(w)}\x03")):
-                    for i in range(2, len(t)):
-                        seen[kind + t[i - 2 : i + 1]] += n
-        if len(seen) > 1_000_000:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["g", "n"])
-            seen.clear()
+            shown[kinds_of(w)] += n
+        if len(shown) > 200_000:
+            flush()
+    flush()
     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["g", "n"])
 
 
@@ -430,8 +471,7 @@ def fit(texts: DataFrame) -> Model:
     forms = counted.where(F.col("w").startswith(_SHAPE) & (F.col("n") >= F.lit(max(1, total // SHARE))))
     shapes = {r.w[1:]: r.n for r in forms.collect()}  # at most SHARE shapes
     spelled = words.mapInArrow(_count_grams, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
-    letters = max(2, (spelled.agg(F.sum("n")).first()[0] or 0) // (8 * SHARE))
-    grams = {r.g: r.n for r in spelled.where(F.col("n") >= letters).collect()}  # at most 8 * SHARE runs of three characters or kinds
+    grams = {r.g: r.n for r in spelled.where(F.col("n") >= least).collect()}  # runs of three kinds of characters, at most 10 * SHARE or so as words are short
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = shipped.value, Counter()
@@ -439,7 +479,7 @@ def fit(texts: DataFrame) -> Model:
             for t in b.column(0).to_pylist():
                 for line in t.split("\n"):
                     ws = _TOKEN.findall(line)
-                    seen.update((u, v) for u, v in zip(ws, ws[1:]) if u in own and v in own)
+                    seen.update([p for p in zip(ws, ws[1:]) if p[0] in own and p[1] in own])
             if len(seen) > 1_000_000:
                 yield _pair_rows(seen)
                 seen.clear()

@@ -293,9 +293,35 @@ def brute_leaks(rows, items, n):
     return out
 
 
-@pytest.mark.parametrize("block", [2, 1000])
-def test_leaks_equal_brute_force(spark, block):
-    rng = random.Random(block)
+def longest(w, v):
+    best = 0
+    for i in range(len(w)):
+        for j in range(len(v)):
+            k = 0
+            while i + k < len(w) and j + k < len(v) and w[i + k] == v[j + k]:
+                k += 1
+            best = max(best, k)
+    return best
+
+
+def test_leaks_of_spaceless_and_short_items(spark):
+    it = spark.createDataFrame([(1, "审计处清晨公布了全部文件名单"), (2, "the sluice gates were opened early"), (3, "tiny"), (4, "审计处清晨公布了全部文件名单与金额以及村庄")], "item bigint, passage string")
+    rows = [(1, "昨天审计处清晨公布了全部文件名单。"), (2, "He said the Sluice gates were opened early today"), (3, "the sluice gates were opened"), (4, None), (5, "昨天审计处清晨公布了")]
+    got = {(r.doc_id, r.item_id): r.n_words for r in leak.leaks(docs(spark, rows), "id", "body", it, "item", "passage", spaceless=True, short=5).collect()}
+    assert got == {(1, 1): 14, (1, 4): 14, (2, 2): 6}
+
+
+def test_leaks_of_a_hot_passage(spark):
+    passage = " ".join(f"w{k}" for k in range(40))
+    rows = [(i, f"intro {i} {passage} end") for i in range(300)]
+    it = spark.createDataFrame([(1, passage), (1, passage)], "item bigint, passage string")
+    got = leak.leaks(docs(spark, rows), "id", "body", it, "item", "passage").collect()
+    assert len(got) == 300 and {(r.n_words, r.share) for r in got} == {(40, 1.0)}
+
+
+@pytest.mark.parametrize("seed", [2, 1000])
+def test_leaks_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
     vocab = [f"w{k}" for k in range(30)] + ["తెలుగు", "हिंदी"]
     items = [(j, " ".join(rng.choice(vocab) for _ in range(rng.randrange(3, 30)))) for j in range(12)] + [(90, None), (91, "too short")]
     rows = []
@@ -308,9 +334,11 @@ def test_leaks_equal_brute_force(spark, block):
         rows.append((i, ", ".join(w).upper()))
     rows += [(70, None), (71, "")]
     it = spark.createDataFrame([(j, p, "clash") for j, p in items], "item bigint, passage string, text string")
-    got = leak.leaks(docs(spark, rows), "id", "body", it, "item", "passage", n=6, block=block).collect()
+    got = leak.leaks(docs(spark, rows), "id", "body", it, "item", "passage", n=6).collect()
     assert {(r.doc_id, r.item_id) for r in got} == brute_leaks(rows, items, 6)
     assert all(6 <= r.n_words and 0 < r.share <= 1 for r in got)
+    whole = {(i, j): k for i, t in rows for j, p in items if (k := longest(leak.words(t), leak.words(p))) >= 6}
+    assert {(r.doc_id, r.item_id): r.n_words for r in got} == whole
     assert leak.leaks(docs(spark, rows).limit(0), "id", "body", it, "item", "passage").count() == 0
     assert leak.leaks(docs(spark, rows), "id", "body", it.limit(0), "item", "passage").count() == 0
 

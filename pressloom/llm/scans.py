@@ -222,6 +222,9 @@ class Model:
             states.append([(t, log(1 - ERROR) if known else self.oddity(t, opts)), *[(v, log(ERROR) + s) for v, s in opts]])
         best: list[tuple[float, list]] = []
         for k, opts in enumerate(states):
+            if k and len(opts) == 1 and len(states[k - 1]) == 1:  # no choice, so nothing to weigh
+                best.append((0.0, [(best[k - 1][1][0][0], 0)]))
+                continue
             row = []
             for j, (v, channel) in enumerate(opts):
                 itself = j == 0 and len(opts) > 1
@@ -473,21 +476,6 @@ def fit(texts: DataFrame) -> Model:
     spelled = words.mapInArrow(_count_grams, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
     grams = {r.g: r.n for r in spelled.where(F.col("n") >= least).collect()}  # runs of three kinds of characters, at most 10 * SHARE or so as words are short
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = shipped.value, Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                for line in t.split("\n"):
-                    ws = _TOKEN.findall(line)
-                    seen.update([p for p in zip(ws, ws[1:]) if p[0] in own and p[1] in own])
-            if len(seen) > 1_000_000:
-                yield _pair_rows(seen)
-                seen.clear()
-        yield _pair_rows(seen)
-
-    pairs = texts.mapInArrow(count_pairs, "u string, v string, n bigint").groupBy("u", "v").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    pair_counts = {(r.u, r.v): r.n for r in pairs.collect()}  # at most SHARE pairs
-
     def confuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
         index: dict[str, list[str]] = defaultdict(list)
@@ -522,6 +510,25 @@ def fit(texts: DataFrame) -> Model:
     index: dict[str, list[tuple[str, float]]] = {}
     for r in words.mapInArrow(look_up, "w string, v string, s double").collect():  # misread forms only
         index.setdefault(r.w, []).append((r.v, r.s))
+    # a line is decoded between its ambiguous words: only pairs with a word that some form may stand for are asked for
+    targets = sc.broadcast({v for options in index.values() for v, _ in options})
+
+    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, asked, seen = shipped.value, targets.value, Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                for line in t.split("\n"):
+                    ws = _TOKEN.findall(line)
+                    if not asked.isdisjoint(ws):
+                        seen.update([p for p in zip(ws, ws[1:]) if (p[0] in asked or p[1] in asked) and p[0] in own and p[1] in own])
+            if len(seen) > 1_000_000:
+                yield _pair_rows(seen)
+                seen.clear()
+        yield _pair_rows(seen)
+
+    pairs = texts.mapInArrow(count_pairs, "u string, v string, n bigint").groupBy("u", "v").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    pair_counts = {(r.u, r.v): r.n for r in pairs.collect()}  # at most SHARE pairs
+
     return Model(frequent, pair_counts, total, confusions, index, grams, shapes)
 
 

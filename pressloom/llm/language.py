@@ -3,8 +3,9 @@
 Compression classification. From a bounded sample of records, sentences that the script or
 a few grammatical words place beyond doubt become one raw-content zstandard dictionary per
 language and script. A text is encoded with each of them and belongs to the one that makes
-it smallest; where the margin is narrow the text is not decided by itself but takes the
-language of the rest of its record. Names and figures are left out before encoding. Parts
+it smallest; where the margin is narrow a sentence is not decided by itself but takes the
+language of the rest of its record, and where the margin of all a record has in one script
+is next to nothing, no dictionary fits and it is undetermined. Names and figures are left out before encoding. Parts
 are sentence units; a record is mixed where a second language fills enough of it.
 """
 
@@ -28,6 +29,8 @@ SAMPLE, DICTIONARY = 6000, 48 * 1024
 LEVEL = 6
 #: Least relative difference between the two smallest encodings.
 MARGIN = 0.03
+#: Least difference for everything a record has in one script; below it the language is UNKNOWN.
+REJECT, UNKNOWN = 0.05, "und"
 #: Share of the text from which a second language makes a record mixed.
 MIXED = 0.175
 
@@ -115,7 +118,8 @@ class Classifier:
         return ranked[0][0], 1.0 if len(ranked) == 1 else 1 - ranked[0][1] / ranked[1][1]
 
     def parts(self, text: str) -> list[tuple[int, int, str, float]]:
-        """(start, end, language, confidence) of every sentence unit with letters."""
+        """(start, end, language, confidence) of every sentence unit with letters; UNKNOWN where
+        no dictionary fits."""
         units = []
         groups: dict[str, list[str]] = defaultdict(list)
         for a, b in sentences(text):
@@ -128,14 +132,15 @@ class Classifier:
             return []
         # a script without a dictionary goes to the one language that is written in it
         whole = {kind: self.smallest(" ".join(bodies), None) if self.encoders[kind] else (_HOME.get(kind), 0.0) for kind, bodies in groups.items()}
+        whole = {kind: found if found[1] >= REJECT or not self.encoders[kind] else (UNKNOWN, found[1]) for kind, found in whole.items()}
         for u in units:
             lang, margin = whole[u[2]]
-            if len(groups[u[2]]) > 1 and len(self.encoders[u[2]]) > 1 and len(u[3]) >= 8:
+            if lang != UNKNOWN and len(groups[u[2]]) > 1 and len(self.encoders[u[2]]) > 1 and len(u[3]) >= 8:
                 own, m = self.smallest(u[3], u[2])
                 if own is not None and (m >= MARGIN or own == lang):
                     lang, margin = own, m
             u[4], u[5] = lang, margin
-        return [(a, b, lang, min(1.0, 0.5 + margin)) for a, b, _, _, lang, margin in units if lang]
+        return [(a, b, lang, 0.0 if lang == UNKNOWN else min(1.0, 0.5 + margin)) for a, b, _, _, lang, margin in units if lang]
 
     def record(self, text: str | None) -> tuple[str | None, float, list]:
         """(language, confidence, parts) of a whole record, None without letters."""
@@ -156,9 +161,12 @@ class Classifier:
 
 
 def _fitted(df: DataFrame, sample: int) -> dict[tuple[str, str], bytes]:
+    """The dictionaries, from the ``sample`` distinct texts of the smallest hashes, so that
+    neither order nor files matter. A hash bound leaves little more than those to be sorted."""
     texts = df.select("text").where("length(text) > 0")
-    one_in = max(1, texts.count() // sample)
-    rows = texts.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).limit(sample).collect()  # bounded by ``sample``
+    share = min(1.0, 2.0 * sample / max(1, texts.count()))
+    near = texts.withColumn("h", F.xxhash64("text")).where(F.col("h") <= F.lit(int(-(2**63) + share * (2**64 - 1)))) if share < 1 else texts.withColumn("h", F.xxhash64("text"))
+    rows = near.distinct().orderBy("h", "text").limit(sample).collect()  # bounded by ``sample``
     return fit([r.text for r in rows])
 
 
@@ -167,8 +175,8 @@ def languages(df: DataFrame, item_id: str, text: str, label: str | None = None,
     (start, end, language, confidence) of the sentence units with letters.
 
     language is a code, or ``mixed`` where a second language fills at least MIXED of the
-    letters' units; null with confidence 0 and no parts for null, empty and letterless
-    texts. Repeated rows are repeated. An empty table gives no rows. The dictionaries are
+    letters' units, ``und`` with confidence 0 where no language's dictionary fits; null with
+    confidence 0 and no parts for null, empty and letterless texts. Repeated rows are repeated. An empty table gives no rows. The dictionaries are
     fitted on at most ``sample`` records, chosen by a hash of their text. Other columns are
     not read.
     """
@@ -201,7 +209,7 @@ def _chunks(spark, sf_dir: str) -> DataFrame:
 
 
 def found(spark, sf_dir: str) -> DataFrame:
-    wrong = _chunks(spark, sf_dir).where("language is not null and (label is null or label <> language)")
+    wrong = _chunks(spark, sf_dir).where("language is not null and language <> 'und' and (label is null or label <> language)")
     return wrong.select(F.col("item_id").alias("chunk_id"), "language").distinct()
 
 

@@ -411,6 +411,10 @@ def test_languages(spark):
     got = {r.item_id: r for r in language.languages(docs(spark, rows), "id", "body", "text").collect()}
     want = {0: "en", 12: "te", 24: "hi", 36: "te", 40: "hi", 44: "ur", 48: "zh", 100: "mixed", 101: "en", 102: None, 103: None, 104: None}
     assert {k: got[k].language for k in want} == want
+    foreign = ["Le conseil a voté hier soir le budget de la ville et les habitants se plaignent des impôts.", "El ayuntamiento aprobó ayer el presupuesto y los vecinos se quejan de la subida."]
+    more = rows + [(200 + i, t) for i, t in enumerate(foreign)]
+    got = {r.item_id: r for r in language.languages(docs(spark, more), "id", "body", "text", sample=60).collect()}
+    assert [got[200 + i].language for i in range(2)] == ["und"] * 2 and got[200].confidence == 0.0
     assert {p.language for p in got[100].parts} == {"en", "te"} and 0 < got[100].confidence <= 1 and got[102].confidence == 0
     assert language.languages(docs(spark, ODD).limit(0), "id", "body").count() == 0
 

@@ -3,10 +3,10 @@
 Every spelling of a row is reduced to a form: tokens in Latin letters without honorifics,
 long vowels, aspiration and doubled letters; an organisation's words are its place, field
 and kind, with abbreviations written out. Rows of one form meet at once. Different forms
-meet in a symmetric-delete index: one token of a form with one character left out, together
-with another token as it is, so that a family name alone brings nobody together and a group
-holds only near spellings. Candidates are verified by the optimal assignment of their
-tokens. Initials, nicknames and acronyms are placed afterwards, and only where one single
+meet in a symmetric-delete index on pairs of tokens, each with a character left out, or one
+of them with two if it is long: the index reaches as far as the verification accepts, and a
+family name alone brings nobody together. Candidates are verified by the optimal assignment
+of their tokens, of any number. Initials, nicknames and acronyms are placed afterwards, and only where one single
 entity of all fits; that is decided by two aggregates for each key, not by pairs.
 """
 
@@ -15,9 +15,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import permutations
+from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,8 +152,10 @@ def organization(name: str) -> tuple[str, list[str]]:
             place.append(t)
     letters = "".join(skeleton(t)[:1] for t in place) + field[:1] + kind[:1]
     joined = skeleton("".join(latin(t.lower()) for t in place))
-    if not joined or not (field or kind):
+    if not joined:
         return "single", [joined]
+    if not (field or kind):  # no listed word: all its words, in any order
+        return "full", [skeleton("".join(sorted(latin(t.lower()) for t in place))), "", "", letters]
     return "full", [joined, field, kind, letters]
 
 
@@ -197,32 +201,53 @@ def same(a: list[str], b: list[str]) -> bool:
     longer, one of them long and near, at most one middle name left over."""
     if len(a) > len(b):
         a, b = b, a
-    if len(b) - len(a) > 1 or len(b) > 5:
+    if len(b) - len(a) > 1:
         return False
-    best = 99.0
-    for chosen in permutations(range(len(b)), len(a)):
-        costs = [cost(x, b[j]) for x, j in zip(a, chosen)]
-        if max(costs) < 9 and any(len(x) > 4 and len(b[j]) > 4 for x, j in zip(a, chosen)):
-            best = min(best, sum(costs))
-    return best <= (2.0 if len(a) >= 2 else 1.0)
+    most = 2.0 if len(a) >= 2 else 1.0
+    # optimal assignment: the least cost for every set of tokens taken, without and with a long pair
+    states: dict[tuple[int, bool], float] = {(0, False): 0.0}
+    for x in a:
+        row = [cost(x, y) for y in b]
+        nxt: dict[tuple[int, bool], float] = {}
+        for (taken, long_), c in states.items():
+            for j, y in enumerate(b):
+                if not taken >> j & 1 and row[j] < 9 and c + row[j] <= most:  # few ways stay this cheap
+                    key = (taken | 1 << j, long_ or (len(x) > 4 and len(y) > 4))
+                    if c + row[j] < nxt.get(key, 99.0):
+                        nxt[key] = c + row[j]
+        states = nxt
+        if not states:
+            return False
+    return any(long_ for _, long_ in states)
 
 
 def _deletes(w: str) -> set[str]:
     return {w} | {w[:i] + w[i + 1 :] for i in range(len(w))} if len(w) > 3 else {w}
 
 
-def person_keys(tokens: list[str]) -> set[str]:
-    """Keys under which a full name meets others: the name written as one word, and each
-    ordered pair of tokens with a character left out of one of the two."""
+def _two_deletes(w: str) -> set[str]:
+    return {w[:i] + w[i + 1 : j] + w[j + 1 :] for i, j in combinations(range(len(w)), 2)}
+
+
+def person_keys(tokens: list[str], wide: bool = True) -> set[str]:
+    """Keys under which a full name meets others: the name written as one word, and each pair
+    of tokens with a character left out of one of the two; with ``wide`` of both, or two out
+    of a token of 8 and more characters."""
     long_ = [t for t in tokens if len(t) > 1]
     keys = set()
     for order in (long_, long_[::-1], long_[1:] + long_[:1], long_[-1:] + long_[:-1]):
         keys.add("c " + re.sub(r"(.)\1+", r"\1", "".join(order)))
-    for i, a in enumerate(long_):
-        for j, b in enumerate(long_):
-            if i != j and len(a) > 4:
-                keys.update(f"p {x} {b}" for x in _deletes(a))
-                keys.update(f"p {a} {x}" for x in _deletes(b))
+    for i, j in combinations(range(len(long_)), 2):
+        a, b = sorted((long_[i], long_[j]))
+        if max(len(a), len(b)) < 5:
+            continue
+        da, db = _deletes(a), _deletes(b)
+        made = [(x, y) for x in da for y in db] if wide else [(x, b) for x in da] + [(a, y) for y in db]
+        if wide and len(a) >= 8:
+            made += [(x, b) for x in _two_deletes(a)]
+        if wide and len(b) >= 8:
+            made += [(a, y) for y in _two_deletes(b)]
+        keys.update(f"p {x} {y}" if x < y else f"p {y} {x}" for x, y in made)
     return keys
 
 
@@ -247,17 +272,19 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id): hashes of the keys of every form, with its own."""
     for b in batches:
-        rows = []
-        for form, t, tokens, typed in zip(*(b.column(i).to_pylist() for i in range(4))):
+        keys, ids, counts = [], [], []
+        for i, t, tokens, typed in zip(*(b.column(i).to_pylist() for i in range(4))):
             if t == PERSON:
-                keys = person_keys(tokens) | {f"t{k}" for k in person_keys(typed)}
+                own = person_keys(tokens) | {f"t{k}" for k in person_keys(typed, False)}
             else:
                 place, field, kind = tokens[:3]
-                keys = {f"o {x} {field} {kind}" for x in _deletes(place)}
-            rows += [(k, form) for k in keys]
-        cols = list(zip(*rows)) or [(), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["key", "form"])
+                own = {f"o {x} {field} {kind}" for x in _deletes(place) | (_two_deletes(place) if len(place) >= 10 else set())}
+            keys += [xxhash.xxh64_intdigest(k) - (1 << 63) for k in own]
+            ids.append(i)
+            counts.append(len(own))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.repeat(np.array(ids, np.int64), np.array(counts, np.int64)))], ["key", "id"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,11 +380,12 @@ def resolved(entities: DataFrame, entity_id: str, kind: str, name: str, aliases:
     )
     forms = cut_lineage(rows.mapInArrow(_forms, _FORM).distinct())
     full = forms.where("kind = 'full' or (type = 'Person' and kind = 'single' and length(tokens[0]) >= 9)").select("form", "type", "tokens", "typed").distinct()
-    keys = full.select("form", "type", "tokens", "typed").mapInArrow(_keys, "key string, form string").distinct()
-    near = keys.select("key", F.col("form").alias("x")).join(keys.select("key", F.col("form").alias("y")), "key").where("x < y").select("x", "y").distinct()
-    spelled = lambda c: full.select(F.col("form").alias(c), F.col("tokens").alias(f"t{c}"), F.col("typed").alias(f"l{c}"))
+    full = full.withColumn("id", F.xxhash64("form"))
+    keys = full.select("id", "type", "tokens", "typed").mapInArrow(_keys, "key bigint, id bigint").distinct()
+    near = keys.select("key", F.col("id").alias("x")).join(keys.select("key", F.col("id").alias("y")), "key").where("x < y").select("x", "y").distinct()
+    spelled = lambda c: full.select(F.col("id").alias(c), F.col("form").alias(f"f{c}"), F.col("tokens").alias(f"t{c}"), F.col("typed").alias(f"l{c}"))
     pairs = near.join(spelled("x"), "x").join(spelled("y"), "y")
-    alike = pairs.select("x", "y", "tx", "ty", "lx", "ly").mapInArrow(_verify, "x string, y string").distinct()
+    alike = pairs.select(F.col("fx").alias("x"), F.col("fy").alias("y"), "tx", "ty", "lx", "ly").mapInArrow(_verify, "x string, y string").distinct()
     # forms of initials and acronyms bring together only the rows that are written so
     held = forms.where("kind = 'full' or (own and kind in ('initial', 'acronym')) or (type = 'Person' and kind = 'single' and length(tokens[0]) >= 9)")
     edges = held.select(F.col("entity_id").alias("src"), F.col("form").alias("dst")).unionByName(alike.select(F.col("x").alias("src"), F.col("y").alias("dst")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -492,6 +493,32 @@ def test_names(spark):
     assert names.resolved(df.limit(0), "entity_id", "type", "name", "aliases").count() == 0
 
 
+def test_names_without_listed_words_long_names_and_two_typos(spark):
+    rows = [
+        ("o1", "Organization", "Supreme Court"), ("o2", "Organization", "Supreme Court"), ("o3", "Organization", "Suprem Court"), ("o4", "Organization", "Infosys"), ("o5", "Organization", "Infosys"), ("o6", "Organization", "Andhra Pradesh High Court"), ("o7", "Organization", "High Court of Andhra Pradesh"),
+        ("p1", "Person", "Ramesh Venkatappa"), ("p2", "Person", "Ramash Venkatoppa"), ("q1", "Person", "Abul Fakir Jainulab Marakay Kalamu Sahib Pakir"), ("q2", "Person", "Abul Fakir Jainulab Marakay Kalamu Pakir Sahib"), ("r1", "Person", "Siroapap Rubodojiyi"), ("r2", "Person", "Siroapap Rubdojixi"),
+    ]
+    df = spark.createDataFrame([(*r, None) for r in rows], "entity_id string, type string, name string, aliases array<string>")
+    got: dict = {}
+    for r in names.resolved(df, "entity_id", "type", "name", "aliases").collect():
+        got.setdefault(r.resolved_id, set()).add(r.entity_id)
+    assert sorted(map(sorted, got.values())) == [["o1", "o2", "o3"], ["o4", "o5"], ["o6", "o7"], ["p1", "p2"], ["q1", "q2"], ["r1", "r2"]]
+
+
+def test_assignment_equals_all_permutations():
+    rng = random.Random(5)
+    pool = ["ramesh", "ramash", "venkat", "venkata", "rao", "r", "v", "kumar", "kumra", "lakshmi", "laxmi", "siva"]
+    for _ in range(400):
+        a, b = ([rng.choice(pool) for _ in range(rng.randrange(1, 5))] for _ in range(2))
+        x, y = sorted((a, b), key=len)
+        want = False
+        if len(y) - len(x) <= 1:
+            for p in permutations(range(len(y)), len(x)):
+                c = [names.cost(t, y[j]) for t, j in zip(x, p)]
+                want |= max(c) < 9 and sum(c) <= (2.0 if len(x) >= 2 else 1.0) and any(len(t) > 4 and len(y[j]) > 4 for t, j in zip(x, p))
+        assert names.same(a, b) == want, (a, b)
+
+
 @pytest.mark.parametrize("a, b, d", [("abcd", "abcd", 0), ("abcd", "abdc", 1), ("abcd", "abc", 1), ("abcd", "xbcy", 2), ("abc", "xyzw", 3)])
 def test_distance(a, b, d):
     assert names.distance(a, b, 2) == min(d, 3)

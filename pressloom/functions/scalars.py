@@ -22,7 +22,7 @@ SOURCE_TYPES = {
     "video": ("mp4", "mov", "mkv", "m4a", "mp3", "wav"),
 }
 #: Fixed: words that carry nothing in a question.
-QUERY_STOPWORDS = "what which when where why how did does said say about the and with from into were was are its his her their this that".split()
+QUERY_STOPWORDS = "what which when where why how did does said say about the and with from into were was are its his her their this that గురించి ఏమన్నారు ఏమిటి ఏమి చెప్పారు".split()
 #: Fixed: words that name no entity and no topic.
 TOPIC_STOPWORDS = "what who when where why how did does do is are was were the a an of in on at to for about and or he she they it his her their said say says tell me all any which that this press meet meets conference news".split()
 #: Fixed: honorifics before a name.

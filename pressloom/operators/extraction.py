@@ -107,30 +107,44 @@ def resolve(nodes: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
 
 
 class HashEmbedder:
-    """Deterministic vectors without a model: words hashed into signed buckets, unit length."""
+    """Deterministic vectors without a model: words hashed by md5 into signed buckets, as
+    counts; whoever compares them brings them to unit length."""
 
     def __init__(self, dimension: int = 64) -> None:
         self.dimension = dimension
+        self.word = re.compile(r"[\w\u0C00-\u0C7F\u0900-\u097F]+")
+        self.known: dict[str, tuple[int, int]] = {}
 
     def __call__(self, text: str) -> list[float]:
+        return self.of_words(self.word.findall((text or "").lower()))
+
+    def of_words(self, words: list[str]) -> list[float]:
         v = [0.0] * self.dimension
-        for w in re.findall(r"\w+", (text or "").lower()):
-            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-            v[h % self.dimension] += 1.0 if h >> 63 else -1.0
-        n = sum(x * x for x in v) ** 0.5
-        return [x / n for x in v] if n else v
+        for w in words:
+            if (at := self.known.get(w)) is None:
+                if len(self.known) > 500_000:
+                    self.known.clear()
+                h = hashlib.md5(w.encode()).hexdigest()
+                at = self.known[w] = (int(h[:2], 16) % self.dimension, 1 if h[2] < "8" else -1)
+            v[at[0]] += at[1]
+        return v
 
 
 def embed(rows: DataFrame, item_id: str, text: str, make: Callable[[], Callable[[str], list[float]]] = HashEmbedder) -> DataFrame:
-    """(item_id, vector) by an embedder made once in each task."""
+    """(item_id, vector) by an embedder made once in each task; the default one gets the words
+    of the lexical index. Null texts and those it finds nothing in have no row."""
     kind = rows.schema[item_id].dataType.simpleString()
+    plain = make is HashEmbedder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
+        one = model.of_words if plain else model
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model(t) for t in b.column(1).to_pylist()], pa.list_(pa.float32()))], [item_id, "vector"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([one(t) for t in b.column(1).to_pylist()], pa.list_(pa.float32()))], [item_id, "vector"])
 
-    return rows.select(item_id, text).where(F.col(text).isNotNull()).mapInArrow(run, f"{item_id} {kind}, vector array<float>")
+    given = S.words(F.col(text)) if plain else F.col(text)
+    made = rows.where(F.col(text).isNotNull()).select(item_id, given.alias("_given")).mapInArrow(run, f"{item_id} {kind}, vector array<float>")
+    return made.where(F.exists("vector", lambda x: x != 0))
 
 
 def extractive(question: str, sources: list[tuple[int, str]], most: int = 3) -> str:

@@ -12,7 +12,7 @@ from pressloom.operators.filters import Filters
 STRUCTURAL_TYPES = ("PressMeet", "Source", "Publication", "Date")
 LINK_LIMIT, EVIDENCE_LIMIT, MIN_STRUCTURAL_CHARS = 6, 2, 6
 #: Fixed: order of relations by what they add to an answer.
-PRIORITY = {"MAKES_CLAIM": 0, "ANNOUNCED_SCHEME": 1, "ACCUSES": 2, "MEMBER_OF": 8, "MENTIONS": 9}
+PRIORITY = {"MAKES_CLAIM": 0, "ANNOUNCED_SCHEME": 1, "ACCUSES": 2, "SUPPORTS": 3, "OPPOSES": 3, "RESPONDS_TO": 3, "MEMBER_OF": 8, "MENTIONS": 9}
 
 
 def name_index(nodes: DataFrame, aliases: DataFrame | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressloom.functions import scalars as S
-from pressloom.session import cut_lineage, partitions
+from pressloom.session import partitions
 
 RRF_K, OVERFETCH, PER_FILE = 60, 4, 2
 K1, B = 1.2, 0.75
@@ -44,9 +44,9 @@ def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
 
 def bm25(index: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """(qid, chunk_id, score, rank): the k best chunks of each question (qid, q) by BM25 over
-    its distinct terms. The index is written once and serves the statistics, the document
-    frequencies and the scores; only postings of asked terms are scored."""
-    index = cut_lineage(index)
+    its distinct terms. The index serves the statistics, the document frequencies and the
+    scores and is best one that was written (session.kept); only postings of asked terms are
+    scored."""
     stats = index.groupBy("chunk_id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     asked = questions.select("qid", F.explode(S.query_terms(F.col("q"))).alias("term"))
     wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
@@ -96,7 +96,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 409
             for b in batches:
                 if not len(own) or not b.num_rows:
                     continue
-                v = np.array(b.column(1).to_pylist(), np.float64)
+                v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
                 v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
                 names = b.column(0).to_pylist()
                 s = np.round(m @ v.T, 6)

@@ -1,34 +1,118 @@
-"""Hybrid retrieval as one plan: legs, fusion, re-ranking, duplicates, diversity."""
+"""Hybrid retrieval as one plan: lexical, vector and graph legs, fusion, re-ranking,
+duplicates, diversity, and what each leg found."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressloom.operators import facts as J
+from pressloom.operators import graph as G
 from pressloom.operators import ranking as R
 from pressloom.operators.filters import Filters
 from pressloom.session import partitions
 
 FIELDS = ("chunk_id", "text", "citation", "source_type", "source_file", "content_hash", "press_meet_id", "date", "language")
+TIMELINE, COMMUNITIES, MEMBERS = 15, 3, 8
+#: Fixed: words that ask for an order of events.
+TEMPORAL = r"(?i)\b(?:when|timeline|over time|chronolog|history|first|latest|since|before|after|evolv|progress)\b|ఎప్పుడు|కాలక్రమ"
+
+
+def _once(chunks: DataFrame, filters: Filters) -> DataFrame:
+    return filters.apply(chunks).select(*FIELDS).repartition(partitions(chunks.sparkSession), "chunk_id").dropDuplicates(["chunk_id"])
+
+
+def legs(
+    chunks: DataFrame, questions: DataFrame, reach: int, vectors: DataFrame | None = None, question_vectors: DataFrame | None = None, index: DataFrame | None = None, filters: Filters = Filters()
+) -> dict[str, DataFrame]:
+    """The passage legs that can run, each (qid, chunk_id, score, rank). Both look only at
+    chunks that pass the filters; ``index`` are the postings of all chunks where they were
+    written before, else they are made here."""
+    once = _once(chunks, filters)
+    if index is None:
+        index = R.postings(once)
+    elif filters.active:
+        index = index.join(once.select("chunk_id"), "chunk_id", "left_semi")
+    out = {"keyword": R.bm25(index, questions, reach)}
+    if vectors is not None and question_vectors is not None:
+        R.check_dimension(vectors, question_vectors)
+        if filters.active:
+            vectors = vectors.join(once.select("chunk_id"), "chunk_id", "left_semi")
+        out["vector"] = R.vector_topk(vectors, question_vectors, reach)
+    return out
 
 
 def passages(
-    chunks: DataFrame, questions: DataFrame, k: int = 8, vectors: DataFrame | None = None, question_vectors: DataFrame | None = None, filters: Filters = Filters(), rerank: bool = True, weights: tuple[float, float] = (1.0, 1.0)
+    chunks: DataFrame, questions: DataFrame, k: int = 8, vectors: DataFrame | None = None, question_vectors: DataFrame | None = None, filters: Filters = Filters(), rerank: bool = True, weights: tuple[float, float] = (1.0, 1.0), index: DataFrame | None = None
 ) -> DataFrame:
-    """(qid, rank, chunk_id, score, ...): the k passages of each question (qid, q).
+    """(qid, rank, chunk_id, score, ranks, ...): the k passages of each question (qid, q).
 
-    Both legs look only at chunks that pass the filters and over-fetch, as copies are
-    collapsed later. Without vectors the lexical leg ranks alone. Repeated chunk rows count
-    once; chunks without text are found by no leg.
+    The legs over-fetch, as copies are collapsed later. Without vectors the lexical leg ranks
+    alone. Repeated chunk rows count once; chunks without text are found by no leg.
     """
-    once = filters.apply(chunks).select(*FIELDS).repartition(partitions(chunks.sparkSession), "chunk_id").dropDuplicates(["chunk_id"])
     reach = k * R.OVERFETCH
-    legs = {"keyword": (R.bm25(R.postings(once), questions, reach), weights[1])}
-    if vectors is not None and question_vectors is not None:
-        R.check_dimension(vectors, question_vectors)
-        legs["vector"] = (R.vector_topk(vectors.join(once.select("chunk_id"), "chunk_id", "left_semi"), question_vectors, reach), weights[0])
-    fused = R.fuse(legs).join(once, "chunk_id").join(questions.select("qid", "q"), "qid")
+    own = dict(zip(("vector", "keyword"), weights))
+    found = legs(chunks, questions, reach, vectors, question_vectors, index, filters)
+    fused = R.fuse({name: (df, own[name]) for name, df in found.items()}).join(_once(chunks, filters), "chunk_id").join(questions.select("qid", "q"), "qid")
     scored = R.rerank(fused) if rerank else fused
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
     placed = scored.withColumn("pos", F.row_number().over(order))
-    return R.diversify(R.dedup(placed, reach), k).withColumnRenamed("pos", "rank")
+    # every copy is collapsed before the cut, so that the cut counts contents
+    return R.diversify(R.dedup(placed, 2 * reach), k).withColumnRenamed("pos", "rank")
+
+
+@dataclass
+class Context:
+    """Everything an answer may be written from, by qid."""
+
+    passages: DataFrame
+    entities: DataFrame
+    facts: DataFrame
+    communities: DataFrame
+    timeline: DataFrame
+    diagnostics: DataFrame
+
+
+def asks_for_order(question: Column) -> Column:
+    return question.rlike(TEMPORAL)
+
+
+def timelines(questions: DataFrame, linked: DataFrame, nodes: DataFrame, edges: DataFrame, meets: DataFrame, most: int = TIMELINE) -> DataFrame:
+    """(qid, n, press_meet_id, date, title): the meets of a question's first entity, in their
+    order, where it asks for an order of events or the entity was at more than one meet."""
+    head = linked.where("n = 1").select("qid", "entity_id").join(nodes.select("entity_id", F.size(F.coalesce("press_meet_ids", F.array().cast("array<string>"))).alias("meets")), "entity_id")
+    asked = head.join(questions, "qid").where(asks_for_order(F.col("q")) | (F.col("meets") > 1)).select("qid", F.col("entity_id").alias("seed"))
+    rows = G.timeline(nodes, edges, meets, asked.select("seed").distinct())
+    return R.ranked(asked.join(rows, "seed"), most, F.asc_nulls_last("date"), F.col("press_meet_id")).select("qid", F.col("rank").alias("n"), "press_meet_id", "date", "title")
+
+
+def communities_of(linked: DataFrame, community: DataFrame, nodes: DataFrame, most: int = COMMUNITIES, members: int = MEMBERS) -> DataFrame:
+    """(qid, n, community_id, size, members): the largest communities (community_id, size,
+    node) of a question's entities, with the names of their first members."""
+    hit = linked.select("qid", F.col("entity_id").alias("node")).join(community, "node").select("qid", "community_id", "size").distinct()
+    top = R.ranked(hit, most, F.desc("size"), F.col("community_id"))
+    named = community.join(top.select("community_id").distinct(), "community_id", "left_semi").join(nodes.select(F.col("entity_id").alias("node"), "name"), "node")
+    first = R.ranked(named, members, F.col("node"), by="community_id").groupBy("community_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("members"))
+    return top.join(first, "community_id", "left").select("qid", F.col("rank").alias("n"), "community_id", "size", "members")
+
+
+def retrieve(
+    chunks: DataFrame, questions: DataFrame, nodes: DataFrame, edges: DataFrame, meets: DataFrame, k: int = 12, vectors: DataFrame | None = None, question_vectors: DataFrame | None = None, community: DataFrame | None = None, filters: Filters = Filters(), index: DataFrame | None = None, max_facts: int = 20
+) -> Context:
+    """All legs for a batch of questions. A leg without its tables is left out and shows in
+    the diagnostics as null; vectors of another dimension raise."""
+    found = passages(chunks, questions, k, vectors, question_vectors, filters, index=index)
+    linked = J.link_entities(questions, nodes, J.name_index(nodes))
+    facts = J.gather(questions, linked, edges, nodes, found, filters, max_facts)
+    named = communities_of(linked, community, nodes) if community is not None else linked.limit(0).select("qid", "n", F.lit("").alias("community_id"), F.lit(0).cast("bigint").alias("size"), F.array().cast("array<string>").alias("members"))
+    count = lambda df, name: df.groupBy("qid").agg(F.count("*").alias(name))
+    sizes = [count(df, f"n_{name}") for name, df in legs(chunks, questions, k * R.OVERFETCH, vectors, question_vectors, index, filters).items()]
+    sizes += [count(found, "n_passages"), found.groupBy("qid").agg(F.min_by("rerank_intent", "rank").alias("intent")), count(linked, "n_entities"), count(facts, "n_facts")]
+    diagnostics = questions.select("qid")
+    for df in sizes:
+        diagnostics = diagnostics.join(df, "qid", "left")
+    if "n_vector" not in diagnostics.columns:
+        diagnostics = diagnostics.withColumn("n_vector", F.lit(None).cast("bigint"))
+    return Context(found, linked, facts, named, timelines(questions, linked, nodes, edges, meets), diagnostics)

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pressloom.operators import answer as K
 from pressloom.operators import facts as J
 from pressloom.operators.filters import Filters
-from pressloom.plans.retrieve import passages
+from pressloom.plans import retrieve as P
 from pressloom.queries.graph import _edges, _nodes
-from pressloom.queries.retrieval import chunks
+from pressloom.queries.retrieval import chunk_vectors, chunks, found, index, question_vectors
 from pressloom.sources.tables import table
 
 
@@ -45,7 +45,7 @@ def gathered(spark, d) -> DataFrame:
 
 
 def _found(spark, d) -> DataFrame:
-    return passages(chunks(spark, d), named_questions(spark, d))
+    return found(spark, d, named_questions(spark, d))
 
 
 def confidence(spark, d) -> DataFrame:
@@ -89,7 +89,7 @@ def _scope(condition: str, weight: str) -> str:
 
 
 #: Sentences of a text: short forms lose their periods before the text is cut at line breaks.
-_SENTENCES = r"list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace({}, '(?i)\b(Rs|No|Dr|Mr|Mrs|Ms|Smt|Sri|St|vs|etc|i\.e|e\.g)\.', '\1' || chr(1), 'g'), '([.!?।])\s+', '\1' || chr(10), 'g'), '\n+'), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '' AND NOT starts_with(s, '#'))"
+_SENTENCES = r"list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(regexp_replace({}, '(?i)(^|[^\p{L}\p{M}\p{N}_])(Rs|Mr|Mrs|Ms|Dr|No|Nos|St|vs|e\.g|i\.e|రూ|శ్రీ)\.', '\1\2' || chr(1), 'g'), '(?i)(^|[^\p{L}\p{M}\p{N}_])(Rs|Mr|Mrs|Ms|Dr|No|Nos|St|vs|e\.g|i\.e|రూ|శ్రీ)\.', '\1\2' || chr(1), 'g'), '([.!?।])\s+', '\1' || chr(10), 'g'), '\n+'), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '' AND NOT starts_with(s, '#'))"
 
 SQL = {
     "citation_verify": "SELECT item_id AS qid, '1' AS cited, '9' AS invalid, len(list_filter("

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressloom.functions import scalars as S
+from pressloom.operators import extraction as X
 from pressloom.operators import ranking as R
 from pressloom.operators.filters import Filters
 from pressloom.plans.retrieve import passages
 from pressloom.queries.documents import _terms
+from pressloom.session import kept
 from pressloom.sources.tables import table
 
 
@@ -21,8 +23,23 @@ def chunks(spark, d) -> DataFrame:
     return table(spark, d, "chunks", "chunk_id", "text", "citation", "source_type", "source_file", "content_hash", "press_meet_id", "date", "language", "publication")
 
 
+def index(spark, d) -> DataFrame:
+    """The postings of all chunks, written once and read from then on, sorted by term."""
+    return kept(spark, "postings", [f"{d}/chunks.parquet"], lambda: R.postings(table(spark, d, "chunks", "chunk_id", "text")).repartition("term").sortWithinPartitions("term"))
+
+
+def chunk_vectors(spark, d) -> DataFrame:
+    """Vectors of all chunks by the offline embedder, written once."""
+    once = lambda: table(spark, d, "chunks", "chunk_id", "text").groupBy("chunk_id").agg(F.min("text").alias("text"))
+    return kept(spark, "vectors", [f"{d}/chunks.parquet"], lambda: X.embed(once(), "chunk_id", "text"))
+
+
+def question_vectors(q: DataFrame) -> DataFrame:
+    return X.embed(q, "qid", "q")
+
+
 def bm25_topk(spark, d) -> DataFrame:
-    return R.bm25(R.postings(table(spark, d, "chunks", "chunk_id", "text")), questions(spark, d), 10).select("qid", "chunk_id", F.round("score", 4).alias("score"), "rank")
+    return R.bm25(index(spark, d), questions(spark, d), 10).select("qid", "chunk_id", F.round("score", 4).alias("score"), "rank")
 
 
 def _vectors(spark, d) -> DataFrame:
@@ -39,7 +56,7 @@ def vector_topk(spark, d) -> DataFrame:
 def fused(spark, d) -> DataFrame:
     """Fusion of the lexical leg with one ordered by date."""
     c = chunks(spark, d)
-    key = R.bm25(R.postings(c), questions(spark, d), 20)
+    key = R.bm25(index(spark, d), questions(spark, d), 20)
     recent = R.ranked(key.select("qid", "chunk_id").join(c.groupBy("chunk_id").agg(F.max("date").alias("date")), "chunk_id"), 20, F.desc_nulls_last("date"), F.col("chunk_id"))
     return R.fuse({"keyword": (key, 1.0), "recent": (recent, 0.5)}).select("qid", "chunk_id", F.round("score", 6).alias("score"))
 
@@ -51,7 +68,7 @@ def intents(spark, d) -> DataFrame:
 
 def reranked(spark, d) -> DataFrame:
     c = chunks(spark, d).dropDuplicates(["chunk_id"])
-    hits = R.fuse({"keyword": (R.bm25(R.postings(c), questions(spark, d), 20), 1.0)})
+    hits = R.fuse({"keyword": (R.bm25(index(spark, d), questions(spark, d), 20), 1.0)})
     rows = R.rerank(hits.join(c, "chunk_id").join(questions(spark, d), "qid"))
     return rows.select("qid", "chunk_id", F.round("score", 6).alias("score"), "source_prior", "term_coverage")
 
@@ -74,16 +91,31 @@ def budgets(spark, d) -> DataFrame:
     return R.budget(rows, 2500, "size").select("chunk_id", "pos", "size")
 
 
+def found(spark, d, q: DataFrame, filters: Filters = Filters()) -> DataFrame:
+    """Passages by the lexical and the vector leg."""
+    return passages(chunks(spark, d), q, vectors=chunk_vectors(spark, d), question_vectors=question_vectors(q), filters=filters, index=index(spark, d))
+
+
 def hybrid(spark, d) -> DataFrame:
-    return passages(chunks(spark, d), questions(spark, d)).select("qid", "rank", "chunk_id", F.round("score", 5).alias("score"))
+    return found(spark, d, questions(spark, d)).select("qid", "rank", "chunk_id", F.round("score", 5).alias("score"))
 
 
 def hybrid_filtered(spark, d) -> DataFrame:
-    return passages(chunks(spark, d), questions(spark, d), filters=Filters(source_type="press_release", since="2025-01-01")).select("qid", "rank", "chunk_id")
+    return found(spark, d, questions(spark, d), Filters(source_type="press_release", since="2025-01-01")).select("qid", "rank", "chunk_id")
+
+
+def one_question(spark, d) -> DataFrame:
+    """The first question alone: what one user waits for."""
+    return found(spark, d, questions(spark, d).where("qid = 1")).select("qid", "rank", "chunk_id")
+
+
+def embedded(spark, d) -> DataFrame:
+    """The vector leg over the chunks themselves."""
+    return R.vector_topk(chunk_vectors(spark, d), question_vectors(questions(spark, d)), 10).select("qid", "chunk_id", "rank")
 
 
 QUERIES = {
-    "bm25_topk": bm25_topk, "vector_topk": vector_topk, "rrf_fusion": fused, "question_intents": intents, "rerank_source_prior": reranked, "dedup_best_copy": best_copies, "diversify_per_source": diverse, "prompt_budget": budgets, "hybrid_retrieve": hybrid, "hybrid_retrieve_filtered": hybrid_filtered,
+    "bm25_topk": bm25_topk, "vector_topk": vector_topk, "rrf_fusion": fused, "question_intents": intents, "rerank_source_prior": reranked, "dedup_best_copy": best_copies, "diversify_per_source": diverse, "prompt_budget": budgets, "hybrid_retrieve": hybrid, "hybrid_one_question": one_question, "vector_leg": embedded, "hybrid_retrieve_filtered": hybrid_filtered,
 }
 
 _ONCE = "SELECT chunk_id, min(text) AS text FROM chunks GROUP BY 1"
@@ -98,7 +130,33 @@ _PRIOR = "CASE " + " ".join(f"WHEN intent = '{i}' AND source_type = '{k}' THEN {
 _COVER = f"coalesce(len(list_intersect({_terms('q')}, {_terms("concat_ws(' ', coalesce(text, ''), coalesce(citation, ''))")})) / nullif(len({_terms('q')}), 0), 0.0)"
 _C = "c AS (SELECT DISTINCT chunk_id, text, citation, source_type, source_file, content_hash, press_meet_id, date FROM chunks)"
 
+#: Signed counts of the words of a text in 64 buckets, by md5.
+def _vec(k: str, t: str, x: str) -> str:
+    counted = f"SELECT {k}, ('0x' || substr(md5(w), 1, 2))::INT % 64 AS b, sum(CASE WHEN substr(md5(w), 3, 1) < '8' THEN 1 ELSE -1 END)::DOUBLE AS s FROM (SELECT {k}, unnest(regexp_extract_all(lower({x}), '{S.WORD_RE2}')) AS w FROM {t}) GROUP BY 1, 2"
+    return f"(SELECT {k}, list(coalesce(s, 0) ORDER BY b) AS v FROM (SELECT i.{k}, g.b, n.s FROM (SELECT DISTINCT {k} FROM {t}) i CROSS JOIN (SELECT unnest(range(64)) AS b) g LEFT JOIN ({counted}) n ON n.{k} = i.{k} AND n.b = g.b) GROUP BY 1 HAVING count(*) FILTER (s <> 0) > 0)"
+
+
+def _near(where: str = "") -> str:
+    """Common tables up to nv: the vector leg over chunks that pass."""
+    return f"""cv AS {_vec('chunk_id', f'(SELECT chunk_id, min(text) AS text FROM chunks {where} GROUP BY 1 HAVING min(text) IS NOT NULL)', 'text')}, qv AS {_vec('qid', '(SELECT item_id AS qid, q FROM eval_items)', 'q')},
+    nv AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id)::INT AS rank FROM (SELECT qid, chunk_id, round(list_cosine_similarity(cv.v, qv.v), 6) AS score FROM cv, qv))"""
+
+
+def _hybrid(where: str = "", k: int = 8) -> str:
+    """Common tables up to ``hits``: (qid, rank, chunk_id, score, press_meet_id)."""
+    reach = 4 * k
+    once = _BM25.replace("SELECT chunk_id, min(text) AS text FROM chunks GROUP BY 1", f"SELECT chunk_id, min(text) AS text FROM chunks {where} GROUP BY 1")
+    return f"""{once}, {_near(where)}, {_C}, fu AS (SELECT qid, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS f FROM (SELECT qid, chunk_id, rank FROM top WHERE rank <= {reach} UNION ALL SELECT qid, chunk_id, rank FROM nv WHERE rank <= {reach}) GROUP BY 1, 2),
+    x AS (SELECT *, {_INTENT} AS intent FROM fu JOIN c USING (chunk_id) JOIN (SELECT item_id AS qid, q FROM eval_items) USING (qid)), y AS (SELECT *, f * ({_PRIOR})::DOUBLE + {_COVER} * 0.0015::DOUBLE AS score, coalesce(nullif(content_hash, ''), chunk_id) AS key FROM x),
+    z AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS pos FROM y), u AS (SELECT *, row_number() OVER (PARTITION BY qid, coalesce(nullif(source_file, ''), chunk_id) ORDER BY pos) > 2 AS over FROM (SELECT *, row_number() OVER (PARTITION BY qid, key ORDER BY pos) AS copy FROM z) WHERE copy = 1),
+    hits AS (SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY over, pos)::INT AS rank, chunk_id, score, press_meet_id FROM u) WHERE rank <= {k})"""
+
+
 SQL = {
+    "vector_leg": f"WITH {_near()} SELECT qid, chunk_id, rank FROM nv WHERE rank <= 10",
+    "hybrid_retrieve": f"WITH {_hybrid()} SELECT qid, rank, chunk_id, round(score, 5) AS score FROM hits",
+    "hybrid_one_question": f"WITH {_hybrid()} SELECT qid, rank, chunk_id FROM hits WHERE qid = 1",
+    "hybrid_retrieve_filtered": f"""WITH {_hybrid("WHERE source_type = 'press_release' AND date >= '2025-01-01'")} SELECT qid, rank, chunk_id FROM hits""",
     "bm25_topk": f"WITH {_BM25} SELECT qid, chunk_id, round(score, 4) AS score, rank FROM top WHERE rank <= 10",
     "vector_topk": "SELECT qid, chunk_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS r FROM (SELECT a.vec_id AS qid, b.vec_id::VARCHAR AS chunk_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE r <= 10",
     "rrf_fusion": f"WITH {_BM25}, k AS (SELECT qid, chunk_id, rank FROM top WHERE rank <= 20), r AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY date DESC NULLS LAST, chunk_id) AS rank FROM k JOIN (SELECT chunk_id, max(date) AS date FROM chunks GROUP BY 1) USING (chunk_id)) SELECT qid, chunk_id, round(round(sum(w / (60 + rank)), 9), 6) AS score FROM (SELECT qid, chunk_id, rank, 1.0 AS w FROM k UNION ALL SELECT qid, chunk_id, rank, 0.5 FROM r WHERE rank <= 20) GROUP BY 1, 2",

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from pressloom.functions import scalars as S
 from pressloom.operators import manifest as T
 from pressloom.operators import reports as L
-from pressloom.plans.retrieve import passages
-from pressloom.queries.retrieval import chunks, questions
+from pressloom.queries.retrieval import _hybrid, found, questions
 from pressloom.sources.tables import table
 from pressloom.streaming import quotas as Q
 
@@ -49,7 +48,7 @@ def session_search(spark, d) -> DataFrame:
 
 def _scores(spark, d) -> DataFrame:
     items = table(spark, d, "eval_items", "item_id", "meets", "kind", "lang").withColumnRenamed("item_id", "qid")
-    return L.score_retrieval(items, passages(chunks(spark, d), questions(spark, d))).join(items.select("qid", "kind", "lang"), "qid")
+    return L.score_retrieval(items, found(spark, d, questions(spark, d))).join(items.select("qid", "kind", "lang"), "qid")
 
 
 def eval_scores(spark, d) -> DataFrame:

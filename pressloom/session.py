@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
+#: Part of the names of kept tables: raise it where their contents change.
+__version__ = 2
 
 
 def local_session(cores: int | str = 8, app: str = "pressloom") -> SparkSession:
@@ -61,6 +66,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from files, written once in the shared folder and read by whoever asks
+    again. Its name holds a fingerprint of the files (path, length, time), so changed files
+    make another table. It is published by a rename: a reader sees all of it or nothing, and
+    of two writers one wins."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    marks = []
+    for source in sources:
+        path = jvm.org.apache.hadoop.fs.Path(source)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        parts = path.getFileSystem(conf).listStatus(path) if status.isDirectory() else [status]
+        marks += sorted((x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in parts)
+    key = hashlib.sha256(repr((name, __version__, marks)).encode()).hexdigest()[:24]
+    target = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/kept/{name}-{key}")
+    fs = target.getFileSystem(conf)
+    if not fs.exists(target):
+        draft = jvm.org.apache.hadoop.fs.Path(f"{target.toString()}.{uuid.uuid4().hex}")
+        build().write.parquet(draft.toString())
+        if not fs.rename(draft, target) or fs.exists(jvm.org.apache.hadoop.fs.Path(target, draft.getName())):
+            fs.delete(draft, True)  # somebody else was first
+    return spark.read.parquet(target.toString())
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -76,12 +76,6 @@ def term_overlap(spark, d) -> DataFrame:
 
 
 def normalised_names(spark, d) -> DataFrame:
-    """ASCII names, which the SQL can normalise."""
-    e = table(spark, d, "entities", "entity_id", "name").where(F.col("name").rlike(r"^[\x00-\x7f]*$"))
-    return e.select("entity_id", S.normalise(F.col("name")).alias("name"))
-
-
-def normalised_names_all(spark, d) -> DataFrame:
     return table(spark, d, "entities", "entity_id", "name").select("entity_id", S.normalise(F.col("name")).alias("name"))
 
 
@@ -119,11 +113,7 @@ _WANTED = ["press_release", "news_clip", "video", "slide", "source_doc"]
 
 
 def select_capped(spark, d) -> DataFrame:
-    return D.select_chunks(table(spark, d, "chunks", "chunk_id", "text", "content_hash", "source_file", "source_type"), cap=3, wanted=_WANTED)
-
-
-def select_capped_all(spark, d) -> DataFrame:
-    return D.select_chunks(table(spark, d, "chunks", "chunk_id", "text", "content_hash", "source_file", "source_type"), cap=D.FILE_CAP, wanted=_WANTED)
+    return D.select_chunks(table(spark, d, "chunks", "chunk_id", "text", "content_hash", "source_file", "source_type"), wanted=_WANTED)
 
 
 def halved(spark, d) -> DataFrame:
@@ -132,16 +122,7 @@ def halved(spark, d) -> DataFrame:
 
 
 def question_ngrams(spark, d) -> DataFrame:
-    """N-grams of ASCII questions, which the SQL can normalise."""
-    return _ngrams(table(spark, d, "eval_items", "item_id", "q").where(F.col("q").rlike(r"^[\x00-\x7f]*$")))
-
-
-def question_ngrams_all(spark, d) -> DataFrame:
-    return _ngrams(table(spark, d, "eval_items", "item_id", "q"))
-
-
-def _ngrams(q: DataFrame) -> DataFrame:
-    n = q.select("item_id", S.normalise(F.col("q")).alias("n"))
+    n = table(spark, d, "eval_items", "item_id", "q").select("item_id", S.normalise(F.col("q")).alias("n"))
     return n.select("item_id", F.explode(D.ngrams(F.col("n"))).alias("s")).groupBy("item_id").agg(F.count("*").alias("n"), F.max(F.length("s.text")).alias("longest"))
 
 
@@ -152,9 +133,9 @@ def dates_checked(spark, d) -> DataFrame:
 
 QUERIES = {
     "source_types": source_types, "detect_language": detect_language, "content_hash_copies": content_hashes, "filter_passages": filter_passages, "filter_glob": filter_glob, "meet_of_path": iso_dates, "citation_labels": citations,
-    "tag_density": tag_densities, "token_estimate": token_estimates, "query_terms": query_terms, "latin_texts": latin_texts, "clip_texts": clipped, "jaccard_terms": term_overlap, "normalise_names": normalised_names, "normalise_names_all": normalised_names_all, "split_pages": split_pages,
-    "repaired_pages": repaired_pages, "clean_ocr": cleaned_ocr, "chunk_by_chars": passages_by_chars, "segment_passages": segment_passages, "merge_spans": merged_spans, "select_chunks": select_plain, "select_chunks_capped": select_capped, "select_chunks_capped_all": select_capped_all,
-    "halve_texts": halved, "question_ngrams": question_ngrams, "question_ngrams_all": question_ngrams_all, "dates_checked": dates_checked,
+    "tag_density": tag_densities, "token_estimate": token_estimates, "query_terms": query_terms, "latin_texts": latin_texts, "clip_texts": clipped, "jaccard_terms": term_overlap, "normalise_names": normalised_names, "split_pages": split_pages,
+    "repaired_pages": repaired_pages, "clean_ocr": cleaned_ocr, "chunk_by_chars": passages_by_chars, "segment_passages": segment_passages, "merge_spans": merged_spans, "select_chunks": select_plain, "select_chunks_capped": select_capped, 
+    "halve_texts": halved, "question_ngrams": question_ngrams, "dates_checked": dates_checked,
 }
 
 _count = lambda c, k: f"(length({c}) - length(regexp_replace({c}, '[{k}]', '', 'g')))"
@@ -174,6 +155,16 @@ def _iso(c: str) -> str:
     WHEN {g(_COMPACT, 3)} <> '' AND TRY_CAST({g(_COMPACT, 2)} AS INT) BETWEEN 1 AND 12 AND TRY_CAST({g(_COMPACT, 1)} AS INT) BETWEEN 1 AND 31 THEN {g(_COMPACT, 3)} || '-' || {g(_COMPACT, 2)} || '-' || {g(_COMPACT, 1)} END"""
 
 
+_HEADS = "|".join(h for h in S.HONORIFICS if "." not in h)
+
+
+def norm(column: str) -> str:
+    """The match key of a name: what compatibility forms change does not occur in the tables."""
+    marks = r"""[.·,;:!?''"()\[\]{}<>/\\|_*`~‘’“”-]"""
+    plain = f"trim(regexp_replace(lower(nfc_normalize({column})), '(?:{marks}|{SPACE_RE2})+', ' ', 'g'))"
+    return f"regexp_replace({plain}, '^(?:(?:{_HEADS})(?: |$))+', '')"
+
+
 SQL = {
     "source_types": f"SELECT CASE {_KINDS} END AS kind, count(*) AS n FROM (SELECT lower(regexp_extract(source_file, '\\.([^./]+)$', 1)) AS ext FROM chunks) GROUP BY 1",
     "detect_language": f"SELECT {_LANG} AS detected, language, count(*) AS n FROM ({_COUNTS.replace('{}', 'chunks')}) GROUP BY 1, 2",
@@ -188,9 +179,9 @@ SQL = {
     "latin_texts": rf"SELECT CASE WHEN l > 0 THEN a > 0.6 * l ELSE false END AS latin, count(*) AS n FROM (SELECT length(text) - length(regexp_replace(text, '\p{{L}}', '', 'g')) AS l, {_EN} AS a FROM chunks) GROUP BY 1",
     "clip_texts": rf"SELECT doc_id, CASE WHEN length(s) <= 200 THEN s WHEN contains(h, ' ') THEN regexp_extract(h, '(?s)^(.*) ', 1) || ' …' ELSE h || ' …' END AS clip FROM (SELECT doc_id, s, substr(s, 1, 200) AS h FROM (SELECT doc_id, {_SQUEEZE.replace("{}", "text")} AS s FROM documents))",
     "jaccard_terms": f"SELECT item_id, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS jaccard FROM (SELECT item_id, {_terms('q')} AS a, {_terms('passage')} AS b FROM eval_items)",
-    "normalise_names": r"""SELECT entity_id, regexp_replace(s, '^(?:(?:sri|shri|smt|mr|mrs|ms|dr|shree|sree)(?: |$))+', '') AS name FROM (SELECT entity_id, trim(regexp_replace(lower(name), '[\s.,;:!?''"()\[\]{}<>/\\|_*`~-]+', ' ', 'g')) AS s FROM entities WHERE regexp_full_match(name, '[\x00-\x7f]*'))""",
+    "normalise_names": f"SELECT entity_id, coalesce({norm('name')}, '') AS name FROM entities",
     "split_pages": r"SELECT segment_id, (i - 1)::INT AS page, length(trim(p[i], ' '))::INT AS n FROM (SELECT segment_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT segment_id, CASE WHEN contains(t, chr(12)) THEN string_split(t, chr(12)) ELSE string_split_regex(t, '(?m)^---+[ \t]*$') END AS p FROM (SELECT DISTINCT segment_id, text_original AS t FROM segments WHERE text_original IS NOT NULL)))",
     "select_chunks": "SELECT chunk_id, CASE WHEN length(text) < 150 THEN 'short' WHEN density >= 0.5 THEN 'markup' WHEN row_number() OVER (PARTITION BY CASE WHEN length(text) < 150 OR density >= 0.5 THEN chunk_id ELSE key END ORDER BY source_file, chunk_id) > 1 THEN 'duplicate' END AS skip FROM (SELECT *, coalesce(nullif(content_hash, ''), chunk_id) AS key, (length(text) - length(regexp_replace(text, '<[^>]{1,40}>', '', 'g'))) / greatest(length(text), 1) AS density FROM (SELECT DISTINCT chunk_id, text, content_hash, source_file FROM chunks))",
-    "question_ngrams": r"""SELECT item_id, count(*) AS n, max(length(t))::INT AS longest FROM (SELECT item_id, array_to_string(w[i:i+k-1], ' ') AS t FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT item_id, w, unnest(range(1, 6)) AS k FROM (SELECT item_id, list_filter(string_split(regexp_replace(trim(regexp_replace(lower(q), '[\s.,;:!?''"()\[\]{}<>/\\|_*`~-]+', ' ', 'g')), '^(?:(?:sri|shri|smt|mr|mrs|ms|dr|shree|sree)(?: |$))+', ''), ' '), lambda x: x <> '') AS w FROM eval_items WHERE regexp_full_match(q, '[\x00-\x7f]*'))))) GROUP BY 1""",
+    "question_ngrams": f"SELECT item_id, count(*) AS n, max(length(t))::INT AS longest FROM (SELECT item_id, array_to_string(w[i:i+k-1], ' ') AS t FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT item_id, w, unnest(range(1, 6)) AS k FROM (SELECT item_id, list_filter(string_split({norm('q')}, ' '), lambda x: x <> '') AS w FROM eval_items)))) GROUP BY 1",
     "dates_checked": "SELECT CASE WHEN date IS NULL THEN 'none' WHEN try_cast(date AS DATE) IS NULL THEN 'impossible' ELSE 'real' END AS kind, count(*) AS n FROM extracted_docs GROUP BY 1",
 }

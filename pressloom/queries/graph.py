@@ -9,6 +9,7 @@ from pressloom.functions import scalars as S
 from pressloom.operators import extraction as X
 from pressloom.operators import graph as G
 from pressloom.operators.components import connected_components
+from pressloom.queries.documents import norm
 from pressloom.sources.tables import table
 
 #: The archive's ontology: relation -> (from, to).
@@ -33,12 +34,7 @@ def _nodes(spark, d) -> DataFrame:
 
 
 def merged_entities(spark, d) -> DataFrame:
-    """Rows whose types and normalised ASCII names agree become one node: what the SQL can normalise."""
-    return _merged(table(spark, d, "entities").where(F.col("name").rlike(r"^[\x00-\x7f]*$")))
-
-
-def merged_entities_all(spark, d) -> DataFrame:
-    """Rows whose types and normalised names agree become one node, whatever their script."""
+    """Rows whose types and normalised names agree become one node."""
     return _merged(table(spark, d, "entities"))
 
 
@@ -50,11 +46,6 @@ def _merged(entities: DataFrame) -> DataFrame:
 
 
 def collapsed_relations(spark, d) -> DataFrame:
-    """With a cap low enough to be met in the tables, as in the SQL."""
-    return _collapsed(spark, d, cap=3)
-
-
-def collapsed_relations_all(spark, d) -> DataFrame:
     return _collapsed(spark, d, cap=G.EVIDENCE_CAP)
 
 
@@ -165,12 +156,11 @@ def extraction_pieces(spark, d) -> DataFrame:
 
 QUERIES = {
     "resolve_entities": resolved_exactly, "extraction_pieces": extraction_pieces,
-    "entity_upsert": merged_entities, "entity_upsert_all": merged_entities_all, "relation_collapse": collapsed_relations, "relation_collapse_all": collapsed_relations_all, "evidence_enriched": enriched_evidence, "structural_meets": structural_meets, "structural_edges": structural_edges, "precedes_chain": precedes_chain, "ontology_valid": ontology_valid,
+    "entity_upsert": merged_entities, "relation_collapse": collapsed_relations, "evidence_enriched": enriched_evidence, "structural_meets": structural_meets, "structural_edges": structural_edges, "precedes_chain": precedes_chain, "ontology_valid": ontology_valid,
     "ontology_rejects": ontology_rejects, "undirected_projection": undirected_projection, "graph_describe": graph_describe, "entity_resolution_cc": graph_components, "communities": communities, "community_modularity": community_modularity, "community_brief": community_briefs,
     "find_entity": find_entity, "neighbors_1hop": neighbours_one, "neighbors_2hop": neighbours_two, "neighbors_filtered": neighbours_mentions, "shortest_paths": shortest_paths, "shortest_paths_all": shortest_paths_all, "timeline": timeline,
 }
 
-_NORM = r"""regexp_replace(trim(regexp_replace(lower(name), '[\s.,;:!?''"()\[\]{}<>/\\|_*`~-]+', ' ', 'g')), '^(?:(?:sri|shri|smt|mr|mrs|ms|dr|shree|sree)(?: |$))+', '')"""
 _EV = "ev AS (SELECT source_id, relation, target_id, e.seq, e.x AS x FROM (SELECT source_id, relation, target_id, unnest([{'seq': i - 1, 'x': evidence[i]} for i in range(1, len(evidence) + 1)]) AS e FROM edges))"
 _TRIPLES = ", ".join(f"('{r}', '{a}', '{b}')" for r, (s, t) in ONTOLOGY.items() for a in s for b in t)
 _TYPED = "SELECT *, string_split(source_id, ':')[1] AS source_type, string_split(target_id, ':')[1] AS target_type FROM edges"
@@ -188,8 +178,8 @@ def _hops(hops: int, where: str = "") -> str:
 
 
 SQL = {
-    "entity_upsert": f"SELECT k AS entity_id, arg_min(name, entity_id) AS name, arg_min(type, entity_id) AS type, len(list_distinct(flatten(list(coalesce(aliases, []::VARCHAR[])))))::INT AS n_aliases, sum(mention_count)::BIGINT AS mention_count, len(list_distinct(flatten(list(coalesce(press_meet_ids, []::VARCHAR[])))))::INT AS n_meets, min(first_date) AS first_date, max(last_date) AS last_date, bool_or(structural) AS structural FROM (SELECT *, type || ':' || {_NORM} AS k FROM entities WHERE regexp_full_match(name, '[\\x00-\\x7f]*')) GROUP BY 1",
-    "relation_collapse": f"WITH {_EV}, ids AS (SELECT entity_id FROM entities UNION SELECT entity_id FROM press_meets), k AS (SELECT * FROM ev WHERE source_id IN (SELECT entity_id FROM ids) AND target_id IN (SELECT entity_id FROM ids)), o AS (SELECT source_id, relation, target_id, x.chunk_id AS c, min(seq) AS s FROM k WHERE x.chunk_id IS NOT NULL GROUP BY 1, 2, 3, 4), n AS (SELECT source_id, relation, target_id, least(count(*), 3)::INT AS n_evidence, arg_min(c, s) AS first_chunk FROM o GROUP BY 1, 2, 3) SELECT source_id, relation, target_id, weight, meets, first_date, last_date, coalesce(n_evidence, 0)::INT AS n_evidence, first_chunk FROM (SELECT source_id, relation, target_id, count(*)::INT AS weight, coalesce(array_to_string(list_sort(list(DISTINCT x.press_meet_id) FILTER (x.press_meet_id <> '')), ','), '') AS meets, min(x.date) AS first_date, max(x.date) AS last_date FROM k GROUP BY 1, 2, 3) LEFT JOIN n USING (source_id, relation, target_id)",
+    "entity_upsert": f"SELECT k AS entity_id, arg_min(name, entity_id) AS name, arg_min(type, entity_id) AS type, len(list_distinct(flatten(list(coalesce(aliases, []::VARCHAR[])))))::INT AS n_aliases, sum(mention_count)::BIGINT AS mention_count, len(list_distinct(flatten(list(coalesce(press_meet_ids, []::VARCHAR[])))))::INT AS n_meets, min(first_date) AS first_date, max(last_date) AS last_date, bool_or(structural) AS structural FROM (SELECT *, type || ':' || coalesce({norm('name')}, '') AS k FROM entities) GROUP BY 1",
+    "relation_collapse": f"WITH {_EV}, ids AS (SELECT entity_id FROM entities UNION SELECT entity_id FROM press_meets), k AS (SELECT * FROM ev WHERE source_id IN (SELECT entity_id FROM ids) AND target_id IN (SELECT entity_id FROM ids)), o AS (SELECT source_id, relation, target_id, x.chunk_id AS c, min(seq) AS s FROM k WHERE x.chunk_id IS NOT NULL GROUP BY 1, 2, 3, 4), n AS (SELECT source_id, relation, target_id, least(count(*), 64)::INT AS n_evidence, arg_min(c, s) AS first_chunk FROM o GROUP BY 1, 2, 3) SELECT source_id, relation, target_id, weight, meets, first_date, last_date, coalesce(n_evidence, 0)::INT AS n_evidence, first_chunk FROM (SELECT source_id, relation, target_id, count(*)::INT AS weight, coalesce(array_to_string(list_sort(list(DISTINCT x.press_meet_id) FILTER (x.press_meet_id <> '')), ','), '') AS meets, min(x.date) AS first_date, max(x.date) AS last_date FROM k GROUP BY 1, 2, 3) LEFT JOIN n USING (source_id, relation, target_id)",
     "evidence_enriched": f"WITH {_EV}, l AS (SELECT chunk_id, min(citation) AS citation, min(page) AS page, min(source_file) AS source_file FROM chunks GROUP BY 1) SELECT source_id, relation, target_id, seq::INT AS seq, x.chunk_id AS chunk_id, l.chunk_id IS NOT NULL AS resolved, coalesce(nullif(x.citation, ''), l.citation, x.citation) AS citation, coalesce(nullif(x.page, 0), l.page, x.page) AS page, coalesce(nullif(x.source_file, ''), l.source_file, x.source_file) AS source_file FROM ev LEFT JOIN l ON x.chunk_id = l.chunk_id",
     "structural_meets": _MEETS,
     "structural_edges": f"WITH {_HEAD}, p AS (SELECT source_file, arg_min(press_meet_id, chunk_id) AS meet, arg_min(publication, chunk_id) AS pub, min(nullif(date, '')) AS date FROM ({_ONCE}) GROUP BY 1), f AS (SELECT 'PressMeet:' || coalesce(nullif(meet, ''), 'unknown') AS source_id, * FROM p) SELECT source_id, relation, target_id, count(*)::INT AS weight FROM (SELECT source_id, 'HELD_ON' AS relation, 'Date:' || min(date) AS target_id FROM f GROUP BY 1 HAVING min(date) IS NOT NULL UNION ALL SELECT source_id, 'CITES_SOURCE', 'Source:' || source_file FROM f UNION ALL SELECT source_id, 'COVERED_BY', 'Publication:' || pub FROM f WHERE pub <> '') GROUP BY 1, 2, 3",

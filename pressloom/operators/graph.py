@@ -192,6 +192,17 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, cutoff: int = 4, limit: i
     return done.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit)
 
 
+def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b, n, hop, source_id, relation, target_id, weight): the heaviest real edge of every
+    hop of paths (a, b, n, path), in the path's direction where there is one."""
+    best = edges.groupBy("source_id", "target_id").agg(F.min_by(F.struct("relation", "weight"), F.struct(-F.col("weight"), "relation")).alias("e")).select("source_id", "target_id", "e.*")
+    hops = paths.select("a", "b", "n", F.posexplode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("u"), F.slice("path", 2, F.size("path") - 1).alias("v"))).alias("hop", "h")).select("a", "b", "n", (F.col("hop") + 1).alias("hop"), "h.u", "h.v")
+    along = best.select(F.col("source_id").alias("u"), F.col("target_id").alias("v"), F.lit(0).alias("back"), "source_id", "relation", "target_id", "weight")
+    against = best.select(F.col("target_id").alias("u"), F.col("source_id").alias("v"), F.lit(1).alias("back"), "source_id", "relation", "target_id", "weight")
+    found = hops.join(along.unionByName(against), ["u", "v"])
+    return found.groupBy("a", "b", "n", "hop").agg(F.min_by(F.struct("source_id", "relation", "target_id", "weight"), "back").alias("e")).select("a", "b", "n", "hop", "e.*")
+
+
 def timeline(nodes: DataFrame, edges: DataFrame, meets: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, press_meet_id, date, title): meets of each seed and of its edges, undated last."""
     own = nodes.join(seeds.select(F.col("seed").alias("entity_id")), "entity_id", "left_semi").select(F.col("entity_id").alias("seed"), F.explode("press_meet_ids").alias("press_meet_id"))

@@ -127,17 +127,19 @@ def neighbours_mentions(spark, d) -> DataFrame:
     return G.neighbours(_edges(spark, d), _seeds(spark, d), 2, relations=["MENTIONS", "ACCUSES"])
 
 
-def shortest_paths(spark, d) -> DataFrame:
-    meets = table(spark, d, "press_meets", "entity_id")
-    pairs = meets.select(F.col("entity_id").alias("a")).where("a = 'PressMeet:1'").join(meets.select(F.col("entity_id").alias("b")), F.col("a") != F.col("b"))
-    return G.shortest_paths(_edges(spark, d), pairs, cutoff=2, limit=1).select("a", "b", "hops")
-
-
-def shortest_paths_all(spark, d) -> DataFrame:
+def _paths(spark, d) -> DataFrame:
     """Paths between all pairs of press meets, with the operator's own cutoff and limit."""
     meets = table(spark, d, "press_meets", "entity_id").distinct()
     pairs = meets.select(F.col("entity_id").alias("a")).join(meets.select(F.col("entity_id").alias("b")), F.col("a") < F.col("b"))
-    return G.shortest_paths(_edges(spark, d), pairs).select("a", "b", "n", "hops", "path")
+    return G.shortest_paths(_edges(spark, d), pairs)
+
+
+def shortest_paths(spark, d) -> DataFrame:
+    return _paths(spark, d).select("a", "b", "n", "hops", F.array_join("path", " > ").alias("path"))
+
+
+def path_edges(spark, d) -> DataFrame:
+    return G.path_edges(_paths(spark, d), _edges(spark, d)).select("a", "b", "n", "hop", "source_id", "relation", "target_id")
 
 
 def timeline(spark, d) -> DataFrame:
@@ -158,7 +160,7 @@ QUERIES = {
     "resolve_entities": resolved_exactly, "extraction_pieces": extraction_pieces,
     "entity_upsert": merged_entities, "relation_collapse": collapsed_relations, "evidence_enriched": enriched_evidence, "structural_meets": structural_meets, "structural_edges": structural_edges, "precedes_chain": precedes_chain, "ontology_valid": ontology_valid,
     "ontology_rejects": ontology_rejects, "undirected_projection": undirected_projection, "graph_describe": graph_describe, "entity_resolution_cc": graph_components, "communities": communities, "community_modularity": community_modularity, "community_brief": community_briefs,
-    "find_entity": find_entity, "neighbors_1hop": neighbours_one, "neighbors_2hop": neighbours_two, "neighbors_filtered": neighbours_mentions, "shortest_paths": shortest_paths, "shortest_paths_all": shortest_paths_all, "timeline": timeline,
+    "find_entity": find_entity, "neighbors_1hop": neighbours_one, "neighbors_2hop": neighbours_two, "neighbors_filtered": neighbours_mentions, "shortest_paths": shortest_paths, "path_edges": path_edges, "timeline": timeline,
 }
 
 _EV = "ev AS (SELECT source_id, relation, target_id, e.seq, e.x AS x FROM (SELECT source_id, relation, target_id, unnest([{'seq': i - 1, 'x': evidence[i]} for i in range(1, len(evidence) + 1)]) AS e FROM edges))"
@@ -177,6 +179,10 @@ def _hops(hops: int, where: str = "") -> str:
     return f"WITH {_BOTH.format(w=where)}, {_SEED} SELECT seed, source_id, relation, target_id, min(hop)::INT AS hop, max(weight) AS weight FROM ({one}{two}) GROUP BY 1, 2, 3, 4"
 
 
+_PATHS = """WITH RECURSIVE s AS (SELECT source_id AS u, target_id AS v FROM edges WHERE source_id <> target_id UNION SELECT target_id, source_id FROM edges WHERE source_id <> target_id), m AS (SELECT DISTINCT entity_id FROM press_meets),
+    far(node, d) AS (SELECT entity_id, 0 FROM m UNION SELECT v, d + 1 FROM far JOIN s ON node = u WHERE d < 4), w(a, node, path, hops) AS (SELECT entity_id, entity_id, [entity_id], 0 FROM m UNION ALL SELECT a, v, list_append(path, v), hops + 1 FROM w JOIN s ON node = u WHERE hops < 4 AND NOT list_contains(path, v) AND v IN (SELECT node FROM far WHERE d <= 3 - hops)),
+    r AS (SELECT * FROM (SELECT a, node AS b, hops, path, row_number() OVER (PARTITION BY a, node ORDER BY hops, path)::INT AS n FROM w WHERE hops > 0 AND a < node AND node IN (SELECT entity_id FROM m)) WHERE n <= 5)"""
+
 SQL = {
     "entity_upsert": f"SELECT k AS entity_id, arg_min(name, entity_id) AS name, arg_min(type, entity_id) AS type, len(list_distinct(flatten(list(coalesce(aliases, []::VARCHAR[])))))::INT AS n_aliases, sum(mention_count)::BIGINT AS mention_count, len(list_distinct(flatten(list(coalesce(press_meet_ids, []::VARCHAR[])))))::INT AS n_meets, min(first_date) AS first_date, max(last_date) AS last_date, bool_or(structural) AS structural FROM (SELECT *, type || ':' || coalesce({norm('name')}, '') AS k FROM entities) GROUP BY 1",
     "relation_collapse": f"WITH {_EV}, ids AS (SELECT entity_id FROM entities UNION SELECT entity_id FROM press_meets), k AS (SELECT * FROM ev WHERE source_id IN (SELECT entity_id FROM ids) AND target_id IN (SELECT entity_id FROM ids)), o AS (SELECT source_id, relation, target_id, x.chunk_id AS c, min(seq) AS s FROM k WHERE x.chunk_id IS NOT NULL GROUP BY 1, 2, 3, 4), n AS (SELECT source_id, relation, target_id, least(count(*), 64)::INT AS n_evidence, arg_min(c, s) AS first_chunk FROM o GROUP BY 1, 2, 3) SELECT source_id, relation, target_id, weight, meets, first_date, last_date, coalesce(n_evidence, 0)::INT AS n_evidence, first_chunk FROM (SELECT source_id, relation, target_id, count(*)::INT AS weight, coalesce(array_to_string(list_sort(list(DISTINCT x.press_meet_id) FILTER (x.press_meet_id <> '')), ','), '') AS meets, min(x.date) AS first_date, max(x.date) AS last_date FROM k GROUP BY 1, 2, 3) LEFT JOIN n USING (source_id, relation, target_id)",
@@ -193,6 +199,7 @@ SQL = {
     "neighbors_1hop": _hops(1),
     "neighbors_2hop": _hops(2),
     "neighbors_filtered": _hops(2, "WHERE relation IN ('MENTIONS', 'ACCUSES')"),
-    "shortest_paths": "WITH b AS (SELECT source_id AS u, target_id AS v FROM edges WHERE source_id <> target_id UNION SELECT target_id, source_id FROM edges WHERE source_id <> target_id), p AS (SELECT v, 1 AS hops FROM b WHERE u = 'PressMeet:1' UNION ALL SELECT y.v, 2 FROM b x JOIN b y ON x.v = y.u WHERE x.u = 'PressMeet:1') SELECT 'PressMeet:1' AS a, v AS b, min(hops)::INT AS hops FROM p WHERE v <> 'PressMeet:1' AND v IN (SELECT entity_id FROM press_meets) GROUP BY 2",
+    "shortest_paths": f"{_PATHS} SELECT a, b, n, hops, array_to_string(path, ' > ') AS path FROM r",
+    "path_edges": f"{_PATHS}, e AS (SELECT source_id, target_id, arg_min(relation, (-weight, relation)) AS relation FROM edges GROUP BY 1, 2), h AS (SELECT a, b, n, i::INT AS hop, path[i] AS u, path[i + 1] AS v FROM (SELECT *, unnest(range(1, len(path))) AS i FROM r)), k AS (SELECT h.*, 0 AS back, e.* FROM h JOIN e ON source_id = u AND target_id = v UNION ALL SELECT h.*, 1, e.* FROM h JOIN e ON source_id = v AND target_id = u) SELECT a, b, n, hop, arg_min(source_id, back) AS source_id, arg_min(relation, back) AS relation, arg_min(target_id, back) AS target_id FROM k GROUP BY 1, 2, 3, 4",
     "timeline": f"WITH {_SEED}, m AS (SELECT seed, unnest(press_meet_ids) AS press_meet_id FROM entities JOIN s ON entity_id = seed UNION SELECT seed, unnest(press_meet_ids) FROM edges JOIN s ON source_id = seed UNION SELECT seed, unnest(press_meet_ids) FROM edges JOIN s ON target_id = seed) SELECT press_meet_id, seed, date, press_meet_title AS title FROM m LEFT JOIN press_meets USING (press_meet_id)",
 }

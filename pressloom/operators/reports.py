@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def facets(chunks: DataFrame) -> DataFrame:
-    """(facet, value, n): counts by kind, publication and language in one grouping-sets pass."""
+    """(facet, value, n): counts by kind, publication and language; a row stands for its three
+    facets, which are counted before anything is shuffled."""
     keys = {"source_type": "source_type", "publication": "publication", "language": "language"}
     cols = [F.when(F.col(c) != "", F.col(c)).alias(c) for c in keys]
     flat = chunks.select(F.posexplode(F.array(*cols)).alias("k", "value")).where("value is not null")
@@ -78,12 +79,10 @@ def score_retrieval(questions: DataFrame, passages: DataFrame) -> DataFrame:
 
 def aggregate_scores(scores: DataFrame) -> DataFrame:
     """Means over all questions, by kind and by language, in one grouping-sets pass."""
-    scores.createOrReplaceTempView("_pressloom_scores")
-    return scores.sparkSession.sql(
-        """SELECT coalesce(kind, 'all') AS kind, coalesce(lang, 'all') AS lang, count(*) AS n, round(avg(CASE WHEN meet_rank IS NOT NULL THEN 1.0D ELSE 0.0D END), 3) AS meet_hit_rate,
-        round(avg(reciprocal_rank), 3) AS mrr, round(avg(recall), 3) AS recall, round(avg(precision), 3) AS precision
-        FROM _pressloom_scores GROUP BY GROUPING SETS ((), (kind), (lang))"""
-    )
+    means = [F.round(F.avg(c), 3).alias(name) for c, name in ((F.col("meet_rank").isNotNull().cast("double"), "meet_hit_rate"), (F.col("reciprocal_rank"), "mrr"), (F.col("recall"), "recall"), (F.col("precision"), "precision"))]
+    rows = scores.withColumns({c: F.coalesce(c, F.lit("unknown")) for c in ("kind", "lang")})
+    sets = rows.groupingSets([[], [F.col("kind")], [F.col("lang")]], F.col("kind"), F.col("lang")).agg(F.count("*").alias("n"), *means)
+    return sets.select(F.coalesce("kind", F.lit("all")).alias("kind"), F.coalesce("lang", F.lit("all")).alias("lang"), "n", "meet_hit_rate", "mrr", "recall", "precision")
 
 
 def calls(docs: DataFrame) -> DataFrame:

@@ -166,6 +166,8 @@ def norm(column: str) -> str:
 
 
 SQL = {
+    "halve_texts": "SELECT doc_id, length(trim(text[:cut], ' '))::INT AS left, length(trim(text[cut + 1:], ' '))::INT AS right FROM (SELECT *, CASE WHEN contains(a, ' ') AND (NOT contains(b, ' ') OR l <= r) THEN mid - l WHEN contains(b, ' ') THEN mid + r ELSE mid END AS cut FROM (SELECT *, length(regexp_extract(a, '(?s) ([^ ]*)$', 1)) AS l, length(regexp_extract(b, '(?s)^([^ ]*) ', 1)) AS r FROM (SELECT doc_id, text, mid, substr(text, mid - 199, 200) AS a, substr(text, mid + 1, 200) AS b FROM (SELECT doc_id, text, length(text) // 2 AS mid FROM documents WHERE length(text) >= 800))))",
+    "clean_ocr": f"SELECT segment_id, regexp_replace(regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split(regexp_replace(t, '[\\x{{200c}}\\x{{ad}}]', '', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'), ' ')), lambda x: NOT regexp_matches(x, '^[-=_*~|. ]+$') AND NOT regexp_full_match(x, '[^\\p{{L}}\\p{{N}}]')), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^{SPACE_RE2}+', ''), '{SPACE_RE2}+$', '') AS text FROM (SELECT DISTINCT segment_id, text_original AS t FROM segments WHERE source_type = 'news_clip')",
     "source_types": f"SELECT CASE {_KINDS} END AS kind, count(*) AS n FROM (SELECT lower(regexp_extract(source_file, '\\.([^./]+)$', 1)) AS ext FROM chunks) GROUP BY 1",
     "detect_language": f"SELECT {_LANG} AS detected, language, count(*) AS n FROM ({_COUNTS.replace('{}', 'chunks')}) GROUP BY 1, 2",
     "content_hash_copies": f"SELECT hash, count(*) AS copies, count(*) FILTER (hash = content_hash) AS labelled FROM (SELECT sha1({_SQUEEZE.replace("{}", "text")}) AS hash, content_hash FROM chunks) GROUP BY 1 HAVING count(*) > 1",

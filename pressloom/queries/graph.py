@@ -9,6 +9,7 @@ from pressloom.functions import scalars as S
 from pressloom.operators import extraction as X
 from pressloom.operators import graph as G
 from pressloom.operators.components import connected_components
+from pressloom.functions.text import SPACE_RE2
 from pressloom.queries.documents import norm
 from pressloom.sources.tables import table
 
@@ -183,7 +184,14 @@ _PATHS = """WITH RECURSIVE s AS (SELECT source_id AS u, target_id AS v FROM edge
     far(node, d) AS (SELECT entity_id, 0 FROM m UNION SELECT v, d + 1 FROM far JOIN s ON node = u WHERE d < 4), w(a, node, path, hops) AS (SELECT entity_id, entity_id, [entity_id], 0 FROM m UNION ALL SELECT a, v, list_append(path, v), hops + 1 FROM w JOIN s ON node = u WHERE hops < 4 AND NOT list_contains(path, v) AND v IN (SELECT node FROM far WHERE d <= 3 - hops)),
     r AS (SELECT * FROM (SELECT a, node AS b, hops, path, row_number() OVER (PARTITION BY a, node ORDER BY hops, path)::INT AS n FROM w WHERE hops > 0 AND a < node AND node IN (SELECT entity_id FROM m)) WHERE n <= 5)"""
 
+_ROOM = f"SELECT chunk_id, n, i, rest, CASE WHEN length(rest) <= 2400 THEN length(rest) WHEN contains(room, chr(10)) AND 2400 - strpos(reverse(room), chr(10)) >= 1200 THEN 2400 - strpos(reverse(room), chr(10)) WHEN contains(room, ' ') AND 2400 - strpos(reverse(room), ' ') >= 1200 THEN 2400 - strpos(reverse(room), ' ') ELSE 2400 END AS cut FROM (SELECT *, substr(rest, 1, 2400) AS room FROM {{}})"
+_TRIM = f"regexp_replace(regexp_replace({{}}, '^{SPACE_RE2}+', ''), '{SPACE_RE2}+$', '')"
+_LETTERS = r"(length(name) - length(regexp_replace(name, '\p{L}', '', 'g')))"
+_ASCII = "(length(name) - length(regexp_replace(name, '[A-Za-z]', '', 'g')))"
+
 SQL = {
+    "extraction_pieces": f"WITH RECURSIVE r(chunk_id, n, i, rest, cut) AS ({_ROOM.replace('{}', '(SELECT DISTINCT chunk_id, length(text) AS n, 0 AS i, text AS rest FROM chunks WHERE text IS NOT NULL)')} UNION ALL {_ROOM.replace('{}', '(SELECT chunk_id, n, i + 1 AS i, substr(rest, cut + 1) AS rest FROM r WHERE length(rest) > cut)')}), p AS (SELECT chunk_id, n, i, {_TRIM.replace('{}', 'substr(rest, 1, cut)')} AS t FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY i) - 1 AS k FROM p WHERE t <> '') SELECT chunk_id, CASE WHEN n > 2400 THEN chunk_id || '#s' || k ELSE chunk_id END AS piece_id, sha1(trim(regexp_replace(t, '{SPACE_RE2}+', ' ', 'g'))) AS content_hash FROM k",
+    "resolve_entities": f"WITH k AS (SELECT type, name, mention_count, {norm('name')} AS key FROM entities), g AS (SELECT type, key, name, sum(mention_count) AS n FROM k WHERE key <> '' GROUP BY 1, 2, 3), b AS (SELECT type, key, arg_min(name, (NOT ({_LETTERS} > 0 AND {_ASCII} > 0.6 * {_LETTERS}), -n, length(name), name)) AS display FROM g GROUP BY 1, 2) SELECT display, count(*) AS n FROM k JOIN b USING (type, key) GROUP BY 1",
     "entity_upsert": f"SELECT k AS entity_id, arg_min(name, entity_id) AS name, arg_min(type, entity_id) AS type, len(list_distinct(flatten(list(coalesce(aliases, []::VARCHAR[])))))::INT AS n_aliases, sum(mention_count)::BIGINT AS mention_count, len(list_distinct(flatten(list(coalesce(press_meet_ids, []::VARCHAR[])))))::INT AS n_meets, min(first_date) AS first_date, max(last_date) AS last_date, bool_or(structural) AS structural FROM (SELECT *, type || ':' || coalesce({norm('name')}, '') AS k FROM entities) GROUP BY 1",
     "relation_collapse": f"WITH {_EV}, ids AS (SELECT entity_id FROM entities UNION SELECT entity_id FROM press_meets), k AS (SELECT * FROM ev WHERE source_id IN (SELECT entity_id FROM ids) AND target_id IN (SELECT entity_id FROM ids)), o AS (SELECT source_id, relation, target_id, x.chunk_id AS c, min(seq) AS s FROM k WHERE x.chunk_id IS NOT NULL GROUP BY 1, 2, 3, 4), n AS (SELECT source_id, relation, target_id, least(count(*), 64)::INT AS n_evidence, arg_min(c, s) AS first_chunk FROM o GROUP BY 1, 2, 3) SELECT source_id, relation, target_id, weight, meets, first_date, last_date, coalesce(n_evidence, 0)::INT AS n_evidence, first_chunk FROM (SELECT source_id, relation, target_id, count(*)::INT AS weight, coalesce(array_to_string(list_sort(list(DISTINCT x.press_meet_id) FILTER (x.press_meet_id <> '')), ','), '') AS meets, min(x.date) AS first_date, max(x.date) AS last_date FROM k GROUP BY 1, 2, 3) LEFT JOIN n USING (source_id, relation, target_id)",
     "evidence_enriched": f"WITH {_EV}, l AS (SELECT chunk_id, min(citation) AS citation, min(page) AS page, min(source_file) AS source_file FROM chunks GROUP BY 1) SELECT source_id, relation, target_id, seq::INT AS seq, x.chunk_id AS chunk_id, l.chunk_id IS NOT NULL AS resolved, coalesce(nullif(x.citation, ''), l.citation, x.citation) AS citation, coalesce(nullif(x.page, 0), l.page, x.page) AS page, coalesce(nullif(x.source_file, ''), l.source_file, x.source_file) AS source_file FROM ev LEFT JOIN l ON x.chunk_id = l.chunk_id",

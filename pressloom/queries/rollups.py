@@ -142,7 +142,15 @@ _SES = f"{_LOG}, f AS (SELECT *, CASE WHEN epoch_us(ts) / 1e6 - lag(epoch_us(ts)
 _CUR = "cur AS (SELECT path, arg_max(sha1, (updated, sha1)) AS sha1, arg_max(size, (updated, sha1)) AS size, arg_max(stages, (updated, sha1)) AS stages FROM manifest GROUP BY 1)"
 _ST = "st AS (SELECT path, sha1, e.key AS stage, e.value AS state FROM (SELECT path, sha1, unnest(map_entries(stages)) AS e FROM cur))"
 
+_EVAL = f"{_hybrid()}, j AS (SELECT item_id AS qid, kind, lang, list_distinct(meets) AS meets, rank, press_meet_id FROM eval_items LEFT JOIN hits ON hits.qid = item_id), h AS (SELECT *, coalesce(list_contains(meets, press_meet_id), false) AS hit FROM j), e AS (SELECT qid, any_value(kind) AS kind, any_value(lang) AS lang, min(rank) FILTER (hit) AS meet_rank, coalesce(1.0::DOUBLE / min(rank) FILTER (hit), 0.0) AS reciprocal_rank, coalesce(count(DISTINCT press_meet_id) FILTER (hit) / nullif(len(any_value(meets)), 0), 0.0) AS recall, coalesce(count(*) FILTER (hit) / nullif(count(rank), 0), 0.0) AS precision FROM h GROUP BY 1)"
+_MEANS = "count(*) AS n, round(avg((meet_rank IS NOT NULL)::INT::DOUBLE), 3) AS meet_hit_rate, round(avg(reciprocal_rank), 3) AS mrr, round(avg(recall), 3) AS recall, round(avg(precision), 3) AS precision FROM e"
+_BLOCK = lambda by: f"SELECT '{by}' AS \"by\", count(*) FILTER (blocked) AS blocked FROM (SELECT count(*) FILTER (NOT ok) OVER (PARTITION BY k, since ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING) >= 3 AS blocked FROM (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY k ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS since FROM (SELECT event_id, ts, event_type = 'purchase' AS ok, user_id{' % 10' if by == 'ip' else ''} AS k FROM events)))"
+
 SQL = {
+    "eval_scores": f"WITH {_EVAL} SELECT qid, meet_rank, round(reciprocal_rank, 4) AS reciprocal_rank, round(recall, 4) AS recall, round(precision, 4) AS precision FROM e",
+    "eval_aggregate": f"WITH {_EVAL} SELECT 'all' AS kind, 'all' AS lang, {_MEANS} UNION ALL SELECT kind, 'all', {_MEANS} GROUP BY kind UNION ALL SELECT 'all', lang, {_MEANS} GROUP BY lang",
+    "login_throttle": f"{_BLOCK('user')} UNION ALL {_BLOCK('ip')}",
+    "quota_accept": "WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), r(event_id, user_id, rn, ok, held) AS (SELECT event_id, user_id, rn, true, [t] FROM o WHERE rn = 1 UNION ALL SELECT event_id, user_id, rn, len(h) < 2, CASE WHEN len(h) < 2 THEN list_append(h, t) ELSE h END FROM (SELECT o.event_id, o.user_id, o.rn, o.t, list_filter(r.held, lambda x: o.t - x <= 86400000000) AS h FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1)) SELECT event_id, user_id AS \"user\", ok AS accepted FROM r",
     "corpus_meta": "SELECT facet, value, count(*) AS n FROM (SELECT 'source_type' AS facet, source_type AS value FROM chunks UNION ALL SELECT 'publication', publication FROM chunks UNION ALL SELECT 'language', language FROM chunks) WHERE value <> '' GROUP BY 1, 2",
     "corpus_coverage": "SELECT count(*) AS chunks, count(nullif(date, '')) AS dated_chunks, min(nullif(date, '')) AS start, max(nullif(date, '')) AS \"end\", count(DISTINCT press_meet_id) AS press_meets FROM chunks",
     "querylog_stats": f"WITH {_LOG} SELECT count(*) AS queries, round(avg(latency_s), 2) AS mean_latency_s, round(avg(uncited), 2) AS mean_uncited_sentences, count(*) FILTER (invalid > 0) AS answers_with_stripped_citations, round(count(*) FILTER (grounded) / count(*), 4) AS grounding_pass_rate, round(count(*) FILTER (refused) / count(*), 4) AS refusal_rate FROM l",

@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressloom.functions import scalars as S
+from pressloom.sources import legacy as L
 
-SEGMENT = "array<struct<segment_id:string,page:int,slide:int,text:string>>"
+SEGMENT = "array<struct<segment_id:string,page:int,slide:int,start:double,end:double,text:string>>"
 EXTRACTED = f"source_file string, source_type string, segments {SEGMENT}, error string"
 ARTIFACT = "chunk_id string, text string, content_hash string, source_file string, source_type string, press_meet_id string, press_meet_title string, date string, topic string, publication string, language string, page int, slide int, citation string"
 #: Fixed: rows of a sheet and least characters of a page that are kept.
@@ -32,7 +33,7 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     known = files.withColumn("source_type", S.source_type(F.col("path"))).where("source_type is not null")
-    return known.where(~name.rlike(r"^(?:~\$|\.~|\._)") & ~F.col("path").rlike(r"/~[^/]*/"))
+    return known.where(~name.rlike(r"^(?:~\$|\.~|\._)") & ~F.col("path").rlike(r"/~[^/]*/")).orderBy("path")
 
 
 def read_text(content: bytes) -> list[tuple[int | None, str]]:
@@ -44,12 +45,6 @@ def read_csv(content: bytes) -> list[tuple[int | None, str]]:
     return [(1, "\n".join("\t".join(r) for r in rows))]
 
 
-def read_sheets(content: bytes) -> list[tuple[int | None, str]]:
-    """Sheets of a workbook, the first rows of each joined by tabs; needs openpyxl."""
-    sheets = pd.read_excel(io.BytesIO(content), sheet_name=None, header=None, dtype=str)
-    return [(i, f"# Sheet: {n}\n" + "\n".join("\t".join(r) for r in s.fillna("").head(SHEET_ROWS).to_numpy())) for i, (n, s) in enumerate(sheets.items(), 1)]
-
-
 def read_docx(content: bytes) -> list[tuple[int | None, str]]:
     """Paragraphs and table rows of a document's main part."""
     import zipfile
@@ -85,7 +80,62 @@ def read_pptx(content: bytes) -> list[tuple[int | None, str]]:
     return out
 
 
-READERS: dict[str, Callable[[bytes], list[tuple[int | None, str]]]] = {"txt": read_text, "md": read_text, "csv": read_csv, "xlsx": read_sheets, "docx": read_docx, "pptx": read_pptx}
+READERS: dict[str, Callable[[bytes], list[tuple[int | None, str]]]] = {"txt": read_text, "md": read_text, "csv": read_csv, "xlsx": L.read_xlsx, "docx": read_docx, "pptx": read_pptx, "pdf": L.read_pdf, "doc": L.read_doc, "rtf": L.read_doc}
+
+
+def _segment(rel: str, mark: str, n, text: str, k: int) -> dict:
+    span = n if isinstance(n, tuple) else (None, None)
+    name = f"{rel}#t{k}" if isinstance(n, tuple) else f"{rel}#doc" if n is None else f"{rel}#{mark}{n}"
+    number = None if isinstance(n, tuple) else n
+    return {"segment_id": name, "page": number if mark == "p" else None, "slide": number if mark == "s" else None, "start": span[0], "end": span[1], "text": text}
+
+
+def image_reader(ocr: Callable[[bytes], list[tuple[int | None, str]]]) -> Callable[[bytes], list[tuple[int | None, str]]]:
+    """A reader of images by a recogniser; a page number is kept only where there are several."""
+
+    def read(content: bytes) -> list[tuple[int | None, str]]:
+        pages = [(n, t) for n, t in ocr(content) if (t or "").strip()]
+        return pages if len(pages) > 1 else [(None, t) for _, t in pages]
+
+    return read
+
+
+def speech_reader(transcribe: Callable[[bytes], list[tuple[float, float, str]]]) -> Callable[[bytes], list[tuple[tuple[float, float], str]]]:
+    """A reader of recordings by a transcriber; a part is named by its rounded span in seconds."""
+    return lambda content: [((round(a, 2), round(z, 2)), t) for a, z, t in transcribe(content) if t.strip()]
+
+
+def speech_windows(files: DataFrame, seconds: int = 25) -> DataFrame:
+    """(path, n, start, end): the windows a recording (path, duration) is transcribed in."""
+    n = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("duration") / seconds).cast("int") - 1, F.lit(0)))
+    flat = files.where("duration > 0").select("path", "duration", F.explode(n).alias("n"))
+    return flat.select("path", "n", (F.col("n") * seconds).cast("double").alias("start"), F.least(F.col("duration"), ((F.col("n") + 1) * seconds)).cast("double").alias("end"))
+
+
+def legacy_font(text: Column) -> Column:
+    """Whether a text is of glyph codes of an 8-bit Indic font: over 50 characters, none of
+    them Telugu, and over 15 percent in the upper half of Latin-1."""
+    n = F.length(text)
+    return (n >= 50) & (S.count_chars(text, "ఀ-౿") == 0) & (S.count_chars(text, "\u0080-\u00ff") > 0.15 * n)
+
+
+def checked(extracted: DataFrame) -> DataFrame:
+    """Extracted files whose text is in a legacy font come back with an error and no segments."""
+    text = F.array_join(F.transform("segments", lambda s: s["text"]), "\n")
+    bad = (F.col("source_type") == "press_release") & legacy_font(text)
+    none = F.array().cast(extracted.schema["segments"].dataType)
+    return extracted.withColumn("_bad", bad).select("source_file", "source_type", F.when(F.col("_bad"), none).otherwise(F.col("segments")).alias("segments"), F.when(F.col("_bad"), "legacy font without a glyph mapping").otherwise(F.col("error")).alias("error"))
+
+
+def cleaned_or_raw(raw: Column, cleaned: Column) -> Column:
+    """A model's clean-up of a text, kept only if it is at least half as long."""
+    return F.when(F.length(cleaned) >= 0.5 * F.length(raw), F.trim(cleaned)).otherwise(raw)
+
+
+def text_files(names: Column) -> Column:
+    """Of an array of file names those with text, else their JSON sidecars."""
+    named = lambda *ends: F.filter(names, lambda n: F.lower(n).rlike(rf"\.(?:{'|'.join(ends)})$"))
+    return F.when(F.size(named("md", "txt", "html")) > 0, F.array_sort(named("md", "txt", "html"))).otherwise(F.array_sort(named("json")))
 
 
 def extract(files: DataFrame, root: str, readers: dict[str, Callable[[bytes], list[tuple[int | None, str]]]] | None = None) -> DataFrame:
@@ -106,7 +156,7 @@ def extract(files: DataFrame, root: str, readers: dict[str, Callable[[bytes], li
                     parts = [(n, t) for n, t in own[ext](content) if t.strip()]
                     if not parts:
                         raise ValueError("no text")
-                    segments = [{"segment_id": f"{rel}#doc" if n is None else f"{rel}#{mark}{n}", "page": n if mark == "p" else None, "slide": n if mark == "s" else None, "text": t} for n, t in parts]
+                    segments = [_segment(rel, mark, n, t, k) for k, (n, t) in enumerate(parts, 1)]
                     rows.append((rel, kind, segments, None))
                 except Exception as e:
                     rows.append((rel, kind, [], f"{type(e).__name__}: {e}"))
@@ -139,6 +189,30 @@ def artifacts(spark: SparkSession, folder: str, schema: str = ARTIFACT) -> DataF
     return rows.where("_corrupt is null").drop("_corrupt")
 
 
+def corrupt_artifacts(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, n): the files of a folder with artifacts that do not parse, and how many."""
+    rows = spark.read.schema(ARTIFACT + ", _corrupt string").option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", "true").json(folder)
+    return rows.select(F.input_file_name().alias("path"), "_corrupt").where("_corrupt is not null").groupBy("path").agg(F.count("*").alias("n"))
+
+
+def question_set(text: str) -> list[dict]:
+    """The questions of a YAML file, checked: ids there and unique, no question empty."""
+    import yaml
+
+    raw = yaml.safe_load(text) or {}
+    rows = raw.get("questions", raw) if isinstance(raw, dict) else raw
+    out, seen = [], set()
+    for q in rows or []:
+        key = str(q.get("id") or "").strip()
+        if not key or key in seen or not str(q.get("q") or "").strip():
+            raise ValueError(f"question without an id, with a repeated one or without words: {key!r}")
+        seen.add(key)
+        out.append({"id": key, "q": str(q["q"]).strip(), "lang": q.get("lang", "en"), "kind": q.get("kind", "single"), "meets": [str(m) for m in q.get("meets") or []], "entities": [str(e) for e in q.get("entities") or []]})
+    if not out:
+        raise ValueError("no questions")
+    return out
+
+
 def ontology(text: str) -> tuple[list[str], dict[str, tuple[list[str], list[str]]], dict[str, list[str]]]:
     """(node types, relations, aliases) of an ontology in YAML."""
     import yaml

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pressloom.operators import manifest as M
 from pressloom.operators import reports as L
 from pressloom.sources import files as A
+from pressloom.sources import legacy
 from pressloom.streaming import ingest, quotas
 
 
@@ -42,7 +43,7 @@ def test_discover_and_extract(spark, tmp_path):
     assert got["1_x/a.docx"].segments[0].text == "One\nTwo\na | b" and got["1_x/a.docx"].segments[0].segment_id == "1_x/a.docx#doc"
     assert got["1_x/b.csv"].segments[0].text == "h\ti\n1\t2" and got["1_x/b.csv"].segments[0].segment_id == "1_x/b.csv#sheet1"
     assert [(s.slide, s.text) for s in got["1_x/e.pptx"].segments] == [(1, "S1\n[notes] note"), (2, "S2")]
-    assert got["1_x/d.pdf"].error.startswith("LookupError") and "BadZipFile" in got["1_x/f.docx"].error
+    assert "no text" in got["1_x/d.pdf"].error and "BadZipFile" in got["1_x/f.docx"].error
 
 
 def test_pages(spark):
@@ -149,3 +150,96 @@ def test_login_throttle(spark):
     e = spark.createDataFrame(rows, "event_id long, user string, ip string, s long, ok boolean").withColumn("ts", F.timestamp_seconds("s"))
     got = {r.event_id: r.blocked for r in quotas.failures(e, limit=2, seconds=60).where("by = 'user'").collect()}
     assert got == {0: False, 1: False, 2: True, 3: True, 4: False}
+
+
+def pdf(*pages, packed=False):
+    import zlib
+
+    objects = ["<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Count {len(pages)} /Kids [{' '.join(f'{10 + 2 * i} 0 R' for i in range(len(pages)))}] /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> >>", "<< /Type /Font /Subtype /Type1 >>", "<< /Type /Font /ToUnicode 5 0 R >>"]
+    cmap = b"1 beginbfrange <0001> <0003> <0C05> endbfrange 1 beginbfchar <0009> <0020> endbfchar"
+    out = [b"%PDF-1.4\n"] + [f"{n} 0 obj {o} endobj\n".encode() for n, o in enumerate(objects, 1)]
+    out.append(b"5 0 obj << /Length 1 >> stream\n" + cmap + b"\nendstream endobj\n")
+    for i, p in enumerate(pages):
+        body = zlib.compress(p) if packed else p
+        out.append(f"{10 + 2 * i} 0 obj << /Type /Page /Contents {11 + 2 * i} 0 R >> endobj\n".encode())
+        out.append(f"{11 + 2 * i} 0 obj << {'/Filter /FlateDecode' if packed else ''} >> stream\n".encode() + body + b"\nendstream endobj\n")
+    return b"".join(out)
+
+
+def ole(stream):
+    import struct
+
+    sector = 512
+    size = -(-max(len(stream), 4096) // sector)
+    fat = [0xFFFFFFFD, 0xFFFFFFFE] + [k + 3 for k in range(size - 1)] + [0xFFFFFFFE]
+    entry = lambda name, kind, start, n: name.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<H", 2 * len(name) + 2) + bytes([kind]) + b"\0" * 49 + struct.pack("<II", start, n) + b"\0" * 4
+    head = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + b"\0" * 16 + struct.pack("<HHHHH", 62, 3, 0xFFFE, 9, 6) + b"\0" * 10 + struct.pack("<IIIIIIII", 1, 1, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0) + struct.pack("<I", 0) + b"\xff" * 432
+    directory = (entry("Root Entry", 5, 0xFFFFFFFE, 0) + entry("WordDocument", 2, 2, len(stream.ljust(4096, b"\0")))).ljust(sector, b"\0")
+    return head[:512] + struct.pack(f"<{len(fat)}I", *fat).ljust(sector, b"\xff") + directory + stream.ljust(size * sector, b"\0")
+
+
+def xlsx():
+    s = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<w xmlns="{s}"><sheets><sheet name="Dues"/></sheets></w>')
+        z.writestr("xl/sharedStrings.xml", f'<s xmlns="{s}"><si><t>name</t></si></s>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<w xmlns="{s}"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>7</v></c></row><row><c r="B2" t="inlineStr"><is><t>x</t></is></c></row></sheetData></w>')
+    return out.getvalue()
+
+
+def test_pdf_text_layers():
+    a = b"BT /F1 12 Tf 10 700 Td (The water \\(dues\\) rose) Tj 0 -14 Td [(in Ram) -20 (pur) -400 (today)] TJ ET"
+    b = b"BT /F2 12 Tf <000100020003000900010002000300010002> Tj ET"
+    for packed in (False, True):
+        got = legacy.read_pdf(pdf(a, b"BT /F1 9 Tf (short) Tj ET", b * 2, packed=packed))
+        assert got[0] == (1, "The water (dues) rose\nin Rampur today") and [n for n, _ in got] == [1, 3] and got[1][1].startswith("అఆఇ అఆఇ")
+    assert legacy.pdf_reader(lambda c: [(2, "recognised second page"), (1, "recognised first page")])(b"x") == [(1, "recognised first page"), (2, "recognised second page")]
+
+    def broken(content):
+        raise OSError("no service")
+
+    assert legacy.pdf_reader(broken)(pdf(a))[0][0] == 1
+    for bad, error in ((pdf(b""), RuntimeError), (b"no", ValueError)):
+        try:
+            legacy.pdf_reader(broken)(bad)
+            raise AssertionError
+        except error:
+            pass
+
+
+def test_word_and_workbooks():
+    rtf = rb"{\rtf1\ansi{\fonttbl{\f0 Arial;}}{\*\generator x;}Caf\'e9 opened\par {\b Two} lines\line \u3077?\{x\}}"
+    assert legacy.read_doc(rtf) == [(None, "Café opened\nTwo lines\n" + chr(3077) + "{x}")]
+    import struct
+
+    body = b"\0" * 0x18 + struct.pack("<II", 64, 64 + 21) + b"\0" * 32 + b"First line\rCell\x07End\x01."
+    assert legacy.read_doc(ole(body))[0][1].split("\n")[:2] == ["First line", "Cell"]
+    assert legacy.read_xlsx(xlsx()) == [(1, "# Sheet: Dues\nname\t\t7\n\tx")]
+
+
+def test_readers_with_seams(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    (root / "a.png").write_bytes(b"i")
+    (root / "b.mp3").write_bytes(b"v")
+    (root / "c.doc").write_bytes(b"{\\rtf1 " + "Äâå".encode("cp1252") * 30 + b"}")
+    (root / "d.pdf").write_bytes(pdf(b"BT /F1 1 Tf (A page with some text) Tj ET"))
+    readers = {"png": A.image_reader(lambda c: [(1, "a clip")]), "mp3": A.speech_reader(lambda c: [(0.0, 2.504, "they said"), (3.0, 4.0, " ")])}
+    got = {r.source_file: r for r in A.checked(A.extract(A.discover(spark, str(root)), str(root), readers)).collect()}
+    assert got["a.png"].segments[0].segment_id == "a.png#doc" and (got["b.mp3"].segments[0].start, got["b.mp3"].segments[0].end) == (0.0, 2.5)
+    assert got["c.doc"].segments == [] and "legacy font" in got["c.doc"].error and got["d.pdf"].segments[0].page == 1
+    w = A.speech_windows(spark.createDataFrame([("b", 60.0), ("z", 0.0)], "path string, duration double")).orderBy("n").collect()
+    assert [(r.start, r.end) for r in w] == [(0.0, 25.0), (25.0, 50.0), (50.0, 60.0)]
+    n = spark.createDataFrame([(["a.json", "b.md"],), (["a.json"],)], "n array<string>").select(A.text_files(F.col("n")).alias("n"))
+    assert [r.n for r in n.collect()] == [["b.md"], ["a.json"]]
+
+
+def test_question_set():
+    assert A.question_set("- {id: a, q: ' What? ', meets: [1]}")[0] == {"id": "a", "q": "What?", "lang": "en", "kind": "single", "meets": ["1"], "entities": []}
+    for bad in ("- {q: x}", "- {id: a, q: x}\n- {id: a, q: y}", "[]", "- {id: a, q: ''}"):
+        try:
+            A.question_set(bad)
+            raise AssertionError
+        except ValueError:
+            pass

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pressloom.functions import scalars as S
 from pressloom.functions.text import content_hash
+from pressloom.operators.components import connected_components
 from pressloom.session import spread
 
 TARGET, OVERLAP = 1000, 120
@@ -121,7 +122,8 @@ def select_chunks(chunks: DataFrame, cap: int = FILE_CAP, **rules) -> DataFrame:
     duplicate takes no room of its file, so cap and duplicates depend on one another. Where
     a file stays within its cap whatever happens, order does not matter and a window decides;
     only files that could pass the cap, and what shares a content with them, are gone through
-    in order by one task, over ids and hashes alone."""
+    in order, over ids and hashes alone. Files that share no content, not even by way of
+    others, have nothing to do with each other: each such group is a walk of its own."""
     key = F.coalesce(F.when(F.col("content_hash") != "", F.col("content_hash")), F.col("chunk_id"))
     graded = eligible(chunks.dropDuplicates(["chunk_id"]), **rules).withColumn("_key", key)
     passed = graded.where("skip is null").select("chunk_id", "source_file", "_key")
@@ -139,9 +141,12 @@ def select_chunks(chunks: DataFrame, cap: int = FILE_CAP, **rules) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         kept: dict = {}
+        now = None
         for b in batches:
             ids, skip = [], []
-            for c, f, k, limited in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for c, f, k, limited, group in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if group != now:
+                    now, seen, kept = group, set(), {}
                 ids.append(c)
                 if limited and kept.get(f, 0) >= cap:
                     skip.append("over_file_cap")
@@ -153,7 +158,10 @@ def select_chunks(chunks: DataFrame, cap: int = FILE_CAP, **rules) -> DataFrame:
                     skip.append(None)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(skip, pa.string())], ["chunk_id", "skip"])
 
-    walked = marked.coalesce(1).sortWithinPartitions("source_file", "chunk_id").mapInArrow(walk, "chunk_id string, skip string")
+    links = marked.select(F.concat(F.lit("f"), "source_file").alias("src"), F.concat(F.lit("k"), "_key").alias("dst")).distinct()
+    group = connected_components(links).where("node like 'f%'").select(F.expr("substring(node, 2)").alias("source_file"), "component")
+    walks = marked.join(group, "source_file").select("chunk_id", "source_file", "_key", "limited", "component").repartition("component").sortWithinPartitions("component", "source_file", "chunk_id")
+    walked = walks.mapInArrow(walk, "chunk_id string, skip string")
     return simple.unionByName(walked).unionByName(failed)
 
 

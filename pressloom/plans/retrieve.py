@@ -12,7 +12,7 @@ from pressloom.operators import facts as J
 from pressloom.operators import graph as G
 from pressloom.operators import ranking as R
 from pressloom.operators.filters import Filters
-from pressloom.session import partitions
+from pressloom.session import cut_lineage, partitions
 
 FIELDS = ("chunk_id", "text", "citation", "source_type", "source_file", "content_hash", "press_meet_id", "date", "language")
 TIMELINE, COMMUNITIES, MEMBERS = 15, 3, 8
@@ -52,9 +52,12 @@ def passages(
     The legs over-fetch, as copies are collapsed later. Without vectors the lexical leg ranks
     alone. Repeated chunk rows count once; chunks without text are found by no leg.
     """
-    reach = k * R.OVERFETCH
-    own = dict(zip(("vector", "keyword"), weights))
-    found = legs(chunks, questions, reach, vectors, question_vectors, index, filters)
+    return ordered(chunks, questions, k, legs(chunks, questions, k * R.OVERFETCH, vectors, question_vectors, index, filters), filters, rerank, weights)
+
+
+def ordered(chunks: DataFrame, questions: DataFrame, k: int, found: dict[str, DataFrame], filters: Filters = Filters(), rerank: bool = True, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """The k passages of each question out of what the legs found."""
+    reach, own = k * R.OVERFETCH, dict(zip(("vector", "keyword"), weights))
     fused = R.fuse({name: (df, own[name]) for name, df in found.items()}).join(_once(chunks, filters), "chunk_id").join(questions.select("qid", "q"), "qid")
     scored = R.rerank(fused) if rerank else fused
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
@@ -102,13 +105,16 @@ def retrieve(
     chunks: DataFrame, questions: DataFrame, nodes: DataFrame, edges: DataFrame, meets: DataFrame, k: int = 12, vectors: DataFrame | None = None, question_vectors: DataFrame | None = None, community: DataFrame | None = None, filters: Filters = Filters(), index: DataFrame | None = None, max_facts: int = 20
 ) -> Context:
     """All legs for a batch of questions. A leg without its tables is left out and shows in
-    the diagnostics as null; vectors of another dimension raise."""
-    found = passages(chunks, questions, k, vectors, question_vectors, filters, index=index)
-    linked = J.link_entities(questions, nodes, J.name_index(nodes))
-    facts = J.gather(questions, linked, edges, nodes, found, filters, max_facts)
+    the diagnostics as null; vectors of another dimension raise. Passages, entities and facts
+    are written once, as everything after them reads them again."""
+    reach = k * R.OVERFETCH
+    legs_ = {name: cut_lineage(df) for name, df in legs(chunks, questions, reach, vectors, question_vectors, index, filters).items()}
+    found = cut_lineage(ordered(chunks, questions, k, legs_, filters))
+    linked = cut_lineage(J.link_entities(questions, nodes, J.name_index(nodes)))
+    facts = cut_lineage(J.gather(questions, linked, edges, nodes, found, filters, max_facts))
     named = communities_of(linked, community, nodes) if community is not None else linked.limit(0).select("qid", "n", F.lit("").alias("community_id"), F.lit(0).cast("bigint").alias("size"), F.array().cast("array<string>").alias("members"))
     count = lambda df, name: df.groupBy("qid").agg(F.count("*").alias(name))
-    sizes = [count(df, f"n_{name}") for name, df in legs(chunks, questions, k * R.OVERFETCH, vectors, question_vectors, index, filters).items()]
+    sizes = [count(df, f"n_{name}") for name, df in legs_.items()]
     sizes += [count(found, "n_passages"), found.groupBy("qid").agg(F.min_by("rerank_intent", "rank").alias("intent")), count(linked, "n_entities"), count(facts, "n_facts")]
     diagnostics = questions.select("qid")
     for df in sizes:

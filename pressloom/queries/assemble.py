@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.operators import answer as K
+from pressloom.operators import extraction as X
 from pressloom.operators import facts as J
+from pressloom.operators import graph as G
 from pressloom.operators.filters import Filters
 from pressloom.plans import retrieve as P
 from pressloom.queries.graph import _edges, _nodes
 from pressloom.queries.retrieval import chunk_vectors, chunks, found, index, question_vectors
+from pressloom.session import cut_lineage
 from pressloom.sources.tables import table
 
 
@@ -54,7 +57,38 @@ def confidence(spark, d) -> DataFrame:
 
 
 def prompt_sources(spark, d) -> DataFrame:
-    return K.sources(_found(spark, d), _gathered(spark, d)).select("qid", "n", "kind", "citation", F.length("body").alias("size"))
+    f, p = cut_lineage(_gathered(spark, d)), cut_lineage(_found(spark, d))
+    return K.sources(p, f, K.promoted(f, p, chunks(spark, d))).select("qid", "n", "kind", "promoted", "citation", F.length("body").alias("size"))
+
+
+def _context(spark, d) -> P.Context:
+    q = named_questions(spark, d)
+    nodes, edges = _nodes(spark, d), _edges(spark, d)
+    c = cut_lineage(G.number_communities(G.communities(G.undirected(edges)), nodes))
+    return P.retrieve(chunks(spark, d), q, nodes, edges, table(spark, d, "press_meets"), vectors=chunk_vectors(spark, d), question_vectors=question_vectors(q), community=c, index=index(spark, d))
+
+
+def diagnostics(spark, d) -> DataFrame:
+    return _context(spark, d).diagnostics
+
+
+def question_timelines(spark, d) -> DataFrame:
+    q, n = named_questions(spark, d), _nodes(spark, d)
+    return P.timelines(q, J.link_entities(q, n, J.name_index(n)), n, _edges(spark, d), table(spark, d, "press_meets"))
+
+
+def question_communities(spark, d) -> DataFrame:
+    q, nodes = named_questions(spark, d), _nodes(spark, d)
+    c = G.number_communities(G.communities(G.undirected(_edges(spark, d))), nodes)
+    return P.communities_of(J.link_entities(q, nodes, J.name_index(nodes)), c, nodes).select("qid", "n", "community_id", "size", F.array_join("members", "; ").alias("members"))
+
+
+def answered(spark, d) -> DataFrame:
+    """Answers without a model: sentences of the sources, by a judge that always agrees."""
+    c = _context(spark, d)
+    s = K.sources(c.passages, c.facts, K.promoted(c.facts, c.passages, chunks(spark, d)))
+    made = K.answers(K.prompts(named_questions(spark, d), s, c.timeline, c.communities), s, lambda: lambda prompt, own: X.extractive(prompt.split("\n", 1)[0], own), lambda: lambda what, text: True)
+    return made.select("qid", F.length("answer").alias("size"), F.array_join("cited", ",").alias("cited"), "uncited", "refused")
 
 
 def promoted(spark, d) -> DataFrame:
@@ -79,7 +113,7 @@ def passage_neighbours(spark, d) -> DataFrame:
 
 
 QUERIES = {
-    "link_entities": link_entities, "scope_facts": scoped_facts, "all_facts": unscoped_facts, "fact_rank": gathered, "retrieval_confidence": confidence, "prompt_sources": prompt_sources, "promoted_passages": promoted,
+    "link_entities": link_entities, "scope_facts": scoped_facts, "all_facts": unscoped_facts, "fact_rank": gathered, "retrieval_confidence": confidence, "prompt_sources": prompt_sources, "retrieve_diagnostics": diagnostics, "question_timelines": question_timelines, "question_communities": question_communities, "answers_offline": answered, "promoted_passages": promoted,
     "citation_verify": cited_passages, "citation_claims": cited_claims, "passage_neighbours": passage_neighbours,
 }
 

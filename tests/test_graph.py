@@ -65,11 +65,11 @@ def test_names_of_every_script_are_merged(spark, tmp_path):
         r = want.setdefault(f"{kind}:{normalise_name(name)}", [name, kind, set(), 0, set(), [], [], False])
         r[2].update(aliases or []), r[4].update(meets or []), r[5].append(a), r[6].append(z)
         r[3], r[7] = r[3] + n, r[7] or structural
-    got = {r.entity_id: tuple(r)[1:] for r in graph_q.merged_entities_all(spark, str(tmp_path)).collect()}
+    got = {r.entity_id: tuple(r)[1:] for r in graph_q.merged_entities(spark, str(tmp_path)).collect()}
     least = lambda f, x: f([d for d in x if d], default=None)
     assert got == {k: (r[0], r[1], len(r[2]), r[3], len(r[4]), least(min, r[5]), least(max, r[6]), r[7]) for k, r in want.items()}
     assert len([k for k in got if not k.isascii()]) == 3 and len(got) == 5
-    assert {r.entity_id: r.name for r in documents_q.normalised_names_all(spark, str(tmp_path)).collect()} == {r[0]: normalise_name(r[1]) for r in rows}
+    assert {r.entity_id: r.name for r in documents_q.normalised_names(spark, str(tmp_path)).collect()} == {r[0]: normalise_name(r[1]) for r in rows}
 
 
 def test_ngrams_of_questions_in_every_script(spark, tmp_path):
@@ -80,7 +80,7 @@ def test_ngrams_of_questions_in_every_script(spark, tmp_path):
         w = normalise_name(q).split()
         grams = [" ".join(w[j : j + k]) for k in range(1, 6) for j in range(len(w) - k + 1)]
         want[i] = (len(grams), max(map(len, grams)))
-    assert {r.item_id: (r.n, r.longest) for r in documents_q.question_ngrams_all(spark, str(tmp_path)).collect()} == want
+    assert {r.item_id: (r.n, r.longest) for r in documents_q.question_ngrams(spark, str(tmp_path)).collect()} == want
 
 
 def test_collapse_caps_distinct_chunks_and_drops_loose_ends(spark):
@@ -128,7 +128,7 @@ def test_paths_of_all_meets(spark, tmp_path):
 
     want = {(a, b): sorted(walks([a], b), key=lambda p: (len(p), p))[:5] for a in meets for b in meets if a < b}
     got: dict = {}
-    for x in graph_q.shortest_paths_all(spark, str(tmp_path)).orderBy("a", "b", "n").collect():
+    for x in graph_q._paths(spark, str(tmp_path)).orderBy("a", "b", "n").collect():
         assert x.hops == len(x.path) - 1
         got.setdefault((x.a, x.b), []).append(x.path)
     assert got == {k: v for k, v in want.items() if v}
@@ -140,10 +140,10 @@ def test_production_caps(spark, tmp_path):
     node = [(n, n, "Person", [], 1, []) for n in ("Person:a", "Person:b")]
     spark.createDataFrame(node, "entity_id string, name string, type string, aliases array<string>, mention_count int, press_meet_ids array<string>").write.parquet(f"{tmp_path}/entities.parquet")
     spark.createDataFrame([], "entity_id string, press_meet_title string, press_meet_id string").write.parquet(f"{tmp_path}/press_meets.parquet")
-    assert {r.source_id: r.n_evidence for r in graph_q.collapsed_relations_all(spark, str(tmp_path)).collect()} == {"Person:a": 64, "Person:b": 4}
+    assert {r.source_id: r.n_evidence for r in graph_q.collapsed_relations(spark, str(tmp_path)).collect()} == {"Person:a": 64, "Person:b": 4}
     rows = [(f"c{i:02}", "a long enough text " * 20 + str(i), str(i), "big.pdf", "source_doc") for i in range(65)]
     spark.createDataFrame(rows, "chunk_id string, text string, content_hash string, source_file string, source_type string").write.parquet(f"{tmp_path}/chunks.parquet")
-    kept = documents_q.select_capped_all(spark, str(tmp_path)).where("skip is null").count()
+    kept = documents_q.select_capped(spark, str(tmp_path)).where("skip is null").count()
     assert kept == 60
 
 

@@ -85,3 +85,30 @@ def test_passages_end_to_end(spark):
     v = spark.createDataFrame([("d", [1.0, 0.0]), ("a", [0.0, 1.0])], "chunk_id string, vector array<float>")
     qv = spark.createDataFrame([(1, [1.0, 0.1])], "qid long, vector array<float>")
     assert {r.chunk_id for r in passages(df, q, k=4, vectors=v, question_vectors=qv).where("qid = 1").collect()} == {"a", "b", "d"}
+
+
+def test_sources_put_promoted_chunks_first_and_number_once(spark):
+    from pressloom.operators import answer as K
+
+    p = spark.createDataFrame([(1, r, f"c{r}", "text " * 10, f"cite {r}", "2025-01-01") for r in range(1, 4)], "qid long, rank int, chunk_id string, text string, citation string, date string")
+    ev = "array<struct<chunk_id:string,quote:string,citation:string,date:string>>"
+    f = spark.createDataFrame([(1, 1, "a", "ACCUSES", "b", "A", "B", False, [("x9", "the amount of 5 crore", "f1", None)]), (1, 2, "a", "MENTIONS", "c", "A", "C", True, [("x8", "q", "f2", None)])], f"qid long, n int, source_id string, relation string, target_id string, source string, target string, structural boolean, evidence {ev}")
+    chunks = spark.createDataFrame([("x9", "before " * 200 + "the amount of 5 crore was paid", "file9"), ("x8", "q", "file8")], "chunk_id string, text string, citation string")
+    up = K.promoted(f, p, chunks)
+    assert [(r.chunk_id, "5 crore" in r.text) for r in up.collect()] == [("x9", True)]
+    rows = K.sources(p, f, up).orderBy("n").collect()
+    assert [(r.n, r.kind, r.chunk_id) for r in rows] == [(1, "passage", "x9"), (2, "passage", "c1"), (3, "passage", "c2"), (4, "passage", "c3"), (5, "fact", "x9"), (6, "fact", "x8")]
+    tight = K.prompt_sources(K.all_sources(p, f, up), 300).orderBy("n").collect()
+    assert [(r.kind, r.chunk_id) for r in tight] == [("passage", "x9"), ("fact", "x9"), ("fact", "x8")]
+    q = spark.createDataFrame([(1, "What did A say?")], "qid long, q string")
+    prompt = K.prompts(q, K.sources(p, f, up)).first()
+    assert prompt.language == "English" and "[5] (fact) f1" in prompt.prompt and "Supporting quote" in prompt.prompt
+    made = {judge: K.answers(K.prompts(q, K.sources(p, f)), K.sources(p, f), lambda: lambda text, own: "A paid 5 crore [1].", (lambda: lambda what, text: judge == "yes") if judge else None).first() for judge in ("yes", "no", None)}
+    assert made["yes"].refused is None and made["yes"].answer == "A paid 5 crore [1]." and {made["no"].refused, made[None].refused} == {"insufficient_evidence"}
+
+
+def test_answer_language(spark):
+    from pressloom.operators import answer as K
+
+    df = spark.createDataFrame([("What?", None), ("ఏమిటి జరిగింది", None), ("What?", "te"), ("What?", " Tamil "), ("123", "")], "q string, c string")
+    assert [r[0] for r in df.select(K.answer_language(F.col("q"), F.col("c"))).collect()] == ["English", "Telugu", "Telugu", "Tamil", "English"]

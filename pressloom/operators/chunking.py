@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -49,6 +50,67 @@ def split_chars(text: str, target: int = TARGET, overlap: int = OVERLAP) -> list
             k -= 1
 
 
+CEILING, TAIL = 1400, 80
+
+
+def split_tokens(text: str, offsets: list[tuple[int, int]], target: int = TARGET, overlap: int = OVERLAP, ceiling: int = CEILING) -> list[str]:
+    """Passages of a stripped text with the spans of its tokens, none of more than ``ceiling``
+    tokens: each ends at the strongest break near the target, or else further around it, and
+    the next begins at a break near the overlap. A tail of few tokens joins what is before."""
+    n = len(offsets)
+    if n <= ceiling:
+        return [text] if text else []
+    starts = [a for a, _ in offsets]
+    marks = sorted((m.end() if after else m.start(), strength) for pattern, strength, after in BREAKS for m in pattern.finditer(text))
+    places = [p for p, _ in marks]
+
+    def near(low: int, high: int, want: int) -> int | None:
+        """Token at the strongest break between two offsets, the one closest to a third."""
+        inside = marks[bisect_left(places, low) : bisect_right(places, high)]
+        if not inside:
+            return None
+        return bisect_left(starts, min(inside, key=lambda m: (-m[1], abs(m[0] - want), m[0]))[0])
+
+    spans: list[tuple[int, int]] = []
+    at = 0
+    while True:
+        end = min(at + target, n)
+        if end < n:
+            tight = near(starts[min(at + target * 3 // 5, n - 1)], offsets[min(at + target * 5 // 4, n) - 1][1], starts[end])
+            cut = tight if tight is not None else near(starts[min(at + target // 2, n - 1)], offsets[min(at + ceiling, n) - 1][1], starts[end])
+            end = cut if cut is not None and at < cut <= at + ceiling else end
+        spans.append((at, end))
+        if end >= n:
+            break
+        back = max(end - overlap, at + 1)
+        snap = near(starts[max(back - overlap // 2, 0)], starts[back], starts[back])
+        at = snap if snap is not None and at < snap <= end else back
+    if len(spans) > 1 and spans[-1][1] - spans[-1][0] < TAIL and spans[-1][1] - spans[-2][0] <= ceiling:
+        spans[-2:] = [(spans[-2][0], spans[-1][1])]
+    return [p for p in (text[offsets[a][0] : offsets[z - 1][1]].strip() for a, z in spans) if p]
+
+
+def token_passages(df: DataFrame, item_id: str, text: str, offsets_of: Callable[[], Callable[[str], list[tuple[int, int]]]], target: int = TARGET, overlap: int = OVERLAP, ceiling: int = CEILING) -> DataFrame:
+    """(item_id, idx, text): passages measured by a tokenizer, which ``offsets_of`` makes once
+    in each task: text -> spans of its tokens in characters."""
+    kind = df.schema[item_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = offsets_of()
+        for b in batches:
+            at, order, out = [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                t = t.strip()
+                own = split_tokens(t, spans(t), target, overlap, ceiling) if t else []
+                at += [i] * len(own)
+                order += range(len(own))
+                out += own
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(order, pa.int32()), pa.array(out, pa.string())], ["item_id", "idx", "text"])
+
+    rows = df.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("text is not null")
+    return spread(rows).mapInArrow(run, f"item_id {kind}, idx int, text string")
+
+
 def passages(df: DataFrame, item_id: str, text: str, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
     """(item_id, idx, text): passages of every text that is not blank, stripped."""
     kind = df.schema[item_id].dataType.simpleString()

@@ -4,7 +4,9 @@ merging, and resolving names by exact rules. Models themselves are a seam."""
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -37,6 +39,59 @@ def outstanding(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     return wanted.join(cache.select("content_hash").distinct(), "content_hash", "left_anti")
 
 
+def with_records(chunks: DataFrame, cache: DataFrame) -> DataFrame:
+    """Chunks with the cached record of their content; a content without hash goes by its id."""
+    key = F.coalesce(F.when(F.col("content_hash") != "", F.col("content_hash")), F.col("chunk_id"))
+    return chunks.withColumn("content_hash", key).join(cache, "content_hash")
+
+
+def plan_report(selected: DataFrame, cache: DataFrame) -> DataFrame:
+    """One row: what extracting chosen chunks (chunk_id, text, content_hash, skip) would cost."""
+    key = F.coalesce(F.when(F.col("content_hash") != "", F.col("content_hash")), F.col("chunk_id"))
+    rows = selected.withColumn("_k", key).join(cache.select(F.col("content_hash").alias("_k")).distinct().withColumn("_c", F.lit(True)), "_k", "left")
+    picked = F.col("skip").isNull()
+    due = picked & F.col("_c").isNull()
+    chars, calls = F.coalesce(F.sum(F.when(due, F.length("text"))), F.lit(0)), F.count_if(due)
+    return rows.agg(F.count("*").alias("chunks"), F.count_if(picked).alias("selected"), F.count_if(picked & F.col("_c")).alias("cached"), calls.alias("calls"), chars.alias("chars"), (F.floor(chars / 3) + calls * 700).alias("input_tokens"), (calls * 400).alias("output_tokens"))
+
+
+def persistent(call: Callable[[str], dict], attempts: int = 4, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], dict]:
+    """A call tried again after failures that may pass, each wait twice the one before and a
+    little more; a client error (but 408 and 429) is final."""
+
+    def run(text: str) -> dict:
+        for k in range(attempts):
+            try:
+                return call(text)
+            except Exception as e:
+                status = getattr(e, "status", None)
+                if k + 1 == attempts or (status is not None and 400 <= status < 500 and status not in (408, 429)):
+                    raise
+                sleep(wait * 2**k * (1 + 0.1 * random.random()))
+        raise AssertionError("unreachable")
+
+    return run
+
+
+def halving(call: Callable[[str], dict | None], least: int = 800) -> Callable[[str], dict]:
+    """A call that is made for both halves of a text where it comes back empty for the whole;
+    their records are put together. Raises where nothing comes back."""
+
+    def run(text: str) -> dict:
+        found = call(text)
+        if found is None and len(text) >= least:
+            middle = len(text) // 2
+            left, right = text.rfind(" ", 0, middle), text.find(" ", middle)
+            at = min((x for x in (left, right) if x > 0), key=lambda x: abs(x - middle), default=middle)
+            parts = [r for r in (call(text[:at].strip()), call(text[at:].strip())) if r is not None]
+            found = {k: [x for r in parts for x in r.get(k) or []] for k in ("entities", "relations")} if parts else None
+        if found is None:
+            raise ValueError("no record")
+        return found
+
+    return run
+
+
 def run_model(wanted: DataFrame, make: Callable[[], Callable[[str], dict]], slices: int) -> DataFrame:
     """(content_hash, entities, relations, error): a model over distinct contents; ``make`` is
     called once in each task, and a failure stays in its row."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressloom.functions import scalars as S
 from pressloom.session import cut_lineage
 
 EVIDENCE_CAP = 64
@@ -268,3 +269,50 @@ def briefs(label: DataFrame, nodes: DataFrame, edges: DataFrame, members: int =
     heavy = inner.withColumn("r", F.row_number().over(Window.partitionBy("c1").orderBy(F.desc("weight"), *KEY))).where(F.col("r") <= relations)
     lines = heavy.groupBy(F.col("c1").alias("community_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat_ws(" ", *KEY).alias("line")))), lambda x: x["line"]).alias("relations"))
     return people.join(lines, "community_id", "left")
+
+
+def top_entities(nodes: DataFrame, kind: str | None = None, most: int = 20) -> DataFrame:
+    """The most mentioned nodes, of one type where it is given."""
+    rows = nodes.where(F.col("type") == kind) if kind else nodes
+    return rows.orderBy(F.desc("mention_count"), "name", "entity_id").limit(most)
+
+
+def community_list(community: DataFrame, least: int = 1) -> DataFrame:
+    """(community_id, size) of communities (community_id, size, node) of at least a size."""
+    return community.where(F.col("size") >= least).select("community_id", "size").distinct()
+
+
+def load_records(chunks: DataFrame, records: DataFrame, known: DataFrame, stated: DataFrame, canonical: DataFrame, triples: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(observed entities, assertions) of cached extraction records, for merge_entities and
+    collapse_relations.
+
+    Every entity (content_hash, key, name, type) of a chunk's content is one observation under
+    its canonical name (type, key, display), and its press meet MENTIONS it where the ontology
+    allows that; an issue is also what the meet is ABOUT_ISSUE and the chunk's source
+    RELATED_TO_ISSUE. Relations (content_hash, source_id, relation, target_id, evidence) come
+    with the chunk they stand in. Entities of fewer than ``least`` mentions are left out."""
+    own = chunks.withColumn("content_hash", F.coalesce(F.when(F.col("content_hash") != "", F.col("content_hash")), F.col("chunk_id"))).join(records.select("content_hash").distinct(), "content_hash", "left_semi")
+    own = own.select("content_hash", "chunk_id", "source_file", F.coalesce(F.when(F.col("press_meet_id") != "", F.col("press_meet_id")), F.lit("unknown")).alias("press_meet_id"), "date", "citation")
+    named = known.where("issue is null").select("content_hash", "type", "key", "name").join(canonical.select("type", "key", "display"), ["type", "key"], "left").withColumn("display", F.coalesce("display", "name"))
+    ids = named.withColumn("entity_id", F.concat_ws(":", "type", S.normalise(F.col("display"))))
+    seen = own.join(ids, "content_hash")
+    kept = seen.join(seen.groupBy("entity_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("entity_id"), "entity_id", "left_semi") if least > 1 else seen
+    alias = F.when(S.normalise(F.col("name")) != S.normalise(F.col("display")), F.array("name")).otherwise(F.array().cast("array<string>"))
+    observed = kept.select("entity_id", F.col("display").alias("name"), "type", alias.alias("aliases"), F.lit(1).alias("mention_count"), F.array("press_meet_id").alias("press_meet_ids"), F.col("date").alias("first_date"), F.col("date").alias("last_date"), F.lit(False).alias("structural"), F.col("chunk_id").alias("seq"))
+    evidence = lambda quote: F.struct("chunk_id", quote.alias("quote"), "source_file", "citation", "press_meet_id", "date").alias("evidence")
+    row = lambda df, a, r, b, q: df.select(a.alias("source_id"), r.alias("relation"), b.alias("target_id"), F.lit(False).alias("structural"), F.col("chunk_id").alias("seq"), evidence(q), "press_meet_id", "date")
+    meet, none = F.concat(F.lit("PressMeet:"), F.col("press_meet_id")), F.lit("")
+    allowed = triples.where("relation = 'MENTIONS' and source_type = 'PressMeet'").select(F.col("target_type").alias("type")).distinct()
+    issues = kept.where("type = 'Issue'")
+    asserted = row(kept.join(F.broadcast(allowed), "type", "left_semi"), meet, F.lit("MENTIONS"), F.col("entity_id"), none)  # the ontology is declared
+    asserted = asserted.unionByName(row(issues, meet, F.lit("ABOUT_ISSUE"), F.col("entity_id"), none)).unionByName(row(issues, F.concat(F.lit("Source:"), F.col("source_file")), F.lit("RELATED_TO_ISSUE"), F.col("entity_id"), none))
+    spelled = ids.select("content_hash", F.concat_ws(":", "type", "key").alias("surface"), "entity_id")
+    ends = stated.where("issue is null").join(spelled.withColumnsRenamed({"surface": "source_id", "entity_id": "_a"}), ["content_hash", "source_id"]).join(spelled.withColumnsRenamed({"surface": "target_id", "entity_id": "_b"}), ["content_hash", "target_id"])
+    said = own.join(ends.select("content_hash", "_a", "relation", "_b", F.col("evidence").alias("_q")), "content_hash")
+    return observed, asserted.unionByName(row(said, F.col("_a"), F.col("relation"), F.col("_b"), F.col("_q")))
+
+
+def save(nodes: DataFrame, edges: DataFrame, community: DataFrame, folder: str) -> None:
+    """The graph as three tables of a folder, each replaced."""
+    for name, df in (("nodes", nodes), ("edges", edges), ("communities", community)):
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")

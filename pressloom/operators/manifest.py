@@ -57,3 +57,18 @@ def verify(recorded: DataFrame, found: DataFrame) -> DataFrame:
     j = recorded.withColumnsRenamed({"length": "l0", "sha256": "s0"}).join(found, "path", "full")
     problem = F.when(F.col("sha256").isNull(), "missing").when(F.col("s0").isNull(), "unexpected").when(F.col("s0") != F.col("sha256"), "changed")
     return j.select("path", problem.alias("problem")).where("problem is not null")
+
+
+def rebuilt(docs: DataFrame) -> DataFrame:
+    """(path, sha1, stages): the log as the extracted files show it, for when it is lost: with
+    an error extraction failed, else it and normalisation are done."""
+    failed = F.max(F.col("error").isNotNull().cast("int")) == 1
+    none = F.create_map().cast("map<string,string>")
+    stages = F.when(failed, F.create_map(F.lit("extract"), F.lit("error"))).otherwise(F.create_map(F.lit("extract"), F.lit("done"), F.lit("normalize"), F.lit("done")))
+    return docs.groupBy(F.col("source_file").alias("path")).agg(F.max(F.when(F.col("file_hash") != "", F.col("file_hash"))).alias("sha1"), F.coalesce(stages, none).alias("stages"))
+
+
+def set_stage(stats: DataFrame, stage: str, counters: dict[str, int]) -> DataFrame:
+    """Counters (stage, name, value) with all of one stage replaced."""
+    new = stats.sparkSession.createDataFrame([(stage, k, int(v)) for k, v in counters.items()], "stage string, name string, value bigint")
+    return stats.where(F.col("stage") != stage).unionByName(new)

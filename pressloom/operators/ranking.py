@@ -114,6 +114,14 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 409
     return ranked(result, k, F.desc("score"), F.col("chunk_id"))
 
 
+def vector_search(vectors: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """The k distinct contents nearest to each query; three times as many are looked at, as
+    copies are collapsed."""
+    near = vector_topk(vectors, queries, 3 * k).withColumnRenamed("rank", "pos")
+    once = chunks.select("chunk_id", "content_hash", "citation").dropDuplicates(["chunk_id"])
+    return dedup(near.join(once, "chunk_id"), k).withColumnRenamed("pos", "rank")
+
+
 def fuse(legs: dict[str, tuple[DataFrame, float]]) -> DataFrame:
     """(qid, chunk_id, score, ranks): reciprocal rank fusion of legs (qid, chunk_id, rank)."""
     parts = [df.select("qid", "chunk_id", F.lit(name).alias("leg"), "rank", F.lit(float(w)).alias("weight")) for name, (df, w) in legs.items()]

@@ -88,3 +88,61 @@ def aggregate_scores(scores: DataFrame) -> DataFrame:
 def calls(docs: DataFrame) -> DataFrame:
     """(kind, n): billed calls of all files by kind."""
     return docs.dropDuplicates(["source_file"]).select(F.explode("sarvam_calls").alias("kind", "n")).groupBy("kind").agg(F.sum("n").cast("bigint").alias("n"))
+
+
+def unknown_meets(questions: DataFrame, meets: DataFrame) -> DataFrame:
+    """(qid, meet): expected meets of questions (qid, meets) that no row of meets is."""
+    return questions.select("qid", F.explode("meets").alias("meet")).distinct().join(meets.select(F.col("press_meet_id").alias("meet")).distinct(), "meet", "left_anti").select("qid", "meet")
+
+
+def entity_hits(questions: DataFrame, linked: DataFrame) -> DataFrame:
+    """(qid, entity_hit): whether an expected entity (qid, entities) and the name of a linked
+    one contain each other, whatever their case and spaces."""
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    want = questions.select("qid", F.filter(F.transform(F.coalesce("entities", F.array().cast("array<string>")), plain), lambda w: w != "").alias("want"))
+    have = linked.groupBy("qid").agg(F.collect_set(plain(F.col("name"))).alias("have"))
+    none = F.array().cast("array<string>")
+    hit = F.exists("want", lambda w: F.exists(F.coalesce("have", none), lambda h: h.contains(w) | w.contains(h)))
+    return want.join(have, "qid", "left").select("qid", hit.alias("entity_hit"))
+
+
+def top_passages(passages: DataFrame, most: int = 5) -> DataFrame:
+    """(qid, top): rank, meet, citation, kind and language of the first passages."""
+    item = F.struct("rank", F.col("press_meet_id").alias("meet"), "citation", "source_type", "language")
+    return passages.where(F.col("rank") <= most).groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("top"))
+
+
+def score_answers(questions: DataFrame, answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """(qid, chars, cited, invalid, uncited, refused, cited_expected_meet) of answers (qid,
+    answer, cited, invalid, uncited, refused) with their sources (qid, n, press_meet_id)."""
+    used = answers.select("qid", F.explode("cited").alias("n")).join(sources.select("qid", "n", "press_meet_id"), ["qid", "n"])
+    want = questions.select("qid", F.explode("meets").alias("press_meet_id")).distinct()
+    hit = used.join(want, ["qid", "press_meet_id"], "left_semi").select("qid").distinct().withColumn("hit", F.lit(True))
+    rows = answers.join(hit, "qid", "left")
+    return rows.select("qid", F.length("answer").alias("chars"), F.size("cited").alias("cited"), F.size("invalid").alias("invalid"), "uncited", F.col("refused").isNotNull().alias("refused"), F.coalesce("hit", F.lit(False)).alias("cited_expected_meet"))
+
+
+def type_counts(segments: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(stage, source_type, n, longest): rows of each stage by kind, and their longest text."""
+    one = lambda df, stage, key, text: df.select(key, "source_type", text).distinct().groupBy("source_type").agg(F.countDistinct(key).alias("n"), F.max(F.length(text)).alias("longest")).select(F.lit(stage).alias("stage"), "source_type", "n", "longest")
+    return one(segments, "extract", "segment_id", "text_original").unionByName(one(chunks, "chunk", "chunk_id", "text"))
+
+
+def yields(records: DataFrame, seconds: float) -> DataFrame:
+    """One row over extraction records (content_hash, entities, relations, error, calls): what
+    a configuration of a model yields."""
+    n = F.count("*")
+    return records.agg(n.alias("units"), F.round(n * 60 / F.lit(max(seconds, 1e-9)), 2).alias("units_per_minute"), F.round(F.avg("calls"), 2).alias("calls_per_unit"), F.round(F.avg(F.size("entities")), 2).alias("entities_per_unit"), F.round(F.avg(F.size("relations")), 2).alias("relations_per_unit"), F.round(F.count_if(F.col("error").isNull()) / n, 4).alias("share_without_error"))
+
+
+def markdown(scores: list[dict], baseline: list[dict] | None = None, title: str = "Evaluation") -> str:
+    """Aggregate scores as a table, with differences against those of a baseline."""
+    before = {(r["kind"], r["lang"]): r for r in baseline or []}
+    measures = ("meet_hit_rate", "mrr", "recall", "precision")
+
+    def cell(r: dict, m: str) -> str:
+        old = before.get((r["kind"], r["lang"]), {}).get(m)
+        return f"{r[m]:.3f}" + ("" if old is None or r[m] == old else f" ({r[m] - old:+.3f})")
+
+    rows = [f"| {r['kind']} | {r['lang']} | {r['n']} | " + " | ".join(cell(r, m) for m in measures) + " |" for r in sorted(scores, key=lambda r: (r["kind"] != "all" or r["lang"] != "all", r["kind"], r["lang"]))]
+    return "\n".join([f"# {title}", "", f"| kind | language | n | {' | '.join(measures)} |", "|" + "---|" * 7, *rows, ""])

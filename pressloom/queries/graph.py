@@ -157,7 +157,12 @@ def extraction_pieces(spark, d) -> DataFrame:
     return p.select("chunk_id", "piece_id", "content_hash")
 
 
+def top_entities(spark, d) -> DataFrame:
+    return G.top_entities(table(spark, d, "entities", "entity_id", "name", "type", "mention_count").where("name is not null"), "Person", 25).select("entity_id", "name", "mention_count")
+
+
 QUERIES = {
+    "top_entities": top_entities,
     "resolve_entities": resolved_exactly, "extraction_pieces": extraction_pieces,
     "entity_upsert": merged_entities, "relation_collapse": collapsed_relations, "evidence_enriched": enriched_evidence, "structural_meets": structural_meets, "structural_edges": structural_edges, "precedes_chain": precedes_chain, "ontology_valid": ontology_valid,
     "ontology_rejects": ontology_rejects, "undirected_projection": undirected_projection, "graph_describe": graph_describe, "entity_resolution_cc": graph_components, "communities": communities, "community_modularity": community_modularity, "community_brief": community_briefs,
@@ -190,6 +195,7 @@ _LETTERS = r"(length(name) - length(regexp_replace(name, '\p{L}', '', 'g')))"
 _ASCII = "(length(name) - length(regexp_replace(name, '[A-Za-z]', '', 'g')))"
 
 SQL = {
+    "top_entities": "SELECT entity_id, name, mention_count FROM entities WHERE type = 'Person' AND name IS NOT NULL ORDER BY mention_count DESC, name, entity_id LIMIT 25",
     "extraction_pieces": f"WITH RECURSIVE r(chunk_id, n, i, rest, cut) AS ({_ROOM.replace('{}', '(SELECT DISTINCT chunk_id, length(text) AS n, 0 AS i, text AS rest FROM chunks WHERE text IS NOT NULL)')} UNION ALL {_ROOM.replace('{}', '(SELECT chunk_id, n, i + 1 AS i, substr(rest, cut + 1) AS rest FROM r WHERE length(rest) > cut)')}), p AS (SELECT chunk_id, n, i, {_TRIM.replace('{}', 'substr(rest, 1, cut)')} AS t FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY i) - 1 AS k FROM p WHERE t <> '') SELECT chunk_id, CASE WHEN n > 2400 THEN chunk_id || '#s' || k ELSE chunk_id END AS piece_id, sha1(trim(regexp_replace(t, '{SPACE_RE2}+', ' ', 'g'))) AS content_hash FROM k",
     "resolve_entities": f"WITH k AS (SELECT type, name, mention_count, {norm('name')} AS key FROM entities), g AS (SELECT type, key, name, sum(mention_count) AS n FROM k WHERE key <> '' GROUP BY 1, 2, 3), b AS (SELECT type, key, arg_min(name, (NOT ({_LETTERS} > 0 AND {_ASCII} > 0.6 * {_LETTERS}), -n, length(name), name)) AS display FROM g GROUP BY 1, 2) SELECT display, count(*) AS n FROM k JOIN b USING (type, key) GROUP BY 1",
     "entity_upsert": f"SELECT k AS entity_id, arg_min(name, entity_id) AS name, arg_min(type, entity_id) AS type, len(list_distinct(flatten(list(coalesce(aliases, []::VARCHAR[])))))::INT AS n_aliases, sum(mention_count)::BIGINT AS mention_count, len(list_distinct(flatten(list(coalesce(press_meet_ids, []::VARCHAR[])))))::INT AS n_meets, min(first_date) AS first_date, max(last_date) AS last_date, bool_or(structural) AS structural FROM (SELECT *, type || ':' || coalesce({norm('name')}, '') AS k FROM entities) GROUP BY 1",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.functions import scalars as S
+from pressloom.operators import extraction as X
 from pressloom.operators import manifest as T
 from pressloom.operators import reports as L
 from pressloom.queries.retrieval import _hybrid, found, questions
@@ -131,7 +132,28 @@ def export_inventory(spark, d) -> DataFrame:
     return T.inventory(f).select(F.element_at(F.split("path", "/"), -1).alias("file"), S.human_bytes(F.col("length")).alias("size"), "sha256")
 
 
+def unknown_meets(spark, d) -> DataFrame:
+    return L.unknown_meets(table(spark, d, "eval_items", "item_id", "meets").withColumnRenamed("item_id", "qid"), table(spark, d, "press_meets", "press_meet_id"))
+
+
+def manifest_rebuilt(spark, d) -> DataFrame:
+    m = T.rebuilt(table(spark, d, "extracted_docs", "source_file", "file_hash", "error"))
+    return m.select("path", "sha1", F.element_at("stages", "extract").alias("extract"), F.size("stages").alias("n_stages"))
+
+
+def type_counts(spark, d) -> DataFrame:
+    return L.type_counts(table(spark, d, "segments", "segment_id", "source_type", "text_original"), table(spark, d, "chunks", "chunk_id", "source_type", "text"))
+
+
+def extraction_plan(spark, d) -> DataFrame:
+    """Chunks that earlier files share are taken for cached."""
+    c = table(spark, d, "chunks", "chunk_id", "text", "content_hash", "source_file", "source_type").distinct()
+    chosen = c.withColumn("skip", F.when(F.length("text") < 150, "short"))
+    return X.plan_report(chosen, c.where("source_type = 'table'").select("content_hash"))
+
+
 QUERIES = {
+    "unknown_meets": unknown_meets, "manifest_rebuilt": manifest_rebuilt, "type_counts": type_counts, "extraction_plan": extraction_plan,
     "corpus_meta": corpus_facets, "corpus_coverage": corpus_coverage, "querylog_stats": querylog_stats, "querylog_users": querylog_users, "session_summary": session_summary, "session_search": session_search, "eval_scores": eval_scores,
     "eval_aggregate": eval_aggregate, "eval_plain_ranking": eval_by_neighbours, "manifest_current": manifest_current, "stage_summary": stage_summary, "stage_pending": stage_pending, "docs_upsert": docs_upsert, "cache_latest": cache_latest, "cache_reusable": cache_reusable,
     "billed_calls": billed_calls, "sliding_quota_count": sliding_quota_count, "quota_accept": quota_accept, "tumbling_events": tumbling_events, "login_throttle": login_throttle, "export_inventory": export_inventory,
@@ -147,6 +169,10 @@ _MEANS = "count(*) AS n, round(avg((meet_rank IS NOT NULL)::INT::DOUBLE), 3) AS
 _BLOCK = lambda by: f"SELECT '{by}' AS \"by\", count(*) FILTER (blocked) AS blocked FROM (SELECT count(*) FILTER (NOT ok) OVER (PARTITION BY k, since ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING) >= 3 AS blocked FROM (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY k ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS since FROM (SELECT event_id, ts, event_type = 'purchase' AS ok, user_id{' % 10' if by == 'ip' else ''} AS k FROM events)))"
 
 SQL = {
+    "unknown_meets": "SELECT DISTINCT item_id AS qid, meet FROM (SELECT item_id, unnest(meets) AS meet FROM eval_items) WHERE meet NOT IN (SELECT press_meet_id FROM press_meets)",
+    "manifest_rebuilt": "SELECT source_file AS path, max(nullif(file_hash, '')) AS sha1, CASE WHEN bool_or(error IS NOT NULL) THEN 'error' ELSE 'done' END AS extract, CASE WHEN bool_or(error IS NOT NULL) THEN 1 ELSE 2 END::INT AS n_stages FROM extracted_docs GROUP BY 1",
+    "type_counts": "SELECT 'extract' AS stage, source_type, count(DISTINCT segment_id) AS n, max(length(text_original))::INT AS longest FROM segments GROUP BY 2 UNION ALL SELECT 'chunk', source_type, count(DISTINCT chunk_id), max(length(text))::INT FROM chunks GROUP BY 2",
+    "extraction_plan": "WITH c AS (SELECT DISTINCT chunk_id, text, content_hash, source_file, source_type FROM chunks), k AS (SELECT DISTINCT content_hash AS k FROM c WHERE source_type = 'table'), r AS (SELECT length(text) AS n, length(text) >= 150 OR text IS NULL AS picked, k.k IS NOT NULL AS cached FROM c LEFT JOIN k ON coalesce(nullif(content_hash, ''), chunk_id) = k.k) SELECT count(*) AS chunks, count(*) FILTER (picked) AS selected, count(*) FILTER (picked AND cached) AS cached, count(*) FILTER (picked AND NOT cached) AS calls, coalesce(sum(n) FILTER (picked AND NOT cached), 0)::BIGINT AS chars, (coalesce(sum(n) FILTER (picked AND NOT cached), 0) // 3 + count(*) FILTER (picked AND NOT cached) * 700)::BIGINT AS input_tokens, count(*) FILTER (picked AND NOT cached) * 400 AS output_tokens FROM r",
     "eval_scores": f"WITH {_EVAL} SELECT qid, meet_rank, round(reciprocal_rank, 4) AS reciprocal_rank, round(recall, 4) AS recall, round(precision, 4) AS precision FROM e",
     "eval_aggregate": f"WITH {_EVAL} SELECT 'all' AS kind, 'all' AS lang, {_MEANS} UNION ALL SELECT kind, 'all', {_MEANS} GROUP BY kind UNION ALL SELECT 'all', lang, {_MEANS} GROUP BY lang",
     "login_throttle": f"{_BLOCK('user')} UNION ALL {_BLOCK('ip')}",

@@ -114,6 +114,10 @@ class Lexicon:
         return out
 
 
+#: The lists alone, for texts without a corpus.
+_LISTED = Lexicon()
+
+
 def count_runs(text: str, counts: dict) -> None:
     """Add the runs of up to WORD characters of a text to counts: [all, last, first]."""
     size = len(text)
@@ -235,11 +239,10 @@ def _ends(line: str, lexicon: Lexicon | None = None) -> list[int]:
         if cut > 0:
             ends.append(cut)
             start = cut
-    if lexicon is not None:
-        for run in _SPACELESS.finditer(line):
-            if run.end() - run.start() >= 8:  # four characters on each side of a gap
-                inner = [run.start() + x for x in lexicon.ends(run.group())]
-                ends.extend(x for x in inner if not any(a < x <= b for a, b in quotes.items()))
+    for run in _SPACELESS.finditer(line):
+        if run.end() - run.start() >= 8:  # four characters on each side of a gap
+            inner = [run.start() + x for x in (lexicon or _LISTED).ends(run.group())]
+            ends.extend(x for x in inner if not any(a < x <= b for a, b in quotes.items()))
     return sorted(set(ends))
 
 

@@ -41,7 +41,7 @@ def link_entities(questions: DataFrame, nodes: DataFrame, index: DataFrame, limi
     free = lambda acc, x: ~F.exists(acc, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
     kept = one.select("qid", F.explode(F.aggregate("xs", zero, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))).alias("x"))
     linked = kept.select("qid", F.col("x.surface").alias("surface")).join(usable, "surface").groupBy("qid", "entity_id").agg(
-        F.max_by("surface", F.length("surface")).alias("matched"), F.first("name").alias("name"), F.first("type").alias("type"), F.first("mention_count").alias("mention_count")
+        F.max_by("surface", F.struct(F.length("surface"), "surface")).alias("matched"), F.min("name").alias("name"), F.min("type").alias("type"), F.max("mention_count").alias("mention_count")
     )
     w = Window.partitionBy("qid").orderBy(F.desc(F.length("matched")), F.desc("mention_count"), "entity_id")
     return linked.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit)

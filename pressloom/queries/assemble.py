@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pressloom.functions import scalars as S
 from pressloom.operators import answer as K
 from pressloom.operators import extraction as X
 from pressloom.operators import facts as J
 from pressloom.operators import graph as G
 from pressloom.operators.filters import Filters
 from pressloom.plans import retrieve as P
+from pressloom.queries.documents import norm
 from pressloom.queries.graph import _edges, _nodes
-from pressloom.queries.retrieval import chunk_vectors, chunks, found, index, question_vectors
+from pressloom.queries.retrieval import _hybrid, chunk_vectors, chunks, found, index, question_vectors
 from pressloom.session import cut_lineage
 from pressloom.sources.tables import table
 
@@ -125,7 +127,27 @@ def _scope(condition: str, weight: str) -> str:
 #: Sentences of a text: short forms lose their periods before the text is cut at line breaks.
 _SENTENCES = r"list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(regexp_replace({}, '(?i)(^|[^\p{L}\p{M}\p{N}_])(Rs|Mr|Mrs|Ms|Dr|No|Nos|St|vs|e\.g|i\.e|రూ|శ్రీ)\.', '\1\2' || chr(1), 'g'), '(?i)(^|[^\p{L}\p{M}\p{N}_])(Rs|Mr|Mrs|Ms|Dr|No|Nos|St|vs|e\.g|i\.e|రూ|శ్రీ)\.', '\1\2' || chr(1), 'g'), '([.!?।])\s+', '\1' || chr(10), 'g'), '\n+'), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '' AND NOT starts_with(s, '#'))"
 
+_STOPS = ", ".join(f"'{w}'" for w in S.TOPIC_STOPWORDS)
+_KINDS = ", ".join(f"'{k}'" for k in J.STRUCTURAL_TYPES)
+_ASKED = "(SELECT DISTINCT regexp_extract(entity_id, '(\\d+)$', 1)::BIGINT AS qid, 'What did ' || name || ' say about power and water dues?' AS q FROM entities WHERE name <> '')"
+#: Common tables up to ``lk``: the entities every question names, by a greedy cover walked span by span.
+_LINKED = f"""no AS (SELECT entity_id, name, type, aliases, mention_count, press_meet_ids FROM entities UNION ALL SELECT entity_id, press_meet_title, 'PressMeet', []::VARCHAR[], 0, [press_meet_id] FROM press_meets),
+    ix AS (SELECT DISTINCT {norm('s')} AS surface, entity_id FROM (SELECT entity_id, unnest(list_concat([name], coalesce(aliases, []::VARCHAR[]))) AS s FROM no)), us AS (SELECT surface, entity_id, type, mention_count FROM ix JOIN no USING (entity_id) WHERE surface <> '' AND (type NOT IN ({_KINDS}) OR length(surface) >= {J.MIN_STRUCTURAL_CHARS})),
+    wd AS (SELECT qid, list_filter(string_split({norm('q')}, ' '), lambda x: x <> '') AS ws FROM {_ASKED}), sp AS (SELECT DISTINCT qid, i - 1 AS s, i - 1 + k AS e, array_to_string(ws[i:i + k - 1], ' ') AS surface FROM (SELECT qid, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM (SELECT qid, ws, unnest(range(1, 6)) AS k FROM wd))),
+    hs AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s - e, s, e, surface) AS rn FROM sp WHERE surface NOT IN ({_STOPS}) AND surface IN (SELECT surface FROM us)),
+    gr(qid, rn, kept) AS (SELECT DISTINCT qid, 0::BIGINT, []::STRUCT(s BIGINT, e BIGINT, surface VARCHAR)[] FROM hs UNION ALL SELECT gr.qid, hs.rn, CASE WHEN len(list_filter(kept, lambda y: hs.s < y.e AND y.s < hs.e)) = 0 THEN list_append(kept, {{'s': hs.s, 'e': hs.e, 'surface': hs.surface}}) ELSE kept END FROM gr JOIN hs ON hs.qid = gr.qid AND hs.rn = gr.rn + 1),
+    la AS (SELECT qid, unnest(kept).surface AS surface FROM (SELECT qid, arg_max(kept, rn) AS kept FROM gr GROUP BY 1)), lk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY length(matched) DESC, mention_count DESC, entity_id)::INT AS n FROM (SELECT qid, entity_id, arg_max(surface, (length(surface), surface)) AS matched, any_value(mention_count) AS mention_count FROM la JOIN us USING (surface) GROUP BY 1, 2)) WHERE n <= {J.LINK_LIMIT})"""
+_TIMES = """hd AS (SELECT qid, entity_id AS seed, press_meet_ids FROM lk JOIN no USING (entity_id) WHERE n = 1 AND len(press_meet_ids) > 1), sd AS (SELECT DISTINCT seed FROM hd),
+    mt AS (SELECT seed, unnest(press_meet_ids) AS press_meet_id FROM (SELECT DISTINCT seed, press_meet_ids FROM hd) UNION SELECT seed, unnest(press_meet_ids) FROM edges JOIN sd ON source_id = seed UNION SELECT seed, unnest(press_meet_ids) FROM edges JOIN sd ON target_id = seed)"""
+
+_topic = lambda c: f"list_distinct(list_filter(string_split({norm(c)}, ' '), lambda x: x <> '' AND x NOT IN ({_STOPS})))"
+_GENERIC = ", ".join(f"'{w}'" for w in K.GENERIC)
+_HITS = _hybrid(asked=_ASKED)
+
 SQL = {
+    "retrieval_confidence": f"WITH RECURSIVE {_LINKED}, {_HITS}, tt AS (SELECT qid, list_filter({_topic('q')}, lambda x: length(x) > 2 AND NOT regexp_full_match(x, '\\p{{Nd}}+')) AS terms FROM {_ASKED}), gg AS (SELECT qid, max(CASE WHEN len(terms) > 0 THEN len(list_intersect(terms, {_topic("concat_ws(' ', coalesce(text, ''), coalesce(citation, ''))")})) / len(terms) ELSE 0 END) AS cover, least(1.0, count(*) FILTER (legs = 2) / 2) AS agree FROM hits JOIN tt USING (qid) WHERE rank <= 5 GROUP BY 1), ee AS (SELECT DISTINCT qid FROM lk WHERE matched NOT IN ({_GENERIC}) AND length(matched) >= 3), rr AS (SELECT tt.qid, coalesce(cover, 0.0) AS cover, coalesce(agree, 0.0) AS agree, ee.qid IS NOT NULL AS ent FROM tt LEFT JOIN gg USING (qid) LEFT JOIN ee ON ee.qid = tt.qid) SELECT qid, round(CASE WHEN ent THEN 0.5 * cover + 0.25 * agree + 0.25 ELSE least(0.5 * cover + 0.25 * agree, 0.45) END, 4) AS score, round(cover, 4) AS term_coverage, agree AS retrieval_agreement, ent AS has_entity FROM rr",
+    "link_entities": f"WITH RECURSIVE {_LINKED} SELECT qid, entity_id, matched, n FROM lk",
+    "question_timelines": f"WITH RECURSIVE {_LINKED}, {_TIMES} SELECT qid, n, press_meet_id, date, title FROM (SELECT qid, press_meet_id, date, press_meet_title AS title, row_number() OVER (PARTITION BY qid ORDER BY date ASC NULLS LAST, press_meet_id)::INT AS n FROM hd JOIN mt USING (seed) LEFT JOIN press_meets USING (press_meet_id)) WHERE n <= 15",
     "citation_verify": "SELECT item_id AS qid, '1' AS cited, '9' AS invalid, len(list_filter("
     + _SENTENCES.replace("{}", r"CASE WHEN regexp_matches(passage, '[.!?।]\s*$') THEN regexp_replace(passage, '([.!?।])\s*$', ' [1]\1') ELSE passage || ' [1]' END")
     + r", lambda s: length(regexp_replace(s, '[^\p{L}\p{N}]+', '', 'g')) >= 4 AND NOT regexp_matches(s, '\[\d{1,3}(\s*,\s*\d{1,3})*\]')))::INT AS uncited, 'invalid_citations' AS verdict FROM eval_items",

@@ -136,20 +136,23 @@ def _vec(k: str, t: str, x: str) -> str:
     return f"(SELECT {k}, list(coalesce(s, 0) ORDER BY b) AS v FROM (SELECT i.{k}, g.b, n.s FROM (SELECT DISTINCT {k} FROM {t}) i CROSS JOIN (SELECT unnest(range(64)) AS b) g LEFT JOIN ({counted}) n ON n.{k} = i.{k} AND n.b = g.b) GROUP BY 1 HAVING count(*) FILTER (s <> 0) > 0)"
 
 
-def _near(where: str = "") -> str:
+ITEMS = "(SELECT item_id AS qid, q FROM eval_items)"
+
+
+def _near(where: str = "", asked: str = ITEMS) -> str:
     """Common tables up to nv: the vector leg over chunks that pass."""
-    return f"""cv AS {_vec('chunk_id', f'(SELECT chunk_id, min(text) AS text FROM chunks {where} GROUP BY 1 HAVING min(text) IS NOT NULL)', 'text')}, qv AS {_vec('qid', '(SELECT item_id AS qid, q FROM eval_items)', 'q')},
+    return f"""cv AS {_vec('chunk_id', f'(SELECT chunk_id, min(text) AS text FROM chunks {where} GROUP BY 1 HAVING min(text) IS NOT NULL)', 'text')}, qv AS {_vec('qid', asked, 'q')},
     nv AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id)::INT AS rank FROM (SELECT qid, chunk_id, round(list_cosine_similarity(cv.v, qv.v), 6) AS score FROM cv, qv))"""
 
 
-def _hybrid(where: str = "", k: int = 8) -> str:
+def _hybrid(where: str = "", k: int = 8, asked: str = ITEMS) -> str:
     """Common tables up to ``hits``: (qid, rank, chunk_id, score, press_meet_id)."""
     reach = 4 * k
-    once = _BM25.replace("SELECT chunk_id, min(text) AS text FROM chunks GROUP BY 1", f"SELECT chunk_id, min(text) AS text FROM chunks {where} GROUP BY 1")
-    return f"""{once}, {_near(where)}, {_C}, fu AS (SELECT qid, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS f FROM (SELECT qid, chunk_id, rank FROM top WHERE rank <= {reach} UNION ALL SELECT qid, chunk_id, rank FROM nv WHERE rank <= {reach}) GROUP BY 1, 2),
-    x AS (SELECT *, {_INTENT} AS intent FROM fu JOIN c USING (chunk_id) JOIN (SELECT item_id AS qid, q FROM eval_items) USING (qid)), y AS (SELECT *, f * ({_PRIOR})::DOUBLE + {_COVER} * 0.0015::DOUBLE AS score, coalesce(nullif(content_hash, ''), chunk_id) AS key FROM x),
+    once = _BM25.replace("SELECT chunk_id, min(text) AS text FROM chunks GROUP BY 1", f"SELECT chunk_id, min(text) AS text FROM chunks {where} GROUP BY 1").replace(f"SELECT item_id AS qid, unnest({_terms('q')}) AS term FROM eval_items", f"SELECT qid, unnest({_terms('q')}) AS term FROM {asked}")
+    return f"""{once}, {_near(where, asked)}, {_C}, fu AS (SELECT qid, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS f, count(*) AS legs FROM (SELECT qid, chunk_id, rank FROM top WHERE rank <= {reach} UNION ALL SELECT qid, chunk_id, rank FROM nv WHERE rank <= {reach}) GROUP BY 1, 2),
+    x AS (SELECT *, {_INTENT} AS intent FROM fu JOIN c USING (chunk_id) JOIN {asked} USING (qid)), y AS (SELECT *, f * ({_PRIOR})::DOUBLE + {_COVER} * 0.0015::DOUBLE AS score, coalesce(nullif(content_hash, ''), chunk_id) AS key FROM x),
     z AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS pos FROM y), u AS (SELECT *, row_number() OVER (PARTITION BY qid, coalesce(nullif(source_file, ''), chunk_id) ORDER BY pos) > 2 AS over FROM (SELECT *, row_number() OVER (PARTITION BY qid, key ORDER BY pos) AS copy FROM z) WHERE copy = 1),
-    hits AS (SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY over, pos)::INT AS rank, chunk_id, score, press_meet_id FROM u) WHERE rank <= {k})"""
+    hits AS (SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY over, pos)::INT AS rank, chunk_id, score, press_meet_id, legs, text, citation, date FROM u) WHERE rank <= {k})"""
 
 
 SQL = {

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.functions import scalars as S
+from pressloom.functions.text import SPACE_RE2
 from pressloom.operators import answer as K
 from pressloom.operators import extraction as X
 from pressloom.operators import facts as J
@@ -144,7 +145,36 @@ _topic = lambda c: f"list_distinct(list_filter(string_split({norm(c)}, ' '), lam
 _GENERIC = ", ".join(f"'{w}'" for w in K.GENERIC)
 _HITS = _hybrid(asked=_ASKED)
 
+_PRIORITY = "CASE relation " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in J.PRIORITY.items()) + " ELSE 5 END"
+#: Common tables up to ``fc``: the facts of every question in their order.
+_FACTS = f"""fs AS (SELECT *, f[1:2] AS ev2 FROM (SELECT source_id, relation, target_id, structural, weight, list_filter(coalesce(evidence, []), lambda e: coalesce(e.chunk_id <> '' AND e.source_file <> '', false)) AS f FROM edges) WHERE len(f) > 0),
+    th AS (SELECT DISTINCT qid, source_id, relation, target_id FROM (SELECT qid, fs.* FROM lk JOIN fs ON source_id = entity_id UNION ALL SELECT qid, fs.* FROM lk JOIN fs ON target_id = entity_id)),
+    tm AS (SELECT a.qid, list_filter({_topic('q')}, lambda x: NOT list_contains(coalesce(m, []::VARCHAR[]), x)) AS terms FROM {_ASKED} a LEFT JOIN (SELECT qid, flatten(list(string_split(matched, ' '))) AS m FROM lk GROUP BY 1) b USING (qid)),
+    bd AS (SELECT source_id, relation, target_id, {_topic('body')} AS words FROM (SELECT fs.source_id, relation, fs.target_id, concat_ws(' ', coalesce(s.name, source_id), relation, coalesce(t.name, target_id), array_to_string(list_transform(ev2, lambda e: coalesce(e.quote, '')), ' ')) AS body FROM fs LEFT JOIN no s ON s.entity_id = source_id LEFT JOIN no t ON t.entity_id = target_id)),
+    rl AS (SELECT qid, source_id, relation, target_id, structural, weight, ev2, terms, CASE WHEN len(terms) = 0 THEN 0.0 ELSE len(list_intersect(terms, words)) / len(terms) + CASE WHEN structural THEN 0.0 ELSE 0.25 END END AS relevance FROM th JOIN fs USING (source_id, relation, target_id) JOIN bd USING (source_id, relation, target_id) JOIN tm USING (qid)),
+    oc AS (SELECT *, relevance > 0.3 AND len(terms) > 0 AS hit, count(*) FILTER (relevance > 0.3 AND len(terms) > 0) OVER (PARTITION BY qid) AS n_on FROM rl),
+    fc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY relevance DESC, structural, {_PRIORITY}, weight DESC, source_id, relation, target_id)::INT AS n FROM oc WHERE len(terms) = 0 OR n_on < 3 OR hit) WHERE n <= CASE WHEN len(terms) > 0 AND n_on < 3 THEN 6 ELSE 20 END)"""
+_SPACED = lambda c: f"trim(regexp_replace({c}, '{SPACE_RE2}+', ' ', 'g'))"
+#: Common tables up to ``pm``: chunks that stand behind the facts and were not retrieved.
+_PROMOTED = f"""ex AS (SELECT qid, n, e.chunk_id AS chunk_id, e.quote AS quote FROM (SELECT qid, n, unnest(ev2) AS e FROM fc WHERE NOT structural AND relation NOT IN ('MENTIONS', 'MEMBER_OF'))),
+    fr AS (SELECT qid, chunk_id, min(n) AS n, arg_min(quote, (n, quote)) AS quote FROM ex WHERE quote <> '' AND (qid, chunk_id) NOT IN (SELECT (qid, chunk_id) FROM hits) GROUP BY 1, 2),
+    pm AS (SELECT qid, r, chunk_id, citation, CASE WHEN length(s) <= 1100 THEN s ELSE substr(s, greatest(strpos(s, q) - 366, 1), 1100) END AS body FROM (SELECT qid, r, chunk_id, citation, {_SPACED('text')} AS s, {_SPACED('quote')} AS q FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n, chunk_id)::INT AS r FROM fr) JOIN (SELECT DISTINCT chunk_id, text, citation FROM chunks) USING (chunk_id) WHERE r <= 4))"""
+
+def _clip(c: str, n: int) -> str:
+    return f"CASE WHEN length({_SPACED(c)}) <= {n} THEN {_SPACED(c)} WHEN contains(substr({_SPACED(c)}, 1, {n}), ' ') THEN regexp_extract(substr({_SPACED(c)}, 1, {n}), '(?s)^(.*) ', 1) || ' …' ELSE substr({_SPACED(c)}, 1, {n}) || ' …' END"
+
+
+#: Common tables up to ``sl``: what goes into the prompts.
+_SOURCES = f"""al AS (SELECT qid, 'passage' AS kind, false AS promoted, 0 AS g, rank AS p, {_clip('text', 1100)} AS body, citation, date FROM hits UNION ALL SELECT qid, 'passage', true, 1, r, body, citation, NULL FROM pm
+    UNION ALL SELECT qid, 'fact', false, 2, n, src || ' --' || relation || '--> ' || tgt || CASE WHEN quote <> '' THEN chr(10) || 'Supporting quote: "' || quote || '"' ELSE '' END, cit, dat FROM (SELECT qid, n, relation, coalesce(s.name, source_id) AS src, coalesce(t.name, target_id) AS tgt, {_clip("coalesce(ev2[1].quote, '')", 400)} AS quote, ev2[1].citation AS cit, ev2[1].date AS dat FROM fc LEFT JOIN no s ON s.entity_id = source_id LEFT JOIN no t ON t.entity_id = target_id)),
+    nm AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY g, p) AS n FROM al), sz AS (SELECT *, length('[' || n || '] (' || kind || ') ' || coalesce(citation, '') || CASE WHEN coalesce(date, '') <> '' THEN '  date=' || date ELSE '' END || body) + 2 AS size FROM nm),
+    rn AS (SELECT *, row_number() OVER (PARTITION BY qid, kind ORDER BY promoted DESC, n) AS pos, sum(size) OVER (PARTITION BY qid, kind ORDER BY promoted DESC, n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM sz),
+    ff AS (SELECT * FROM rn WHERE kind = 'fact' AND pos <= 8 AND (pos = 1 OR total <= 4000)), uu AS (SELECT qid, sum(size) AS used FROM ff GROUP BY 1), sl AS (SELECT rn.* FROM rn LEFT JOIN uu USING (qid) WHERE kind = 'passage' AND pos <= 12 AND (pos = 1 OR total <= greatest(14000 - coalesce(used, 0), 0)) UNION ALL SELECT * FROM ff)"""
+
 SQL = {
+    "prompt_sources": f"WITH RECURSIVE {_LINKED}, {_FACTS}, {_HITS}, {_PROMOTED}, {_SOURCES} SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY kind DESC, pos)::INT AS n, kind, promoted, citation, length(body)::INT AS size FROM sl",
+    "fact_rank": f"WITH RECURSIVE {_LINKED}, {_FACTS} SELECT qid, n, source_id, relation, target_id, round(relevance, 4) AS relevance FROM fc",
+    "promoted_passages": f"WITH RECURSIVE {_LINKED}, {_FACTS}, {_HITS}, {_PROMOTED} SELECT qid, chunk_id, citation, length(body)::INT AS size FROM pm",
     "retrieval_confidence": f"WITH RECURSIVE {_LINKED}, {_HITS}, tt AS (SELECT qid, list_filter({_topic('q')}, lambda x: length(x) > 2 AND NOT regexp_full_match(x, '\\p{{Nd}}+')) AS terms FROM {_ASKED}), gg AS (SELECT qid, max(CASE WHEN len(terms) > 0 THEN len(list_intersect(terms, {_topic("concat_ws(' ', coalesce(text, ''), coalesce(citation, ''))")})) / len(terms) ELSE 0 END) AS cover, least(1.0, count(*) FILTER (legs = 2) / 2) AS agree FROM hits JOIN tt USING (qid) WHERE rank <= 5 GROUP BY 1), ee AS (SELECT DISTINCT qid FROM lk WHERE matched NOT IN ({_GENERIC}) AND length(matched) >= 3), rr AS (SELECT tt.qid, coalesce(cover, 0.0) AS cover, coalesce(agree, 0.0) AS agree, ee.qid IS NOT NULL AS ent FROM tt LEFT JOIN gg USING (qid) LEFT JOIN ee ON ee.qid = tt.qid) SELECT qid, round(CASE WHEN ent THEN 0.5 * cover + 0.25 * agree + 0.25 ELSE least(0.5 * cover + 0.25 * agree, 0.45) END, 4) AS score, round(cover, 4) AS term_coverage, agree AS retrieval_agreement, ent AS has_entity FROM rr",
     "link_entities": f"WITH RECURSIVE {_LINKED} SELECT qid, entity_id, matched, n FROM lk",
     "question_timelines": f"WITH RECURSIVE {_LINKED}, {_TIMES} SELECT qid, n, press_meet_id, date, title FROM (SELECT qid, press_meet_id, date, press_meet_title AS title, row_number() OVER (PARTITION BY qid ORDER BY date ASC NULLS LAST, press_meet_id)::INT AS n FROM hd JOIN mt USING (seed) LEFT JOIN press_meets USING (press_meet_id)) WHERE n <= 15",

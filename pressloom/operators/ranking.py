@@ -42,12 +42,17 @@ def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
     return terms.select("chunk_id", "dl", F.explode("ws").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+def index_stats(index: DataFrame) -> DataFrame:
+    """One row (n, avgdl) over an inverted index: chunks and their mean number of words."""
+    return index.groupBy("chunk_id").agg(F.sum("tf").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def bm25(index: DataFrame, questions: DataFrame, k: int, stats: DataFrame | None = None) -> DataFrame:
     """(qid, chunk_id, score, rank): the k best chunks of each question (qid, q) by BM25 over
     its distinct terms. The index serves the statistics, the document frequencies and the
-    scores and is best one that was written (session.kept); only postings of asked terms are
-    scored."""
-    stats = index.groupBy("chunk_id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    scores and is best one that was written (session.kept), as are its statistics; only
+    postings of asked terms are scored."""
+    stats = index_stats(index) if stats is None else stats
     asked = questions.select("qid", F.explode(S.query_terms(F.col("q"))).alias("term"))
     wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
@@ -65,8 +70,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def check_dimension(vectors: DataFrame, queries: DataFrame) -> int:
     """The one dimension of both tables; a mismatch raises, naming both."""
-    dims = [r[0] for r in vectors.select(F.size("vector").alias("d")).distinct().limit(2).collect()]
-    asked = [r[0] for r in queries.select(F.size("vector").alias("d")).distinct().limit(2).collect()]
+    span = lambda df: df.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
+    dims, asked = ([x for x in dict.fromkeys(span(df)) if x is not None] for df in (vectors, queries))
     if len(dims) > 1 or len(asked) > 1 or (dims and asked and dims != asked):
         raise ValueError(f"vectors have dimension {dims}, queries {asked}")
     return (dims or asked or [0])[0]

@@ -25,40 +25,40 @@ def _once(chunks: DataFrame, filters: Filters) -> DataFrame:
 
 
 def legs(
-    chunks: DataFrame, questions: DataFrame, reach: int, vectors: DataFrame | None = None, question_vectors: DataFrame | None = None, index: DataFrame | None = None, filters: Filters = Filters()
+    chunks: DataFrame, questions: DataFrame, reach: int, vectors: DataFrame | None = None, question_vectors: DataFrame | None = None, index: DataFrame | None = None, filters: Filters = Filters(), stats: DataFrame | None = None
 ) -> dict[str, DataFrame]:
     """The passage legs that can run, each (qid, chunk_id, score, rank). Both look only at
     chunks that pass the filters; ``index`` are the postings of all chunks where they were
     written before, else they are made here."""
-    once = _once(chunks, filters)
+    passing = filters.apply(chunks).select("chunk_id").distinct()
     if index is None:
-        index = R.postings(once)
+        index, stats = R.postings(_once(chunks, filters)), None
     elif filters.active:
-        index = index.join(once.select("chunk_id"), "chunk_id", "left_semi")
-    out = {"keyword": R.bm25(index, questions, reach)}
+        index, stats = index.join(passing, "chunk_id", "left_semi"), None
+    out = {"keyword": R.bm25(index, questions, reach, stats)}
     if vectors is not None and question_vectors is not None:
         R.check_dimension(vectors, question_vectors)
         if filters.active:
-            vectors = vectors.join(once.select("chunk_id"), "chunk_id", "left_semi")
+            vectors = vectors.join(passing, "chunk_id", "left_semi")
         out["vector"] = R.vector_topk(vectors, question_vectors, reach)
     return out
 
 
 def passages(
-    chunks: DataFrame, questions: DataFrame, k: int = 8, vectors: DataFrame | None = None, question_vectors: DataFrame | None = None, filters: Filters = Filters(), rerank: bool = True, weights: tuple[float, float] = (1.0, 1.0), index: DataFrame | None = None
+    chunks: DataFrame, questions: DataFrame, k: int = 8, vectors: DataFrame | None = None, question_vectors: DataFrame | None = None, filters: Filters = Filters(), rerank: bool = True, weights: tuple[float, float] = (1.0, 1.0), index: DataFrame | None = None, stats: DataFrame | None = None
 ) -> DataFrame:
     """(qid, rank, chunk_id, score, ranks, ...): the k passages of each question (qid, q).
 
     The legs over-fetch, as copies are collapsed later. Without vectors the lexical leg ranks
     alone. Repeated chunk rows count once; chunks without text are found by no leg.
     """
-    return ordered(chunks, questions, k, legs(chunks, questions, k * R.OVERFETCH, vectors, question_vectors, index, filters), filters, rerank, weights)
+    return ordered(chunks, questions, k, legs(chunks, questions, k * R.OVERFETCH, vectors, question_vectors, index, filters, stats), filters, rerank, weights)
 
 
 def ordered(chunks: DataFrame, questions: DataFrame, k: int, found: dict[str, DataFrame], filters: Filters = Filters(), rerank: bool = True, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """The k passages of each question out of what the legs found."""
     reach, own = k * R.OVERFETCH, dict(zip(("vector", "keyword"), weights))
-    fused = R.fuse({name: (df, own[name]) for name, df in found.items()}).join(_once(chunks, filters), "chunk_id").join(questions.select("qid", "q"), "qid")
+    fused = R.fuse({name: (df, own[name]) for name, df in found.items()}).join(filters.apply(chunks).select(*FIELDS), "chunk_id").dropDuplicates(["qid", "chunk_id"]).join(questions.select("qid", "q"), "qid")
     scored = R.rerank(fused) if rerank else fused
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
     placed = scored.withColumn("pos", F.row_number().over(order))
@@ -102,13 +102,13 @@ def communities_of(linked: DataFrame, community: DataFrame, nodes: DataFrame, mo
 
 
 def retrieve(
-    chunks: DataFrame, questions: DataFrame, nodes: DataFrame, edges: DataFrame, meets: DataFrame, k: int = 12, vectors: DataFrame | None = None, question_vectors: DataFrame | None = None, community: DataFrame | None = None, filters: Filters = Filters(), index: DataFrame | None = None, max_facts: int = 20
+    chunks: DataFrame, questions: DataFrame, nodes: DataFrame, edges: DataFrame, meets: DataFrame, k: int = 12, vectors: DataFrame | None = None, question_vectors: DataFrame | None = None, community: DataFrame | None = None, filters: Filters = Filters(), index: DataFrame | None = None, max_facts: int = 20, stats: DataFrame | None = None
 ) -> Context:
     """All legs for a batch of questions. A leg without its tables is left out and shows in
     the diagnostics as null; vectors of another dimension raise. Passages, entities and facts
     are written once, as everything after them reads them again."""
     reach = k * R.OVERFETCH
-    legs_ = {name: cut_lineage(df) for name, df in legs(chunks, questions, reach, vectors, question_vectors, index, filters).items()}
+    legs_ = {name: cut_lineage(df) for name, df in legs(chunks, questions, reach, vectors, question_vectors, index, filters, stats).items()}
     found = cut_lineage(ordered(chunks, questions, k, legs_, filters))
     linked = cut_lineage(J.link_entities(questions, nodes, J.name_index(nodes)))
     facts = cut_lineage(J.gather(questions, linked, edges, nodes, found, filters, max_facts))

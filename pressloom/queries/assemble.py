@@ -15,7 +15,7 @@ from pressloom.operators.filters import Filters
 from pressloom.plans import retrieve as P
 from pressloom.queries.documents import norm
 from pressloom.queries.graph import _edges, _nodes
-from pressloom.queries.retrieval import _hybrid, chunk_vectors, chunks, found, index, question_vectors
+from pressloom.queries.retrieval import _hybrid, chunk_vectors, chunks, found, index, index_stats, question_vectors
 from pressloom.session import cut_lineage
 from pressloom.sources.tables import table
 
@@ -68,7 +68,7 @@ def _context(spark, d) -> P.Context:
     q = named_questions(spark, d)
     nodes, edges = _nodes(spark, d), _edges(spark, d)
     c = cut_lineage(G.number_communities(G.communities(G.undirected(edges)), nodes))
-    return P.retrieve(chunks(spark, d), q, nodes, edges, table(spark, d, "press_meets"), vectors=chunk_vectors(spark, d), question_vectors=question_vectors(q), community=c, index=index(spark, d))
+    return P.retrieve(chunks(spark, d), q, nodes, edges, table(spark, d, "press_meets"), vectors=chunk_vectors(spark, d), question_vectors=question_vectors(q), community=c, index=index(spark, d), stats=index_stats(spark, d))
 
 
 def diagnostics(spark, d) -> DataFrame:

@@ -28,6 +28,10 @@ def index(spark, d) -> DataFrame:
     return kept(spark, "postings", [f"{d}/chunks.parquet"], lambda: R.postings(table(spark, d, "chunks", "chunk_id", "text")).repartition("term").sortWithinPartitions("term"))
 
 
+def index_stats(spark, d) -> DataFrame:
+    return kept(spark, "stats", [f"{d}/chunks.parquet"], lambda: R.index_stats(index(spark, d)))
+
+
 def chunk_vectors(spark, d) -> DataFrame:
     """Vectors of all chunks by the offline embedder, written once."""
     once = lambda: table(spark, d, "chunks", "chunk_id", "text").groupBy("chunk_id").agg(F.min("text").alias("text"))
@@ -39,7 +43,7 @@ def question_vectors(q: DataFrame) -> DataFrame:
 
 
 def bm25_topk(spark, d) -> DataFrame:
-    return R.bm25(index(spark, d), questions(spark, d), 10).select("qid", "chunk_id", F.round("score", 4).alias("score"), "rank")
+    return R.bm25(index(spark, d), questions(spark, d), 10, index_stats(spark, d)).select("qid", "chunk_id", F.round("score", 4).alias("score"), "rank")
 
 
 def _vectors(spark, d) -> DataFrame:
@@ -56,7 +60,7 @@ def vector_topk(spark, d) -> DataFrame:
 def fused(spark, d) -> DataFrame:
     """Fusion of the lexical leg with one ordered by date."""
     c = chunks(spark, d)
-    key = R.bm25(index(spark, d), questions(spark, d), 20)
+    key = R.bm25(index(spark, d), questions(spark, d), 20, index_stats(spark, d))
     recent = R.ranked(key.select("qid", "chunk_id").join(c.groupBy("chunk_id").agg(F.max("date").alias("date")), "chunk_id"), 20, F.desc_nulls_last("date"), F.col("chunk_id"))
     return R.fuse({"keyword": (key, 1.0), "recent": (recent, 0.5)}).select("qid", "chunk_id", F.round("score", 6).alias("score"))
 
@@ -68,7 +72,7 @@ def intents(spark, d) -> DataFrame:
 
 def reranked(spark, d) -> DataFrame:
     c = chunks(spark, d).dropDuplicates(["chunk_id"])
-    hits = R.fuse({"keyword": (R.bm25(index(spark, d), questions(spark, d), 20), 1.0)})
+    hits = R.fuse({"keyword": (R.bm25(index(spark, d), questions(spark, d), 20, index_stats(spark, d)), 1.0)})
     rows = R.rerank(hits.join(c, "chunk_id").join(questions(spark, d), "qid"))
     return rows.select("qid", "chunk_id", F.round("score", 6).alias("score"), "source_prior", "term_coverage")
 
@@ -93,7 +97,7 @@ def budgets(spark, d) -> DataFrame:
 
 def found(spark, d, q: DataFrame, filters: Filters = Filters()) -> DataFrame:
     """Passages by the lexical and the vector leg."""
-    return passages(chunks(spark, d), q, vectors=chunk_vectors(spark, d), question_vectors=question_vectors(q), filters=filters, index=index(spark, d))
+    return passages(chunks(spark, d), q, vectors=chunk_vectors(spark, d), question_vectors=question_vectors(q), filters=filters, index=index(spark, d), stats=index_stats(spark, d))
 
 
 def hybrid(spark, d) -> DataFrame:

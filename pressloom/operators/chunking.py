@@ -61,30 +61,30 @@ def split_tokens(text: str, offsets: list[tuple[int, int]], target: int = TARGET
     if n <= ceiling:
         return [text] if text else []
     starts = [a for a, _ in offsets]
-    marks = sorted((m.end() if after else m.start(), strength) for pattern, strength, after in BREAKS for m in pattern.finditer(text))
-    places = [p for p, _ in marks]
-
-    def near(low: int, high: int, want: int) -> int | None:
-        """Token at the strongest break between two offsets, the one closest to a third."""
-        inside = marks[bisect_left(places, low) : bisect_right(places, high)]
-        if not inside:
-            return None
-        return bisect_left(starts, min(inside, key=lambda m: (-m[1], abs(m[0] - want), m[0]))[0])
-
-    spans: list[tuple[int, int]] = []
-    at = 0
-    while True:
-        end = min(at + target, n)
-        if end < n:
-            tight = near(starts[min(at + target * 3 // 5, n - 1)], offsets[min(at + target * 5 // 4, n) - 1][1], starts[end])
-            cut = tight if tight is not None else near(starts[min(at + target // 2, n - 1)], offsets[min(at + ceiling, n) - 1][1], starts[end])
-            end = cut if cut is not None and at < cut <= at + ceiling else end
-        spans.append((at, end))
-        if end >= n:
-            break
+    breaks: dict[int, int] = {}  # token that begins behind a break -> its strength
+    for pattern, strength, after in BREAKS:
+        for m in pattern.finditer(text):
+            token = bisect_left(starts, m.end() if after else m.start())
+            breaks[token] = max(strength, breaks.get(token, 0))
+    order = sorted(breaks)
+
+    def best(low: int, high: int, want: int) -> int | None:
+        inside = order[bisect_left(order, low) : bisect_right(order, min(high, n - 1))]
+        return max(inside, key=lambda t: (breaks[t], -abs(t - want)), default=None)
+
+    def stop(at: int) -> int:
+        want = at + target
+        windows = ((at + target * 3 // 5, at + target * 5 // 4), (at + target // 2, at + ceiling))
+        return n if want >= n else next((t for w in windows if (t := best(*w, want)) is not None), want)
+
+    def resume(at: int, end: int) -> int:
         back = max(end - overlap, at + 1)
-        snap = near(starts[max(back - overlap // 2, 0)], starts[back], starts[back])
-        at = snap if snap is not None and at < snap <= end else back
+        return best(max(back - overlap // 2, at + 1), back, back) or back
+
+    spans = [(0, stop(0))]
+    while spans[-1][1] < n:
+        at = resume(*spans[-1])
+        spans.append((at, stop(at)))
     if len(spans) > 1 and spans[-1][1] - spans[-1][0] < TAIL and spans[-1][1] - spans[-2][0] <= ceiling:
         spans[-2:] = [(spans[-2][0], spans[-1][1])]
     return [p for p in (text[offsets[a][0] : offsets[z - 1][1]].strip() for a, z in spans) if p]

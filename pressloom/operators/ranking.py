@@ -42,6 +42,11 @@ def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
     return terms.select("chunk_id", "dl", F.explode("ws").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
 
 
+def with_frequencies(index: DataFrame) -> DataFrame:
+    """An inverted index with the number of chunks of each term, for one that is written."""
+    return index.join(index.groupBy("term").agg(F.count("*").alias("df")), "term")
+
+
 def index_stats(index: DataFrame) -> DataFrame:
     """One row (n, avgdl) over an inverted index: chunks and their mean number of words."""
     return index.groupBy("chunk_id").agg(F.sum("tf").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
@@ -55,10 +60,11 @@ def bm25(index: DataFrame, questions: DataFrame, k: int, stats: DataFrame | None
     stats = index_stats(index) if stats is None else stats
     asked = questions.select("qid", F.explode(S.query_terms(F.col("q"))).alias("term"))
     wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
+    if "df" not in index.columns:
+        wanted = wanted.join(wanted.groupBy("term").agg(F.count("*").alias("df")), "term")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weights = wanted.join(df.crossJoin(F.broadcast(stats)), "term").select("term", "chunk_id", (idf * tf).alias("w"))  # stats is one row
+    weights = wanted.crossJoin(F.broadcast(stats)).select("term", "chunk_id", (idf * tf).alias("w"))  # stats is one row
     scored = asked.join(weights, "term").groupBy("qid", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score"))
     return ranked(scored, k, F.desc("score"), F.col("chunk_id"))
 
@@ -85,11 +91,12 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 409
     import pyarrow as pa
 
     rows = queries.select("qid", "vector").orderBy("qid")
-    total, spark, result = rows.count(), vectors.sparkSession, None
+    first = rows.limit(block + 1).collect()  # one block of the stated queries, and whether there are more
+    total, spark, result = len(first) if len(first) <= block else rows.count(), vectors.sparkSession, None
     numbered = rows.select("*", F.row_number().over(Window.orderBy("qid")).alias("_n")) if total > block else rows
     for start in range(0, max(total, 1), block):
         part = numbered.where(F.col("_n").between(start + 1, start + block)) if total > block else numbered
-        held = part.select("qid", "vector").collect()  # one block of the stated queries
+        held = first if total <= block else part.select("qid", "vector").collect()  # one block of the stated queries
         ids = [r.qid for r in held]
         q = np.array([r.vector for r in held], np.float64).reshape(len(held), -1)
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12) if len(held) else q

@@ -34,7 +34,7 @@ def legs(
     if index is None:
         index, stats = R.postings(_once(chunks, filters)), None
     elif filters.active:
-        index, stats = index.join(passing, "chunk_id", "left_semi"), None
+        index, stats = index.drop("df").join(passing, "chunk_id", "left_semi"), None
     out = {"keyword": R.bm25(index, questions, reach, stats)}
     if vectors is not None and question_vectors is not None:
         R.check_dimension(vectors, question_vectors)

@@ -25,7 +25,7 @@ def chunks(spark, d) -> DataFrame:
 
 def index(spark, d) -> DataFrame:
     """The postings of all chunks, written once and read from then on, sorted by term."""
-    return kept(spark, "postings", [f"{d}/chunks.parquet"], lambda: R.postings(table(spark, d, "chunks", "chunk_id", "text")).repartition("term").sortWithinPartitions("term"))
+    return kept(spark, "postings", [f"{d}/chunks.parquet"], lambda: R.with_frequencies(R.postings(table(spark, d, "chunks", "chunk_id", "text"))).repartition("term").sortWithinPartitions("term"))
 
 
 def index_stats(spark, d) -> DataFrame:

@@ -187,3 +187,9 @@ SQL = {
     "question_ngrams": f"SELECT item_id, count(*) AS n, max(length(t))::INT AS longest FROM (SELECT item_id, array_to_string(w[i:i+k-1], ' ') AS t FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT item_id, w, unnest(range(1, 6)) AS k FROM (SELECT item_id, list_filter(string_split({norm('q')}, ' '), lambda x: x <> '') AS w FROM eval_items)))) GROUP BY 1",
     "dates_checked": "SELECT CASE WHEN date IS NULL THEN 'none' WHEN try_cast(date AS DATE) IS NULL THEN 'impossible' ELSE 'real' END AS kind, count(*) AS n FROM extracted_docs GROUP BY 1",
 }
+
+_PAGES = r"SELECT segment_id, unnest(range(1, len(p) + 1)) AS page, unnest(list_transform(p, lambda x: trim(x, ' '))) AS text FROM (SELECT segment_id, CASE WHEN contains(t, chr(12)) THEN string_split(t, chr(12)) ELSE string_split_regex(t, '(?m)^---+[ \t]*$') END AS p FROM (SELECT segment_id, regexp_replace(t, '!\[[^\]]*\]\(data:[^)]*\)', '', 'g') AS t FROM (SELECT DISTINCT segment_id, text_original AS t FROM segments WHERE text_original IS NOT NULL)))"
+SQL |= {
+    "repaired_pages": f"SELECT segment_id, page::INT AS page, language, size::INT AS n FROM (SELECT segment_id, page, {_LANG} AS language, length(text) AS size FROM ({_COUNTS.replace('{}', f'({_PAGES})')}) WHERE length(text) >= 12)",
+    "select_chunks_capped": "WITH RECURSIVE c AS (SELECT DISTINCT chunk_id, text, content_hash, source_file, source_type FROM chunks), g AS (SELECT chunk_id, source_file, coalesce(nullif(content_hash, ''), chunk_id) AS key, CASE WHEN source_type NOT IN (%s) THEN 'source_type' WHEN length(text) < 150 THEN 'short' WHEN (length(text) - length(regexp_replace(text, '<[^>]{1,40}>', '', 'g'))) / greatest(length(text), 1) >= 0.5 THEN 'markup' END AS skip FROM c), o AS (SELECT chunk_id, source_file, key, row_number() OVER (ORDER BY source_file, chunk_id) AS rn FROM g WHERE skip IS NULL), w(rn, chunk_id, skip, seen, kept) AS (SELECT 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, []::VARCHAR[], []::VARCHAR[] UNION ALL SELECT rn, chunk_id, s, CASE WHEN s IS NULL THEN list_append(seen, key) ELSE seen END, CASE WHEN s IS NULL THEN list_append(kept, source_file) ELSE kept END FROM (SELECT o.*, w.seen, w.kept, CASE WHEN len(list_filter(w.kept, lambda f: f = o.source_file)) >= 60 THEN 'over_file_cap' WHEN list_contains(w.seen, o.key) THEN 'duplicate' END AS s FROM w JOIN o ON o.rn = w.rn + 1)) SELECT chunk_id, skip FROM w WHERE rn > 0 UNION ALL SELECT chunk_id, skip FROM g WHERE skip IS NOT NULL" % ", ".join(f"'{k}'" for k in _WANTED),
+}

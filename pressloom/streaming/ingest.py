@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressloom.operators import manifest as M
+from pressloom.session import cut_lineage
 from pressloom.sources import files as A
 
 
@@ -15,21 +16,39 @@ def due(spark: SparkSession, folder: str, log: DataFrame, stage: str) -> DataFra
     return M.pending(found, log, stage)
 
 
-def follow(spark: SparkSession, folder: str, table: str, checkpoint: str, schema: str, key: str = "source_file"):
-    """A stream of JSON artifacts upserted by key into a parquet table, once per content."""
+def follow(spark: SparkSession, folder: str, table: str, checkpoint: str, schema: str):
+    """A stream of JSON artifacts into a table of batches. A batch costs what it holds, however
+    large the table is: it is a partition of its own, replaced as a whole where the stream
+    repeats it, so every artifact is there once. ``current`` reads the table, ``compact``
+    shortens it."""
     rows = spark.readStream.schema(schema).json(folder)
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        one = batch.dropDuplicates([key]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(16)))
-        touched = one.select("bucket").distinct()
-        try:
-            held = batch.sparkSession.read.parquet(table)
-            full = M.upsert(held.join(touched, "bucket", "left_semi"), one.select(*held.columns), key)
-        except Exception as e:  # the table's first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            full = one
-        full = full.checkpoint(eager=True)
-        full.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
-
-    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def add(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("batch", F.lit(epoch).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
+
+    return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, table: str, key: str = "source_file") -> DataFrame:
+    """The last row of every key; of several in one batch the greatest, so that it is always
+    the same one."""
+    rows = spark.read.parquet(table).withColumn("batch", F.col("batch").cast("bigint"))
+    cols = [c for c in rows.columns if c not in (key, "batch")]
+    last = F.max_by(F.struct(*cols, F.col("batch")), F.struct("batch", *cols))
+    return rows.groupBy(key).agg(last.alias("r")).select(key, "r.*")
+
+
+def compact(spark: SparkSession, table: str, key: str = "source_file") -> None:
+    """Put the current rows into the newest batch and drop the others. If it is cut short, what
+    is left of the others is older than every row of the newest and does not count."""
+    rows = cut_lineage(current(spark, table, key))
+    newest = rows.agg(F.max("batch")).first()[0]
+    if newest is None:
+        return
+    rows.withColumn("batch", F.lit(newest)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in fs.listStatus(path):
+        name = part.getPath().getName()
+        if name.startswith("batch=") and int(name[6:]) < newest:
+            fs.delete(part.getPath(), True)

@@ -122,7 +122,10 @@ def test_follow_folder(spark, tmp_path):
         with open(f"{src}/{n}.json", "w") as f:
             f.write("\n".join(json.dumps({"source_file": k, "v": v}) for k, v in rows))
         ingest.follow(spark, src, out, cp, "source_file string, v int").awaitTermination(120)
-    assert {r.source_file: r.v for r in spark.read.parquet(out).collect()} == {"a": 1, "b": 2, "c": 1}
+    for _ in range(2):
+        assert {r.source_file: r.v for r in ingest.current(spark, out).collect()} == {"a": 1, "b": 2, "c": 1}
+        ingest.compact(spark, out)
+        assert spark.read.parquet(out).count() == 3 and len([x for x in os.listdir(out) if x.startswith("batch=")]) == 1
     shutil.rmtree(out)
 
 

@@ -174,12 +174,14 @@ def rerank(rows: DataFrame) -> DataFrame:
     )
 
 
-def dedup(rows: DataFrame, k: int, pos: str = "pos") -> DataFrame:
-    """The first k distinct contents of each question with the citations of later copies."""
+def dedup(rows: DataFrame, k: int | None, pos: str = "pos") -> DataFrame:
+    """The first k distinct contents of each question, or all, with the citations of later
+    copies; no window is over all rows of a question but the one that takes the first k."""
     key = F.coalesce(F.when(F.col("content_hash") != "", F.col("content_hash")), F.col("chunk_id"))
     w = Window.partitionBy("qid", "_key").orderBy(pos)
     copies = rows.withColumn("_key", key).withColumn("_n", F.row_number().over(w)).withColumn("duplicates", F.collect_list(F.when(F.col("_n") > 1, F.col("citation"))).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return ranked(copies.where("_n = 1"), k, F.col(pos)).drop("_key", "_n").withColumn(pos, F.col("rank")).drop("rank")
+    first = copies.where("_n = 1").drop("_key", "_n")
+    return first if k is None else ranked(first, k, F.col(pos)).withColumn(pos, F.col("rank")).drop("rank")
 
 
 def diversify(rows: DataFrame, k: int, per_file: int = PER_FILE, pos: str = "pos") -> DataFrame:

@@ -79,7 +79,7 @@ def reranked(spark, d) -> DataFrame:
 
 def best_copies(spark, d) -> DataFrame:
     c = chunks(spark, d).dropDuplicates(["chunk_id"]).withColumn("qid", F.col("press_meet_id"))
-    rows = R.dedup(c.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("chunk_id"))), 10_000_000)
+    rows = R.dedup(c, None, "chunk_id")
     return rows.select("chunk_id", F.size("duplicates").alias("n_copies"))
 
 

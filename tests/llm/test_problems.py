@@ -505,6 +505,23 @@ def test_names_without_listed_words_long_names_and_two_typos(spark):
     assert sorted(map(sorted, got.values())) == [["o1", "o2", "o3"], ["o4", "o5"], ["o6", "o7"], ["p1", "p2"], ["q1", "q2"], ["r1", "r2"]]
 
 
+def test_names_broadcast_nothing_sized_by_an_estimate(spark, tmp_path, monkeypatch):
+    spark.createDataFrame(NAMES, "entity_id string, type string, name string, aliases array<string>").write.parquet(str(tmp_path / "names"))
+    planned = []  # joins as they are chosen before anything has run, by estimates alone
+
+    def seen(step):
+        def run(df):
+            planned.append(df._jdf.queryExecution().executedPlan().toString())
+            return step(df)
+
+        return run
+
+    for step in ("cut_lineage", "connected_components"):
+        monkeypatch.setattr(names, step, seen(getattr(names, step)))
+    seen(lambda df: df)(names.resolved(spark.read.parquet(str(tmp_path / "names")), "entity_id", "type", "name", "aliases"))
+    assert any("key#" in x and "SortMergeJoin" in x for x in planned) and not any("Broadcast" in x for x in planned)
+
+
 def test_assignment_equals_all_permutations():
     rng = random.Random(5)
     pool = ["ramesh", "ramash", "venkat", "venkata", "rao", "r", "v", "kumar", "kumra", "lakshmi", "laxmi", "siva"]

@@ -4,10 +4,12 @@ duplicates, diversity, and what each leg found."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressloom.functions import scalars as S
 from pressloom.operators import facts as J
 from pressloom.operators import graph as G
 from pressloom.operators import ranking as R
@@ -57,13 +59,33 @@ def passages(
 
 def ordered(chunks: DataFrame, questions: DataFrame, k: int, found: dict[str, DataFrame], filters: Filters = Filters(), rerank: bool = True, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """The k passages of each question out of what the legs found."""
+    return with_texts(placed(chunks, questions, k, found, filters, rerank, weights), chunks, questions, filters)
+
+
+def with_texts(rows: DataFrame, chunks: DataFrame, questions: DataFrame, filters: Filters = Filters()) -> DataFrame:
+    """Placed passages with the fields of their chunks and their questions."""
+    own = [c for c in FIELDS if c == "chunk_id" or c not in rows.columns]
+    return rows.join(_once(chunks, filters).select(*own), "chunk_id").join(questions.select("qid", "q"), "qid")
+
+
+def placed(chunks: DataFrame, questions: DataFrame, k: int, found: dict[str, DataFrame], filters: Filters = Filters(), rerank: bool = True, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """The k passages of each question without their texts, which are long and stand in many
+    questions: what ranking asks of a text is taken where it lies. Rows also say how many
+    chunks each leg found for their question, as n_ and the leg's name."""
     reach, own = k * R.OVERFETCH, dict(zip(("vector", "keyword"), weights))
-    fused = R.fuse({name: (df, own[name]) for name, df in found.items()}).join(filters.apply(chunks).select(*FIELDS), "chunk_id").dropDuplicates(["qid", "chunk_id"]).join(questions.select("qid", "q"), "qid")
-    scored = R.rerank(fused) if rerank else fused
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
-    placed = scored.withColumn("pos", F.row_number().over(order))
+    asked = questions.select("qid", R.intent(F.col("q")).alias("rerank_intent"), S.query_terms(F.col("q")).alias("_terms"))
+    facts = _once(chunks, filters).select("chunk_id", "source_type", "source_file", "content_hash", "citation", R.own_terms().alias("_own"))
+    hits = reduce(DataFrame.unionByName, [df.select("qid", "chunk_id", F.lit(name).alias("leg"), "rank", F.lit(float(own[name])).alias("weight")) for name, df in found.items()])
+    rows = hits.join(asked, "qid").join(facts, "chunk_id").withColumn("source_prior", R.prior(F.col("rerank_intent"), F.col("source_type"))).withColumn("_coverage", R.coverage(F.col("_terms"), F.col("_own")))
+    more = ["source_file", "content_hash", "citation", *(["rerank_intent", "source_prior", "_coverage"] if rerank else [])]
+    # everything from here on is by question
+    fused = R.fused(rows.select("qid", "chunk_id", "leg", "rank", "weight", *more).repartition("qid"), *more)
+    scored = R.weighed(fused) if rerank else fused
+    q = Window.partitionBy("qid")
+    counted = scored.withColumns({f"n_{name}": F.count_if(F.map_contains_key("ranks", name)).over(q) for name in found})
+    ordered_ = counted.withColumn("pos", F.row_number().over(q.orderBy(F.desc("score"), "chunk_id")))
     # every copy is collapsed before the cut, so that the cut counts contents
-    return R.diversify(R.dedup(placed, 2 * reach), k).withColumnRenamed("pos", "rank")
+    return R.diversify(R.dedup(ordered_, 2 * reach), k).withColumnRenamed("pos", "rank").drop("citation")
 
 
 @dataclass
@@ -105,19 +127,19 @@ def retrieve(
     chunks: DataFrame, questions: DataFrame, nodes: DataFrame, edges: DataFrame, meets: DataFrame, k: int = 12, vectors: DataFrame | None = None, question_vectors: DataFrame | None = None, community: DataFrame | None = None, filters: Filters = Filters(), index: DataFrame | None = None, max_facts: int = 20, stats: DataFrame | None = None
 ) -> Context:
     """All legs for a batch of questions. A leg without its tables is left out and shows in
-    the diagnostics as null; vectors of another dimension raise. Passages, entities and facts
-    are written once, as everything after them reads them again."""
-    reach = k * R.OVERFETCH
-    legs_ = {name: cut_lineage(df) for name, df in legs(chunks, questions, reach, vectors, question_vectors, index, filters, stats).items()}
-    found = cut_lineage(ordered(chunks, questions, k, legs_, filters))
+    the diagnostics as null; vectors of another dimension raise. Places of passages, entities
+    and facts are written once, as everything after them reads them again; texts are not."""
+    legs_ = legs(chunks, questions, k * R.OVERFETCH, vectors, question_vectors, index, filters, stats)
+    at = cut_lineage(placed(chunks, questions, k, legs_, filters))
+    found = with_texts(at, chunks, questions, filters)
     linked = cut_lineage(J.link_entities(questions, nodes, J.name_index(nodes)))
     facts = cut_lineage(J.gather(questions, linked, edges, nodes, found, filters, max_facts))
     named = communities_of(linked, community, nodes) if community is not None else linked.limit(0).select("qid", "n", F.lit("").alias("community_id"), F.lit(0).cast("bigint").alias("size"), F.array().cast("array<string>").alias("members"))
     count = lambda df, name: df.groupBy("qid").agg(F.count("*").alias(name))
-    sizes = [count(df, f"n_{name}") for name, df in legs_.items()]
-    sizes += [count(found, "n_passages"), found.groupBy("qid").agg(F.min_by("rerank_intent", "rank").alias("intent")), count(linked, "n_entities"), count(facts, "n_facts")]
-    diagnostics = questions.select("qid")
-    for df in sizes:
+    some = lambda name: F.when(F.max(name) > 0, F.max(name)).alias(name)
+    own = at.groupBy("qid").agg(*[some(f"n_{name}") for name in legs_], F.count("*").alias("n_passages"), F.min_by("rerank_intent", "rank").alias("intent"))
+    diagnostics = questions.select("qid").join(own, "qid", "left")
+    for df in (count(linked, "n_entities"), count(facts, "n_facts")):
         diagnostics = diagnostics.join(df, "qid", "left")
     if "n_vector" not in diagnostics.columns:
         diagnostics = diagnostics.withColumn("n_vector", F.lit(None).cast("bigint"))

@@ -25,7 +25,7 @@ def chunks(spark, d) -> DataFrame:
 
 def index(spark, d) -> DataFrame:
     """The postings of all chunks, written once and read from then on, sorted by term."""
-    return kept(spark, "postings", [f"{d}/chunks.parquet"], lambda: R.with_frequencies(R.postings(table(spark, d, "chunks", "chunk_id", "text"))).repartition("term").sortWithinPartitions("term"))
+    return kept(spark, "postings", [f"{d}/chunks.parquet"], lambda: R.with_frequencies(R.postings(table(spark, d, "chunks", "chunk_id", "text"))).sortWithinPartitions("term"))
 
 
 def index_stats(spark, d) -> DataFrame:
@@ -33,9 +33,10 @@ def index_stats(spark, d) -> DataFrame:
 
 
 def chunk_vectors(spark, d) -> DataFrame:
-    """Vectors of all chunks by the offline embedder, written once."""
+    """Numbered vectors of all chunks by the offline embedder, written once."""
     once = lambda: table(spark, d, "chunks", "chunk_id", "text").groupBy("chunk_id").agg(F.min("text").alias("text"))
-    return kept(spark, "vectors", [f"{d}/chunks.parquet"], lambda: X.embed(once(), "chunk_id", "text"))
+    made = lambda: kept(spark, "vectors", [f"{d}/chunks.parquet"], lambda: X.embed(once(), "chunk_id", "text"))
+    return kept(spark, "numbered", [f"{d}/chunks.parquet"], lambda: R.numbered(made()))
 
 
 def question_vectors(q: DataFrame) -> DataFrame:

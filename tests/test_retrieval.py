@@ -112,3 +112,48 @@ def test_answer_language(spark):
 
     df = spark.createDataFrame([("What?", None), ("ఏమిటి జరిగింది", None), ("What?", "te"), ("What?", " Tamil "), ("123", "")], "q string, c string")
     assert [r[0] for r in df.select(K.answer_language(F.col("q"), F.col("c"))).collect()] == ["English", "Telugu", "Telugu", "Tamil", "English"]
+
+
+def test_many_questions_share_their_terms_and_find_the_same(spark):
+    rng = np.random.default_rng(2)
+    common, rare = ["power", "water", "dues", "board"], [f"name{i}" for i in range(60)]
+    text = lambda: " ".join([*rng.choice(common, rng.integers(0, 5)), *rng.choice(rare, rng.integers(1, 6)), *["filler"] * rng.integers(0, 4)])
+    texts = [text() for _ in range(400)]
+    chunks_ = spark.createDataFrame([(f"c{i:03}", t) for i, t in enumerate(texts + texts[:100])], "chunk_id string, text string")
+    asked = [(i, " ".join([*rng.choice(common, 3, replace=False), *rng.choice(rare, i % 4), *["unknown"] * (i % 2)])) for i in range(200)] + [(200, "power"), (201, "nothing known"), (202, "")]
+    q = spark.createDataFrame(asked, "qid long, q string")
+    index = R.postings(chunks_)
+    for given in (index, R.with_frequencies(index)):
+        plain = {(r.qid, r.rank): (r.chunk_id, r.score) for r in R.bm25(given, q, 7).collect()}
+        shared = {(r.qid, r.rank): (r.chunk_id, r.score) for r in R.bm25(given, q, 7, batch=0).collect()}
+        assert len(plain) > 1300 and shared == plain
+
+
+def test_many_vectors_are_looked_up_in_one_pass(spark):
+    rng = np.random.default_rng(3)
+    v, a = rng.integers(-2, 3, (3000, 6)), rng.integers(-1, 2, (5000, 6))
+    v[v.any(axis=1) == 0, 0] = 1
+    a[a.any(axis=1) == 0, 0] = 1
+    df = spark.createDataFrame([(f"{i:04}", [float(x) for x in r]) for i, r in enumerate(v)], "chunk_id string, vector array<float>").repartition(3)
+    q = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(a)], "qid long, vector array<float>")
+    top = R.vector_topk(df, q, 4)
+    assert top._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = {(r.qid, r.rank): (r.chunk_id, r.score) for r in top.collect()}
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = np.round(unit(a.astype(float)) @ unit(v.astype(float)).T, 6)
+    assert len(got) == 4 * 5000
+    for i in range(0, 5000, 7):
+        want = sorted(range(3000), key=lambda j: (-s[i, j], j))[:4]
+        assert [got[i, n + 1] for n in range(4)] == [(f"{j:04}", s[i, j]) for j in want]
+
+
+def test_texts_are_not_ranked(spark):
+    from pressloom.plans import retrieve as P
+
+    df = spark.createDataFrame([chunk("a", "water dues"), chunk("a", "water dues"), chunk("b", "water"), chunk("c", "bus")], CHUNK)
+    q = spark.createDataFrame([(1, "water dues?")], "qid long, q string")
+    rows = P.placed(df, q, 2, P.legs(df, q, 8))
+    assert not {"text", "q"} & set(rows.columns)
+    assert [(r.chunk_id, r.rank, r.n_keyword) for r in rows.orderBy("rank").collect()] == [("a", 1, 2), ("b", 2, 2)]
+    full = P.with_texts(rows, df, q)
+    assert set(P.FIELDS) <= set(full.columns) and full.count() == 2

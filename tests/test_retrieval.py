@@ -157,3 +157,17 @@ def test_texts_are_not_ranked(spark):
     assert [(r.chunk_id, r.rank, r.n_keyword) for r in rows.orderBy("rank").collect()] == [("a", 1, 2), ("b", 2, 2)]
     full = P.with_texts(rows, df, q)
     assert set(P.FIELDS) <= set(full.columns) and full.count() == 2
+
+
+def test_sources_of_a_prompt_are_numbered_in_one_pass(spark):
+    from pressloom.operators import answer as K
+
+    rows = [(1, n, kind, False, f"c{n}", "x" * size, "", None) for n, (kind, size) in enumerate([("passage", 9000), ("passage", 4000), ("passage", 50), ("fact", 3000), ("fact", 500), ("fact", 900)], 1)] + [(2, 1, "passage", False, "d", "y" * 20000, "", None)]
+    s = spark.createDataFrame(rows, "qid long, n int, kind string, promoted boolean, chunk_id string, body string, citation string, date string")
+    got = K.prompt_sources(s)
+    assert [(r.qid, r.n, r.kind, r.chunk_id) for r in got.orderBy("qid", "n").collect()] == [(1, 1, "passage", "c1"), (1, 2, "fact", "c4"), (1, 3, "fact", "c5"), (2, 1, "passage", "d")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    q = spark.createDataFrame([(1, "What?"), (3, "Who?")], "qid long, q string")
+    made = K.answers(K.prompts(q, got), got, lambda: lambda text, own: f"Paid {len(own)} times [3].", lambda: lambda what, text: True)
+    assert {r.qid: (r.answer, r.refused) for r in made.collect()} == {1: ("Paid 3 times [3].", None), 3: (K.REFUSALS["invalid_citations"], "invalid_citations")}
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 3  # questions, and sources as text and as records with their prompt

@@ -60,7 +60,8 @@ def confidence(spark, d) -> DataFrame:
 
 
 def prompt_sources(spark, d) -> DataFrame:
-    f, p = cut_lineage(_gathered(spark, d)), cut_lineage(_found(spark, d))
+    f = cut_lineage(_gathered(spark, d).select("qid", "n", "source_id", "relation", "target_id", "source", "target", "structural", "evidence"))
+    p = P.with_texts(cut_lineage(_found(spark, d).select("qid", "rank", "chunk_id")), chunks(spark, d), named_questions(spark, d))
     return K.sources(p, f, K.promoted(f, p, chunks(spark, d))).select("qid", "n", "kind", "promoted", "citation", F.length("body").alias("size"))
 
 
